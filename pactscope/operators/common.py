@@ -25,6 +25,15 @@ def pick_first(df: DataFrame, keys: Sequence[str], order: Column, values: Sequen
     return df.groupBy(*keys).agg(best).select(*keys, "_best.*")
 
 
+def scattered(key: Column, *spread: str) -> Column:
+    """A join key whose nulls are replaced by texts that match nothing, over many partitions.
+
+    Null keys of an outer join would otherwise all meet in one task.
+    """
+    nowhere = F.concat(F.lit("~"), F.pmod(F.xxhash64(*spread), F.lit(4096)).cast("string"))
+    return F.coalesce(key, nowhere)
+
+
 def index_last(df: DataFrame, keys: Sequence[str], order: Column | str) -> DataFrame:
     """One row per key; the row with the greatest order wins."""
     order = F.col(order) if isinstance(order, str) else order

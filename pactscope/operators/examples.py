@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pactscope.functions.text import blank_to_null
 from pactscope.functions.typekeys import split_type_key
-from pactscope.operators.common import SERVICE, present
+from pactscope.operators.common import SERVICE, present, scattered
 
 # Where an example may be used.
 ANY, REQUEST = "any", "request"
@@ -50,7 +50,7 @@ def _example_sets(examples: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def match_examples(responses: DataFrame, examples: DataFrame) -> DataFrame:
-    """Each response with a body and the set of examples it shows.
+    """Each response and the set of examples that its body shows, if it has one.
 
     The set is that of the explicit key, else of the type; failing that, of the element of an array
     or map, whose examples are wrapped (``ref_prefix``). A response refers to its set by name, so that
@@ -62,11 +62,11 @@ def match_examples(responses: DataFrame, examples: DataFrame) -> DataFrame:
     wanted = F.coalesce(blank_to_null(F.col("example_key")), F.col("type_key"))
     direct = sets.select(*service, F.col("type_key").alias("_wanted"), F.lit(True).alias("_direct"))
     inner = sets.select(*service, F.col("type_key").alias("_element"), F.lit(True).alias("_inner"))
+    has_body = F.col("type_key").isNotNull()
     found = (
-        responses.where(F.col("type_key").isNotNull())
-        .withColumn("_wanted", wanted)
+        responses.withColumn("_wanted", scattered(F.when(has_body, wanted), *responses.columns))
         .withColumn("_kind", element.kind)
-        .withColumn("_element", element.element_key)
+        .withColumn("_element", scattered(element.element_key, *responses.columns))
         .join(direct, [*service, "_wanted"], "left")
         .join(inner, [*service, "_element"], "left")
     )
@@ -79,7 +79,7 @@ def match_examples(responses: DataFrame, examples: DataFrame) -> DataFrame:
         .when(is_inner & (F.col("_kind") == "map"), F.lit("map[string]"))
         .alias("ref_prefix"),
         F.when(
-            ~is_direct & ~is_inner,
+            has_body & ~is_direct & ~is_inner,
             F.when(blank_to_null(F.col("example_key")).isNotNull(), "unknown example key").otherwise("no example"),
         ).alias("problem"),
     )

@@ -18,7 +18,7 @@ from pactscope.functions.tags import (
 )
 from pactscope.functions.text import blank_to_null
 from pactscope.functions.typekeys import BASIC_TYPES, leaf_key, split_type_key, wrappers
-from pactscope.operators.common import SERVICE, PART_SIZE, collect_parts, present
+from pactscope.operators.common import PART_SIZE, SERVICE, collect_parts, present, scattered
 
 # Basic types without a schema, and the JSON type of the others.
 NO_SCHEMA = ("io.Closer", "error")
@@ -168,7 +168,6 @@ def schema_properties(
     shown = visible_fields(fields, scope)
     leaf = leaf_key(F.col("field_type_key"))
     basic = leaf.isin(*BASIC_TYPES)
-    nowhere = F.concat(F.lit("~"), F.pmod(F.xxhash64("type_key", "name"), F.lit(4096)).cast("string"))
 
     listed = enum_values(enums)
     values = listed.where(F.col("parts") == 1).where(F.size("enum_values") <= enum_limit)
@@ -197,13 +196,13 @@ def schema_properties(
     named = (
         shown.withColumn("_basic", basic)
         .withColumn("_wraps", wrappers(F.col("field_type_key")))
-        .withColumn("_leaf", F.when(basic, nowhere).otherwise(leaf))
+        .withColumn("_leaf", scattered(F.when(~basic, leaf), "type_key", "name"))
         .join(enum_side, [*enum_keys, "_leaf"], "left")
         .join(targets, [*keys, "_leaf"], "left")
         .withColumn("_reached", F.when(F.col("_basic"), leaf).otherwise(F.coalesce("_target", "_leaf")))
         .withColumn("_wraps", F.concat("_wraps", F.when(F.col("_long").isNull(), wrappers(F.col("_reached"))).otherwise("")))
         .withColumn("_reached", leaf_key(F.col("_reached")))
-        .withColumn("_final", F.when(F.col("_reached").isin(*BASIC_TYPES), nowhere).otherwise(F.col("_reached")))
+        .withColumn("_final", scattered(F.when(~F.col("_reached").isin(*BASIC_TYPES), F.col("_reached")), "type_key", "name"))
         .join(known, [*keys, "_final"], "left")
         .join(hidden, [*keys, "_final"], "left")
     )

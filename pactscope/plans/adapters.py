@@ -77,7 +77,7 @@ SELECT {_EVENT_KEY}, concat('api.F', event_id % 50) AS fun,
 FROM events""",
     "fx_examples": """
 SELECT event_id AS ord, concat('m.T', event_id % 40) AS type_key, concat('m.T', event_id % 40, ':', user_id) AS key,
-  CASE WHEN event_id % 40 = 39 AND event_id % 3 = 0 THEN 'draft' WHEN event_id % 5 = 0 OR event_id % 40 = 38 THEN 'request' ELSE 'any' END AS scope,
+  CASE WHEN event_id % 40 = 39 AND event_id % 3 = 0 THEN 'draft' WHEN event_id % 7 = 0 OR event_id % 40 = 38 THEN 'request' ELSE 'any' END AS scope,
   event_type AS title, props AS payload FROM events""",
     "fx_example_records": """
 SELECT event_id AS ord, CASE WHEN event_id % 3 = 0 THEN concat('T', event_id % 40) ELSE concat('m.', event_type, event_id % 40) END AS type,

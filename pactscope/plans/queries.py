@@ -27,7 +27,7 @@ from pactscope.operators import (
 from pactscope.operators import releases as release_ops
 from pactscope.operators.common import HANDLER, SERVICE
 from pactscope.plans.adapters import load
-from pactscope.session import scratch_path
+from pactscope.session import materialise, scratch_path
 from pactscope.sources import catalogue, corpus, documents
 from pactscope.sources import examples as example_files
 
@@ -908,4 +908,4 @@ def contract_documents(
         spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors,
         fx_examples, fx_handler_lines, fx_fields, fx_types, fx_enums,
     )
-    return documents.assemble_documents(parts)
+    return documents.assemble_documents(materialise(parts))
