@@ -59,7 +59,7 @@ def split_first(text: Column, separator: str) -> Column:
 
 
 def is_blank(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"\s", "")) == ""
+    return squeeze_trim(line) == ""
 
 
 def blank_to_null(text: Column) -> Column:
@@ -68,4 +68,4 @@ def blank_to_null(text: Column) -> Column:
 
 def squeeze_trim(text: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\r\f\x0b"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 BASIC_TYPES = ("int", "uint", "string", "bool", "any", "time.Time", "io.Closer", "error")
 
 MAP_KEY = r"^map\[(.+?)\](.+)$"
-WRAPPERS = r"^((?:\[\]|map\[[^\]]*\])*)"
+WRAPPERS = r"^((?:\[\]|map\[[^\]]*+\])*+)"
 
 
 def split_type_key(key: Column) -> Column:

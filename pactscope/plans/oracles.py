@@ -137,7 +137,7 @@ _oracle(
 )
 _oracle("catalogue_round_trip", "fx_endpoints", "SELECT service, version, verb, path, fun, ord FROM fx_endpoints")
 _CODE = r"""^((?:[^"/]|"(?:[^"\\]|\\.)*"|/[^"/])*)"""
-_CALL = r"((?:[A-Za-z_]\w*\.)?[A-Za-z_]\w*\([^()]*\))"
+_CALL = r"\b((?:[A-Za-z_]\w*\.)?[A-Za-z_]\w*\([^()]*\))"
 _FUNC = r"^func\s+(?:\(\w+\s+\*?\w+\)\s+)?(\w+)\("
 _oracle(
     "mine_call_sites", "fx_source_lines",

@@ -15,10 +15,11 @@ WHOLE_FILE_BYTES = 64 << 20
 
 # The forms of function headers, calls, arguments and comments on a line.
 FUNCTION = r"^func\s+(?:\(\w+\s+\*?\w+\)\s+)?(\w+)\("
-CALL = r"((?:[A-Za-z_]\w*\.)?[A-Za-z_]\w*\([^()]*\))"
+# Possessive and anchored at word starts, so that very long lines take linear time and no deep stack.
+CALL = r"(?<!\w)((?:[A-Za-z_]\w*+\.)?[A-Za-z_]\w*+\([^()]*+\))"
 CODE = r'^((?:[^"/]++|"(?:[^"\\]++|\\.)*+"|/(?![/"]))*+)'
 TRAILING_COMMENT = CODE + r"//\s?(.*)$"
-STRING_ARGUMENT = r'"((?:[^"\\]|\\.)*)"'
+STRING_ARGUMENT = r'"((?:[^"\\]++|\\.)*+)"'
 KEYWORDS = ("if", "for", "switch", "func", "return", "select", "case")
 
 
