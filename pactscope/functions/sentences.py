@@ -58,5 +58,5 @@ def not_found_sentence(inferred: Column) -> Column:
 
 def status_text(code: Column) -> Column:
     """Reason phrase of a status code; null for an unknown one."""
-    phrases = F.create_map(*[F.lit(v) for number, _, text in HTTP_STATUS for v in (number, text)])
-    return F.try_element_at(phrases, code.cast("int"))
+    pairs = ", ".join(f"{number}, '{text.replace(chr(39), chr(92) + chr(39))}'" for number, _, text in HTTP_STATUS)
+    return F.try_element_at(F.expr(f"map({pairs})"), code.cast("int"))

@@ -42,9 +42,9 @@ def missing_handler_errors(handler_errors: DataFrame, errors: DataFrame) -> Data
     return handler_errors.join(named, [*present(SERVICE, errors), "error_name"], "left_anti")
 
 
-def holding_condition() -> Column:
-    """One row per condition flag: the name of a condition that holds, or null."""
-    return F.explode(F.array(*[F.when(F.col(f"has_{c}"), F.lit(c)) for c in CONDITIONS])).alias("condition")
+def held_conditions() -> Column:
+    """An array with the name of each condition that holds, and null for each other one."""
+    return F.array(*[F.when(F.col(f"has_{c}"), F.lit(c)) for c in CONDITIONS])
 
 
 def rule_payloads(errors: DataFrame, rules: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def apply_error_rules(flags: DataFrame, errors: DataFrame, rules: DataFrame) ->
 
     Flags become one row per condition, so that this is an equality join.
     """
-    held = flags.select(*HANDLER, holding_condition()).where(F.col("condition").isNotNull())
+    held = flags.select(*HANDLER, F.explode(held_conditions()).alias("condition")).where(F.col("condition").isNotNull())
     payloads = rule_payloads(errors, rules)
     return held.join(payloads, [*present(SERVICE, errors), "condition"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactscope.catalogue.defaults import COMMON_REQUEST_HEADERS, DEFAULT_RESPONSE_CODES, RESPONSE_HELPERS
@@ -10,12 +10,12 @@ from pactscope.functions.paths import with_inferred
 from pactscope.functions.sentences import not_found_sentence, response_sentence, status_text
 from pactscope.functions.text import blank_to_null, title_first
 from pactscope.operators.common import HANDLER, SERVICE, index_last, present
-from pactscope.operators.errors import CONDITIONS, holding_condition, resolve_handler_errors, rule_payloads
+from pactscope.operators.errors import CONDITIONS, held_conditions, resolve_handler_errors, rule_payloads
 from pactscope.operators.params import endpoint_flags
 from pactscope.operators.routes import first_route_per_handler
 
 # The order in which sources may define a response.
-EXPLICIT, HANDLER_ERROR, RULE_ERROR, INFERRED, DEFAULT = range(5)
+EXPLICIT, HANDLER_ERROR, RULE_ERROR, INFERRED, DEFAULT, PROFILE = range(6)
 
 
 def response_from_call(calls: DataFrame) -> DataFrame:
@@ -85,59 +85,48 @@ def _candidate(
     )
 
 
-def response_candidates(
-    profile: DataFrame,
-    responses: DataFrame,
-    handler_errors: DataFrame,
-    errors: DataFrame,
-    rules: DataFrame,
-    error_type: str,
-    legacy_bad_request: bool = False,
-) -> DataFrame:
-    """All responses that the five sources offer, one row each."""
-    explicit = responses.select(
-        *HANDLER,
-        _candidate(
-            EXPLICIT, "explicit", F.col("code"), F.col("summary"), F.col("type_key"),
-            F.col("example_key") if "example_key" in responses.columns else None, place=-F.col("ord"),
-        ).alias("c"),
-    )
-    own = resolve_handler_errors(handler_errors, errors).select(
-        *HANDLER,
-        _candidate(
-            HANDLER_ERROR, "handler_error", F.col("status"), status_text(F.col("status")), F.lit(error_type),
-            tie=F.col("error_name"),
-        ).alias("c"),
-    )
+def rule_sets(errors: DataFrame, rules: DataFrame) -> DataFrame:
+    """The errors of all parameter conditions, one row per service; never more than the rules list."""
     payloads = rule_payloads(errors, rules)
-    ruled = (
-        profile.select(*HANDLER, holding_condition())
-        .where(F.col("condition").isNotNull())
-        .join(payloads, [*present(SERVICE, errors), "condition"])
-        .select(
-            *HANDLER,
-            _candidate(
-                RULE_ERROR, "rule_error", F.col("status"), status_text(F.col("status")), F.lit(error_type),
-                place=F.col("condition_rank"), tie=F.col("error_name"),
-            ).alias("c"),
-        )
-    )
+    rule = F.struct("condition", F.col("condition_rank").alias("place"), "error_name", F.col("status").cast("int").alias("status"))
+    return payloads.groupBy(*present(SERVICE, errors)).agg(F.collect_set(rule).alias("rules"))
+
+
+def general_candidates(
+    profile: DataFrame, errors: DataFrame, rules: DataFrame, error_type: str, legacy_bad_request: bool = False
+) -> DataFrame:
+    """What a handler's parameters and path tell: rule errors, an inferred 404 and the defaults.
+
+    Each handler also has a row of source ``profile`` without a code, which carries ``inferred``.
+    """
     missing, counted = F.col("_missing"), F.col("n_visible")
     if legacy_bad_request:
         counted = counted - len(COMMON_REQUEST_HEADERS)
+    none = F.lit(None)
     general = [
-        F.when(missing.isNotNull(), _candidate(INFERRED, "inferred", F.lit(404), missing, F.lit(error_type)))
+        _candidate(PROFILE, "profile", none, none, none),
+        F.when(missing.isNotNull(), _candidate(INFERRED, "inferred", F.lit(404), missing, F.lit(error_type))),
     ]
     for code in DEFAULT_RESPONSE_CODES:
         offered = _candidate(DEFAULT, "default", F.lit(code), status_text(F.lit(code)), F.lit(error_type))
         # without parameters there is nothing to get wrong in a request
         general.append(F.when(counted >= 1, offered) if code == 400 else offered)
-    local = (
+
+    def ruled(rule: Column) -> Column:
+        return _candidate(
+            RULE_ERROR, "rule_error", rule.status, status_text(rule.status), F.lit(error_type),
+            place=rule.place, tie=rule.error_name,
+        )
+
+    held = F.filter(F.col("rules"), lambda rule: F.array_contains(held_conditions(), rule.condition))
+    candidates = F.concat(F.array(*general), F.coalesce(F.transform(held, ruled), F.array()))
+    return (
         profile.withColumn("_missing", not_found_sentence(F.col("inferred")))
-        .select(*HANDLER, F.explode(F.array(*general)).alias("c"))
+        .join(rule_sets(errors, rules), present(SERVICE, errors), "left")
+        .select(*HANDLER, "inferred", F.explode_outer(candidates).alias("c"))
         .where(F.col("c").isNotNull())
+        .select(*HANDLER, "c.*", F.when(F.col("c.source") == "profile", F.col("inferred")).alias("inferred"))
     )
-    return explicit.unionByName(own).unionByName(ruled).unionByName(local).select(*HANDLER, "c.*")
 
 
 def effective_responses(
@@ -153,21 +142,41 @@ def effective_responses(
     """The one response of every mounted handler and status code, with its summary.
 
     Explicit responses come before the handler's errors, the errors of its parameters' conditions, a
-    404 inferred from the path, and the defaults. The choice is an aggregation with partial results,
-    so that handlers with very many responses are reduced before the shuffle.
+    404 inferred from the path, and the defaults.
+
+    Every table is read once. The choice is an aggregation with partial results, so that handlers with
+    very many responses are reduced before the shuffle; what is known of a handler travels along as
+    one more row and is handed to its responses, of which there are at most as many as status codes.
     """
     profile = handler_profile(endpoints, params)
-    candidates = response_candidates(
-        profile, responses, handler_errors, errors, rules, error_type, legacy_bad_request
+    general = general_candidates(profile, errors, rules, error_type, legacy_bad_request)
+    nothing = F.lit(None).cast(general.schema["inferred"].dataType).alias("inferred")
+    example_key = F.col("example_key") if "example_key" in responses.columns else None
+    explicit = responses.select(
+        *HANDLER,
+        _candidate(
+            EXPLICIT, "explicit", F.col("code"), F.col("summary"), F.col("type_key"), example_key, place=-F.col("ord")
+        ).alias("c"),
     )
+    own = resolve_handler_errors(handler_errors, errors).select(
+        *HANDLER,
+        _candidate(
+            HANDLER_ERROR, "handler_error", F.col("status"), status_text(F.col("status")), F.lit(error_type),
+            tie=F.col("error_name"),
+        ).alias("c"),
+    )
+    offered = explicit.unionByName(own).select(*HANDLER, "c.*", nothing).unionByName(general)
+    best = F.min_by(
+        F.struct("source", "summary", "type_key", "example_key", "inferred"), F.struct("rank", "place", "tie")
+    )
+    known = F.max("_profile").over(Window.partitionBy(*HANDLER))
     chosen = (
-        candidates.groupBy(*HANDLER, "code")
-        .agg(
-            F.min_by(
-                F.struct("source", "summary", "type_key", "example_key"), F.struct("rank", "place", "tie")
-            ).alias("c")
-        )
-        .select(*HANDLER, "code", "c.*")
+        offered.groupBy(*HANDLER, "code")
+        .agg(best.alias("c"))
+        .select(*HANDLER, "code", "c.source", "c.summary", "c.type_key", "c.example_key", F.col("c.inferred").alias("_profile"))
+        .withColumn("inferred", known)
+        .withColumn("mounted", F.max(F.col("source") == "profile").over(Window.partitionBy(*HANDLER)))
+        .where(F.col("mounted") & F.col("code").isNotNull())
     )
     code, inferred = F.col("code"), F.col("inferred")
     summary = F.coalesce(
@@ -176,7 +185,7 @@ def effective_responses(
         F.when(code == 404, not_found_sentence(inferred)),
         status_text(code),
     )
-    return chosen.join(profile.select(*HANDLER, "inferred"), HANDLER).select(
+    return chosen.select(
         *HANDLER, "code", "source", title_first(summary).alias("summary"), "type_key", "example_key"
     )
 

@@ -558,7 +558,7 @@ def route_conflicts(fx_endpoints):
 
 
 def _coverage(fx_endpoints, fx_handlers, fx_handler_lines, fx_params, fx_responses, fx_types, fx_examples):
-    first = routes.first_route_per_handler(fx_endpoints)
+    first = materialise(routes.first_route_per_handler(fx_endpoints))
     found = comments.endpoint_tags(first, comments.mine_directives(fx_handler_lines, HANDLER))
     return audits.coverage_items(
         fx_endpoints,
@@ -854,16 +854,19 @@ def _parts(
     spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors,
     fx_examples, fx_handler_lines, fx_fields, fx_types, fx_enums,
 ):
-    services = fx_endpoints.select(*SERVICE).distinct()
-    first = routes.describe_endpoints(fx_endpoints)
+    # read by several sections, and small: one row per handler and one per operation
+    first = materialise(routes.describe_endpoints(fx_endpoints))
+    services = first.select(*SERVICE).distinct()
     summaries = comments.summarize_endpoints(fx_handler_lines, first).where(F.col("part") == 0)
     found = comments.endpoint_tags(first, comments.mine_directives(fx_handler_lines, HANDLER))
     merged = params.merge_params(fx_params.where(F.col("location") != "body"))
     effective = responses.effective_responses(
-        fx_endpoints, fx_params, fx_responses, fx_handler_errors, fx_errors, defaults.error_rules(spark), ERROR_TYPE
+        first, fx_params, fx_responses, fx_handler_errors, fx_errors, defaults.error_rules(spark), ERROR_TYPE
     )
     # one operation per path and verb; further registrations are conflicts
-    single = common.pick_first(fx_endpoints, [*SERVICE, "path", "verb"], F.col("ord"), ["fun", "ord"])
+    single = materialise(
+        common.pick_first(fx_endpoints, [*SERVICE, "path", "verb"], F.col("ord"), ["fun", "ord"])
+    )
     shared = F.lit("svc0"), F.lit("v1")
     schemas = types.type_schemas(fx_types, _properties(fx_fields, fx_types, fx_enums, "response")).select(
         *[c.alias(n) for c, n in zip(shared, SERVICE)], F.col("type_key").alias("schema_key"), "part", "schema"
