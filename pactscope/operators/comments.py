@@ -30,9 +30,16 @@ def _blank(text: Column) -> Column:
 
 
 def line_parts(lines: DataFrame, keys: Sequence[str], size: int = PART_SIZE) -> DataFrame:
-    """The lines of each declaration as sorted arrays of at most ``size`` lines: ``keys, part, items``."""
-    part = F.floor(F.col("line_no") / size).cast("int")
-    return lines.groupBy(*keys, part.alias("part")).agg(
+    """The lines of each declaration as sorted arrays of at most ``size`` lines: ``keys, part, items``.
+
+    Lines are counted from the first one of their declaration. That line has to be looked up only for
+    declarations with a line number beyond ``size``: all others have one part in any case.
+    """
+    keys = list(keys)
+    far = lines.where(F.col("line_no") >= size).select(*keys).distinct()
+    first = lines.join(far, keys, "left_semi").groupBy(*keys).agg(F.min("line_no").alias("_first"))
+    counted = lines.join(first, keys, "left").withColumn("line_no", F.col("line_no") - F.coalesce("_first", F.lit(0)))
+    return counted.groupBy(*keys, F.floor(F.col("line_no") / size).cast("int").alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("items")
     )
 

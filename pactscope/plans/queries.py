@@ -27,7 +27,7 @@ from pactscope.operators import (
 from pactscope.operators import releases as release_ops
 from pactscope.operators.common import HANDLER, SERVICE
 from pactscope.plans.adapters import load
-from pactscope.session import materialise, scratch_path
+from pactscope.session import allow_skew_splits, materialise, scratch_path
 from pactscope.sources import catalogue, corpus, documents
 from pactscope.sources import examples as example_files
 
@@ -43,6 +43,7 @@ def query(function: Callable) -> Query:
     names = function.__code__.co_varnames[: function.__code__.co_argcount]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        allow_skew_splits(spark)
         given = {"spark": spark}
         return function(*[given[n] if n in given else load(spark, sf_dir, n) for n in names])
 

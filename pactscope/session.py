@@ -32,6 +32,11 @@ def build_session(app_name: str = "pactscope", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def allow_skew_splits(spark: SparkSession) -> None:
+    """Let a skewed join be split even where that costs one more shuffle."""
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the cluster's setting, or a temporary one in local mode."""
     context = spark.sparkContext

@@ -54,6 +54,14 @@ def test_long_declarations_keep_every_line(spark):
         assert joined.replace("\n", "") == description.replace("\n", "")
 
 
+def test_parts_count_from_the_declaration(spark):
+    """A short declaration far down in its file is not divided."""
+    rows = [("d", 100 + i, t) for i, t in enumerate(["first", "", "a", "b", "c"])]
+    df = spark.createDataFrame(rows, "decl_id string, line_no bigint, text string")
+    found = comments.summarize_blocks(df, size=8).collect()
+    assert [(r.part, r.summary, r.description) for r in found] == [(0, "First", "A\nb\nc")]
+
+
 def endpoint_summary(spark, texts, size=1 << 17):
     rows = [("s", "v", "f", i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "service string, version string, fun string, line_no bigint, text string")
