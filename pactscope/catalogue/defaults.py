@@ -184,8 +184,14 @@ DEFAULT_HEADERS = (
 
 # Headers of every request.
 COMMON_REQUEST_HEADERS = (
-    RequestHeader("X-Request-ID", "Logged for correlation"),
-    RequestHeader("Trace-Id", "Logged for correlation, returned with the response"),
+    RequestHeader(
+        "X-Request-ID", "Logged for correlation", examples={"a UUID": "6f1d0c52-5d0e-4f6b-9a34-0c1f5a1f9d11"}
+    ),
+    RequestHeader(
+        "Trace-Id",
+        "Logged for correlation, returned with the response",
+        examples={"a UUID": "0b7a4e0e-7c55-4b0c-8a38-3f1f4bb1c0aa"},
+    ),
 )
 
 

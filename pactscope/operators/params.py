@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pactscope.catalogue.defaults import ACCOUNT_PARAM
 from pactscope.functions.jsontext import json_string
 from pactscope.functions.text import blank_to_null, is_blank, title_first
-from pactscope.operators.common import HANDLER, SERVICE, collect_parts, index_last, present
+from pactscope.operators.common import HANDLER, SERVICE, collect_parts, index_last, pick_first, present
 
 
 def resolve_params(params: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -117,20 +117,24 @@ def collapse_bodies(params: DataFrame) -> DataFrame:
     )
 
 
+POSITION = ("file", "line", "col")
+
+
 def undocumented_bodies(params: DataFrame, first_routes: DataFrame) -> DataFrame:
-    """Request bodies without a description, with the route of their handler."""
+    """Request bodies without a description, with their position and the route of their handler."""
+    position = [c for c in POSITION if c in params.columns]
     bare = params.where((F.col("location") == "body") & is_blank(F.coalesce("description", F.lit(""))))
-    found = bare.groupBy(*SERVICE, F.col("name").alias("type_key")).agg(F.min_by("fun", "ord").alias("fun"))
+    found = bare.withColumn("type_key", F.col("name"))
+    found = pick_first(found, [*SERVICE, "type_key"], F.col("ord"), ["fun", *position])
     return found.join(first_routes.select(*HANDLER, "verb", "path"), HANDLER)
 
 
 def undocumented_results(responses: DataFrame, types: DataFrame, first_routes: DataFrame) -> DataFrame:
-    """Named response types without a summary, with the route of a handler that returns them."""
-    used = responses.where(F.col("type_key").isNotNull()).groupBy(*SERVICE, "type_key").agg(
-        F.min_by("fun", "ord").alias("fun")
-    )
+    """Named response types without a summary, with their position and the route of a handler."""
+    keys = [*present(SERVICE, types), "type_key"]
+    used = responses.where(F.col("type_key").isNotNull())
+    used = pick_first(used, [*SERVICE, "type_key"], F.col("ord"), ["fun"])
     bare = types.where(is_blank(F.coalesce("summary", F.lit("")))).select(
-        *present(SERVICE, types), "type_key"
+        *keys, *[c for c in POSITION if c in types.columns]
     )
-    keys = [*present(SERVICE, types), "type_key"]
     return used.join(bare, keys).join(first_routes.select(*HANDLER, "verb", "path"), HANDLER)

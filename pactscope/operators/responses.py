@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from pactscope.operators.routes import first_route_per_handler
 EXPLICIT, HANDLER_ERROR, RULE_ERROR, INFERRED, DEFAULT, PROFILE = range(6)
 
 
-def response_from_call(calls: DataFrame) -> DataFrame:
+def response_from_call(calls: DataFrame, keys: Sequence[str] = HANDLER) -> DataFrame:
     """Responses told from calls of response helpers: the helper's status, or that of ``RBODY<code>``.
 
     Of several calls with the same status the last one counts.
@@ -30,7 +32,7 @@ def response_from_call(calls: DataFrame) -> DataFrame:
             for part in (F.lit(name), F.struct(F.lit(status).alias("status"), F.lit(has_body).alias("has_body")))
         ]
     )
-    keys = present(HANDLER, calls)
+    keys = present(keys, calls)
     named = F.regexp_extract("arg_name", r"^RBODY(\d+)$", 1).try_cast("int")
     rows = (
         calls.withColumn("_helper", F.try_element_at(helpers, F.col("method")))

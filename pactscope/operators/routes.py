@@ -166,6 +166,9 @@ def add_common_headers(endpoints: DataFrame, headers: Sequence[RequestHeader]) -
                 F.lit(h.description).alias("description"),
                 F.lit(h.required).alias("required"),
                 F.lit(h.exploded).alias("exploded"),
+                F.create_map(*[F.lit(text) for pair in h.examples.items() for text in pair])
+                .cast("map<string,string>")
+                .alias("examples"),
             )
             for h in headers
         ]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pactscope.catalogue.defaults import (
     CAPABILITY_ERRORS,
     COMMON_REQUEST_HEADERS,
@@ -139,18 +141,16 @@ _oracle("catalogue_round_trip", "fx_endpoints", "SELECT service, version, verb,
 _CODE = r"""^((?:[^"/]|"(?:[^"\\]|\\.)*"|/[^"/])*)"""
 _CALL = r"\b((?:[A-Za-z_]\w*\.)?[A-Za-z_]\w*\([^()]*\))"
 _FUNC = r"^func\s+(?:\(\w+\s+\*?\w+\)\s+)?(\w+)\("
-_oracle(
-    "mine_call_sites", "fx_source_lines",
-    f""", placed AS (SELECT file, line_no, text, last_value(CASE WHEN regexp_matches(text, '{_FUNC}') THEN regexp_extract(text, '{_FUNC}', 1) END IGNORE NULLS)
+_CALL_SITES = f"""placed AS (SELECT file, line_no, text, last_value(CASE WHEN regexp_matches(text, '{_FUNC}') THEN regexp_extract(text, '{_FUNC}', 1) END IGNORE NULLS)
       OVER (PARTITION BY file ORDER BY line_no) AS fun FROM fx_source_lines),
     found AS (SELECT *, regexp_extract_all(regexp_extract(text, '{_CODE}', 1), '{_CALL}', 1) AS calls FROM placed WHERE NOT regexp_matches(text, '{_FUNC}')),
-    single AS (SELECT file, line_no, fun, text, calls[i] AS c, i - 1 AS ord FROM (SELECT *, unnest(range(1, len(calls) + 1)) AS i FROM found)),
-    args AS (SELECT *, regexp_extract(c, '\\(([^()]*)\\)$', 1) AS a, regexp_extract(c, '^(?:[A-Za-z_]\\w*\\.)?([A-Za-z_]\\w*)\\(', 1) AS method FROM single)
-    SELECT file, line_no, ord, fun, regexp_extract(c, '^(?:([A-Za-z_]\\w*)\\.)?[A-Za-z_]\\w*\\(', 1) AS receiver, method,
+    one_call AS (SELECT file, line_no, fun, text, calls[i] AS c, i - 1 AS ord FROM (SELECT *, unnest(range(1, len(calls) + 1)) AS i FROM found)),
+    call_args AS (SELECT *, regexp_extract(c, '\\(([^()]*)\\)$', 1) AS a, regexp_extract(c, '^(?:[A-Za-z_]\\w*\\.)?([A-Za-z_]\\w*)\\(', 1) AS method FROM one_call),
+    call_sites AS (SELECT file, line_no, ord, fun, regexp_extract(c, '^(?:([A-Za-z_]\\w*)\\.)?[A-Za-z_]\\w*\\(', 1) AS receiver, method,
       regexp_extract(a, '^\\s*&?([A-Za-z_]\\w*)', 1) AS arg_name, regexp_extract(a, '^[^,]*,\\s*&?([A-Za-z_]\\w*)', 1) AS second_name,
       regexp_extract(a, '"((?:[^"\\\\]|\\\\.)*)"', 1) AS arg_text, regexp_extract(text, '{_CODE}//\\s?(.*)$', 2) AS comment
-    FROM args WHERE method NOT IN ('if', 'for', 'switch', 'func', 'return', 'select', 'case')""",
-)
+    FROM call_args WHERE method NOT IN ('if', 'for', 'switch', 'func', 'return', 'select', 'case'))"""
+_oracle("mine_call_sites", "fx_source_lines", f", {_CALL_SITES} SELECT * FROM call_sites")
 
 # --- text steps --------------------------------------------------------------------------------
 
@@ -252,13 +252,13 @@ _oracle(
       CASE WHEN field_type_key LIKE '[]%' THEN substr(field_type_key, 3) WHEN field_type_key LIKE 'map[%' THEN substr(field_type_key, strpos(field_type_key, ']') + 1) END AS element_key,
       regexp_replace(field_type_key, '(\\[\\]|map\\[string\\])', '', 'g') AS leaf FROM fx_fields""",
 )
-_ACCESSOR = """
+_ACCESSOR_STEPS = """
 acc AS (SELECT *, CASE WHEN method IN ('body', 'bodydoc', 'optBody', 'optBodyDoc') THEN 'body'
     WHEN method IN ('GetAccountForMail', 'needContactWithAccount', 'PathParam', 'PathParamDoc', 'PathListParamDoc') THEN 'path'
     WHEN method IN ('HeaderParam', 'HeaderParamDoc', 'OptHeaderParam', 'OptHeaderParamDoc') THEN 'header'
     WHEN regexp_matches(method, '^(parse|get)[A-Z].*Param$') OR (method = 'Get' AND arg_name LIKE 'QueryParam%') THEN 'query' END AS location,
-  regexp_extract(method, '^(?:parse|get)(?:Mandatory|Opt)?([A-Z].*?)Param$', 1) AS v FROM fx_calls),
-accessors AS (SELECT service, version, fun, line_no, ord, location,
+  regexp_extract(method, '^(?:parse|get)(?:Mandatory|Opt)?([A-Z].*?)Param$', 1) AS v FROM {calls}),
+accessors AS (SELECT {keys}, line_no, ord, location,
   CASE WHEN arg_name = '' THEN 'UriParamAccountId' ELSE arg_name END AS name,
   CASE WHEN location = 'body' THEN arg_name WHEN method = 'PathListParamDoc' THEN '[]string' WHEN location <> 'query' OR method = 'Get' THEN 'string'
     ELSE CASE v WHEN 'String' THEN 'string' WHEN 'Int' THEN 'int' WHEN 'UInt' THEN 'uint' WHEN 'Date' THEN 'string' WHEN 'Bool' THEN 'bool'
@@ -267,6 +267,18 @@ accessors AS (SELECT service, version, fun, line_no, ord, location,
   method IN ('PathParamDoc', 'PathListParamDoc') OR v = 'StringList' AS exploded,
   CASE WHEN method LIKE '%Doc' THEN arg_text WHEN location = 'body' THEN '' ELSE """ + _link("comment") + """ END AS description,
   CASE WHEN method LIKE 'need%' THEN 'Contact' END AS account_kind FROM acc WHERE location IS NOT NULL)"""
+
+
+def _accessors(calls: str, keys: str) -> str:
+    return _ACCESSOR_STEPS.replace("{calls}", calls).replace("{keys}", keys)
+
+
+_ACCESSOR = _accessors("fx_calls", _HANDLER)
+_oracle(
+    "params_from_source", "fx_source_lines",
+    f""", {_CALL_SITES}, {_accessors("call_sites", "file, fun")}
+    SELECT * EXCLUDE (account_kind), CASE WHEN type_key IS NULL THEN 'unsupported value type' END AS problem FROM accessors""",
+)
 _oracle(
     "typed_accessors", "fx_calls",
     f", {_ACCESSOR} SELECT *, CASE WHEN type_key IS NULL THEN 'unsupported value type' END AS problem FROM accessors",
@@ -293,6 +305,12 @@ _oracle(
       has_body, comment AS summary, line_no AS ord FROM fx_calls JOIN {_HELPERS} USING (method))
     SELECT * FROM {_last("r", _HANDLER + ", code")}""",
 )
+_oracle(
+    "responses_from_source", "fx_source_lines",
+    f""", {_CALL_SITES}, r AS (SELECT file, fun, CASE WHEN has_body AND regexp_matches(second_name, '^RBODY\\d+$') THEN substr(second_name, 6)::INT ELSE status END AS code,
+      has_body, comment AS summary, line_no, ord AS o FROM call_sites JOIN {_HELPERS} USING (method) WHERE fun IS NOT NULL)
+    SELECT file, fun, code, has_body, summary, line_no AS ord FROM {_last("r", "file, fun, code", "line_no DESC, o")}""",
+)
 _oracle(
     "decorate_tags", "fx_endpoints",
     f""", {_inferred("SELECT * FROM fx_endpoints")}, t AS (SELECT *, CASE WHEN verb = 'PUT' THEN [] ELSE {_TAGS_OF_PATH} END AS own FROM singles)
@@ -502,7 +520,10 @@ _oracle(
 _oracle(
     "add_common_headers", "fx_endpoints",
     "SELECT ord, h.* FROM fx_endpoints, "
-    + _values([(h.name, h.description, h.required, h.exploded) for h in COMMON_REQUEST_HEADERS], "h(header, description, required, exploded)"),
+    + _values(
+        [(h.name, h.description, h.required, h.exploded, json.dumps(h.examples, separators=(",", ":"))) for h in COMMON_REQUEST_HEADERS],
+        "h(header, description, required, exploded, examples)",
+    ),
 )
 
 # --- aggregations ------------------------------------------------------------------------------

@@ -253,6 +253,29 @@ def response_from_call(fx_calls):
     return responses.response_from_call(fx_calls.withColumn("ord", F.col("line_no")))
 
 
+@query
+def params_from_source(fx_source_lines):
+    """Parameters told from source lines."""
+    return accessors.typed_accessor(corpus.mine_call_sites(fx_source_lines)).drop("account_kind")
+
+
+@query
+def responses_from_source(fx_source_lines):
+    """Responses told from source lines, the last per function and status."""
+    calls = corpus.mine_call_sites(fx_source_lines).where(F.col("fun").isNotNull())
+    return responses.response_from_call(
+        calls.select(
+            "file",
+            "fun",
+            "method",
+            F.col("second_name").alias("arg_name"),
+            "comment",
+            F.struct("line_no", "ord").alias("ord"),
+        ),
+        ["file", "fun"],
+    ).withColumn("ord", F.col("ord.line_no"))
+
+
 @query
 def decorate_tags(fx_endpoints):
     """Tags of routes with the marks that every document adds."""
@@ -515,7 +538,8 @@ def attach_enums(fx_fields, fx_enums):
 @query
 def add_common_headers(fx_endpoints):
     """Shared request headers of every route."""
-    return routes.add_common_headers(fx_endpoints.select("ord"), defaults.COMMON_REQUEST_HEADERS)
+    headers = routes.add_common_headers(fx_endpoints.select("ord"), defaults.COMMON_REQUEST_HEADERS)
+    return headers.withColumn("examples", F.to_json("examples"))
 
 
 # --- aggregations ------------------------------------------------------------------------------
