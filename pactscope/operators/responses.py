@@ -171,13 +171,17 @@ def effective_responses(
     best = F.min_by(
         F.struct("source", "summary", "type_key", "example_key", "inferred"), F.struct("rank", "place", "tie")
     )
-    known = F.max("_profile").over(Window.partitionBy(*HANDLER))
+    handler = Window.partitionBy(*HANDLER)
     chosen = (
         offered.groupBy(*HANDLER, "code")
         .agg(best.alias("c"))
         .select(*HANDLER, "code", "c.source", "c.summary", "c.type_key", "c.example_key", F.col("c.inferred").alias("_profile"))
-        .withColumn("inferred", known)
-        .withColumn("mounted", F.max(F.col("source") == "profile").over(Window.partitionBy(*HANDLER)))
+        .withColumns(
+            {
+                "inferred": F.max("_profile").over(handler),
+                "mounted": F.max(F.col("source") == "profile").over(handler),
+            }
+        )
         .where(F.col("mounted") & F.col("code").isNotNull())
     )
     code, inferred = F.col("code"), F.col("inferred")
