@@ -93,14 +93,14 @@ SELECT concat('svc', o_custkey % 40) AS service,
                    CASE WHEN o_orderkey % 4 = 0 THEN concat('-rc.', o_orderkey % 3) ELSE '' END) END AS tag FROM orders""",
     "fx_type_edges": """
 SELECT DISTINCT a.l_partkey AS from_key, b.l_partkey AS to_key FROM lineitem a
-JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 AND b.l_suppkey < a.l_suppkey""",
-    "fx_type_seeds": "SELECT p_partkey AS type_key FROM part WHERE p_size = 1 AND p_type = 'ECONOMY'",
+JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1""",
+    "fx_type_seeds": "SELECT p_partkey AS type_key FROM part WHERE p_size = 1",
     "fx_sparse_edges": """
 SELECT p_partkey AS from_key,
   CASE WHEN p_size < 20 THEN CAST(floor(p_partkey / 3) AS BIGINT) ELSE p_partkey + p_size - 20 END AS to_key FROM part""",
     "fx_embeds": """
-SELECT CAST(floor(p_partkey / 4) AS BIGINT) AS type_key, p_partkey % 4 AS pos, p_partkey AS embedded_key FROM part
-WHERE p_partkey >= 4""",
+SELECT CAST(floor(p_partkey / 6) AS BIGINT) AS type_key, p_partkey % 6 AS pos, p_partkey AS embedded_key FROM part
+WHERE p_partkey > 0""",
     "fx_embed_fields": "SELECT p_partkey AS type_key, p_size AS pos, concat(p_name, ' ', p_partkey) AS name FROM part",
     "fx_field_tags": """
 SELECT p_partkey AS type_key, p_name AS name,
@@ -168,7 +168,7 @@ SELECT {_EVENT_KEY}, concat('api.F', event_id % 50) AS fun, event_id AS line_no,
   CASE event_id % 10 WHEN 0 THEN concat('@api:tag ', event_type, 's, email') WHEN 1 THEN '' WHEN 2 THEN 'responses:'
     WHEN 3 THEN concat('swagger:route GET /', user_id) WHEN 4 THEN concat('// does ', event_type, '.') WHEN 5 THEN '@api:success 201'
     ELSE concat('more on ', event_type, ' [RFC', user_id, ']') END AS text
-FROM events WHERE event_type <> 'purchase'""",
+FROM events""",
     "fx_decls": """
 SELECT concat('f', user_id % 40) AS file, event_id AS decl_id, event_id AS line,
   CASE event_type WHEN 'view' THEN 'type' WHEN 'click' THEN 'const' ELSE 'var' END AS kind, 'type' AS wanted_kind,

@@ -869,3 +869,37 @@ _oracle(
     UNION ALL SELECT service, version, '/components/headers/' || header, '{{"description":' || to_json(description)::VARCHAR || ',"required":' || required || ',"explode":' || explode || '}}' FROM services CROSS JOIN {_HEADERS}
     UNION ALL SELECT service, version, '/x-undocumented/' || CASE kind WHEN 'body' THEN 'bodies' ELSE 'results' END || '/' || {_token("type_key")}, '{{"verb":"' || verb || '","path":"' || path || '"}}' FROM undocumented""",
 )
+
+
+def _assembled() -> str:
+    """Documents of the parts, nested from the innermost step outwards."""
+    verbs = "['GET', 'QUERY', 'HEAD', 'POST', 'PUT', 'DELETE', 'PATCH', 'OPTIONS', 'TRACE']"
+    steps = ", ".join(f"s[{i}] AS s{i}" for i in range(1, 6))
+    ctes = [
+        """split AS (SELECT service, version, fragment AS json, list_transform(string_split(substr(pointer, 2), '/'), lambda x: replace(replace(x, '~1', '/'), '~0', '~')) AS s FROM parts)""",
+        f"level5 AS (SELECT service, version, json, {steps} FROM split)",
+    ]
+    for depth in range(4, -1, -1):
+        kept = "".join(f", s{i}" for i in range(1, depth + 1))
+        child = f"s{depth + 1}"
+        order = f"coalesce(nullif(list_position({verbs}, upper({child})), 0), 99), {child}" if depth == 2 else child
+        listed = f"s{depth} IN ('parameters', 'tags')" if depth else "FALSE"
+        ctes.append(
+            f"""grouped{depth} AS (SELECT service, version{kept}, max(json) FILTER ({child} IS NULL) AS own,
+              string_agg(json, ',' ORDER BY {order}) FILTER ({child} IS NOT NULL) AS plain,
+              string_agg(to_json({child})::VARCHAR || ':' || json, ',' ORDER BY {order}) FILTER ({child} IS NOT NULL) AS named
+              FROM level{depth + 1} GROUP BY ALL),
+            level{depth} AS (SELECT service, version{kept}, CASE WHEN plain IS NULL THEN own WHEN {listed} THEN '[' || plain || ']'
+              ELSE '{{' || concat_ws(',', CASE WHEN own <> '{{}}' THEN substr(own, 2, length(own) - 2) END, named) || '}}' END AS json FROM grouped{depth})"""
+        )
+    return ", ".join(ctes)
+
+
+def _with_parts() -> str:
+    head, union = ORACLES["document_parts"].split("\n    SELECT service, version, '/info'", 1)
+    return f"{head}, parts AS (SELECT service, version, '/info'{union})"
+
+
+ORACLES["contract_documents"] = f"""{_with_parts()}, {_assembled()},
+  sizes AS (SELECT service, version, sum(length(json) + length(array_to_string(s, '/')))::BIGINT AS n_chars FROM split GROUP BY ALL)
+  SELECT service, version, n_chars, json AS document FROM sizes JOIN level0 USING (service, version)"""

@@ -25,6 +25,7 @@ def build_session(app_name: str = "pactscope", master: str | None = None, **conf
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         # call sites of single expressions are costly to record and not needed
         "spark.python.sql.dataFrameDebugging.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
