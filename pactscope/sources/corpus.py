@@ -37,7 +37,8 @@ def read_lines(spark: SparkSession, path: str, glob: str = "*", whole_bytes: int
     reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
     file, size = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size")
     whole = reader.option("wholetext", "true").format("text").load(path).where(size <= whole_bytes)
-    small = lines_of(whole.select(file, F.regexp_replace("value", r"\r\n", "\n").alias("text")), ["file"])
+    text = F.regexp_replace(F.regexp_replace("value", r"\r\n?", "\n"), r"\n\z", "")
+    small = lines_of(whole.where(F.col("value") != "").select(file, text.alias("text")), ["file"])
 
     split = ["file", "_split"]
     plain = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")

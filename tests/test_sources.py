@@ -14,6 +14,7 @@ def tree(tmp_path):
         "a/x.go": "// first\npackage x\n\n  //second\r\nfunc f() {\n}\n",
         "b/y.go": "\n".join(f"// line {i}" for i in range(500)),
         "b/z.txt": "// not this",
+        "b/empty.go": "",
     }.items():
         path = tmp_path / name
         path.parent.mkdir(exist_ok=True)
@@ -32,7 +33,7 @@ def test_read_lines(spark, tree, whole_bytes):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert {n: t for (f, n), t in found.items() if f == "y.go"} == {i: f"// line {i}" for i in range(500)}
     assert [found[("x.go", i)] for i in range(6)] == ["// first", "package x", "", "  //second", "func f() {", "}"]
-    assert not any(f == "z.txt" for f, _ in found)
+    assert len(found) == 506
 
 
 def test_read_corpus(spark, tree):
