@@ -12,7 +12,7 @@ COLUMNS = {
     "required boolean, exploded boolean, example_key string, default_value string, ord bigint",
     "param_defs": "location string, const_name string, wire_name string, description string, default_value string",
     "responses": "fun string, code int, summary string, type_key string, example_key string, default_value string, ord bigint",
-    "errors": "name string, status int, code string, title string, detail string",
+    "errors": "name string, status int, code string, title string, detail string, type_key string, example_key string",
     "handler_errors": "fun string, error_name string",
     "types": "type_key string, pkg string, name string, kind string, element_key string, key_key string, "
     "target_key string, summary string, description string, file string, line int, col int",

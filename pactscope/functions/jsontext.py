@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 
 def json_string(text: Column) -> Column:
-    """A quoted and escaped JSON string."""
+    """A quoted and escaped JSON string; null stays null."""
     quoted = F.to_json(F.array(text))
-    return F.substr(quoted, F.lit(2), F.length(quoted) - 2)
+    return F.when(text.isNotNull(), F.substr(quoted, F.lit(2), F.length(quoted) - 2))
+
+
+def with_member(json: Column, name: str, value: Column) -> Column:
+    """A non-empty JSON object with one more member, unless its value is null."""
+    member = F.concat(F.lit(f',"{name}":'), value, F.lit("}"))
+    return F.concat(F.substr(json, F.lit(1), F.length(json) - 1), F.coalesce(member, F.lit("}")))
 
 
 def pointer_token(text: Column) -> Column:

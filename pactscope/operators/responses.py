@@ -87,10 +87,22 @@ def _candidate(
     )
 
 
+def _column_of(df: DataFrame, name: str) -> Column:
+    """A column that a table may lack."""
+    return F.col(name) if name in df.columns else F.lit(None).cast("string")
+
+
 def rule_sets(errors: DataFrame, rules: DataFrame) -> DataFrame:
     """The errors of all parameter conditions, one row per service; never more than the rules list."""
     payloads = rule_payloads(errors, rules)
-    rule = F.struct("condition", F.col("condition_rank").alias("place"), "error_name", F.col("status").cast("int").alias("status"))
+    rule = F.struct(
+        "condition",
+        F.col("condition_rank").alias("place"),
+        "error_name",
+        F.col("status").cast("int").alias("status"),
+        _column_of(errors, "type_key").alias("type_key"),
+        _column_of(errors, "example_key").alias("example_key"),
+    )
     return payloads.groupBy(*present(SERVICE, errors)).agg(F.collect_set(rule).alias("rules"))
 
 
@@ -116,8 +128,8 @@ def general_candidates(
 
     def ruled(rule: Column) -> Column:
         return _candidate(
-            RULE_ERROR, "rule_error", rule.status, status_text(rule.status), F.lit(error_type),
-            place=rule.place, tie=rule.error_name,
+            RULE_ERROR, "rule_error", rule.status, status_text(rule.status),
+            F.coalesce(rule.type_key, F.lit(error_type)), rule.example_key, place=rule.place, tie=rule.error_name,
         )
 
     held = F.filter(F.col("rules"), lambda rule: F.array_contains(held_conditions(), rule.condition))
@@ -144,7 +156,8 @@ def effective_responses(
     """The one response of every mounted handler and status code, with its summary.
 
     Explicit responses come before the handler's errors, the errors of its parameters' conditions, a
-    404 inferred from the path, and the defaults.
+    404 inferred from the path, and the defaults. Errors have the type and example that their table
+    states, and ``error_type`` otherwise, as do the last two sources.
 
     Every table is read once. The choice is an aggregation with partial results, so that handlers with
     very many responses are reduced before the shuffle; what is known of a handler travels along as
@@ -153,17 +166,18 @@ def effective_responses(
     profile = handler_profile(endpoints, params)
     general = general_candidates(profile, errors, rules, error_type, legacy_bad_request)
     nothing = F.lit(None).cast(general.schema["inferred"].dataType).alias("inferred")
-    example_key = F.col("example_key") if "example_key" in responses.columns else None
     explicit = responses.select(
         *HANDLER,
         _candidate(
-            EXPLICIT, "explicit", F.col("code"), F.col("summary"), F.col("type_key"), example_key, place=-F.col("ord")
+            EXPLICIT, "explicit", F.col("code"), F.col("summary"), F.col("type_key"),
+            _column_of(responses, "example_key"), place=-F.col("ord"),
         ).alias("c"),
     )
     own = resolve_handler_errors(handler_errors, errors).select(
         *HANDLER,
         _candidate(
-            HANDLER_ERROR, "handler_error", F.col("status"), status_text(F.col("status")), F.lit(error_type),
+            HANDLER_ERROR, "handler_error", F.col("status"), status_text(F.col("status")),
+            F.coalesce(_column_of(errors, "type_key"), F.lit(error_type)), _column_of(errors, "example_key"),
             tie=F.col("error_name"),
         ).alias("c"),
     )

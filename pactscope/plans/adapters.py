@@ -58,7 +58,8 @@ SELECT DISTINCT {_EVENT_KEY},
     WHEN 4 THEN 'ErrorForbidden' ELSE 'ErrorServerFailure' END AS name,
   CASE event_id % 6 WHEN 0 THEN 404 WHEN 4 THEN 403 WHEN 5 THEN 500 ELSE 400 END AS status,
   concat('E', event_id % 6) AS code, concat('Title ', event_id % 6) AS title,
-  CASE event_id % 6 WHEN 1 THEN 'Wrong request' WHEN 3 THEN 'Wrong request' ELSE concat('Detail ', event_id % 6) END AS detail
+  CASE event_id % 6 WHEN 1 THEN 'Wrong request' WHEN 3 THEN 'Wrong request' ELSE concat('Detail ', event_id % 6) END AS detail,
+  CASE WHEN event_id % 6 < 5 THEN 'm.Problem' END AS type_key, CASE WHEN event_id % 6 = 4 THEN 'm.T4' ELSE '' END AS example_key
 FROM events""",
     "fx_handler_errors": f"""
 SELECT DISTINCT {_EVENT_KEY}, concat('api.F', event_id % 50) AS fun,

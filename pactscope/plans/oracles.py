@@ -376,7 +376,7 @@ _oracle(
     f"""SELECT name, 'status' AS problem FROM fx_error_literals ANTI JOIN {_STATUS} USING (status_name)
     UNION ALL SELECT name, 'code' FROM fx_error_literals ANTI JOIN fx_error_codes USING (code_name)""",
 )
-_OWN_ERRORS = "SELECT h.service, h.version, fun, error_name, status, code, title, detail FROM fx_handler_errors h JOIN fx_errors e ON h.service = e.service AND h.version = e.version AND error_name = name"
+_OWN_ERRORS = "SELECT h.service, h.version, fun, error_name, status, code, title, detail, type_key, example_key FROM fx_handler_errors h JOIN fx_errors e ON h.service = e.service AND h.version = e.version AND error_name = name"
 _oracle("resolve_handler_errors", "fx_handler_errors fx_errors", _OWN_ERRORS)
 _oracle(
     "missing_handler_errors", "fx_handler_errors fx_errors",
@@ -388,7 +388,7 @@ _FLAGS = f"""flags AS (SELECT {_HANDLER}, bool_or(location = 'path' AND name = '
   FROM fx_params GROUP BY ALL)"""
 _RULES = _values(ERROR_RULES, "r(condition, condition_rank, error_name)")
 _RULED = f"""held AS (SELECT {_HANDLER}, replace(flag, 'has_', '') AS condition FROM (UNPIVOT (SELECT * EXCLUDE (n_visible) FROM flags) ON COLUMNS('has_.*') INTO NAME flag VALUE held) WHERE held),
-ruled AS (SELECT h.service, h.version, fun, condition, condition_rank, error_name, status, code, title, detail
+ruled AS (SELECT h.service, h.version, fun, condition, condition_rank, error_name, status, code, title, detail, type_key, example_key
   FROM held h JOIN {_RULES} USING (condition) JOIN fx_errors e ON h.service = e.service AND h.version = e.version AND error_name = name)"""
 _oracle("apply_error_rules", "fx_params fx_errors", f", {_FLAGS}, {_RULED} SELECT * FROM ruled")
 _oracle(
@@ -596,8 +596,8 @@ _EFFECTIVE = f"""{_FLAGS}, {_RULED}, {_inferred(f"SELECT * FROM {_FIRST}")},
 profile AS (SELECT s.*, coalesce(n_visible, 0) AS n FROM spoken s LEFT JOIN flags f USING ({_HANDLER})),
 offered AS (
   SELECT {_HANDLER}, code, 0 AS rank, -ord AS place, '' AS tie, 'explicit' AS source, summary, type_key, example_key FROM fx_responses
-  UNION ALL SELECT {_HANDLER}, status, 1, 0, error_name, 'handler_error', {_reason("status")}, {_ERROR_TYPE}, NULL FROM ({_OWN_ERRORS})
-  UNION ALL SELECT {_HANDLER}, status, 2, condition_rank, error_name, 'rule_error', {_reason("status")}, {_ERROR_TYPE}, NULL FROM ruled SEMI JOIN profile USING ({_HANDLER})
+  UNION ALL SELECT {_HANDLER}, status, 1, 0, error_name, 'handler_error', {_reason("status")}, coalesce(type_key, {_ERROR_TYPE}), example_key FROM ({_OWN_ERRORS})
+  UNION ALL SELECT {_HANDLER}, status, 2, condition_rank, error_name, 'rule_error', {_reason("status")}, coalesce(type_key, {_ERROR_TYPE}), example_key FROM ruled SEMI JOIN profile USING ({_HANDLER})
   UNION ALL SELECT {_HANDLER}, 404, 3, 0, '', 'inferred', missing, {_ERROR_TYPE}, NULL FROM profile WHERE missing IS NOT NULL
   UNION ALL SELECT {_HANDLER}, c, 4, 0, '', 'default', {_reason("c")}, {_ERROR_TYPE}, NULL FROM profile, (VALUES (400), (404), (500)) AS d(c) WHERE c <> 400 OR n >= 1),
 chosen AS (SELECT * FROM offered QUALIFY row_number() OVER (PARTITION BY {_HANDLER}, code ORDER BY rank, place, tie) = 1),
@@ -705,7 +705,7 @@ _oracle(
 )
 _oracle(
     "error_payload_examples", "fx_params fx_handler_errors fx_errors",
-    f""", {_FLAGS}, {_RULED}, all_errors AS (SELECT *, -1 AS place FROM ({_OWN_ERRORS})
+    f""", {_FLAGS}, {_RULED}, all_errors AS (SELECT * EXCLUDE (type_key, example_key), -1 AS place FROM ({_OWN_ERRORS})
       UNION ALL SELECT {_HANDLER}, error_name, status, code, title, detail, condition_rank FROM ruled)
     SELECT {_HANDLER}, status, detail, error_name, json_object('status', status, 'code', code, 'title', title, 'detail', detail)::VARCHAR AS payload
     FROM {_last("all_errors", _HANDLER + ", status, detail", "place DESC, error_name")}""",
@@ -823,7 +823,15 @@ def _token(x: str) -> str:
 
 
 def _names(headers, condition) -> str:
-    return "[" + ", ".join(f"CASE WHEN {condition(h)} THEN {_q('#/components/headers/' + h.name)} END" for h in headers) + "]"
+    member = '"{0}":{{"$ref":"#/components/headers/{0}"}}'
+    return "[" + ", ".join(f"CASE WHEN {condition(h)} THEN {_q(member.format(h.name))} END" for h in headers) + "]"
+
+
+def _used_schema(key: str) -> str:
+    leaf = rf"regexp_replace({key}, '^((?:\[\]|map\[[^\]]*\])*)', '')"
+    basic = "".join(f"""WHEN '{n}' THEN '{{"type":"{j}"}}' """ for n, j in (("string", "string"), ("int", "integer"), ("bool", "boolean"), ("any", "object")))
+    inner = f"""CASE {leaf} {basic} ELSE '{{"$ref":"#/components/schemas/' || {leaf} || '"}}' END"""
+    return f"""CASE WHEN {key} LIKE '[]%' THEN '{{"type":"array","items":' || {inner} || '}}' WHEN {key} LIKE 'map[%' THEN '{{"type":"object","additionalProperties":' || {inner} || '}}' ELSE {inner} END"""
 
 
 def _header_condition(h) -> str:
@@ -831,7 +839,7 @@ def _header_condition(h) -> str:
     return " AND ".join(tests)
 
 
-_HEADER_JSON = f"to_json(list_filter({_names(DEFAULT_HEADERS, _header_condition)}, lambda x: x IS NOT NULL))::VARCHAR"
+_HEADER_JSON = f"'{{' || array_to_string(list_filter({_names(DEFAULT_HEADERS, _header_condition)}, lambda x: x IS NOT NULL), ',') || '}}'"
 _COMMON = _values([(h.name, h.required, h.description) for h in COMMON_REQUEST_HEADERS], "h(header, required, description)")
 _HEADERS = _values([(h.name, h.summary, h.required, h.explode) for h in DEFAULT_HEADERS], "h(header, description, required, explode)")
 _oracle(
@@ -847,24 +855,32 @@ _oracle(
     g AS (SELECT type_key, string_agg(to_json(attr)::VARCHAR || ':' || schema, ',' ORDER BY pos) AS members, string_agg(to_json(attr)::VARCHAR, ',' ORDER BY pos) FILTER (required) AS req
       FROM properties WHERE schema IS NOT NULL GROUP BY type_key),
     t AS (SELECT *, concat_ws(chr(10), nullif(summary, ''), nullif(description, '')) AS about FROM fx_types WHERE kind = 'struct'),
-    services AS (SELECT DISTINCT service, version FROM fx_endpoints)
+    services AS (SELECT DISTINCT service, version FROM fx_endpoints),
+    last_bodies AS (SELECT * FROM {_last("(SELECT * FROM fx_params WHERE location = 'body')", _HANDLER + ", name")}),
+    collapsed AS (SELECT {_HANDLER}, CASE WHEN count(*) = 1 THEN bool_and(required) ELSE TRUE END AS required, CASE WHEN count(*) = 1 THEN {_title("max(description)")} ELSE '' END AS description,
+      CASE WHEN count(*) = 1 THEN max({_used_schema("name")}) ELSE '{{"oneOf":[' || string_agg({_used_schema("name")}, ',' ORDER BY name) || ']}}' END AS schema FROM last_bodies GROUP BY {_HANDLER}),
+    last_examples AS (SELECT * FROM {_last("(SELECT * FROM fx_examples WHERE scope = 'any')", "key")}),
+    shown AS (SELECT key, title, type_key AS example_set, payload FROM last_examples
+      UNION ALL SELECT '[]' || key, title, '[]' || type_key, '[' || payload || ']' FROM last_examples WHERE type_key IN (SELECT example_set FROM matched WHERE ref_prefix = '[]')
+      UNION ALL SELECT 'map[string]' || key, title, 'map[string]' || type_key, '{{"key":' || payload || '}}' FROM last_examples WHERE type_key IN (SELECT example_set FROM matched WHERE ref_prefix = 'map[string]'))
     SELECT service, version, '/info' AS pointer, '{{"title":"Contract","version":"' || version || '"}}' AS fragment FROM services
     UNION ALL SELECT service, version, place, '{{"operationId":"' || fun || '"' || {_member("summary", "e.summary")} || {_member("description", "e.description")} || '}}'
       FROM single JOIN endpoint_summaries e USING ({_HANDLER})
     UNION ALL SELECT service, version, place || '/tags/' || {_token("tag")}, to_json(tag)::VARCHAR FROM single JOIN all_tags USING ({_HANDLER})
     UNION ALL SELECT service, version, place || '/parameters/' || location || '.' || wire_name,
-      '{{"name":"' || wire_name || '","in":"' || location || '","required":' || required || {_member("description", "description")} || '}}' FROM single JOIN merged USING ({_HANDLER})
-    UNION ALL SELECT service, version, place || '/parameters/header.' || header, '{{"name":"' || header || '","in":"header","required":' || required || {_member("description", "description")} || '}}'
+      '{{"name":"' || wire_name || '","in":"' || location || '","required":' || required || {_member("description", "description")} || ',"schema":{{"type":"string"}}}}' FROM single JOIN merged USING ({_HANDLER})
+    UNION ALL SELECT service, version, place || '/parameters/header.' || header, '{{"name":"' || header || '","in":"header","required":' || required || {_member("description", "description")} || ',"schema":{{"type":"string"}}}}'
       FROM single CROSS JOIN {_COMMON}
     UNION ALL SELECT service, version, place || '/responses/' || code, CASE WHEN source = 'default' THEN '{{"$ref":"#/components/responses/m.ErrorResponse.' || code || '"}}' ELSE
-        '{{"description":' || to_json(summary)::VARCHAR || ',"headers":' || {_HEADER_JSON} || CASE WHEN type_key IS NULL THEN '' ELSE ',"schema":"#/components/schemas/' || type_key || '"' END
-        || CASE WHEN example_set IS NULL THEN '' ELSE ',"examples":"#/components/examples/' || ref_prefix || example_set || '"' END || '}}' END
+        '{{"description":' || to_json(summary)::VARCHAR || ',"headers":' || {_HEADER_JSON} || CASE WHEN type_key IS NULL THEN '' ELSE ',"content":{{"application/json":{{"schema":' || {_used_schema("type_key")}
+        || CASE WHEN example_set IS NULL THEN '' ELSE ',"x-example-set":"' || ref_prefix || example_set || '"' END || '}}}}' END || '}}' END
       FROM single JOIN matched USING ({_HANDLER})
+    UNION ALL SELECT service, version, place || '/requestBody', '{{"required":' || required || {_member("description", "description")} || ',"content":{{"application/json":{{"schema":' || schema || '}}}}}}'
+      FROM single JOIN collapsed USING ({_HANDLER})
     UNION ALL SELECT 'svc0', 'v1', '/components/schemas/' || {_token("type_key")}, '{{"type":"object"' || {_member("description", "about")} || ',"properties":{{' || coalesce(members, '') || '}}'
       || CASE WHEN req IS NOT NULL THEN ',"required":[' || req || ']' ELSE '' END || '}}' FROM t LEFT JOIN g USING (type_key)
-    UNION ALL SELECT 'svc0', 'v1', '/components/examples/' || {_token("key")}, '{{"description":' || to_json(title)::VARCHAR || ',"value":' || payload || '}}'
-      FROM {_last("(SELECT * FROM fx_examples WHERE scope = 'any')", "key")}
-    UNION ALL SELECT service, version, '/components/responses/m.ErrorResponse.' || code, '{{"description":' || to_json({_reason("code")})::VARCHAR || ',"headers":' || {_HEADER_JSON} || ',"schema":"#/components/schemas/m.ErrorResponse"}}'
+    UNION ALL SELECT 'svc0', 'v1', '/components/examples/' || {_token("key")}, '{{"description":' || to_json(title)::VARCHAR || ',"x-example-set":"' || example_set || '","value":' || payload || '}}' FROM shown
+    UNION ALL SELECT service, version, '/components/responses/m.ErrorResponse.' || code, '{{"description":' || to_json({_reason("code")})::VARCHAR || ',"headers":' || {_HEADER_JSON} || ',"content":{{"application/json":{{"schema":{{"$ref":"#/components/schemas/m.ErrorResponse"}}}}}}}}'
       FROM services CROSS JOIN (VALUES (400), (404), (500)) AS d(code)
     UNION ALL SELECT service, version, '/components/headers/' || header, '{{"description":' || to_json(description)::VARCHAR || ',"required":' || required || ',"explode":' || explode || '}}' FROM services CROSS JOIN {_HEADERS}
     UNION ALL SELECT service, version, '/x-undocumented/' || CASE kind WHEN 'body' THEN 'bodies' ELSE 'results' END || '/' || {_token("type_key")}, '{{"verb":"' || verb || '","path":"' || path || '"}}' FROM undocumented""",

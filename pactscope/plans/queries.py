@@ -896,14 +896,20 @@ def _parts(
     schemas = types.type_schemas(fx_types, _properties(fx_fields, fx_types, fx_enums, "response")).select(
         *[c.alias(n) for c, n in zip(shared, SERVICE)], F.col("type_key").alias("schema_key"), "part", "schema"
     )
-    shown = common.index_last(examples.examples_for(fx_examples, "any"), ["key"], "ord").select(
-        *[c.alias(n) for c, n in zip(shared, SERVICE)], "key", "title", "payload"
-    )
+    matched = materialise(examples.match_examples(effective, fx_examples))
+    last = common.index_last(examples.examples_for(fx_examples, "any"), ["key"], "ord")
+    shown = last.withColumn("example_set", F.col("type_key"))
+    for prefix in ("[]", "map[string]"):
+        wrapped = examples.wrap_examples(last, matched, prefix)
+        shown = shown.unionByName(wrapped.withColumn("example_set", F.concat(F.lit(prefix), "type_key")))
+    shown = shown.select(*[c.alias(n) for c, n in zip(shared, SERVICE)], "key", "title", "example_set", "payload")
+    bodies = params.collapse_bodies(fx_params)
     return (
         documents.info_parts(services, "Contract")
         .unionByName(documents.operation_parts(single, summaries, found))
         .unionByName(documents.parameter_parts(single, params.resolve_params(merged, fx_param_defs)))
-        .unionByName(documents.response_parts(single, examples.match_examples(effective, fx_examples), ERROR_TYPE))
+        .unionByName(documents.body_parts(single, bodies))
+        .unionByName(documents.response_parts(single, matched, ERROR_TYPE))
         .unionByName(documents.component_parts(services, schemas, shown, ERROR_TYPE))
         .unionByName(
             documents.undocumented_parts(

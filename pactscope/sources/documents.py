@@ -16,19 +16,21 @@ from pactscope.catalogue.defaults import (
     COMMON_REQUEST_HEADERS,
     DEFAULT_HEADERS,
     DEFAULT_RESPONSE_CODES,
-    EXAMPLE_REF,
     HEADER_REF,
     RESPONSE_REF,
     SCHEMA_REF,
     HeaderRule,
     RequestHeader,
 )
-from pactscope.functions.jsontext import json_string, pointer_token
+from pactscope.functions.jsontext import json_string, pointer_token, with_member
 from pactscope.functions.sentences import status_text
 from pactscope.functions.text import blank_to_null
+from pactscope.functions.typekeys import leaf_key, wrappers
 from pactscope.operators.common import HANDLER, SERVICE
 from pactscope.operators.errors import header_names
+from pactscope.operators.params import body_schema
 from pactscope.operators.routes import verb_rank
+from pactscope.operators.types import basic_schema, wrap_schema
 
 # Documents of up to this many characters are also offered in one piece.
 WHOLE_DOCUMENT_CHARS = 16 << 20
@@ -71,21 +73,33 @@ def operation_parts(endpoints: DataFrame, summaries: DataFrame, tags: DataFrame)
     )
 
 
+def type_schema(key: Column) -> Column:
+    """JSON schema of a type where it is used: basic types in place, others by reference."""
+    leaf, nothing = leaf_key(key), F.lit("")
+    reference = F.concat(F.lit('{"$ref":'), json_string(F.concat(F.lit(SCHEMA_REF), leaf)), F.lit("}"))
+    return wrap_schema(F.coalesce(basic_schema(leaf, nothing, nothing), reference), wrappers(key), nothing)
+
+
 def parameter_parts(
     endpoints: DataFrame, resolved: DataFrame, headers: Sequence[RequestHeader] = COMMON_REQUEST_HEADERS
 ) -> DataFrame:
     """One part per operation and parameter; the common headers are listed once per operation."""
     joined = endpoints.select(*HANDLER, "verb", "path").join(resolved, HANDLER)
+    schema = type_schema(F.col("type_key")) if "type_key" in resolved.columns else type_schema(F.lit("string"))
     own = _part(
         joined,
         _operation_steps(F.lit("parameters"), F.concat_ws(".", "location", "wire_name")),
-        F.to_json(
-            F.struct(
-                F.col("wire_name").alias("name"),
-                F.col("location").alias("in"),
-                "required",
-                blank_to_null(F.col("description")).alias("description"),
-            )
+        with_member(
+            F.to_json(
+                F.struct(
+                    F.col("wire_name").alias("name"),
+                    F.col("location").alias("in"),
+                    "required",
+                    blank_to_null(F.col("description")).alias("description"),
+                )
+            ),
+            "schema",
+            F.coalesce(schema, type_schema(F.lit("string"))),
         ),
     )
     shared = F.explode(
@@ -102,31 +116,62 @@ def parameter_parts(
         _part(
             common,
             _operation_steps(F.lit("parameters"), F.concat(F.lit("header."), F.col("_header.name"))),
-            F.to_json("_header"),
+            with_member(F.to_json("_header"), "schema", type_schema(F.lit("string"))),
         )
     )
 
 
+def body_parts(endpoints: DataFrame, bodies: DataFrame) -> DataFrame:
+    """One part per operation with a body; ``bodies`` is the result of ``collapse_bodies``.
+
+    Several bodies are alternatives. Types by a plain name have their schema in place.
+    """
+    nothing = F.lit("")
+    schemas = F.transform(
+        "bodies", lambda name: F.coalesce(body_schema(name, nothing, nothing), type_schema(name))
+    )
+    one_of = F.concat(F.lit('{"oneOf":['), F.array_join(schemas, ","), F.lit("]}"))
+    schema = F.when(F.col("form") == "single", F.get(schemas, F.lit(0))).otherwise(one_of)
+    joined = endpoints.select(*HANDLER, "verb", "path").join(bodies, HANDLER)
+    name = F.when(F.col("part") > 0, F.concat(F.lit("requestBody#"), F.col("part").cast("string"))).otherwise("requestBody")
+    about = F.to_json(F.struct("required", blank_to_null(F.col("description")).alias("description")))
+    return _part(joined, _operation_steps(name), with_member(about, "content", _content(schema)))
+
+
+def _content(*members: Column) -> Column:
+    """The content of a body or response; the first member is the schema."""
+    schema, *others = members
+    return F.concat(
+        F.lit('{"application/json":{"schema":'), schema, *[F.coalesce(o, F.lit("")) for o in others], F.lit("}}")
+    )
+
+
+def header_references(headers: Sequence[HeaderRule], code: Column) -> Column:
+    """References to the headers that go with a status code, as a JSON object."""
+    members = F.transform(
+        header_names(headers, code),
+        lambda h: F.concat(json_string(h), F.lit(':{"$ref":'), json_string(F.concat(F.lit(HEADER_REF), h)), F.lit("}")),
+    )
+    return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+
+
 def response_parts(
     endpoints: DataFrame, matched: DataFrame, error_type: str, headers: Sequence[HeaderRule] = DEFAULT_HEADERS
 ) -> DataFrame:
     """One part per operation and status.
 
-    Default responses refer to the shared component. Others name their schema, headers and the set
-    of examples, which is listed once under the components.
+    Default responses refer to the shared component. Others have their headers and schema, and name
+    the set of examples to show, whose members are listed once under the components.
     """
     joined = endpoints.select(*HANDLER, "verb", "path").join(matched, HANDLER)
     code = F.col("code")
     shared = F.to_json(
         F.struct(F.concat(F.lit(RESPONSE_REF + error_type + "."), code.cast("string")).alias("$ref"))
     )
-    own = F.to_json(
-        F.struct(
-            F.col("summary").alias("description"),
-            F.transform(header_names(headers, code), lambda h: F.concat(F.lit(HEADER_REF), h)).alias("headers"),
-            F.concat(F.lit(SCHEMA_REF), F.col("type_key")).alias("schema"),
-            F.concat(F.lit(EXAMPLE_REF), F.col("ref_prefix"), F.col("example_set")).alias("examples"),
-        )
+    examples = F.concat(F.lit(',"x-example-set":'), json_string(F.concat("ref_prefix", "example_set")))
+    described = with_member(F.to_json(F.struct(F.col("summary").alias("description"))), "headers", header_references(headers, code))
+    own = with_member(
+        described, "content", F.when(F.col("type_key").isNotNull(), _content(type_schema(F.col("type_key")), examples))
     )
     return _part(
         joined,
@@ -144,7 +189,8 @@ def component_parts(
 ) -> DataFrame:
     """Schemas, examples, shared responses and headers.
 
-    ``schemas`` has ``schema_key, part, schema``; ``examples`` has ``key, title, payload``.
+    ``schemas`` has ``schema_key, part, schema``; ``examples`` has ``key, title, payload`` and the set
+    (``example_set``) that responses name.
     """
     name = F.when(F.col("part") > 0, F.concat_ws("#", "schema_key", "part")).otherwise(F.col("schema_key"))
     schema_parts = _part(schemas, [F.lit("components"), F.lit("schemas"), name], F.col("schema"))
@@ -152,17 +198,16 @@ def component_parts(
         examples,
         [F.lit("components"), F.lit("examples"), F.col("key")],
         F.concat(
-            F.lit('{"description":'), json_string(F.coalesce("title", F.lit(""))), F.lit(',"value":'), F.col("payload"), F.lit("}")
+            F.lit('{"description":'), json_string(F.coalesce("title", F.lit(""))),
+            F.lit(',"x-example-set":'), json_string(F.col("example_set")),
+            F.lit(',"value":'), F.col("payload"), F.lit("}"),
         ),
     )
     shared = services.select(*SERVICE, F.explode(F.array(*map(F.lit, DEFAULT_RESPONSE_CODES))).alias("code"))
-    response = F.to_json(
-        F.struct(
-            status_text(F.col("code")).alias("description"),
-            F.transform(header_names(headers, F.col("code")), lambda h: F.concat(F.lit(HEADER_REF), h)).alias("headers"),
-            F.lit(SCHEMA_REF + error_type).alias("schema"),
-        )
+    described = with_member(
+        F.to_json(F.struct(status_text(F.col("code")).alias("description"))), "headers", header_references(headers, F.col("code"))
     )
+    response = with_member(described, "content", _content(type_schema(F.lit(error_type))))
     shared_parts = _part(
         shared,
         [F.lit("components"), F.lit("responses"), F.concat(F.lit(error_type + "."), F.col("code").cast("string"))],
