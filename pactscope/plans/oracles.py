@@ -229,8 +229,8 @@ def _directives(lines: str, keys: str) -> str:
 _oracle(
     "mine_directives", "fx_comment_lines",
     f""", {_directives("fx_comment_lines", "decl_id")}
-    SELECT decl_id, 'tag' AS kind, NULL::INT AS code, NULL::VARCHAR AS type_key, NULL::BOOLEAN AS required, tag AS text, line_no FROM dir_tags
-    UNION ALL SELECT decl_id, kind, code, type_key, required, text, line_no FROM dir_last""",
+    SELECT decl_id, 'tag' AS kind, NULL::INT AS code, NULL::VARCHAR AS type_key, NULL::VARCHAR AS required, tag AS text, line_no FROM dir_tags
+    UNION ALL SELECT decl_id, kind, code, type_key, required::VARCHAR, text, line_no FROM dir_last""",
 )
 _ENDPOINT_TAGS = f"""{_directives("fx_handler_lines", _HANDLER)}, {_inferred(f"SELECT * FROM {_FIRST}")},
 stated AS (SELECT DISTINCT {_HANDLER}, tag FROM dir_tags),
@@ -240,7 +240,7 @@ _oracle("endpoint_tags", "fx_endpoints fx_handler_lines", f", {_ENDPOINT_TAGS} S
 _oracle(
     "parse_field_tags", "fx_field_tags",
     """SELECT * FROM (SELECT type_key, name, coalesce(nullif(regexp_extract(tag, 'json:"(.+?)(?:,(omitempty|omitzero))?"', 1), ''), name) AS attr,
-      CASE regexp_extract(tag, 'doc:"(req|opt|)"', 1) WHEN 'req' THEN TRUE WHEN 'opt' THEN FALSE END AS required,
+      CASE regexp_extract(tag, 'doc:"(req|opt|)"', 1) WHEN 'req' THEN 'true' WHEN 'opt' THEN 'false' END AS required,
       regexp_extract(tag, 'docdef:"(.*?)"', 1) AS default_value, NOT contains(tag, 'doc:"!request"') AS in_request,
       NOT contains(tag, 'doc:"!response"') AS in_response FROM fx_field_tags) WHERE attr <> '-'""",
 )

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from pactscope.catalogue import defaults
 from pactscope.functions import paths, releases, sentences, tags, text, typekeys
-from pactscope.functions.jsontext import json_string
 from pactscope.operators import (
     accessors,
     audits,
@@ -196,13 +195,15 @@ def endpoint_tags(fx_endpoints, fx_handler_lines):
 @query
 def mine_directives(fx_comment_lines):
     """Directives in comments."""
-    return comments.mine_directives(fx_comment_lines)
+    found = comments.mine_directives(fx_comment_lines)
+    return found.withColumn("required", F.col("required").cast("string"))
 
 
 @query
 def parse_field_tags(fx_field_tags):
     """What the tag texts of fields say."""
-    return types.parse_field_tags(fx_field_tags).drop("tag")
+    parsed = types.parse_field_tags(fx_field_tags).drop("tag")
+    return parsed.withColumn("required", F.col("required").cast("string"))
 
 
 @query
