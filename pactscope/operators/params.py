@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactscope.catalogue.defaults import ACCOUNT_PARAM
+from pactscope.catalogue.defaults import ACCOUNT_PARAM, REQUEST_SUFFIX
 from pactscope.functions.jsontext import json_string
 from pactscope.functions.text import blank_to_null, is_blank, title_first
+from pactscope.functions.typekeys import leaf_key
 from pactscope.operators.common import HANDLER, SERVICE, collect_parts, index_last, pick_first, present
 
 
@@ -92,13 +93,24 @@ def body_schema_fallbacks(bodies: DataFrame) -> DataFrame:
     return bodies.withColumn("schema", schema).withColumn("supported", F.col("schema").isNotNull())
 
 
-def collapse_bodies(params: DataFrame) -> DataFrame:
+def collapse_bodies(params: DataFrame, variants: DataFrame | None = None) -> DataFrame:
     """The request body of each handler that has one.
 
     One body keeps its own description and requirement. Several become alternatives: required, and
-    without a description. ``bodies`` lists their names in order, in parts for a very large list.
+    without a description. ``bodies`` lists their types in order, in parts for a very large list;
+    types that have a schema of their own in requests (``variants``) are named by that.
     """
     bodies = params.where(F.col("location") == "body")
+    if variants is not None:
+        special = variants.where(F.col("scope") == "request")
+        keys = present(SERVICE, special)
+        special = special.select(*keys, F.col("type_key").alias("_leaf"), F.lit(REQUEST_SUFFIX).alias("_suffix"))
+        bodies = (
+            bodies.withColumn("_leaf", leaf_key(F.col("name")))
+            .join(special.distinct(), [*keys, "_leaf"], "left")
+            .withColumn("name", F.concat("name", F.coalesce("_suffix", F.lit(""))))
+            .drop("_leaf", "_suffix")
+        )
     totals = (
         F.max("description").alias("_description"),
         F.bool_and("required").alias("_required"),

@@ -122,17 +122,15 @@ def _plain_member(name: str, value: Column) -> Column:
 
 def basic_schema(key: Column, description: Column, default: Column) -> Column:
     """JSON schema of a basic type; null for others."""
-    schema = F.lit(None).cast("string")
-    for name, members in JSON_TYPES.items():
-        value = {
-            "string": _text_member("default", default),
-            "int": _plain_member("default", default),
-            "uint": _plain_member("default", default),
-            "bool": _plain_member("default", default),
-        }.get(name, F.lit(""))
-        text = F.concat(F.lit("{" + members), _text_member("description", description), value, F.lit("}"))
-        schema = F.when(key == name, text).otherwise(schema)
-    return schema
+    members = F.create_map(*[F.lit(v) for pair in JSON_TYPES.items() for v in pair])
+    value = (
+        F.when(key == "string", _text_member("default", default))
+        .when(key.isin("int", "uint", "bool"), _plain_member("default", default))
+        .otherwise("")
+    )
+    return F.concat(
+        F.lit("{"), F.try_element_at(members, key), _text_member("description", description), value, F.lit("}")
+    )
 
 
 def wrap_schema(inner: Column, wraps: Column, description: Column) -> Column:
@@ -276,3 +274,13 @@ def type_schemas(types: DataFrame, properties: DataFrame) -> DataFrame:
             F.lit("}"),
         ).alias("schema"),
     )
+
+
+def request_schemas(types: DataFrame, fields: DataFrame, properties: DataFrame) -> DataFrame:
+    """Schemas for requests of the types that need one; ``properties`` are those of the request scope."""
+    special = scope_variants(fields).where(F.col("scope") == "request")
+    keys = [*present(SERVICE, types, fields), "type_key"]
+    needed = types.join(special.select(*keys), keys, "left_semi")
+    return type_schemas(needed, properties).withColumn(
+        "schema_key", F.concat("type_key", F.lit(REQUEST_SUFFIX))
+    )

@@ -35,7 +35,8 @@ FROM events""",
 SELECT event_id AS ord, {_EVENT_KEY}, concat('api.F', event_id % 50) AS fun,
   CASE WHEN event_id % 50 < 5 THEN 'path' ELSE
     CASE event_id % 4 WHEN 0 THEN 'path' WHEN 1 THEN 'query' WHEN 2 THEN 'header' ELSE 'body' END END AS location,
-  CASE WHEN event_id % 11 = 0 THEN 'UriParamAccountId' ELSE concat('Param', event_id % 12) END AS name,
+  CASE WHEN event_id % 11 = 0 THEN 'UriParamAccountId' WHEN event_id % 4 = 3 AND event_id % 5 = 0 THEN concat('m.T', event_id % 97)
+    ELSE concat('Param', event_id % 12) END AS name,
   event_id % 3 = 0 AS required,
   CASE WHEN event_id % 5 = 0 THEN '' ELSE concat('about ', event_type) END AS description,
   CASE WHEN event_id % 13 = 0 THEN 'none' ELSE '' END AS default_value,

@@ -754,6 +754,15 @@ properties AS (SELECT type_key, pos, attr, required, regexp_replace(regexp_repla
     || inner_schema || repeat('}}', length(levels)) AS schema, CASE WHEN inner_schema IS NULL THEN 'unsupported type' END AS problem FROM pi)"""
 
 
+def _request_rows() -> str:
+    """The same rows for requests, beside those for responses."""
+    rows = _property_rows("request")
+    rows = rows[rows.index("pf AS (") :]
+    for name in ("pf", "pr", "pi", "properties"):
+        rows = rows.replace(f"{name} AS (", f"{name}_q AS (").replace(f"FROM {name} ", f"FROM {name}_q ").replace(f"FROM {name})", f"FROM {name}_q)")
+    return rows.replace("SELECT pf.*", "SELECT pf_q.*")
+
+
 for _name, _scope in (("schema_properties", "response"), ("schema_properties_for_requests", "request")):
     _oracle(_name, "fx_fields fx_types fx_enums", f", {_property_rows(_scope)} SELECT type_key, pos, attr, required, schema, problem FROM properties")
 _oracle(
@@ -844,9 +853,12 @@ _COMMON = _values([(h.name, h.required, h.description) for h in COMMON_REQUEST_H
 _HEADERS = _values([(h.name, h.summary, h.required, h.explode) for h in DEFAULT_HEADERS], "h(header, description, required, explode)")
 _oracle(
     "document_parts",
-    "fx_endpoints fx_params fx_param_defs fx_responses fx_handler_errors fx_errors fx_examples fx_handler_lines fx_fields fx_types fx_enums",
+    "fx_endpoints fx_params fx_param_defs fx_responses fx_handler_errors fx_errors fx_examples fx_handler_lines fx_fields fx_types fx_enums fx_tag_defs fx_tag_template",
     f""", {_EFFECTIVE}, {_matched("effective", "*")}, {_directives("fx_handler_lines", _HANDLER)}, {_UNDOCUMENTED}, {_SUMMARY_STEPS},
-    {_property_rows("response")},
+    {_property_rows("response")}, {_request_rows()},
+    variants AS (SELECT DISTINCT type_key FROM fx_fields WHERE NOT (in_request AND in_response)),
+    g_q AS (SELECT type_key, string_agg(to_json(attr)::VARCHAR || ':' || schema, ',' ORDER BY pos) AS members, string_agg(to_json(attr)::VARCHAR, ',' ORDER BY pos) FILTER (required) AS req
+      FROM properties_q WHERE schema IS NOT NULL GROUP BY type_key),
     stated AS (SELECT DISTINCT {_HANDLER}, tag FROM dir_tags),
     all_tags AS (SELECT {_HANDLER}, tag FROM base JOIN stated USING ({_HANDLER}) UNION SELECT {_HANDLER}, unnest({_TAGS_OF_PATH}) FROM singles ANTI JOIN stated USING ({_HANDLER})),
     single AS (SELECT *, '/paths/' || {_token("path")} || '/' || lower(verb) AS place FROM fx_endpoints QUALIFY row_number() OVER (PARTITION BY service, version, path, verb ORDER BY ord) = 1),
@@ -856,7 +868,8 @@ _oracle(
       FROM properties WHERE schema IS NOT NULL GROUP BY type_key),
     t AS (SELECT *, concat_ws(chr(10), nullif(summary, ''), nullif(description, '')) AS about FROM fx_types WHERE kind = 'struct'),
     services AS (SELECT DISTINCT service, version FROM fx_endpoints),
-    last_bodies AS (SELECT * FROM {_last("(SELECT * FROM fx_params WHERE location = 'body')", _HANDLER + ", name")}),
+    last_bodies AS (SELECT * REPLACE (name || CASE WHEN name IN (SELECT type_key FROM variants) THEN '.forRequests' ELSE '' END AS name)
+      FROM {_last("(SELECT * FROM fx_params WHERE location = 'body')", _HANDLER + ", name")}),
     collapsed AS (SELECT {_HANDLER}, CASE WHEN count(*) = 1 THEN bool_and(required) ELSE TRUE END AS required, CASE WHEN count(*) = 1 THEN {_title("max(description)")} ELSE '' END AS description,
       CASE WHEN count(*) = 1 THEN max({_used_schema("name")}) ELSE '{{"oneOf":[' || string_agg({_used_schema("name")}, ',' ORDER BY name) || ']}}' END AS schema FROM last_bodies GROUP BY {_HANDLER}),
     last_examples AS (SELECT * FROM {_last("(SELECT * FROM fx_examples WHERE scope = 'any')", "key")}),
@@ -879,6 +892,15 @@ _oracle(
       FROM single JOIN collapsed USING ({_HANDLER})
     UNION ALL SELECT 'svc0', 'v1', '/components/schemas/' || {_token("type_key")}, '{{"type":"object"' || {_member("description", "about")} || ',"properties":{{' || coalesce(members, '') || '}}'
       || CASE WHEN req IS NOT NULL THEN ',"required":[' || req || ']' ELSE '' END || '}}' FROM t LEFT JOIN g USING (type_key)
+    UNION ALL SELECT 'svc0', 'v1', '/components/schemas/' || {_token("type_key")} || '.forRequests', '{{"type":"object"' || {_member("description", "about")} || ',"properties":{{' || coalesce(members, '') || '}}'
+      || CASE WHEN req IS NOT NULL THEN ',"required":[' || req || ']' ELSE '' END || '}}' FROM t SEMI JOIN variants USING (type_key) LEFT JOIN g_q USING (type_key)
+    UNION ALL SELECT service, version, '/openapi', '"3.0.4"' FROM services
+    UNION ALL SELECT service, version, '/components/securitySchemes/oidc', '{{"type":"openIdConnect"}}' FROM services
+    UNION ALL SELECT service, version, '/components/securitySchemes/basic', '{{"type":"http","scheme":"basic"}}' FROM services
+    UNION ALL SELECT service, version, '/security/oidc', '{{"oidc":[]}}' FROM services UNION ALL SELECT service, version, '/security/basic', '{{"basic":[]}}' FROM services
+    UNION ALL SELECT 'svc0', 'v1', '/tags/' || {_token("name")}, '{{"name":' || to_json(name)::VARCHAR || {_member("summary", "summary")} || {_member("description", "description")} || '}}'
+      FROM (SELECT coalesce(a.name, b.name) AS name, coalesce(nullif(a.summary, ''), b.summary, '') AS summary, coalesce(nullif(a.description, ''), b.description, '') AS description
+        FROM fx_tag_defs a FULL JOIN fx_tag_template b ON a.name = b.name)
     UNION ALL SELECT 'svc0', 'v1', '/components/examples/' || {_token("key")}, '{{"description":' || to_json(title)::VARCHAR || ',"x-example-set":"' || example_set || '","value":' || payload || '}}' FROM shown
     UNION ALL SELECT service, version, '/components/responses/m.ErrorResponse.' || code, '{{"description":' || to_json({_reason("code")})::VARCHAR || ',"headers":' || {_HEADER_JSON} || ',"content":{{"application/json":{{"schema":{{"$ref":"#/components/schemas/m.ErrorResponse"}}}}}}}}'
       FROM services CROSS JOIN (VALUES (400), (404), (500)) AS d(code)
@@ -899,7 +921,7 @@ def _assembled() -> str:
         kept = "".join(f", s{i}" for i in range(1, depth + 1))
         child = f"s{depth + 1}"
         order = f"coalesce(nullif(list_position({verbs}, upper({child})), 0), 99), {child}" if depth == 2 else child
-        listed = f"s{depth} IN ('parameters', 'tags')" if depth else "FALSE"
+        listed = f"s{depth} IN ('parameters', 'tags', 'security')" if depth else "FALSE"
         ctes.append(
             f"""grouped{depth} AS (SELECT service, version{kept}, max(json) FILTER ({child} IS NULL) AS own,
               string_agg(json, ',' ORDER BY {order}) FILTER ({child} IS NOT NULL) AS plain,

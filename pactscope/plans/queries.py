@@ -35,6 +35,7 @@ QUERIES: dict[str, Query] = {}
 
 ERROR_TYPE = "m.ErrorResponse"
 RECEIVER = "Api"
+SECURITY = {"oidc": {"type": "openIdConnect"}, "basic": {"type": "http", "scheme": "basic"}}
 
 
 def query(function: Callable) -> Query:
@@ -794,8 +795,9 @@ def property_examples(fx_examples, fx_fields):
 # --- types -------------------------------------------------------------------------------------
 
 
-def _properties(fx_fields, fx_types, fx_enums, scope):
-    return types.schema_properties(fx_fields, fx_types, fx_enums, graph.resolve_aliases(fx_types), scope)
+def _properties(fx_fields, fx_types, fx_enums, scope, aliases=None):
+    aliases = aliases or graph.resolve_aliases(fx_types)
+    return types.schema_properties(fx_fields, fx_types, fx_enums, aliases, scope)
 
 
 @query
@@ -878,7 +880,7 @@ def describe_endpoints(fx_endpoints, fx_handler_lines):
 
 def _parts(
     spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors,
-    fx_examples, fx_handler_lines, fx_fields, fx_types, fx_enums,
+    fx_examples, fx_handler_lines, fx_fields, fx_types, fx_enums, fx_tag_defs, fx_tag_template,
 ):
     # read by several sections, and small: one row per handler and one per operation
     first = materialise(routes.describe_endpoints(fx_endpoints))
@@ -894,8 +896,18 @@ def _parts(
         common.pick_first(fx_endpoints, [*SERVICE, "path", "verb"], F.col("ord"), ["fun", "ord"])
     )
     shared = F.lit("svc0"), F.lit("v1")
-    schemas = types.type_schemas(fx_types, _properties(fx_fields, fx_types, fx_enums, "response")).select(
-        *[c.alias(n) for c, n in zip(shared, SERVICE)], F.col("type_key").alias("schema_key"), "part", "schema"
+    aliases = graph.resolve_aliases(fx_types)
+    own = types.type_schemas(fx_types, _properties(fx_fields, fx_types, fx_enums, "response", aliases))
+    special = types.request_schemas(
+        fx_types, fx_fields, _properties(fx_fields, fx_types, fx_enums, "request", aliases)
+    )
+    schemas = (
+        own.withColumn("schema_key", F.col("type_key"))
+        .unionByName(special)
+        .select(*[c.alias(n) for c, n in zip(shared, SERVICE)], "schema_key", "part", "schema")
+    )
+    dictionary = audits.merge_tag_metadata(fx_tag_defs, fx_tag_template).select(
+        *[c.alias(n) for c, n in zip(shared, SERVICE)], "name", "summary", "description"
     )
     matched = materialise(examples.match_examples(effective, fx_examples))
     last = common.index_last(examples.examples_for(fx_examples, "any"), ["key"], "ord")
@@ -904,7 +916,7 @@ def _parts(
         wrapped = examples.wrap_examples(last, matched, prefix)
         shown = shown.unionByName(wrapped.withColumn("example_set", F.concat(F.lit(prefix), "type_key")))
     shown = shown.select(*[c.alias(n) for c, n in zip(shared, SERVICE)], "key", "title", "example_set", "payload")
-    bodies = params.collapse_bodies(fx_params)
+    bodies = params.collapse_bodies(fx_params, types.scope_variants(fx_fields))
     return (
         documents.info_parts(services, "Contract")
         .unionByName(documents.operation_parts(single, summaries, found))
@@ -912,6 +924,8 @@ def _parts(
         .unionByName(documents.body_parts(single, bodies))
         .unionByName(documents.response_parts(single, matched, ERROR_TYPE))
         .unionByName(documents.component_parts(services, schemas, shown, ERROR_TYPE))
+        .unionByName(documents.security_parts(services, SECURITY))
+        .unionByName(documents.tag_parts(dictionary))
         .unionByName(
             documents.undocumented_parts(
                 params.undocumented_results(fx_responses, fx_types, first), params.undocumented_bodies(fx_params, first)
@@ -923,12 +937,12 @@ def _parts(
 @query
 def document_parts(
     spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors,
-    fx_examples, fx_handler_lines, fx_fields, fx_types, fx_enums,
+    fx_examples, fx_handler_lines, fx_fields, fx_types, fx_enums, fx_tag_defs, fx_tag_template,
 ):
     """The parts of all contract documents."""
     parts = _parts(
         spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors,
-        fx_examples, fx_handler_lines, fx_fields, fx_types, fx_enums,
+        fx_examples, fx_handler_lines, fx_fields, fx_types, fx_enums, fx_tag_defs, fx_tag_template,
     )
     return parts.select(*SERVICE, documents.json_pointer(F.col("steps")).alias("pointer"), "fragment")
 
@@ -936,11 +950,11 @@ def document_parts(
 @query
 def contract_documents(
     spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors,
-    fx_examples, fx_handler_lines, fx_fields, fx_types, fx_enums,
+    fx_examples, fx_handler_lines, fx_fields, fx_types, fx_enums, fx_tag_defs, fx_tag_template,
 ):
     """Contract documents in one piece."""
     parts = _parts(
         spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors,
-        fx_examples, fx_handler_lines, fx_fields, fx_types, fx_enums,
+        fx_examples, fx_handler_lines, fx_fields, fx_types, fx_enums, fx_tag_defs, fx_tag_template,
     )
     return documents.assemble_documents(materialise(parts))

@@ -7,6 +7,7 @@ together where the whole is of a size that fits in a row.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -39,7 +40,7 @@ WHOLE_DOCUMENT_CHARS = 16 << 20
 DEPTH = 5
 
 # The steps whose members are a list instead of an object.
-LISTS = ("parameters", "tags")
+LISTS = ("parameters", "tags", "security")
 
 
 def _part(df: DataFrame, steps: Sequence[Column], fragment: Column) -> DataFrame:
@@ -231,11 +232,34 @@ def component_parts(
     return schema_parts.unionByName(example_parts).unionByName(shared_parts).unionByName(header_parts)
 
 
-def info_parts(services: DataFrame, title: str) -> DataFrame:
-    """Title and version of each document."""
-    return _part(
-        services, [F.lit("info")], F.to_json(F.struct(F.lit(title).alias("title"), F.col("version")))
+def info_parts(services: DataFrame, title: str, format_version: str = "3.0.4") -> DataFrame:
+    """Format, title and version of each document."""
+    info = F.to_json(F.struct(F.lit(title).alias("title"), F.col("version")))
+    return _part(services, [F.lit("info")], info).unionByName(
+        _part(services, [F.lit("openapi")], json_string(F.lit(format_version)))
+    )
+
+
+def security_parts(services: DataFrame, schemes: dict[str, dict[str, str]]) -> DataFrame:
+    """The ways to authenticate: their description among the components, and the list of their names."""
+    rows = F.array(
+        *[F.struct(F.lit(name).alias("name"), F.lit(json.dumps(scheme, separators=(",", ":"))).alias("json")) for name, scheme in schemes.items()]
+    )
+    listed = services.select(*SERVICE, F.explode(rows).alias("_scheme"))
+    name = F.col("_scheme.name")
+    described = _part(listed, [F.lit("components"), F.lit("securitySchemes"), name], F.col("_scheme.json"))
+    required = F.concat(F.lit("{"), json_string(name), F.lit(":[]}"))
+    return described.unionByName(_part(listed, [F.lit("security"), name], required))
+
+
+def tag_parts(dictionary: DataFrame) -> DataFrame:
+    """The dictionary of tags: ``service, version, name, summary, description``."""
+    about = F.struct(
+        "name",
+        blank_to_null(F.col("summary")).alias("summary"),
+        blank_to_null(F.col("description")).alias("description"),
     )
+    return _part(dictionary, [F.lit("tags"), F.col("name")], F.to_json(about))
 
 
 def undocumented_parts(results: DataFrame, bodies: DataFrame) -> DataFrame:
