@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactscope.llm.common import read
+from pactscope.llm.common import held_out, read
 from pactscope.llm.decontamination import contamination
+from pactscope.llm.language_id import identify_language, learn_languages
 from pactscope.llm.line_quality import line_verdicts
 from pactscope.llm.oracles import ORACLES
 from pactscope.llm.sharding import shard_documents
+from pactscope.llm.toxicity import learn_lexicon, score_toxicity
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -68,3 +70,22 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("hit") > 0).alias("contaminated"),
     )
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, by a lexicon learnt from labels that are not held out."""
+    docs = read(spark, sf_dir, "documents")
+    lexicon = learn_lexicon(docs, read(spark, sf_dir, "labels"))
+    scored = score_toxicity(docs.select("doc_id", "text"), lexicon)
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+@query
+def op10_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by classifiers learnt from documents that are not held out."""
+    docs = read(spark, sf_dir, "documents")
+    found = identify_language(docs, learn_languages(docs))
+    return found.withColumnRenamed("id", "doc_id").select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
