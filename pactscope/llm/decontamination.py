@@ -37,6 +37,7 @@ def benchmark_hits(
     """``key`` (of the text), ``start``, ``length``, ``items``: verified windows, once for each text and place.
 
     Screening hashes words in full lower case, which can only add candidates; the join on the window itself decides.
+    The outer form of explode keeps Spark from adding a filter that would work out all hashes a second time.
     """
     windows = benchmark_windows(benchmark, n, item_col)
     lengths = [(r["length"], r["count"]) for r in windows.groupBy("length").count().collect()]  # n rows at most
@@ -50,7 +51,7 @@ def benchmark_hits(
         wanted = with_window_hashes(wanted, "hash_words", "hash", length, F.lower)
         wanted = wanted.select(F.col("hash")[0].alias("hash"), "window", "items")
         hashed = with_window_hashes(texts, "words", "hashes", length, F.lower)
-        hashed = hashed.select("key", "words", F.posexplode("hashes").alias("start", "hash"))
+        hashed = hashed.select("key", "words", F.posexplode_outer("hashes").alias("start", "hash"))
         found = hashed.join(F.broadcast(wanted) if count <= BROADCAST_WINDOWS else wanted, "hash")
         found = found.where(_window_text("words", F.col("start"), F.lit(length)) == F.col("window"))
         parts.append(found.select("key", "start", F.lit(length).alias("length"), "items"))
