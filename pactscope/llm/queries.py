@@ -12,10 +12,20 @@ from pactscope.llm.decontamination import contamination
 from pactscope.llm.language_id import identify_language, learn_languages
 from pactscope.llm.line_quality import line_verdicts
 from pactscope.llm.oracles import ORACLES
+from pactscope.llm.packing import pack_documents
 from pactscope.llm.sharding import shard_documents
 from pactscope.llm.toxicity import learn_lexicon, score_toxicity
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +99,10 @@ def op10_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = identify_language(docs, learn_languages(docs))
     return found.withColumnRenamed("id", "doc_id").select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query
+def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in a sequence of at most 4096 tokens."""
+    packed = pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+    return packed.withColumnRenamed("id", "doc_id")
