@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pactscope.llm.common import held_out, read
 from pactscope.llm.decontamination import contamination
+from pactscope.llm.extraction import extract_text
 from pactscope.llm.language_id import identify_language, learn_languages
 from pactscope.llm.line_quality import line_verdicts
 from pactscope.llm.oracles import ORACLES
@@ -106,3 +107,10 @@ def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in a sequence of at most 4096 tokens."""
     packed = pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
     return packed.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op8_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = extract_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
