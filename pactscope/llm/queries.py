@@ -12,6 +12,7 @@ from pactscope.llm.decontamination import contamination
 from pactscope.llm.extraction import extract_text
 from pactscope.llm.language_id import identify_language, learn_languages
 from pactscope.llm.line_quality import line_verdicts
+from pactscope.llm.near_dedup import near_duplicates
 from pactscope.llm.oracles import ORACLES
 from pactscope.llm.packing import pack_documents
 from pactscope.llm.sharding import shard_documents
@@ -114,3 +115,10 @@ def op8_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     found = extract_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op1_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
+    found = near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size")
