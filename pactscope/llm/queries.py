@@ -16,6 +16,7 @@ from pactscope.llm.near_dedup import near_duplicates
 from pactscope.llm.oracles import ORACLES
 from pactscope.llm.packing import pack_documents
 from pactscope.llm.sharding import shard_documents
+from pactscope.llm.suffix_dedup import repeated_bytes
 from pactscope.llm.toxicity import learn_lexicon, score_toxicity
 
 __all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
@@ -122,3 +123,13 @@ def op1_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near-duplicates of every document."""
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", "class_size")
+
+
+@query
+def op7_suffix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 200-byte strings that start anywhere else."""
+    found = repeated_bytes(read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["stop"] - s["start"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
+    )
