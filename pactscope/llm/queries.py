@@ -15,6 +15,7 @@ from pactscope.llm.line_quality import line_verdicts
 from pactscope.llm.near_dedup import near_duplicates
 from pactscope.llm.oracles import ORACLES
 from pactscope.llm.packing import pack_documents
+from pactscope.llm.quality_bayes import score_quality
 from pactscope.llm.sharding import shard_documents
 from pactscope.llm.suffix_dedup import repeated_bytes
 from pactscope.llm.toxicity import learn_lexicon, score_toxicity
@@ -133,3 +134,18 @@ def op7_suffix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
     )
+
+
+@query
+def op5_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, from its text and from its site's and section's shrunken rates."""
+    found = score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "held_out",
+        "score",
+        F.col("kept").cast("int").alias("predicted"),
+        "kept",
+        "evidence",
+        "site_rate",
+    )
