@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactscope.llm.common import packed, text_key
+from pactscope.llm.common import freeze, packed, text_key
 from pactscope.llm.native import NON_WORDS, lower_ascii, with_window_hashes, words
 
 #: So many benchmark windows are broadcast (about 50 MB); with more, the join shuffles both sides.
@@ -87,6 +87,7 @@ def contamination(
             F.array_sort(F.array_distinct("items")).alias("items"),
         )
     )
+    by_text = freeze(by_text, "hits")  # so that the join, which copies of a text may skew, can be split
     rows = docs.select(
         F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.size(words(text_col, NON_WORDS)).alias("n_words")
     )
