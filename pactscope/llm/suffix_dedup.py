@@ -157,37 +157,41 @@ def _anchor_rows(with_place: bool):
     return rows
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes around each wanted anchor: one row, or one for each class of offsets if the bucket is to be divided."""
-    for batch in batches:
-        texts = _bytes_of(batch.column("text"))
-        out: dict[str, list] = {n: [] for n in ("bucket", "divided", "k1", "k2", "first", "near", "far", "single", "bytes")}
-        for text, k1, k2, wanted in zip(
-            texts, batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("wanted").to_pylist(), strict=True
-        ):
-            for want in wanted:
-                first, near, span = want["place"] >> 20, (want["place"] >> 10) & 1023, want["place"] & 1023
-                divided = want["n"] > BUCKET
-                # offsets of the anchor inside its strings: near for the first of them, less for later ones
-                classes = [(c, min(c + CLASS - 1, near)) for c in range(0, SPAN, CLASS)] if divided else [(near - span, near)]
-                for low, high in classes:
-                    low = max(low, near - span)
-                    if low > high:
-                        continue
-                    start, stop = first + near - high, first + near - low + LENGTH
-                    bucket = want["h"]
-                    if divided:
-                        at = first + near
-                        c = high // CLASS * CLASS
-                        core = text[max(0, at - c) : at - c - CLASS + 1 + LENGTH]
-                        digest = hashlib.blake2b(core, digest_size=8, key=c.to_bytes(2, "big")).digest()
-                        bucket = int.from_bytes(digest, "big", signed=True) ^ want["h"]
-                    row = (bucket, divided, k1, k2, start, high, high - low, want["single"], text[start:stop])
-                    for name, value in zip(out, row, strict=True):
-                        out[name].append(value)
-        if out["k1"]:
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
+def _contexts(most: int):
+    """The bytes around each wanted anchor: one row, or one for each class of offsets if its bucket holds over ``most``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _bytes_of(batch.column("text"))
+            out: dict[str, list] = {n: [] for n in ("bucket", "divided", "k1", "k2", "first", "near", "far", "single", "bytes")}
+            for text, k1, k2, wanted in zip(
+                texts, batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("wanted").to_pylist(), strict=True
+            ):
+                for want in wanted:
+                    first, near, span = want["place"] >> 20, (want["place"] >> 10) & 1023, want["place"] & 1023
+                    divided = want["n"] > most
+                    # offsets of the anchor inside its strings: near for the first of them, less for later ones
+                    classes = [(c, min(c + CLASS - 1, near)) for c in range(0, SPAN, CLASS)] if divided else [(near - span, near)]
+                    for low, high in classes:
+                        low = max(low, near - span)
+                        if low > high:
+                            continue
+                        start, stop = first + near - high, first + near - low + LENGTH
+                        bucket = want["h"]
+                        if divided:
+                            at = first + near
+                            c = high // CLASS * CLASS
+                            core = text[max(0, at - c) : at - c - CLASS + 1 + LENGTH]
+                            digest = hashlib.blake2b(core, digest_size=8, key=c.to_bytes(2, "big")).digest()
+                            bucket = int.from_bytes(digest, "big", signed=True) ^ want["h"]
+                        row = (bucket, divided, k1, k2, start, high, high - low, want["single"], text[start:stop])
+                        for name, value in zip(out, row, strict=True):
+                            out[name].append(value)
+            if out["k1"]:
+                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
+
+    return rows
 
 
 _CONTEXT = "bucket long, divided boolean, k1 long, k2 long, first long, near int, far int, single boolean, bytes binary"
@@ -295,7 +299,7 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     return rows.select(_key_part(1).alias("k1"), _key_part(17).alias("k2"), "text")
 
 
-def repeated_stretches(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def repeated_stretches(docs: DataFrame, text_col: str = "text", bucket: int = BUCKET, largest: int = DIVIDED) -> DataFrame:
     """``k1``, ``k2`` and ``stretches``, arrays of (start, stop), of every text that repeats something; not merged yet."""
     texts = _keyed(docs, text_col).where(F.octet_length("text") >= LENGTH)
     # 1. anchors that occur more than once
@@ -319,18 +323,18 @@ def repeated_stretches(docs: DataFrame, text_col: str = "text") -> DataFrame:
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("want").alias("wanted"))
     sources = texts.join(wanted, ["k1", "k2"])
     if not around.isEmpty():
-        contexts = freeze(sources.mapInArrow(_contexts, _CONTEXT), "contexts").dropDuplicates(["k1", "k2", "first", "bucket", "near"])
+        contexts = freeze(sources.mapInArrow(_contexts(bucket), _CONTEXT), "contexts").dropDuplicates(["k1", "k2", "first", "bucket", "near"])
     else:
         contexts = docs.sparkSession.createDataFrame([], _CONTEXT)
     plain = contexts.where("not divided")
     divided = contexts.where("divided")
     sizes = divided.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     divided = divided.join(sizes, "bucket")
-    in_order = plain.unionByName(divided.where(F.col("size") <= DIVIDED).drop("size"))
+    in_order = plain.unionByName(divided.where(F.col("size") <= largest).drop("size"))
     in_order = in_order.repartition("bucket").sortWithinPartitions("bucket")
     settled = in_order.mapInArrow(_settled, "k1 long, k2 long, start long, stop long")
     # 4. what is still too large is counted string by string
-    strings = divided.where(F.col("size") > DIVIDED).mapInArrow(
+    strings = divided.where(F.col("size") > largest).mapInArrow(
         _hashed_strings, "digest binary, k1 long, k2 long, start long, single boolean"
     )
     twice = strings.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
@@ -360,7 +364,9 @@ def _cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(kept)
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_bytes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, largest: int = DIVIDED
+) -> DataFrame:
     """``id``, ``n_bytes``, ``spans`` (removed runs as start and stop in bytes) and ``kept_sha256`` of every row.
 
     Matches never cross texts; they may overlap, also themselves. Null and empty texts, and those shorter than a string,
@@ -370,7 +376,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("md5", F.md5(F.col("text").cast("binary")))
     rows = rows.select("id", "text", _key_part(1).alias("k1"), _key_part(17).alias("k2"))
-    rows = rows.join(repeated_stretches(docs, text_col), ["k1", "k2"], "left")
+    found = freeze(repeated_stretches(docs, text_col, bucket, largest), "stretches")
+    rows = rows.join(found, ["k1", "k2"], "left")
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,14 +404,16 @@ def remove_repeats(
     null or empty. ``length_col``, where there is one, is set anew for changed texts.
     """
 
-    @F.udf("string")
-    def cut(text: str, stretches: list) -> str:
-        return _cut(text.encode(), merged([s.asDict() for s in stretches])).decode("utf-8", "ignore")
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, stretches: pa.Array) -> pa.Array:
+        spans = [merged(s) for s in stretches.to_pylist()]
+        left = [_cut(t, s).decode("utf-8", "ignore") if s else None for t, s in zip(_bytes_of(text), spans, strict=True)]
+        return pa.array(left, pa.string())
 
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = packed(docs, id_col, text_col).withColumn("md5", F.md5(whole.cast("binary")))
     rows = rows.select("row", "text", _key_part(1).alias("k1"), _key_part(17).alias("k2"))
-    rows = rows.join(repeated_stretches(docs, text_col), ["k1", "k2"], "left")
+    rows = rows.join(freeze(repeated_stretches(docs, text_col), "stretches"), ["k1", "k2"], "left")
     changed = F.col("stretches").isNotNull()
     rows = rows.withColumn("left", F.when(changed, cut("text", "stretches")).otherwise(F.col("text")))
     rows = rows.where(~changed | (F.length(F.regexp_replace("left", r"\s", "")) >= min_left))
