@@ -67,8 +67,11 @@ class Block:
     heading: bool
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page, in order. Unclosed, stray and crossed tags are allowed."""
+def blocks_of(page: str, trust: bool = True) -> list[Block]:
+    """The blocks of a page, in order. Unclosed, stray and crossed tags are allowed.
+
+    Without ``trust``, an article ends all boilerplate that is open: it may have never been closed.
+    """
     found: list[Block] = []
     # open elements that say something: (tag, what they say)
     stack: list[tuple[str, int]] = []
@@ -146,9 +149,8 @@ def blocks_of(page: str) -> list[Block]:
             said = GOOD
         else:
             said = OPEN
-        if said == GOOD:  # an advert that was never closed doesn't swallow the article
-            while stack and stack[-1][1] == BAD and stack[-1][0] in ("div", "section", "p", "ul", "li"):
-                stack.pop()
+        if said == GOOD and not trust:
+            stack = [(t, OPEN if what == BAD else what) for t, what in stack]
         if tag != "p" or said != OPEN:
             stack.append((tag, said))
     if at < len(page):
@@ -220,8 +222,12 @@ def main_text(page: str | None) -> str:
     """The main text of a page: its blocks joined by a space, empty if there is none."""
     if not page:
         return ""
-    blocks = blocks_of(page)
-    return " ".join(b.text for b, good in zip(blocks, classify(blocks), strict=True) if good)
+    for trust in (True, False):
+        blocks = blocks_of(page, trust)
+        text = " ".join(b.text for b, good in zip(blocks, classify(blocks), strict=True) if good)
+        if text or not any(b.place == BAD for b in blocks):
+            break
+    return text
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
