@@ -121,9 +121,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, ones: int, z
 def _entries_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Every beginning of a word of each text, with how many distinct words begin so, and the text's label.
 
-    The empty beginning counts all distinct words.
+    The empty beginning counts all distinct words. A few texts at a time, as they have many beginnings.
     """
-    for batch in batches:
+    for batch in (batch[at : at + 64] for batch in batches for at in range(0, len(batch), 64)):
         entries, mentions, labels = [], [], []
         for text, y in zip(batch["text"], batch["y"], strict=True):
             words = set(fold(text).split())
@@ -205,7 +205,7 @@ def _learn_exceptions(sample: DataFrame, lexicon: Lexicon, min_texts: int = 5, m
     entries = lexicon.weights
 
     def phrases(batches):
-        for batch in batches:
+        for batch in (batch[at : at + 64] for batch in batches for at in range(0, len(batch), 64)):
             held, labels = [], []
             for text, y in zip(batch["text"], batch["y"], strict=True):
                 words = fold(text).split()
