@@ -30,7 +30,7 @@ DIVIDED = 65_536
 #: Offsets of one division: their strings share a core of LENGTH + 1 - CLASS bytes.
 CLASS = 25
 _RUN = 1 << 19
-_SLICE = 1 << 22
+_SLICE = 1 << 20
 
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TABLE2 = mix(_TABLE + np.uint64(0x632BE59BD9B4E019))
