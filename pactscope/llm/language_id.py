@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from pactscope.llm.common import held_out
 
-BUCKETS = 1 << 14
+_BITS = 13
+BUCKETS = 1 << _BITS
 ORDERS = (1, 2, 3, 4)
 UNDECIDED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -52,7 +53,7 @@ def ngram_profile(text: str) -> np.ndarray:
         for n in ORDERS:
             code = (code[: len(window) - n + 1] << np.uint32(8)) | window[n - 1 :] if len(window) >= n else code[:0]
             hashed = (code * np.uint32(0x9E3779B1) + np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0xC2B2AE35)
-            counts += np.bincount(hashed[:own] >> np.uint32(32 - 14), minlength=BUCKETS)
+            counts += np.bincount(hashed[:own] >> np.uint32(32 - _BITS), minlength=BUCKETS)
     scaled = np.sqrt(counts, dtype=np.float32)
     norm = float(np.sqrt(scaled @ scaled))
     return scaled / norm if norm else scaled
@@ -79,7 +80,7 @@ class LanguageModel:
         return best, top, top < 0.5
 
 
-def fit(profiles: np.ndarray, labels: list[str], bits: int = 15, rounds: int = 200, pull: float = 1e-5) -> LanguageModel:
+def fit(profiles: np.ndarray, labels: list[str], bits: int = 15, rounds: int = 100, pull: float = 1e-5) -> LanguageModel:
     """Logistic regression for each bit, all bits at once, by accelerated gradient steps on class-balanced rows."""
     languages = sorted(set(labels))
     codes = codewords(len(languages), bits)
@@ -103,32 +104,34 @@ def fit(profiles: np.ndarray, labels: list[str], bits: int = 15, rounds: int = 2
     return LanguageModel(languages, codes, weights, bias, np.log(accuracy / (1 - accuracy)) / np.log(999.0))
 
 
-def learn_languages(docs: DataFrame, per_language: int = 1_500, max_languages: int = 200, bits: int = 15) -> LanguageModel:
+def learn_languages(
+    docs: DataFrame, per_language: int = 400, max_rows: int = 4_000, max_languages: int = 200, bits: int = 15
+) -> LanguageModel:
     """A model from at most ``per_language`` texts of each of the ``max_languages`` most frequent languages.
 
-    Only documents that are not held out and have a text with a letter are learnt from. The sampled profiles, at most
-    ``per_language * max_languages`` rows, are fitted on the driver; texts stay on the executors.
+    Only documents that are not held out and have a text with a letter are learnt from. Their profiles, at most
+    ``max_rows`` rows of ``BUCKETS`` numbers in all (130 MB), are fitted on the driver; texts stay on the executors.
     """
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     if not counts:
         return fit(np.zeros((0, BUCKETS), dtype=np.float32), [], bits)
-    # a hash threshold per language that leaves somewhat more than wanted; the rest goes below
-    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * (per_language + 20) / r["count"]))])
+    most = max(1, min(per_language, max_rows // len(counts)))
+    # a hash threshold for each language that leaves somewhat more than wanted; the rest goes below
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * (most + 20) / r["count"]))])
     place = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 20)) / F.lit(float(1 << 20))
 
     def profiled(batches):
         for batch in batches:
-            for text, lang, place in zip(batch["text"], batch["lang"], batch["place"], strict=True):
-                made = ngram_profile(text)
-                yield pd.DataFrame(
-                    {"lang": [lang], "place": [place], "profile": [zlib.compress(made.astype(np.float16).tobytes(), 1)]}
-                )
+            made = [zlib.compress(ngram_profile(text).astype(np.float16).tobytes(), 1) for text in batch["text"]]
+            yield pd.DataFrame({"lang": batch["lang"], "place": batch["place"], "profile": np.array(made, dtype=object)})
 
     sampled = known.withColumn("place", place).where(F.col("place") < shares[F.col("lang")])
     rows = sampled.mapInPandas(profiled, "lang string, place double, profile binary").toPandas()
-    rows = rows.sort_values(["lang", "place"], kind="stable").groupby("lang").head(per_language)
-    made = np.stack([np.frombuffer(zlib.decompress(b), dtype=np.float16) for b in rows["profile"]]).astype(np.float32)
+    rows = rows.sort_values(["lang", "place"], kind="stable").groupby("lang").head(most)
+    made = np.empty((len(rows), BUCKETS), dtype=np.float32)
+    for i, profile in enumerate(rows["profile"]):
+        made[i] = np.frombuffer(zlib.decompress(profile), dtype=np.float16)
     return fit(made, list(rows["lang"]), bits)
 
 
