@@ -29,8 +29,10 @@ def linkify_refs(line: Column) -> Column:
 
 
 def title_first(text: Column) -> Column:
-    """Upper-case the first character only."""
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 2147483647))
+    """Upper-case the first character only; one whose capital form is longer stays as it is."""
+    first = F.substring(text, 1, 1)
+    capital = F.when(F.length(F.upper(first)) > 1, first).otherwise(F.upper(first))
+    return F.concat(capital, F.substring(text, 2, 2147483647))
 
 
 def singularize(word: Column) -> Column:

@@ -15,7 +15,7 @@ from pactscope.functions.text import (
     strip_comment_marker,
     title_first,
 )
-from pactscope.operators.common import HANDLER, PART_SIZE, index_last
+from pactscope.operators.common import HANDLER, index_last
 
 # The forms of directives in comments.
 TAG = r"^\s*@api:tags?\s+(.+)\s*$"
@@ -29,133 +29,138 @@ def _blank(text: Column) -> Column:
     return text.rlike(r"^\s*$")
 
 
-def line_parts(lines: DataFrame, keys: Sequence[str], size: int = PART_SIZE) -> DataFrame:
-    """The lines of each declaration as sorted arrays of at most ``size`` lines: ``keys, part, items``.
+#: Line numbers that a first step of grouping brings together; of each stretch a few lines at most go on.
+STRETCH = 4096
 
-    Lines are counted from the first one of their declaration. That line has to be looked up only for
-    declarations with a line number beyond ``size``: all others have one part in any case.
+
+def first_lines(lines: DataFrame, keys: Sequence[str], marks: dict[str, Column], keep: int) -> DataFrame:
+    """For every declaration, the first ``keep`` lines of each mark: ``keys``, and an array for each mark.
+
+    Stretches of lines come first and whole declarations second, so that a declaration of any length
+    is never brought together.
     """
     keys = list(keys)
-    far = lines.where(F.col("line_no") >= size).select(*keys).distinct()
-    first = lines.join(far, keys, "left_semi").groupBy(*keys).agg(F.min("line_no").alias("_first"))
-    counted = lines.join(first, keys, "left").withColumn("line_no", F.col("line_no") - F.coalesce("_first", F.lit(0)))
-    return counted.groupBy(*keys, F.floor(F.col("line_no") / size).cast("int").alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("items")
+    line = F.struct("line_no", "text")
+    near = lines.groupBy(*keys, F.floor(F.col("line_no") / STRETCH).alias("_stretch")).agg(
+        *[F.slice(F.array_sort(F.collect_list(F.when(test, line))), 1, keep).alias(name) for name, test in marks.items()]
+    )
+    return near.groupBy(*keys).agg(
+        *[F.slice(F.array_sort(F.flatten(F.collect_list(name))), 1, keep).alias(name) for name in marks]
     )
 
 
-def _with_marks(parts: DataFrame, keys: list[str], marks: dict[str, Column], keep: int) -> DataFrame:
-    """Add, for each mark, the first ``keep`` marked lines of the whole declaration.
+def _nth(array: str, index: int) -> Column:
+    return F.get(F.col(array), F.lit(index))
 
-    Most declarations have one part, whose own marks are the answer. Only for longer ones the few
-    marks of each part are brought together; their text stays where it is.
-    """
-    own = parts.select(
-        "*", *[F.slice(F.filter("items", test), 1, keep).alias(name) for name, test in marks.items()]
-    )
-    long = own.where(F.col("part") > 0).select(*keys).distinct()
-    together = (
-        own.select(*keys, *marks)
-        .join(long, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(
-            *[
-                F.slice(F.array_sort(F.flatten(F.collect_list(name))), 1, keep).alias(f"_{name}")
-                for name in marks
-            ]
-        )
-    )
-    return own.join(together, keys, "left").select(
-        *keys, "part", "items", *[F.coalesce(f"_{name}", name).alias(name) for name in marks]
-    )
+
+def _first_line(array: Column) -> Column:
+    return F.get(F.transform(array, lambda l: l.line_no), F.lit(0))
 
 
-def _line(array: str, index: int) -> Column:
-    return F.get(F.col(array), F.lit(index)).getField("line_no")
+def block_bounds(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, summary, rest``: the summary of each declaration, and where its description begins."""
+    text = F.col("text")
+    marked = first_lines(lines, keys, {"_text": ~_blank(text) & ~squeeze_trim(text).startswith("swagger:")}, keep=2)
+    return marked.select(
+        *keys,
+        F.coalesce(title_first(_nth("_text", 0).text), F.lit("")).alias("summary"),
+        _nth("_text", 1).line_no.alias("rest"),
+    )
 
 
-def summarize_blocks(lines: DataFrame, keys: Sequence[str] = ("decl_id",), size: int = PART_SIZE) -> DataFrame:
-    """Summary and description of each declared type: ``keys, part, summary, description``.
+def summarize_blocks(lines: DataFrame, keys: Sequence[str] = ("decl_id",)) -> DataFrame:
+    """Summary and description of each declared type: ``keys, kind, line_no, text``.
 
     The first line that is not blank and not a ``swagger:`` line is the summary; the text from the
-    next such line on is the description. A declaration of more than ``size`` lines has its
-    description in several numbered parts.
+    next such line on is the description. There is one row of kind ``summary`` for each declaration,
+    and one of kind ``description`` for each line of its description.
     """
     keys = list(keys)
     linked = lines.withColumn("text", linkify_refs(F.col("text")))
-    marked = _with_marks(
-        line_parts(linked, keys, size),
-        keys,
-        {"_text": lambda l: ~_blank(l.text) & ~squeeze_trim(l.text).startswith("swagger:")},
-        keep=2,
-    )
-    start, rest = _line("_text", 0), _line("_text", 1)
-    return _assemble(marked, keys, start, rest, lambda l: l.line_no >= rest, size)
+    bounds = block_bounds(linked, keys)
+    text = F.when(F.col("line_no") == F.col("rest"), title_first(F.col("text"))).otherwise(F.col("text"))
+    described = linked.join(bounds, keys).where(F.col("line_no") >= F.col("rest")).withColumn("text", text)
+    return _summary_rows(bounds, keys).unionByName(_description_rows(described, keys))
+
 
+def _summary_rows(summaries: DataFrame, keys: list[str]) -> DataFrame:
+    none = F.lit(None).cast("bigint").alias("line_no")
+    return summaries.select(*keys, F.lit("summary").alias("kind"), none, F.col("summary").alias("text"))
 
-def _assemble(marked: DataFrame, keys: list[str], start: Column, rest: Column, keep, size: int) -> DataFrame:
-    summary = F.get(F.transform(F.filter("items", lambda l: l.line_no == start), lambda l: l.text), F.lit(0))
-    body = F.array_join(F.transform(F.filter("items", keep), lambda l: l.text), "\n")
-    begins_here = F.col("part") == F.floor(rest / size)
-    described = marked.select(
+
+def _description_rows(described: DataFrame, keys: list[str]) -> DataFrame:
+    return described.select(*keys, F.lit("description").alias("kind"), F.col("line_no").cast("bigint"), "text")
+
+
+def endpoint_bounds(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, stated, rest, stop, plain``: the summary in the comment, and where its description begins and ends.
+
+    ``plain`` tells whether the description begins with a line that is kept.
+    """
+    text = F.col("text")
+    marks = {"_text": ~_blank(text), "_stop": squeeze_trim(text) == "responses:"}
+    marked = first_lines(lines, keys, marks, keep=3)
+    first = _nth("_text", 0)
+    marked = marked.withColumn(
+        "_start", first.line_no + F.when(first.text.startswith("swagger:route"), 1).otherwise(0)
+    )
+    # a line with text right after the first is the second of them
+    stated = F.get(F.transform(F.filter("_text", lambda l: l.line_no == F.col("_start")), lambda l: l.text), F.lit(0))
+    after = F.get(F.filter("_text", lambda l: l.line_no > F.col("_start")), F.lit(0))
+    marked = marked.select(*keys, stated.alias("stated"), after.alias("_after"), "_stop")
+    return marked.select(
         *keys,
-        "part",
-        F.coalesce(title_first(summary), F.lit("")).alias("summary"),
-        F.coalesce(F.when(begins_here, title_first(body)).otherwise(body), F.lit("")).alias("description"),
+        "stated",
+        F.col("_after.line_no").alias("rest"),
+        _first_line(F.filter("_stop", lambda l: l.line_no >= F.col("_after.line_no"))).alias("stop"),
+        (~squeeze_trim(F.col("_after.text")).startswith("@api:")).alias("plain"),
     )
-    return described.where((F.col("part") == 0) | (F.col("summary") != "") | (F.col("description") != ""))
 
 
-def summarize_endpoints(
-    lines: DataFrame, described: DataFrame, keys: Sequence[str] = HANDLER, size: int = PART_SIZE
-) -> DataFrame:
-    """Summary and description of each handler: ``keys, part, summary, description``.
+def summarize_endpoints(lines: DataFrame, described: DataFrame, keys: Sequence[str] = HANDLER) -> DataFrame:
+    """Summary and description of each handler: ``keys, kind, line_no, text``, as ``summarize_blocks`` has them.
 
     The summary is the first line with text, or the line after it if that is a ``swagger:route`` line.
     The description begins at the next line with text, ends before ``responses:`` and leaves out
     ``@api:`` lines. ``described`` gives the sentence told from the path (``keys, sentence``), for
-    handlers without a summary.
+    handlers without a summary; only handlers that it has are returned.
     """
     keys = list(keys)
     cleaned = lines.withColumn("text", strip_comment_marker(linkify_refs(F.col("text"))))
-    marked = _with_marks(
-        line_parts(cleaned, keys, size),
-        keys,
-        {
-            "_text": lambda l: ~_blank(l.text),
-            "_stop": lambda l: squeeze_trim(l.text) == "responses:",
-        },
-        keep=3,
+    bounds = endpoint_bounds(cleaned, keys)
+    summary = F.coalesce(blank_to_null(title_first(F.col("stated"))), title_first(F.col("sentence")))
+    summaries = described.select(*keys, "sentence").join(bounds, keys, "left").select(
+        *keys, squeeze_trim(F.regexp_replace(squeeze_trim(summary), r"\.$", "")).alias("summary")
     )
-    first = F.get(F.col("_text"), F.lit(0))
-    start = first.line_no + F.when(first.text.startswith("swagger:route"), 1).otherwise(0)
-    rest = F.get(F.transform(F.filter("_text", lambda l: l.line_no > start), lambda l: l.line_no), F.lit(0))
-    stop = F.get(F.transform(F.filter("_stop", lambda l: l.line_no >= rest), lambda l: l.line_no), F.lit(0))
-
-    def kept(l: Column) -> Column:
-        before_stop = F.coalesce(l.line_no < stop, F.lit(True))
-        return (l.line_no >= rest) & before_stop & ~squeeze_trim(l.text).startswith("@api:")
-
-    commented = _assemble(marked, keys, start, rest, kept, size)
-    summary = F.when(
-        F.coalesce(F.col("part"), F.lit(0)) == 0,
-        F.coalesce(blank_to_null(F.col("summary")), title_first(F.col("sentence"))),
-    ).otherwise(F.col("summary"))
-    return described.select(*keys, "sentence").join(commented, keys, "left").select(
-        *keys,
-        F.coalesce("part", F.lit(0)).alias("part"),
-        squeeze_trim(F.regexp_replace(squeeze_trim(summary), r"\.$", "")).alias("summary"),
-        F.coalesce("description", F.lit("")).alias("description"),
+    line = F.col("line_no")
+    wanted = bounds.where(F.col("rest").isNotNull()).join(described.select(*keys), keys, "left_semi")
+    kept = cleaned.join(wanted, keys).where(
+        (line >= F.col("rest")) & F.coalesce(line < F.col("stop"), F.lit(True)) & ~squeeze_trim(F.col("text")).startswith("@api:")
     )
+    # where the first line is left out, the description begins at the first one that is not
+    late = kept.where(~F.col("plain")).groupBy(*keys).agg(F.min("line_no").alias("_begin"))
+    kept = kept.join(late, keys, "left").withColumn("_begin", F.coalesce("_begin", "rest"))
+    text = F.when(line == F.col("_begin"), title_first(F.col("text"))).otherwise(F.col("text"))
+    return _summary_rows(summaries, keys).unionByName(_description_rows(kept.withColumn("text", text), keys))
+
+
+def summary_of(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, summary`` of summarised declarations."""
+    return rows.where(F.col("kind") == "summary").select(*keys, F.col("text").alias("summary"))
 
 
-def describe_params(lines: DataFrame, keys: Sequence[str] = ("decl_id",), size: int = PART_SIZE) -> DataFrame:
-    """The comment lines of each parameter, without ``@api:`` lines, as one text: ``keys, part, description``."""
+def description_of(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, description``: the lines of each description as one text, for outputs that hold it as one value."""
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    described = rows.where(F.col("kind") == "description").groupBy(*keys).agg(ordered.alias("_lines"))
+    return described.select(*keys, F.array_join(F.transform("_lines", lambda l: l.text), "\n").alias("description"))
+
+
+def describe_params(lines: DataFrame, keys: Sequence[str] = ("decl_id",)) -> DataFrame:
+    """The comment lines of each parameter that are not ``@api:`` lines: ``keys, line_no, text``."""
     text = strip_comment_marker(F.col("text"))
     kept = lines.withColumn("text", text).where(~F.col("text").startswith("@api:"))
-    return line_parts(kept, list(keys), size).select(
-        *keys, "part", F.array_join(F.transform("items", lambda l: l.text), "\n").alias("description")
-    )
+    return kept.select(*keys, "line_no", "text")
 
 
 def mine_directives(lines: DataFrame, keys: Sequence[str] = ("decl_id",)) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Shared steps: keys, last-wins indexes, set operations and chunked grouping."""
+"""Shared steps: keys, last-wins indexes, set operations and ordered grouping."""
 
 from __future__ import annotations
 
@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 SERVICE = ["service", "version"]
 HANDLER = [*SERVICE, "fun"]
 
-# Lines or items kept together in one row; larger groups are split into numbered parts.
-PART_SIZE = 1 << 17
-
 
 def present(keys: Sequence[str], *frames: DataFrame) -> list[str]:
     """The keys that all frames have; dimension tables need not carry service and version."""
@@ -65,35 +62,6 @@ def distinct_keys(*frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     return merged.distinct()
 
 
-def collect_parts(
-    df: DataFrame,
-    keys: Sequence[str],
-    element: Column,
-    *aggregates: Column,
-    spread: Column,
-    size: int = PART_SIZE,
-) -> DataFrame:
-    """Sorted arrays of ``element`` per key, as rows ``keys, part, parts, items``.
-
-    A group of up to ``size`` elements is one row with part 0. A larger one is divided over several
-    rows by the hash of ``spread``, so that no task has to hold a whole hot group and nothing is lost.
-    """
-    keys = list(keys)
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > size)
-        .select(*keys, F.ceil(F.col("_n") / size).cast("int").alias("parts"))
-    )
-    parts = F.coalesce("parts", F.lit(1))
-    return (
-        df.select("*", element.alias("_element"), spread.alias("_spread"))
-        .join(hot, keys, "left")
-        .withColumn("part", F.when(parts > 1, F.pmod(F.xxhash64("_spread"), parts).cast("int")).otherwise(0))
-        .groupBy(*keys, "part")
-        .agg(
-            F.max(parts).alias("parts"),
-            F.array_sort(F.collect_list("_element")).alias("items"),
-            *aggregates,
-        )
-    )
+def collect_ordered(df: DataFrame, keys: Sequence[str], element: Column, *aggregates: Column) -> DataFrame:
+    """Sorted arrays of ``element`` per key, for outputs that hold a group as one value: ``keys, items``."""
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(element)).alias("items"), *aggregates)

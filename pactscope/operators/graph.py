@@ -9,24 +9,29 @@ from pyspark.sql import functions as F
 
 from pactscope.functions.typekeys import BASIC_TYPES, leaf_key, wrappers
 from pactscope.operators.common import except_seen
-from pactscope.operators.routes import DepthLimitError
+from pactscope.operators.routes import LONG, endless_chains
 from pactscope.session import materialise
 
 
-def reachable_types(
-    seeds: DataFrame, edges: DataFrame, keys: Sequence[str] = (), max_rounds: int = 20
-) -> DataFrame:
+#: Rounds of references and depths of embedding beyond which types count as too deep.
+REFERENCE_ROUNDS = 20
+EMBEDDING_DEPTH = 10
+
+
+def reachable_types(seeds: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Types that the seeds refer to, directly or not: ``keys, type_key, round`` of first discovery.
 
     Only newly found types are followed, so types that refer to each other end the search instead of
-    prolonging it. More than ``max_rounds`` rounds is an error.
+    prolonging it. :func:`too_deep` lists what is found after more rounds than allowed.
     """
     keys = list(keys)
     node = [*keys, "type_key"]
     links = materialise(edges.select(*keys, "from_key", "to_key").distinct())
     frontier = materialise(seeds.select(*node).distinct().withColumn("round", F.lit(0)))
     visited = frontier
-    for number in range(1, max_rounds):
+    number = 0
+    while True:
+        number += 1
         step = (
             frontier.withColumnRenamed("type_key", "from_key")
             .join(links, [*keys, "from_key"])
@@ -36,7 +41,11 @@ def reachable_types(
         if frontier.isEmpty():
             return visited
         visited = visited.unionByName(frontier)
-    raise DepthLimitError(f"types are still found after {max_rounds} rounds")
+
+
+def too_deep(reached: DataFrame, rounds: int = REFERENCE_ROUNDS) -> DataFrame:
+    """The types that :func:`reachable_types` found in later rounds than the first ``rounds``."""
+    return reached.where(F.col("round") > rounds - 2)
 
 
 def _greatest_around(links: DataFrame, keys: list[str]) -> DataFrame:
@@ -137,12 +146,13 @@ def _trim(links: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def flatten_embedded(
-    embeds: DataFrame, fields: DataFrame, keys: Sequence[str] = (), max_depth: int = 10
+    embeds: DataFrame, fields: DataFrame, keys: Sequence[str] = (), max_depth: int = EMBEDDING_DEPTH
 ) -> DataFrame:
     """The fields of every type, those of embedded types in their place.
 
     ``embeds`` has ``type_key, pos, embedded_key``; ``place`` is the path of positions that puts the
-    fields in order. Embedding deeper than ``max_depth`` is an error.
+    fields in order. Types that embed deeper than ``max_depth``, or in a circle, are left out;
+    :func:`deep_embeds` lists them.
     """
     keys = list(keys)
     fields = fields.withColumnRenamed("type_key", "_owner")
@@ -164,12 +174,11 @@ def flatten_embedded(
         if level.isEmpty():
             break
         levels.append(level)
-    else:
-        if not level.join(links, [*keys, "_owner"], "left_semi").isEmpty():
-            raise DepthLimitError(f"types are embedded deeper than {max_depth}")
     flat = levels[0]
     for deeper in levels[1:]:
         flat = flat.unionByName(deeper)
+    if len(levels) > max_depth:
+        flat = flat.join(deep_embeds(embeds, keys, max_depth), [*keys, "type_key"], "left_anti")
     return flat.join(fields, [*keys, "_owner"]).select(
         *keys,
         "type_key",
@@ -180,17 +189,30 @@ def flatten_embedded(
     )
 
 
+def deep_embeds(embeds: DataFrame, keys: Sequence[str] = (), max_depth: int = EMBEDDING_DEPTH) -> DataFrame:
+    """Types that embed others deeper than ``max_depth``, or in a circle: ``keys, type_key``."""
+    keys = list(keys)
+    links = materialise(embeds.select(*keys, F.col("type_key").alias("_owner"), F.col("embedded_key").alias("_next")).distinct())
+    level = links.select(*keys, F.col("_owner").alias("type_key"), "_owner").distinct()
+    for _ in range(max_depth + 1):
+        level = materialise(
+            level.join(links, [*keys, "_owner"]).select(*keys, "type_key", F.col("_next").alias("_owner")).distinct()
+        )
+    return level.select(*keys, "type_key").distinct()
+
+
 def distinct_hosts(embeds: DataFrame, fields: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All types that have fields or embed others."""
     owners = fields.select(*keys, F.col("_owner").alias("type_key"))
     return owners.unionByName(embeds.select(*keys, "type_key")).distinct()
 
 
-def resolve_aliases(types: DataFrame, keys: Sequence[str] = (), max_depth: int = 1024) -> DataFrame:
+def resolve_aliases(types: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The final target of every alias: ``keys, type_key, target_key, resolved``.
 
     A target may be an array or map of another alias; the wrappers add up. Each round doubles the
-    number of hops, by taking over the target of the target.
+    number of hops, by taking over the target of the target. Aliases that run in a circle have no
+    target and are not resolved; they don't hold up others.
     """
     keys = list(keys)
     known = types.select(*keys, F.col("type_key").alias("_leaf")).distinct()
@@ -201,13 +223,15 @@ def resolve_aliases(types: DataFrame, keys: Sequence[str] = (), max_depth: int =
         leaf_key(F.col("target_key")).alias("_leaf"),
         F.lit(False).alias("_done"),
     )
-    reach = 1
+    first, circular, reach = state, None, 1
     while True:
         state = materialise(state)
         if state.where(~F.col("_done")).isEmpty():
             break
-        if reach > max_depth:
-            raise DepthLimitError(f"aliases are chained deeper than {max_depth}, or in a circle")
+        if reach >= LONG and circular is None:
+            chains = first.select(*keys, F.col("type_key").alias("node"), F.col("_leaf").alias("next"))
+            circular = endless_chains(chains, keys).withColumnRenamed("node", "type_key")
+            state = state.join(circular, [*keys, "type_key"], "left_anti")
         target = state.select(
             *keys,
             F.col("type_key").alias("_leaf"),
@@ -228,9 +252,13 @@ def resolve_aliases(types: DataFrame, keys: Sequence[str] = (), max_depth: int =
         state = state.where("_done").unionByName(moved)
         reach *= 2
     exists = known.withColumn("_exists", F.lit(True))
-    return state.join(exists, [*keys, "_leaf"], "left").select(
+    found = state.join(exists, [*keys, "_leaf"], "left").select(
         *keys,
         "type_key",
         F.concat("_wraps", "_leaf").alias("target_key"),
         (F.col("_exists").isNotNull() | F.col("_leaf").isin(*BASIC_TYPES)).alias("resolved"),
     )
+    if circular is None:
+        return found
+    none = F.lit(None).cast("string").alias("target_key")
+    return found.unionByName(circular.select(*keys, "type_key", none, F.lit(False).alias("resolved")))

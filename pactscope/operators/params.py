@@ -9,7 +9,7 @@ from pactscope.catalogue.defaults import ACCOUNT_PARAM, REQUEST_SUFFIX
 from pactscope.functions.jsontext import json_string
 from pactscope.functions.text import blank_to_null, is_blank, title_first
 from pactscope.functions.typekeys import leaf_key
-from pactscope.operators.common import HANDLER, SERVICE, collect_parts, index_last, pick_first, present
+from pactscope.operators.common import HANDLER, SERVICE, collect_ordered, index_last, pick_first, present
 
 
 def resolve_params(params: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -97,8 +97,7 @@ def collapse_bodies(params: DataFrame, variants: DataFrame | None = None) -> Dat
     """The request body of each handler that has one.
 
     One body keeps its own description and requirement. Several become alternatives: required, and
-    without a description. ``bodies`` lists their types in order, in parts for a very large list;
-    types that have a schema of their own in requests (``variants``) are named by that.
+    without a description. ``bodies`` lists their types in order; types that have a schema of their own in requests (``variants``) are named by that.
     """
     bodies = params.where(F.col("location") == "body")
     if variants is not None:
@@ -115,13 +114,10 @@ def collapse_bodies(params: DataFrame, variants: DataFrame | None = None) -> Dat
         F.max("description").alias("_description"),
         F.bool_and("required").alias("_required"),
     )
-    grouped = collect_parts(
-        index_last(bodies, [*HANDLER, "name"], "ord"), HANDLER, F.col("name"), *totals, spread=F.col("name")
-    )
-    single = (F.size("items") == 1) & (F.col("parts") == 1)
+    grouped = collect_ordered(index_last(bodies, [*HANDLER, "name"], "ord"), HANDLER, F.col("name"), *totals)
+    single = F.size("items") == 1
     return grouped.select(
         *HANDLER,
-        "part",
         F.col("items").alias("bodies"),
         F.when(single, "single").otherwise("one_of").alias("form"),
         F.when(single, F.col("_required")).otherwise(F.lit(True)).alias("required"),
@@ -133,20 +129,19 @@ POSITION = ("file", "line", "col")
 
 
 def undocumented_bodies(params: DataFrame, first_routes: DataFrame) -> DataFrame:
-    """Request bodies without a description, with their position and the route of their handler."""
+    """Request bodies without a description, with their position and the first route that takes them."""
     position = [c for c in POSITION if c in params.columns]
     bare = params.where((F.col("location") == "body") & is_blank(F.coalesce("description", F.lit(""))))
-    found = bare.withColumn("type_key", F.col("name"))
-    found = pick_first(found, [*SERVICE, "type_key"], F.col("ord"), ["fun", *position])
-    return found.join(first_routes.select(*HANDLER, "verb", "path"), HANDLER)
+    found = bare.withColumn("type_key", F.col("name")).join(first_routes.select(*HANDLER, "verb", "path"), HANDLER)
+    return pick_first(found, [*SERVICE, "type_key"], F.col("ord"), ["fun", *position, "verb", "path"])
 
 
 def undocumented_results(responses: DataFrame, types: DataFrame, first_routes: DataFrame) -> DataFrame:
-    """Named response types without a summary, with their position and the route of a handler."""
+    """Named response types without a summary, with their position and the first route that answers so."""
     keys = [*present(SERVICE, types), "type_key"]
-    used = responses.where(F.col("type_key").isNotNull())
-    used = pick_first(used, [*SERVICE, "type_key"], F.col("ord"), ["fun"])
+    used = responses.where(F.col("type_key").isNotNull()).join(first_routes.select(*HANDLER, "verb", "path"), HANDLER)
+    used = pick_first(used, [*SERVICE, "type_key"], F.col("ord"), ["fun", "verb", "path"])
     bare = types.where(is_blank(F.coalesce("summary", F.lit("")))).select(
         *keys, *[c for c in POSITION if c in types.columns]
     )
-    return used.join(bare, keys).join(first_routes.select(*HANDLER, "verb", "path"), HANDLER)
+    return used.join(bare, keys)

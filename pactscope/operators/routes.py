@@ -20,28 +20,53 @@ from pactscope.operators.common import HANDLER, SERVICE, pick_first, present
 from pactscope.session import materialise
 
 
-class DepthLimitError(ValueError):
-    """A chain is longer than allowed, or runs in a circle."""
+#: Hops after which chains that are still open are searched for circles.
+LONG = 64
 
 
-def flatten_routes(nodes: DataFrame, keys: Sequence[str] = (), max_depth: int = 1024) -> DataFrame:
+def endless_chains(links: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Nodes whose chain never ends, of ``keys, node, next`` with one row per node: ``keys, node``.
+
+    Hops double each round. A chain that is open after as many hops as its key has nodes runs in a circle.
+    """
+    keys = list(keys)
+    links = links.select(*keys, "node", F.col("next").alias("_next"))
+    sizes = links.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    reach = 1
+    while True:
+        links = materialise(links)
+        still = links.where(F.col("_next").isNotNull())
+        if reach > sizes or still.isEmpty():
+            return still.select(*keys, "node")
+        above = links.select(*keys, F.col("node").alias("_next"), F.col("_next").alias("_after"))
+        moved = still.join(above, [*keys, "_next"], "left").select(*keys, "node", F.col("_after").alias("_next"))
+        links = links.where(F.col("_next").isNull()).unionByName(moved)
+        reach *= 2
+
+
+def flatten_routes(nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Full path of every route node from its chain of parents: ``keys, node, path``.
 
     Each round joins a node with the ancestor it knows and takes over that ancestor's chain, so the
-    number of rounds is the logarithm of the depth.
+    number of rounds is the logarithm of the depth. Nodes whose parents run in a circle have a null path;
+    they don't hold up others.
     """
     keys = list(keys)
     state = nodes.select(
         *keys, "node", F.col("parent").alias("ancestor"), F.array("prefix").alias("prefixes")
     )
-    reach = 1
+    reach, circular = 1, None
     open_nodes = F.col("ancestor").isNotNull()
     while True:
         state = materialise(state)
         if state.where(open_nodes).isEmpty():
-            return state.select(*keys, "node", join_path_array(F.col("prefixes")).alias("path"))
-        if reach >= max_depth:
-            raise DepthLimitError(f"routes are nested deeper than {max_depth}, or in a circle")
+            flat = state.select(*keys, "node", join_path_array(F.col("prefixes")).alias("path"))
+            if circular is None:
+                return flat
+            return flat.unionByName(circular.withColumn("path", F.lit(None).cast("string")))
+        if reach >= LONG and circular is None:
+            circular = endless_chains(nodes.select(*keys, "node", F.col("parent").alias("next")), keys)
+            state = state.join(circular, [*keys, "node"], "left_anti")
         above = state.select(
             *keys,
             F.col("node").alias("ancestor"),

@@ -39,16 +39,20 @@ def render_placeholders(template: Column, values: dict[str, Column], maps: Colum
 
     ``maps`` is a map from dotted names, such as ``TypeParam.T``, to their values.
     """
-    text = F.regexp_replace(template, r"\{\{\s*(\.[\w.]+)\s*\}\}", r"{{$1}}")
-    for name, value in values.items():
-        text = F.replace(text, F.lit("{{." + name + "}}"), F.coalesce(value, F.lit("")))
-    if maps is not None:
-        text = F.aggregate(
-            F.map_entries(F.coalesce(maps, F.create_map().cast("map<string,string>"))),
-            text,
-            lambda done, entry: F.replace(done, F.concat(F.lit("{{."), entry.key, F.lit("}}")), entry.value),
-        )
-    return text
+    # pieces of text and placeholders in turn; a value that looks like a placeholder is not read again
+    pieces = F.split(F.regexp_replace(template, r"\{\{\s*(\.[\w.]+)\s*\}\}", "\u0001{{$1}}\u0001"), "\u0001")
+    known = F.coalesce(maps, F.create_map().cast("map<string,string>")) if maps is not None else None
+
+    def rendered(piece: Column) -> Column:
+        found = piece
+        if known is not None:
+            key = F.regexp_extract(piece, r"^\{\{\.(.*)\}\}$", 1)
+            found = F.coalesce(F.when(piece.startswith("{{."), F.try_element_at(known, key)), piece)
+        for name, value in values.items():
+            found = F.when(piece == "{{." + name + "}}", F.coalesce(value, F.lit(""))).otherwise(found)
+        return found
+
+    return F.array_join(F.transform(pieces, rendered), "")
 
 
 def assemble_object_types(type_arguments: DataFrame, attributes: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pactscope.functions.tags import (
 )
 from pactscope.functions.text import blank_to_null
 from pactscope.functions.typekeys import BASIC_TYPES, leaf_key, split_type_key, wrappers
-from pactscope.operators.common import PART_SIZE, SERVICE, collect_parts, present, scattered
+from pactscope.operators.common import SERVICE, collect_ordered, present, scattered
 
 # Basic types without a schema, and the JSON type of the others.
 NO_SCHEMA = ("io.Closer", "error")
@@ -58,11 +58,11 @@ def types_of_interest(types: DataFrame, packages: Sequence[str]) -> DataFrame:
 
 
 def enum_values(enums: DataFrame) -> DataFrame:
-    """The values of each enumerated type, by constant name; in parts for a very large type."""
+    """The values of each enumerated type, by constant name."""
     keys = [*present(SERVICE, enums), "type_key"]
     unique = enums.groupBy(*keys, "name").agg(F.max("value").alias("value"))
-    grouped = collect_parts(unique, keys, F.struct("name", "value"), spread=F.col("name"))
-    return grouped.select(*keys, "part", "parts", F.transform("items", lambda e: e.value).alias("enum_values"))
+    grouped = collect_ordered(unique, keys, F.struct("name", "value"))
+    return grouped.select(*keys, F.transform("items", lambda e: e.value).alias("enum_values"))
 
 
 def attach_enums(types: DataFrame, enums: DataFrame) -> DataFrame:
@@ -153,36 +153,23 @@ def schema_properties(
     enums: DataFrame,
     aliases: DataFrame,
     scope: str = "response",
-    enum_limit: int = PART_SIZE,
 ) -> DataFrame:
     """One row per visible field with its JSON schema, or the problem that it has none.
 
     ``aliases`` is the result of :func:`~pactscope.operators.graph.resolve_aliases`. Basic types, by
     far the most common, are rendered in place: their join keys are made to match nothing and are
-    spread, so they do not meet in one task. An enumeration longer than ``enum_limit`` is named
-    instead of listed in each property; :func:`enum_values` holds its values.
+    spread, so they do not meet in one task.
     """
     keys = present(SERVICE, fields, types)
     shown = visible_fields(fields, scope)
     leaf = leaf_key(F.col("field_type_key"))
     basic = leaf.isin(*BASIC_TYPES)
 
-    listed = enum_values(enums)
-    values = listed.where(F.col("parts") == 1).where(F.size("enum_values") <= enum_limit)
-    long = listed.groupBy(*present(SERVICE, enums), "type_key").agg(
-        F.sum(F.size("enum_values")).alias("_n")
-    ).where(F.col("_n") > enum_limit)
     enum_text = F.concat(
         F.lit("["), F.array_join(F.transform("enum_values", json_string), ","), F.lit("]")
     )
     enum_keys = present(SERVICE, enums)
-    enum_side = values.select(
-        *enum_keys, F.col("type_key").alias("_leaf"), enum_text.alias("_enum"), F.lit(False).alias("_long")
-    ).unionByName(
-        long.select(
-            *enum_keys, F.col("type_key").alias("_leaf"), F.lit(None).cast("string").alias("_enum"), F.lit(True).alias("_long")
-        )
-    )
+    enum_side = enum_values(enums).select(*enum_keys, F.col("type_key").alias("_leaf"), enum_text.alias("_enum"))
     hidden = scope_variants(fields).where(F.col("scope") == "request").select(
         *keys, F.col("type_key").alias("_final"), F.lit(True).alias("_variant")
     )
@@ -198,7 +185,7 @@ def schema_properties(
         .join(enum_side, [*enum_keys, "_leaf"], "left")
         .join(targets, [*keys, "_leaf"], "left")
         .withColumn("_reached", F.when(F.col("_basic"), leaf).otherwise(F.coalesce("_target", "_leaf")))
-        .withColumn("_wraps", F.concat("_wraps", F.when(F.col("_long").isNull(), wrappers(F.col("_reached"))).otherwise("")))
+        .withColumn("_wraps", F.concat("_wraps", F.when(F.col("_enum").isNull(), wrappers(F.col("_reached"))).otherwise("")))
         .withColumn("_reached", leaf_key(F.col("_reached")))
         .withColumn("_final", scattered(F.when(~F.col("_reached").isin(*BASIC_TYPES), F.col("_reached")), "type_key", "name"))
         .join(known, [*keys, "_final"], "left")
@@ -206,12 +193,10 @@ def schema_properties(
     )
     description, default = F.col("summary"), F.col("default_value")
     enum = F.when(
-        F.col("_long").isNotNull(),
+        F.col("_enum").isNotNull(),
         F.concat(
-            F.lit('{"type":"string"'),
-            F.when(F.col("_long"), F.concat(F.lit(',"x-enum-type":'), json_string(F.col("_leaf")))).otherwise(
-                F.concat(F.lit(',"enum":'), F.col("_enum"))
-            ),
+            F.lit('{"type":"string","enum":'),
+            F.col("_enum"),
             _text_member("description", description),
             _text_member("default", default),
             F.lit("}"),
@@ -242,15 +227,11 @@ def schema_properties(
 def type_schemas(types: DataFrame, properties: DataFrame) -> DataFrame:
     """JSON schema of each struct: its properties in field order, and the required ones.
 
-    ``properties`` is the result of :func:`schema_properties`. A type with a very large number of
-    fields becomes several schemas, to be read together (``part``).
+    ``properties`` is the result of :func:`schema_properties`.
     """
     keys = [*present(SERVICE, types, properties), "type_key"]
-    grouped = collect_parts(
-        properties.where(F.col("schema").isNotNull()),
-        keys,
-        F.struct("pos", "attr", "schema", "required"),
-        spread=F.col("attr"),
+    grouped = collect_ordered(
+        properties.where(F.col("schema").isNotNull()), keys, F.struct("pos", "attr", "schema", "required")
     )
     described = types.where(F.col("kind") == "struct").join(grouped, keys, "left")
     items = F.coalesce("items", F.array().cast("array<struct<pos:int,attr:string,schema:string,required:boolean>>"))
@@ -263,7 +244,6 @@ def type_schemas(types: DataFrame, properties: DataFrame) -> DataFrame:
     text = F.concat_ws("\n", blank_to_null(F.col("summary")), blank_to_null(F.col("description")))
     return described.select(
         *keys,
-        F.coalesce("part", F.lit(0)).alias("part"),
         F.concat(
             F.lit('{"type":"object"'),
             _text_member("description", text),

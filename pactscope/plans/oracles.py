@@ -50,7 +50,8 @@ def _article(x: str) -> str:
 
 
 def _title(x: str) -> str:
-    return f"upper(left({x}, 1)) || substr({x}, 2)"
+    # a letter whose capital form is two letters stays as it is
+    return f"CASE WHEN left({x}, 1) IN ('ß', 'ŉ', 'ǰ', 'ΐ', 'ΰ') THEN {x} ELSE upper(left({x}, 1)) || substr({x}, 2) END"
 
 
 def _link(x: str) -> str:
@@ -162,7 +163,7 @@ _oracle(
 _oracle("linkify_refs", "fx_comment_lines", f"SELECT decl_id, line_no, {_link('text')} AS text FROM fx_comment_lines")
 _oracle(
     "word_forms", "fx_lines",
-    f""", w AS (SELECT DISTINCT unnest(regexp_extract_all(raw, '[A-Za-z]+')) AS word FROM fx_lines)
+    f""", w AS (SELECT DISTINCT unnest(regexp_extract_all(raw, '\\p{{L}}+')) AS word FROM fx_lines)
     SELECT word, {_title("word")} AS titled, {_singular("word")} AS singular, {_article("word")} AS article FROM w""",
 )
 _oracle(
@@ -295,8 +296,7 @@ _oracle(
 )
 _oracle(
     "describe_params", "fx_comment_lines",
-    f"""SELECT decl_id, 0 AS part, string_agg(t, chr(10) ORDER BY line_no) AS description
-    FROM (SELECT decl_id, line_no, {_strip("text")} AS t FROM fx_comment_lines) WHERE NOT t LIKE '@api:%' GROUP BY decl_id""",
+    f"""SELECT decl_id, line_no, t AS text FROM (SELECT decl_id, line_no, {_strip("text")} AS t FROM fx_comment_lines) WHERE NOT t LIKE '@api:%'""",
 )
 _HELPERS = _values(RESPONSE_HELPERS, "h(method, status, has_body)")
 _oracle(
@@ -345,8 +345,8 @@ _oracle(
 )
 _UNDOCUMENTED = f"""
 first_route AS (SELECT * FROM {_FIRST}),
-bare_results AS (SELECT u.service, u.version, u.type_key, arg_min(u.fun, u.ord) AS fun FROM fx_responses u SEMI JOIN (SELECT * FROM fx_types WHERE trim(summary) = '') USING (type_key) GROUP BY ALL),
-bare_bodies AS (SELECT service, version, name AS type_key, arg_min(fun, ord) AS fun FROM fx_params WHERE location = 'body' AND trim(description) = '' GROUP BY ALL),
+bare_results AS (SELECT u.service, u.version, u.type_key, arg_min(u.fun, u.ord) AS fun FROM (SELECT * FROM fx_responses SEMI JOIN first_route USING ({_HANDLER})) u SEMI JOIN (SELECT * FROM fx_types WHERE trim(summary) = '') USING (type_key) GROUP BY ALL),
+bare_bodies AS (SELECT service, version, name AS type_key, arg_min(fun, ord) AS fun FROM fx_params SEMI JOIN first_route USING ({_HANDLER}) WHERE location = 'body' AND trim(description) = '' GROUP BY ALL),
 undocumented AS (SELECT {_HANDLER}, type_key, verb, path, 'result' AS kind FROM bare_results JOIN first_route USING ({_HANDLER})
   UNION ALL SELECT {_HANDLER}, type_key, verb, path, 'body' FROM bare_bodies JOIN first_route USING ({_HANDLER}))"""
 _oracle("undocumented", "fx_endpoints fx_params fx_responses fx_types", f", {_UNDOCUMENTED} SELECT * FROM undocumented")
@@ -536,7 +536,7 @@ _oracle(
 )
 _oracle(
     "enum_values", "fx_enums",
-    "SELECT type_key, 0 AS part, 1 AS parts, string_agg(value, ',' ORDER BY name) AS enum_values FROM fx_enums GROUP BY type_key",
+    "SELECT type_key, string_agg(value, ',' ORDER BY name) AS enum_values FROM fx_enums GROUP BY type_key",
 )
 _oracle(
     "partition_examples", "fx_examples",
@@ -577,7 +577,7 @@ _oracle("endpoint_flags", "fx_params", f", {_FLAGS} SELECT * FROM flags")
 _oracle(
     "collapse_bodies", "fx_params",
     f""", b AS (SELECT * FROM {_last("(SELECT * FROM fx_params WHERE location = 'body')", _HANDLER + ", name")})
-    SELECT {_HANDLER}, 0 AS part, string_agg(name, ',' ORDER BY name) AS bodies, CASE WHEN count(*) = 1 THEN 'single' ELSE 'one_of' END AS form,
+    SELECT {_HANDLER}, string_agg(name, ',' ORDER BY name) AS bodies, CASE WHEN count(*) = 1 THEN 'single' ELSE 'one_of' END AS form,
       CASE WHEN count(*) = 1 THEN bool_and(required) ELSE TRUE END AS required, CASE WHEN count(*) = 1 THEN {_title("max(description)")} ELSE '' END AS description
     FROM b GROUP BY {_HANDLER}""",
 )
@@ -636,8 +636,8 @@ def _summaries(lines: str) -> str:
 sl AS (SELECT decl_id, line_no, {_link("text")} AS text FROM {lines}),
 sq AS (SELECT *, NOT regexp_matches(text, '^\\s*$') AND NOT {_trim("text")} LIKE 'swagger:%' AS q FROM sl),
 sn AS (SELECT *, count(*) FILTER (q) OVER (PARTITION BY decl_id ORDER BY line_no) AS seen FROM sq),
-summaries AS (SELECT decl_id, 0 AS part, coalesce({_title("max(text) FILTER (q AND seen = 1)")}, '') AS summary,
-  coalesce({_title("string_agg(text, chr(10) ORDER BY line_no) FILTER (seen >= 2)")}, '') AS description FROM sn GROUP BY decl_id)"""
+summaries AS (SELECT decl_id, 'summary' AS kind, CAST(NULL AS BIGINT) AS line_no, coalesce({_title("max(text) FILTER (q AND seen = 1)")}, '') AS text FROM sn GROUP BY decl_id
+  UNION ALL SELECT decl_id, 'description', CAST(line_no AS BIGINT), CASE WHEN q AND seen = 2 THEN {_title("text")} ELSE text END FROM sn WHERE seen >= 2)"""
 
 
 _oracle("summarize_blocks", "fx_comment_lines", f", {_summaries('fx_comment_lines')} SELECT * FROM summaries")
@@ -646,20 +646,25 @@ h0 AS (SELECT *, min(CASE WHEN NOT regexp_matches(text, '^\\s*$') THEN line_no E
 h1 AS (SELECT *, max(CASE WHEN line_no = n0 AND text LIKE 'swagger:route%' THEN n0 + 1 WHEN line_no = n0 THEN n0 END) OVER (PARTITION BY {_HANDLER}) AS s FROM h0),
 h2 AS (SELECT *, min(CASE WHEN line_no > s AND NOT regexp_matches(text, '^\\s*$') THEN line_no END) OVER (PARTITION BY {_HANDLER}) AS d FROM h1),
 h3 AS (SELECT *, min(CASE WHEN line_no >= d AND {_trim("text")} = 'responses:' THEN line_no END) OVER (PARTITION BY {_HANDLER}) AS e FROM h2),
+hd AS (SELECT {_HANDLER}, line_no, text FROM h3 WHERE line_no >= d AND (e IS NULL OR line_no < e) AND NOT {_trim("text")} LIKE '@api:%'),
 h4 AS (SELECT {_HANDLER}, max(CASE WHEN line_no = s THEN text END) AS s,
   string_agg(text, chr(10) ORDER BY line_no) FILTER (line_no >= d AND (e IS NULL OR line_no < e) AND NOT {_trim("text")} LIKE '@api:%') AS d FROM h3 GROUP BY ALL),
 h5 AS (SELECT {_HANDLER}, verb, path, sentence, coalesce(nullif(s, ''), sentence) AS s, coalesce({_title("d")}, '') AS description FROM told LEFT JOIN h4 USING ({_HANDLER})),
-endpoint_summaries AS (SELECT {_HANDLER}, verb, path, sentence, 0 AS part, {_trim(f"regexp_replace({_trim(_title('s'))}, '[.]$', '')")} AS summary, description FROM h5)"""
+endpoint_summaries AS (SELECT {_HANDLER}, verb, path, sentence, {_trim(f"regexp_replace({_trim(_title('s'))}, '[.]$', '')")} AS summary, description FROM h5)"""
 _ENDPOINT_SUMMARIES = f"""{_inferred(f"SELECT * FROM {_FIRST}")}, {_SUMMARY_STEPS}"""
 _oracle(
     "summarize_endpoints", "fx_handler_lines fx_endpoints",
-    f", {_ENDPOINT_SUMMARIES} SELECT {_HANDLER}, part, summary, description FROM endpoint_summaries",
+    f""", {_ENDPOINT_SUMMARIES} SELECT {_HANDLER}, 'summary' AS kind, CAST(NULL AS BIGINT) AS line_no, summary AS text FROM endpoint_summaries
+    UNION ALL SELECT {_HANDLER}, 'description', CAST(line_no AS BIGINT), CASE WHEN row_number() OVER (PARTITION BY {_HANDLER} ORDER BY line_no) = 1 THEN {_title("text")} ELSE text END
+      FROM hd SEMI JOIN told USING ({_HANDLER})""",
 )
 _oracle(
     "annotate_corpus", "fx_comment_lines",
     f""", plain AS (SELECT decl_id, line_no, {_strip("text")} AS text FROM fx_comment_lines), {_directives("plain", "decl_id")}, {_summaries("plain")},
-    n AS (SELECT decl_id, count(*) AS n_directives FROM (SELECT decl_id FROM dir_tags UNION ALL SELECT decl_id FROM dir_last) GROUP BY decl_id)
-    SELECT s.decl_id, part, summary, md5(description) AS description_md5, n_directives, source FROM summaries s LEFT JOIN n USING (decl_id) JOIN documents ON doc_id = s.decl_id""",
+    n AS (SELECT decl_id, count(*) AS n_directives FROM (SELECT decl_id FROM dir_tags UNION ALL SELECT decl_id FROM dir_last) GROUP BY decl_id),
+    told AS (SELECT decl_id, max(text) FILTER (kind = 'summary') AS summary, count(*) FILTER (kind = 'description') AS n_lines,
+      CAST(coalesce(sum(length(text)) FILTER (kind = 'description'), 0) AS BIGINT) AS n_description_chars FROM summaries GROUP BY decl_id)
+    SELECT s.*, n_directives, source FROM told s LEFT JOIN n USING (decl_id) JOIN documents ON doc_id = s.decl_id""",
 )
 
 # --- order and set operations ------------------------------------------------------------------
@@ -771,7 +776,7 @@ _oracle(
     g AS (SELECT type_key, string_agg(to_json(attr)::VARCHAR || ':' || schema, ',' ORDER BY pos) AS members, string_agg(to_json(attr)::VARCHAR, ',' ORDER BY pos) FILTER (required) AS req
       FROM properties WHERE schema IS NOT NULL GROUP BY type_key),
     t AS (SELECT *, concat_ws(chr(10), nullif(summary, ''), nullif(description, '')) AS about FROM fx_types WHERE kind = 'struct')
-    SELECT type_key, 0 AS part, '{{"type":"object"' || {_member("description", "about")} || ',"properties":{{' || coalesce(members, '') || '}}'
+    SELECT type_key, '{{"type":"object"' || {_member("description", "about")} || ',"properties":{{' || coalesce(members, '') || '}}'
       || CASE WHEN req IS NOT NULL THEN ',"required":[' || req || ']' ELSE '' END || '}}' AS schema FROM t LEFT JOIN g USING (type_key)""",
 )
 _oracle(
@@ -914,10 +919,11 @@ def _assembled() -> str:
     verbs = "['GET', 'QUERY', 'HEAD', 'POST', 'PUT', 'DELETE', 'PATCH', 'OPTIONS', 'TRACE']"
     steps = ", ".join(f"s[{i}] AS s{i}" for i in range(1, 6))
     ctes = [
-        """split AS (SELECT service, version, fragment AS json, list_transform(string_split(substr(pointer, 2), '/'), lambda x: replace(replace(x, '~1', '/'), '~0', '~')) AS s FROM parts)""",
+        """steps AS (SELECT service, version, fragment AS json, list_transform(string_split(substr(pointer, 2), '/'), lambda x: replace(replace(x, '~1', '/'), '~0', '~')) AS s FROM parts)""",
+        """split AS (SELECT service, version, json, CASE WHEN s[1] IN ('components', 'x-undocumented') THEN list_concat([s[1], s[2] || '/' || s[3]], s[4:]) ELSE s END AS s FROM steps)""",
         f"level5 AS (SELECT service, version, json, {steps} FROM split)",
     ]
-    for depth in range(4, -1, -1):
+    for depth in range(4, 1, -1):
         kept = "".join(f", s{i}" for i in range(1, depth + 1))
         child = f"s{depth + 1}"
         order = f"coalesce(nullif(list_position({verbs}, upper({child})), 0), 99), {child}" if depth == 2 else child
@@ -938,6 +944,5 @@ def _with_parts() -> str:
     return f"{head}, parts AS (SELECT service, version, '/info'{union})"
 
 
-ORACLES["contract_documents"] = f"""{_with_parts()}, {_assembled()},
-  sizes AS (SELECT service, version, sum(length(json) + length(array_to_string(s, '/')))::BIGINT AS n_chars FROM split GROUP BY ALL)
-  SELECT service, version, n_chars, json AS document FROM sizes JOIN level0 USING (service, version)"""
+ORACLES["contract_documents"] = f"""{_with_parts()}, {_assembled()}
+  SELECT service, version, s1 AS section, s2 AS item, json AS document FROM level2"""

@@ -54,7 +54,7 @@ def query(function: Callable) -> Query:
 
 def _words(lines: DataFrame) -> DataFrame:
     """Every distinct word of the documents."""
-    found = F.explode(F.regexp_extract_all("raw", F.lit("([A-Za-z]+)"), 1)).alias("word")
+    found = F.explode(F.regexp_extract_all("raw", F.lit(r"(\p{L}+)"), 1)).alias("word")
     return lines.select(found).distinct()
 
 
@@ -699,8 +699,12 @@ def annotate_corpus(documents, fx_comment_lines):
     """Declarations with summary, description and number of directives."""
     stripped = fx_comment_lines.withColumn("text", text.strip_comment_marker(F.col("text")))
     counted = comments.mine_directives(stripped).groupBy("decl_id").agg(F.count(F.lit(1)).alias("n_directives"))
-    summary = comments.summarize_blocks(stripped).select(
-        "decl_id", "part", "summary", F.md5("description").alias("description_md5")
+    rows = comments.summarize_blocks(stripped)
+    described = F.col("kind") == "description"
+    summary = rows.groupBy("decl_id").agg(
+        F.max(F.when(~described, F.col("text"))).alias("summary"),
+        F.count(F.when(described, 1)).alias("n_lines"),
+        F.sum(F.when(described, F.length("text")).otherwise(0)).alias("n_description_chars"),
     )
     sources = documents.select(F.col("doc_id").alias("decl_id"), "source")
     return summary.join(counted, "decl_id", "left").join(sources, "decl_id")
@@ -870,7 +874,7 @@ def recursive_types(fx_sparse_edges):
 def describe_endpoints(fx_endpoints, fx_handler_lines):
     """First routes with summary and tags."""
     first = routes.describe_endpoints(fx_endpoints)
-    summary = comments.summarize_endpoints(fx_handler_lines, first)
+    summary = comments.summary_of(comments.summarize_endpoints(fx_handler_lines, first), HANDLER)
     found = comments.endpoint_tags(first, comments.mine_directives(fx_handler_lines, HANDLER))
     counted = found.groupBy(*HANDLER).agg(F.count(F.lit(1)).alias("n_tags"), F.max("tag").alias("last_tag"))
     return first.select(*HANDLER, "verb", "path", "sentence").join(
@@ -885,7 +889,9 @@ def _parts(
     # read by several sections, and small: one row per handler and one per operation
     first = materialise(routes.describe_endpoints(fx_endpoints))
     services = first.select(*SERVICE).distinct()
-    summaries = comments.summarize_endpoints(fx_handler_lines, first).where(F.col("part") == 0)
+    told = materialise(comments.summarize_endpoints(fx_handler_lines, first))
+    summaries = comments.summary_of(told, HANDLER).join(comments.description_of(told, HANDLER), HANDLER, "left")
+    summaries = summaries.withColumn("description", F.coalesce("description", F.lit("")))
     found = comments.endpoint_tags(first, comments.mine_directives(fx_handler_lines, HANDLER))
     merged = params.merge_params(fx_params.where(F.col("location") != "body"))
     effective = responses.effective_responses(
@@ -904,7 +910,7 @@ def _parts(
     schemas = (
         own.withColumn("schema_key", F.col("type_key"))
         .unionByName(special)
-        .select(*[c.alias(n) for c, n in zip(shared, SERVICE)], "schema_key", "part", "schema")
+        .select(*[c.alias(n) for c, n in zip(shared, SERVICE)], "schema_key", "schema")
     )
     dictionary = audits.merge_tag_metadata(fx_tag_defs, fx_tag_template).select(
         *[c.alias(n) for c, n in zip(shared, SERVICE)], "name", "summary", "description"
@@ -952,7 +958,7 @@ def contract_documents(
     spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors,
     fx_examples, fx_handler_lines, fx_fields, fx_types, fx_enums, fx_tag_defs, fx_tag_template,
 ):
-    """Contract documents in one piece."""
+    """Contract documents, one row for each path and each component."""
     parts = _parts(
         spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors,
         fx_examples, fx_handler_lines, fx_fields, fx_types, fx_enums, fx_tag_defs, fx_tag_template,

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactscope.functions.text import strip_comment_marker
-from pactscope.operators.common import PART_SIZE
+
+# Rows of a stretch that are numbered together.
+STRETCH = 1 << 17
 
 # Files up to this size are read whole and need no shuffle to number their lines.
 WHOLE_FILE_BYTES = 64 << 20
@@ -79,7 +81,7 @@ def comment_lines(lines: DataFrame) -> DataFrame:
 
 
 def carry_forward(
-    rows: DataFrame, group: str, order: str, value: Column, name: str, size: int = PART_SIZE
+    rows: DataFrame, group: str, order: str, value: Column, name: str, size: int = STRETCH
 ) -> DataFrame:
     """Add the latest non-null ``value`` up to each row of its group.
 

@@ -33,12 +33,12 @@ from pactscope.operators.params import body_schema
 from pactscope.operators.routes import verb_rank
 from pactscope.operators.types import basic_schema, wrap_schema
 
-# Documents of up to this many characters are also offered in one piece.
-WHOLE_DOCUMENT_CHARS = 16 << 20
-
 # The number of steps to the innermost parts.
 DEPTH = 5
 
+# Sections whose items stand two steps below them.
+NESTED = ("components", "x-undocumented")
+
 # The steps whose members are a list instead of an object.
 LISTS = ("parameters", "tags", "security")
 
@@ -134,9 +134,8 @@ def body_parts(endpoints: DataFrame, bodies: DataFrame) -> DataFrame:
     one_of = F.concat(F.lit('{"oneOf":['), F.array_join(schemas, ","), F.lit("]}"))
     schema = F.when(F.col("form") == "single", F.get(schemas, F.lit(0))).otherwise(one_of)
     joined = endpoints.select(*HANDLER, "verb", "path").join(bodies, HANDLER)
-    name = F.when(F.col("part") > 0, F.concat(F.lit("requestBody#"), F.col("part").cast("string"))).otherwise("requestBody")
     about = F.to_json(F.struct("required", blank_to_null(F.col("description")).alias("description")))
-    return _part(joined, _operation_steps(name), with_member(about, "content", _content(schema)))
+    return _part(joined, _operation_steps(F.lit("requestBody")), with_member(about, "content", _content(schema)))
 
 
 def _content(*members: Column) -> Column:
@@ -190,11 +189,10 @@ def component_parts(
 ) -> DataFrame:
     """Schemas, examples, shared responses and headers.
 
-    ``schemas`` has ``schema_key, part, schema``; ``examples`` has ``key, title, payload`` and the set
+    ``schemas`` has ``schema_key, schema``; ``examples`` has ``key, title, payload`` and the set
     (``example_set``) that responses name.
     """
-    name = F.when(F.col("part") > 0, F.concat_ws("#", "schema_key", "part")).otherwise(F.col("schema_key"))
-    schema_parts = _part(schemas, [F.lit("components"), F.lit("schemas"), name], F.col("schema"))
+    schema_parts = _part(schemas, [F.lit("components"), F.lit("schemas"), F.col("schema_key")], F.col("schema"))
     example_parts = _part(
         examples,
         [F.lit("components"), F.lit("examples"), F.col("key")],
@@ -277,26 +275,26 @@ def json_pointer(steps: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.transform(steps, pointer_token), "/"))
 
 
-def assemble_documents(parts: DataFrame, max_chars: int = WHOLE_DOCUMENT_CHARS) -> DataFrame:
-    """One JSON document per service and version: ``service, version, n_chars, document``.
+def assemble_documents(parts: DataFrame) -> DataFrame:
+    """The items of each document, put together: ``service, version, section, item, document``.
 
-    The size of each document is summed up first. Documents beyond ``max_chars`` are not brought
-    together; their ``document`` is null and the table of parts is their whole form.
+    An item is what stands below one step of a section: a path with its operations, one component, one tag. Sections
+    that are a single value have no item. A whole service is never brought together; ``write_documents``
+    writes it in order.
     """
-    sizes = parts.groupBy(*SERVICE).agg(
-        F.sum(F.length("fragment") + F.length(F.array_join("steps", "/"))).alias("n_chars")
-    )
-    fitting = sizes.where(F.col("n_chars") <= max_chars).select(*SERVICE)
     levels = [f"_s{i}" for i in range(1, DEPTH + 1)]
-    nodes = parts.join(fitting, SERVICE, "left_semi").select(
+    steps = F.col("steps")
+    joined = F.concat(F.array(steps[0], F.concat_ws("/", F.slice(steps, 2, 2))), F.slice(steps, F.lit(4), F.size(steps)))
+    parts = parts.withColumn("steps", F.when(steps[0].isin(*NESTED), joined).otherwise(steps))
+    nodes = parts.select(
         *SERVICE, *[F.get("steps", F.lit(i)).alias(n) for i, n in enumerate(levels)], F.col("fragment").alias("json")
     )
     # from the innermost step outwards, each node takes up its children
-    for depth in range(DEPTH - 1, -1, -1):
+    for depth in range(DEPTH - 1, 1, -1):
         step = F.col(levels[depth])
         rank = verb_rank(F.upper(step)) if depth == 2 else F.lit(0)
         child = F.when(step.isNotNull(), F.struct(rank.alias("rank"), step.alias("name"), F.col("json").alias("json")))
-        name = F.col(levels[depth - 1]) if depth else F.lit("")
+        name = F.col(levels[depth - 1])
         nodes = (
             nodes.groupBy(*SERVICE, *levels[:depth])
             .agg(
@@ -306,7 +304,7 @@ def assemble_documents(parts: DataFrame, max_chars: int = WHOLE_DOCUMENT_CHARS)
             .withColumn("json", _node_text(F.col("_own"), F.col("_children"), name))
             .drop("_own", "_children")
         )
-    return sizes.join(nodes.withColumnRenamed("json", "document"), SERVICE, "left")
+    return nodes.withColumnsRenamed({"_s1": "section", "_s2": "item", "json": "document"})
 
 
 def _node_text(own: Column, children: Column, name: Column) -> Column:

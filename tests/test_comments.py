@@ -23,8 +23,9 @@ def lines(spark, texts, decl="d"):
     ],
 )
 def test_summarize_blocks(spark, texts, summary, description):
-    row = comments.summarize_blocks(lines(spark, texts)).head()
-    assert (row.summary, row.description) == (summary, description)
+    found = comments.summarize_blocks(lines(spark, texts))
+    assert [r.summary for r in comments.summary_of(found, ["decl_id"]).collect()] == [summary]
+    assert "".join(r.description for r in comments.description_of(found, ["decl_id"]).collect()) == description
 
 
 def brute_summary(texts):
@@ -37,40 +38,33 @@ def brute_summary(texts):
     return title(clean[good[0]]), title(rest)
 
 
-def test_long_declarations_keep_every_line(spark):
-    """Declarations that are divided into parts read like undivided ones."""
+@pytest.mark.parametrize("apart", [1, 5_000, 200_003])
+def test_lines_far_apart(spark, apart):
+    """Line numbers of any distance make one declaration, with every line."""
     rng = random.Random(5)
     vocabulary = ["", " ", "swagger:model", "word", "more words", "z"]
     texts = {f"d{n}": [rng.choice(vocabulary[: rng.choice([3, 6])]) for _ in range(rng.randrange(1, 60))] for n in range(25)}
-    rows = [(d, i, t) for d, ts in texts.items() for i, t in enumerate(ts)]
+    rows = [(d, 300_000 + i * apart, t) for d, ts in texts.items() for i, t in enumerate(ts)]
     df = spark.createDataFrame(rows, "decl_id string, line_no bigint, text string").repartition(8)
-    parts = comments.summarize_blocks(df, size=4).orderBy("decl_id", "part").collect()
+    found = comments.summarize_blocks(df)
+    summaries = {r.decl_id: r.summary for r in comments.summary_of(found, ["decl_id"]).collect()}
+    described = {r.decl_id: r.description for r in comments.description_of(found, ["decl_id"]).collect()}
     for decl, ts in texts.items():
-        mine = [p for p in parts if p.decl_id == decl]
-        joined = "\n".join(p.description for p in mine if p.description != "")
-        summary, description = brute_summary(ts)
-        assert "".join(p.summary for p in mine) == summary
-        # blank lines at the seams of parts are part of the text
-        assert joined.replace("\n", "") == description.replace("\n", "")
+        assert (summaries[decl], described.get(decl, "")) == brute_summary(ts)
 
 
-def test_parts_count_from_the_declaration(spark):
-    """A short declaration far down in its file is not divided."""
-    rows = [("d", 100 + i, t) for i, t in enumerate(["first", "", "a", "b", "c"])]
-    df = spark.createDataFrame(rows, "decl_id string, line_no bigint, text string")
-    found = comments.summarize_blocks(df, size=8).collect()
-    assert [(r.part, r.summary, r.description) for r in found] == [(0, "First", "A\nb\nc")]
-
-
-def endpoint_summary(spark, texts, size=1 << 17):
+def endpoint_summary(spark, texts, apart):
     rows = [("s", "v", "f", i, t) for i, t in enumerate(texts)]
+    rows = [(*r[:3], r[3] + apart * (r[3] > 1), r[4]) for r in rows]
     df = spark.createDataFrame(rows, "service string, version string, fun string, line_no bigint, text string")
-    described = spark.createDataFrame([("s", "v", "f", "create an email")], ["service", "version", "fun", "sentence"])
-    found = comments.summarize_endpoints(df, described, size=size).orderBy("part").collect()
-    return "".join(r.summary for r in found), "\n".join(r.description for r in found if r.description)
+    keys = ["service", "version", "fun"]
+    described = spark.createDataFrame([("s", "v", "f", "create an email")], [*keys, "sentence"])
+    found = comments.summarize_endpoints(df, described)
+    (summary,) = [r.summary for r in comments.summary_of(found, keys).collect()]
+    return summary, "".join(r.description for r in comments.description_of(found, keys).collect())
 
 
-@pytest.mark.parametrize("size", [1 << 17, 2])
+@pytest.mark.parametrize("apart", [0, 500_000])
 @pytest.mark.parametrize(
     "texts, summary, description",
     [
@@ -78,10 +72,19 @@ def endpoint_summary(spark, texts, size=1 << 17):
         (["swagger:route GET /x", "the line.", "rest"], "The line", "Rest"),
         (["", " "], "Create an email", ""),
         (["// marked", "@api:body T"], "Marked", ""),
+        (["// marked", "@api:body T", "", "then text", "x"], "Marked", "\nthen text\nx"),
     ],
 )
-def test_summarize_endpoints(spark, texts, summary, description, size):
-    assert endpoint_summary(spark, texts, size) == (summary, description)
+def test_summarize_endpoints(spark, texts, summary, description, apart):
+    assert endpoint_summary(spark, texts, apart) == (summary, description)
+
+
+def test_scans_and_exchanges(spark, tmp_path):
+    """The corpus is read twice at most, for the bounds and for the lines."""
+    lines(spark, ["a", "", "b"]).write.parquet(str(tmp_path / "lines"))
+    found = comments.summarize_blocks(spark.read.parquet(str(tmp_path / "lines")))
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("FileScan") <= 3 and plan.count("Exchange hashpartitioning") <= 6
 
 
 def test_directives(spark, rows_of):

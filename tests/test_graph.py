@@ -1,9 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pactscope.operators import graph, routes
-from pactscope.operators.routes import DepthLimitError
 
 
 def edges_of(spark, pairs):
@@ -39,8 +39,10 @@ def test_reachable_types_limit(spark):
     chain = edges_of(spark, [("x", f"t{i}", f"t{i + 1}") for i in range(19)])
     seeds = spark.createDataFrame([("x", "t1")], ["service", "type_key"])
     assert graph.reachable_types(seeds, chain, ["service"]).count() == 19
-    with pytest.raises(DepthLimitError):
-        graph.reachable_types(spark.createDataFrame([("x", "t0")], ["service", "type_key"]), chain, ["service"])
+    assert graph.too_deep(graph.reachable_types(seeds, chain, ["service"])).count() == 0
+    longer = graph.reachable_types(spark.createDataFrame([("x", "t0"), ("y", "t0")], ["service", "type_key"]), chain, ["service"])
+    assert longer.count() == 21  # another service's depth holds up nothing
+    assert [tuple(r) for r in graph.too_deep(longer).select("service", "type_key").collect()] == [("x", "t19")]
 
 
 @pytest.mark.parametrize("seed, n, m", [(3, 25, 30), (4, 40, 45), (5, 20, 60), (6, 10, 0)])
@@ -74,8 +76,12 @@ def test_flatten_embedded_limit(spark):
 
     fields = spark.createDataFrame([("T0", 1, "x")], "type_key string, pos int, name string")
     assert graph.flatten_embedded(chain(10), fields).count() == 1
-    with pytest.raises(DepthLimitError):
-        graph.flatten_embedded(chain(11), fields)
+    assert graph.deep_embeds(chain(10)).count() == 0
+    deep = chain(11).unionByName(spark.createDataFrame([("A", 0, "B"), ("B", 0, "A"), ("C", 0, "T11")], fields.schema).toDF("type_key", "pos", "embedded_key"))
+    more = fields.unionByName(spark.createDataFrame([("T11", 0, "y"), ("A", 1, "z")], fields.schema))
+    assert {r.type_key for r in graph.deep_embeds(deep).collect()} == {"T0", "A", "B"}
+    found = {(r.type_key, r.name) for r in graph.flatten_embedded(deep, more).collect()}
+    assert found == {("T11", "y"), ("C", "y"), *((f"T{i}", "y") for i in range(1, 11))}
 
 
 def test_resolve_aliases(spark):
@@ -88,8 +94,10 @@ def test_resolve_aliases(spark):
         "A": ("[]map[string]D", True), "B": ("map[string]D", True), "C": ("D", True), "E": ("string", True), "F": ("Z", False),
     }
     circle = spark.createDataFrame([("A", "alias", "B"), ("B", "alias", "A")], types.schema)
-    with pytest.raises(DepthLimitError):
-        graph.resolve_aliases(circle, max_depth=16)
+    both = types.withColumn("service", F.lit("good")).unionByName(circle.withColumn("service", F.lit("bad")))
+    found = {(r.service, r.type_key): (r.target_key, r.resolved) for r in graph.resolve_aliases(both, ["service"]).collect()}
+    assert found["bad", "A"] == found["bad", "B"] == (None, False)
+    assert found["good", "A"] == ("[]map[string]D", True) and len(found) == 7
 
 
 def test_flatten_routes(spark):
@@ -106,5 +114,13 @@ def test_flatten_routes(spark):
     df = spark.createDataFrame(nodes, "node int, parent int, prefix string")
     assert {r.node: r.path for r in routes.flatten_routes(df).collect()} == paths
     circle = spark.createDataFrame([(1, 2, "a"), (2, 1, "b")], df.schema)
-    with pytest.raises(DepthLimitError):
-        routes.flatten_routes(circle, max_depth=16)
+    long = [(i, i - 1 if i else None, "x") for i in range(200)]
+    mixed = (
+        df.withColumn("service", F.lit("good"))
+        .unionByName(circle.unionByName(spark.createDataFrame([(3, 1, "c"), (4, None, "d")], df.schema)).withColumn("service", F.lit("bad")))
+        .unionByName(spark.createDataFrame(long, df.schema).withColumn("service", F.lit("long")))
+    )
+    found = {(r.service, r.node): r.path for r in routes.flatten_routes(mixed, ["service"]).collect()}
+    assert {n: p for (s, n), p in found.items() if s == "good"} == paths
+    assert {n: p for (s, n), p in found.items() if s == "bad"} == {1: None, 2: None, 3: None, 4: "/d"}
+    assert found["long", 199] == "/x" * 200

@@ -38,7 +38,16 @@ def test_documents_are_json(spark):
     found = queries()["contract_documents"](spark, SF_DIR).collect()
     parts = queries()["document_parts"](spark, SF_DIR).collect()
     assert {r.service for r in found} == {r.service for r in parts}
-    read = {r.service: json.loads(r.document) for r in found}
+    read = {}
+    for r in found:
+        section = read.setdefault(r.service, {})
+        if r.item is None:
+            section[r.section] = json.loads(r.document)
+            continue
+        place = section.setdefault(r.section, {})
+        *kind, item = r.item.split("/", 1) if r.section in ("components", "x-undocumented") else [r.item]
+        place = place.setdefault(kind[0], {}) if kind else place
+        place[item] = json.loads(r.document)
     for part in parts:
         place = read[part.service]
         steps = [s.replace("~1", "/").replace("~0", "~") for s in part.pointer[1:].split("/")]

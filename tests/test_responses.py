@@ -130,18 +130,27 @@ def test_bodies(spark):
     assert found == {"one": ("single", False, "Text", ["m.A"]), "two": ("one_of", True, "", ["m.A", "m.B"])}
 
 
-def test_large_groups_are_divided_and_stay_whole(spark):
-    """A group with a third of all rows becomes several bounded rows that hold everything."""
+def test_groups_stay_whole_and_in_order(spark):
+    """A group with a third of all rows is one value, complete and sorted."""
     rows = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 200)).alias("key"), F.col("id")
     )
-    parts = common.collect_parts(rows, ["key"], F.col("id"), spread=F.col("id"), size=50).collect()
-    assert max(len(p["items"]) for p in parts) < 120
-    hot = [p for p in parts if p.key == "hot"]
-    assert len(hot) == 20 and {p.parts for p in hot} == {20}
-    assert sorted(i for p in hot for i in p["items"]) == list(range(0, 3000, 3))
-    assert all(p["items"] == sorted(p["items"]) for p in parts)
-    assert sum(len(p["items"]) for p in parts) == 3000
+    found = {r.key: r["items"] for r in common.collect_ordered(rows, ["key"], F.col("id")).collect()}
+    assert found["hot"] == list(range(0, 3000, 3)) and sum(map(len, found.values())) == 3000
+    assert all(items == sorted(items) for items in found.values())
+
+
+def test_undocumented_takes_mounted_handlers(spark):
+    """A type that an unmounted handler uses first is still reported for the mounted one."""
+    routes = spark.createDataFrame([("s", "1", "live", "GET", "/x")], "service string, version string, fun string, verb string, path string")
+    bodies = spark.createDataFrame(
+        [("s", "1", "dead", "body", "m.A", "", 1), ("s", "1", "live", "body", "m.A", "", 2)],
+        "service string, version string, fun string, location string, name string, description string, ord int",
+    )
+    assert [(r.type_key, r.fun, r.path) for r in params.undocumented_bodies(bodies, routes).collect()] == [("m.A", "live", "/x")]
+    results = bodies.withColumnRenamed("name", "type_key").drop("location", "description")
+    types = spark.createDataFrame([("m.A", "")], "type_key string, summary string")
+    assert [(r.type_key, r.fun, r.verb) for r in params.undocumented_results(results, types, routes).collect()] == [("m.A", "live", "GET")]
 
 
 def test_set_operations(spark, rows_of):
