@@ -87,6 +87,25 @@ ERROR_RULES = [
     ("body_required", 6, "ErrorMissingMandatoryRequestParameter"),
 ]
 
+# Errors that any handler may raise; used only where they are asked for.
+GENERAL_CONDITION = "general"
+GENERAL_ERRORS = [
+    "ErrorForbidden",
+    "ErrorInvalidBackendRequest",
+    "ErrorServerResponse",
+    "ErrorReadingResponse",
+    "ErrorProcessingResponse",
+    "ErrorEncodingRequestBody",
+    "ErrorCreatingRequest",
+    "ErrorSendingRequest",
+    "ErrorInvalidSessionResponse",
+    "ErrorInvalidRequestPayload",
+    "ErrorInvalidResponsePayload",
+    "ErrorServerUnavailable",
+    "ErrorServerFailure",
+    "ErrorForbiddenOperation",
+]
+
 # The error of a missing account, and the errors per needed kind of account.
 MISSING_ACCOUNT_ERROR = "ErrorNonExistingAccount"
 CAPABILITY_ERRORS = [
@@ -207,9 +226,13 @@ def http_status(spark: SparkSession) -> DataFrame:
     return fixed_table(spark, "code status_name reason", HTTP_STATUS)
 
 
-def error_rules(spark: SparkSession) -> DataFrame:
-    """The seven parameter conditions: ``condition, condition_rank, error_name``."""
-    return fixed_table(spark, "condition condition_rank error_name", ERROR_RULES)
+def error_rules(spark: SparkSession, general: bool = False) -> DataFrame:
+    """The seven parameter conditions: ``condition, condition_rank, error_name``.
+
+    With ``general``, the errors that any handler may raise follow after them.
+    """
+    more = [(GENERAL_CONDITION, len(ERROR_RULES), name) for name in GENERAL_ERRORS] if general else []
+    return fixed_table(spark, "condition condition_rank error_name", [*ERROR_RULES, *more])
 
 
 def capability_errors(spark: SparkSession) -> DataFrame:

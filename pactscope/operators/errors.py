@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactscope.catalogue.defaults import MISSING_ACCOUNT_ERROR, HeaderRule
+from pactscope.catalogue.defaults import GENERAL_CONDITION, MISSING_ACCOUNT_ERROR, HeaderRule
 from pactscope.operators.common import HANDLER, SERVICE, present
 
 CONDITIONS = ("account", "query", "query_required", "path", "path_required", "body", "body_required")
@@ -43,8 +43,11 @@ def missing_handler_errors(handler_errors: DataFrame, errors: DataFrame) -> Data
 
 
 def held_conditions() -> Column:
-    """An array with the name of each condition that holds, and null for each other one."""
-    return F.array(*[F.when(F.col(f"has_{c}"), F.lit(c)) for c in CONDITIONS])
+    """An array with the name of each condition that holds, and null for each other one.
+
+    The general one always holds; it counts where the rules have errors for it.
+    """
+    return F.array(*[F.when(F.col(f"has_{c}"), F.lit(c)) for c in CONDITIONS], F.lit(GENERAL_CONDITION))
 
 
 def rule_payloads(errors: DataFrame, rules: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pactscope.catalogue.defaults import (
     COMMON_REQUEST_HEADERS,
     DEFAULT_HEADERS,
     ERROR_RULES,
+    GENERAL_ERRORS,
     HTTP_STATUS,
     RESPONSE_HELPERS,
 )
@@ -132,6 +133,19 @@ _oracle(
     f"""SELECT decl_id AS doc_id, line_no, {_strip("ltrim(m, ' ')")} AS text FROM (
       SELECT decl_id, line_no, CASE WHEN line_no % 2 = 0 THEN '// ' || raw ELSE raw END AS m FROM fx_lines) WHERE ltrim(m, ' ') LIKE '//%'""",
 )
+for _name in ("read_corpus", "read_corpus_in_splits"):
+    _oracle(
+        _name, "fx_lines",
+        f"""SELECT source, text, count(*) AS n FROM (SELECT decl_id, {_strip("ltrim(m, ' ')")} AS text FROM (
+          SELECT decl_id, CASE WHEN line_no % 2 = 0 THEN '// ' || raw ELSE raw END AS m FROM fx_lines) WHERE ltrim(m, ' ') LIKE '//%')
+        JOIN (SELECT doc_id AS decl_id, source FROM documents) USING (decl_id) GROUP BY source, text""",
+    )
+_oracle(
+    "read_examples", "fx_example_records",
+    f""", r AS (SELECT *, CASE WHEN contains(type, '.') THEN substr(type, strpos(type, '.') + 1) ELSE type END AS n FROM fx_example_records)
+    SELECT type AS type_key, key, CASE WHEN title = '' THEN {_title(f"({_article('n')} || ' ' || n)")} ELSE title END AS title,
+      CASE WHEN scope = '' THEN 'any' ELSE scope END AS scope, CAST(json_extract_string(payload, '$.k') AS BIGINT) AS payload_k FROM r""",
+)
 _oracle(
     "normalise_examples", "fx_example_records",
     f""", r AS (SELECT *, CASE WHEN contains(type, '.') THEN substr(type, strpos(type, '.') + 1) ELSE type END AS n FROM fx_example_records)
@@ -391,6 +405,13 @@ _RULED = f"""held AS (SELECT {_HANDLER}, replace(flag, 'has_', '') AS condition
 ruled AS (SELECT h.service, h.version, fun, condition, condition_rank, error_name, status, code, title, detail, type_key, example_key
   FROM held h JOIN {_RULES} USING (condition) JOIN fx_errors e ON h.service = e.service AND h.version = e.version AND error_name = name)"""
 _oracle("apply_error_rules", "fx_params fx_errors", f", {_FLAGS}, {_RULED} SELECT * FROM ruled")
+_GENERAL = ", ".join(f"'{name}'" for name in GENERAL_ERRORS)
+_oracle(
+    "apply_general_errors", "fx_params fx_errors",
+    f""", {_FLAGS}, {_RULED} SELECT * FROM ruled
+    UNION ALL SELECT f.service, f.version, fun, 'general', 7, name, status, code, title, detail, type_key, example_key
+      FROM flags f JOIN fx_errors e ON f.service = e.service AND f.version = e.version AND name IN ({_GENERAL})""",
+)
 _oracle(
     "applicable_headers", "fx_responses",
     "SELECT ord, code, header FROM fx_responses JOIN "

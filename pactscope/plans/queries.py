@@ -75,6 +75,46 @@ def corpus_lines(documents):
     return corpus.comment_lines(marked)
 
 
+def _corpus_files(spark, documents):
+    """The lines of the documents as files, every second one a comment; one folder per source."""
+    folder = scratch_path(spark, "corpus")
+    lines = corpus.lines_of(documents, ["source"])
+    marked = F.when(F.col("line_no") % 2 == 0, F.concat(F.lit("// "), F.col("text"))).otherwise(F.col("text"))
+    lines.select("source", marked.alias("text")).write.partitionBy("source").text(folder)
+    return folder
+
+
+def _lines_read(found):
+    source = F.regexp_extract("file", "source=([^/]+)/", 1).alias("source")
+    return found.groupBy(source, "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def read_corpus(spark, documents):
+    """Comment lines of files that are read whole."""
+    return _lines_read(corpus.read_corpus(spark, _corpus_files(spark, documents), "*.txt"))
+
+
+@query
+def read_corpus_in_splits(spark, documents):
+    """Comment lines of files that are read in splits."""
+    return _lines_read(corpus.read_corpus(spark, _corpus_files(spark, documents), "*.txt", whole_bytes=0))
+
+
+@query
+def read_examples(spark, fx_example_records):
+    """Examples in files of one JSON array each."""
+    folder = scratch_path(spark, "examples")
+    record = F.concat(
+        F.regexp_replace(F.to_json(F.struct("type", "key", "title", "scope", "origin")), r"\}$", ',"example":'), "payload", F.lit("}")
+    )
+    files = fx_example_records.groupBy(F.floor(F.col("ord") / 4096).alias("file")).agg(F.collect_list(record).alias("records"))
+    text = F.concat(F.lit("["), F.array_join("records", ","), F.lit("]")).alias("text")
+    files.select("file", text).write.partitionBy("file").text(folder)
+    found = example_files.read_examples(spark, folder, "*.txt")
+    return found.select("type_key", "key", "title", "scope", F.from_json("payload", "k bigint")["k"].alias("payload_k"))
+
+
 @query
 def normalise_examples(fx_example_records):
     """Example records with default scope, title and origin."""
@@ -401,6 +441,13 @@ def apply_error_rules(spark, fx_params, fx_errors):
     return errors.apply_error_rules(params.endpoint_flags(fx_params), fx_errors, defaults.error_rules(spark))
 
 
+@query
+def apply_general_errors(spark, fx_params, fx_errors):
+    """Errors by the conditions of parameters, and those that any handler may raise."""
+    flags = params.endpoint_flags(fx_params)
+    return errors.apply_error_rules(flags, fx_errors, defaults.error_rules(spark, general=True))
+
+
 @query
 def applicable_headers(fx_responses):
     """Headers of each response."""

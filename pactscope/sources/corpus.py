@@ -69,9 +69,11 @@ def read_lines(spark: SparkSession, path: str, glob: str = "*", whole_bytes: int
     return small.withColumn("line_no", F.col("line_no").cast("long")).unionByName(large)
 
 
-def read_corpus(spark: SparkSession, path: str, glob: str = "*.go") -> DataFrame:
+def read_corpus(
+    spark: SparkSession, path: str, glob: str = "*.go", whole_bytes: int = WHOLE_FILE_BYTES
+) -> DataFrame:
     """The comment lines below ``path``, without their markers: ``file, line_no, text``."""
-    return comment_lines(read_lines(spark, path, glob))
+    return comment_lines(read_lines(spark, path, glob, whole_bytes))
 
 
 def comment_lines(lines: DataFrame) -> DataFrame:
