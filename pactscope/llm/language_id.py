@@ -84,7 +84,7 @@ def fit(profiles: np.ndarray, labels: list[str], bits: int = 15, rounds: int = 1
     """Logistic regression for each bit, all bits at once, by accelerated gradient steps on class-balanced rows."""
     languages = sorted(set(labels))
     codes = codewords(len(languages), bits)
-    index = np.array([languages.index(x) for x in labels])
+    index = np.array([languages.index(x) for x in labels], dtype=np.int64)
     target = codes[index].astype(np.float32)
     share = np.bincount(index, minlength=len(languages)).astype(np.float32)
     row = (1.0 / (share[index] * len(languages)))[:, None].astype(np.float32)
