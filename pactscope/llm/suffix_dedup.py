@@ -304,6 +304,7 @@ def repeated_stretches(docs: DataFrame, text_col: str = "text", bucket: int = BU
     texts = _keyed(docs, text_col).where(F.octet_length("text") >= LENGTH)
     # 1. anchors that occur more than once
     often = texts.mapInArrow(_anchor_rows(False), "h long").groupBy("h").count().where("count > 1").select("h")
+    often = freeze(often, "often")  # a table of its own, so that the join can be split where one anchor is hot
     places = texts.mapInArrow(_anchor_rows(True), "h long, around long, k1 long, k2 long, place long")
     places = freeze(places.join(often, "h"), "anchors")
     # 2. equal surroundings settle all strings of an anchor
@@ -316,14 +317,15 @@ def repeated_stretches(docs: DataFrame, text_col: str = "text", bucket: int = BU
         .distinct()
     )
     # 3. buckets with differing surroundings are sorted; each surroundings once
-    mixed = around.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+    mixed = freeze(around.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"), "mixed")
     wanted = around.join(mixed, "h").select(
         "one.k1", "one.k2", F.struct(F.col("size").alias("n"), "h", "one.place", (F.col("n") == 1).alias("single")).alias("want")
     )
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("want").alias("wanted"))
-    sources = texts.join(wanted, ["k1", "k2"])
+    # copies of a text meet before they are shuffled
+    sources = texts.groupBy("k1", "k2").agg(F.any_value("text").alias("text")).join(wanted, ["k1", "k2"])
     if not around.isEmpty():
-        contexts = freeze(sources.mapInArrow(_contexts(bucket), _CONTEXT), "contexts").dropDuplicates(["k1", "k2", "first", "bucket", "near"])
+        contexts = freeze(sources.mapInArrow(_contexts(bucket), _CONTEXT), "contexts")
     else:
         contexts = docs.sparkSession.createDataFrame([], _CONTEXT)
     plain = contexts.where("not divided")
