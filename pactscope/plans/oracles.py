@@ -153,6 +153,15 @@ _oracle(
       CASE WHEN scope = '' THEN 'any' ELSE scope END AS scope, file || CASE WHEN origin = '' THEN '' ELSE ':' || origin END AS origin, payload FROM r""",
 )
 _oracle("catalogue_round_trip", "fx_endpoints", "SELECT service, version, verb, path, fun, ord FROM fx_endpoints")
+_KEYED = "endpoints handlers params responses errors handler_errors".split()
+_SHARED = "comment_lines param_defs types fields enums examples tag_defs".split()
+_oracle(
+    "catalogue_tables", " ".join(f"fx_{t}" for t in (*_KEYED, *_SHARED, "release_tags")),
+    " UNION ALL ".join(
+        [f"SELECT '{t}' AS name, service, count(*) AS n FROM fx_{t} GROUP BY service" for t in (*_KEYED, "release_tags")]
+        + [f"SELECT '{t}', 'shared', count(*) FROM fx_{t}" for t in _SHARED]
+    ),
+)
 _CODE = r"""^((?:[^"/]|"(?:[^"\\]|\\.)*"|/[^"/])*)"""
 _CALL = r"\b((?:[A-Za-z_]\w*\.)?[A-Za-z_]\w*\([^()]*\))"
 _FUNC = r"^func\s+(?:\(\w+\s+\*?\w+\)\s+)?(\w+)\("

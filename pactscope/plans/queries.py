@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -129,6 +130,24 @@ def catalogue_round_trip(spark, fx_endpoints):
     return catalogue.read_catalogue(spark, folder)["endpoints"]
 
 
+@query
+def catalogue_tables(
+    spark, fx_endpoints, fx_handlers, fx_comment_lines, fx_params, fx_param_defs, fx_responses, fx_errors, fx_handler_errors,
+    fx_types, fx_fields, fx_enums, fx_examples, fx_tag_defs, fx_release_tags,
+):
+    """All tables of a catalogue written and read again, with the rows of each service."""
+    given = dict(locals())
+    tables = {n.removeprefix("fx_"): df for n, df in given.items() if n.startswith("fx_")}
+    folder = scratch_path(spark, "catalogue")
+    shared = {"service": "shared", "version": "v1"}
+    catalogue.write_catalogue({n: catalogue.conform(n, df, **shared) for n, df in tables.items()}, folder)
+    counted = [
+        df.groupBy("service").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "service", "n")
+        for name, df in catalogue.read_catalogue(spark, folder).items()
+    ]
+    return functools.reduce(DataFrame.unionByName, counted)
+
+
 @query
 def mine_call_sites(fx_source_lines):
     """Calls on lines of source, with their function."""

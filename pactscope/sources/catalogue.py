@@ -6,6 +6,7 @@ import os
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pactscope.catalogue.schemas import COLUMNS, schema_of
 
@@ -24,6 +25,15 @@ def read_catalogue(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return catalogue
 
 
+def conform(table: str, df: DataFrame, **fixed: str) -> DataFrame:
+    """``df`` with the columns of a catalogue table; ``fixed`` values and nulls stand for those it lacks."""
+    columns = []
+    for field in schema_of(table).fields:
+        column = F.col(field.name) if field.name in df.columns else F.lit(fixed.get(field.name))
+        columns.append(column.cast(field.dataType).alias(field.name))
+    return df.select(*columns)
+
+
 def write_catalogue(catalogue: dict[str, DataFrame], folder: str) -> None:
     """Write the tables, one folder per service, so that a reader of one service skips the others.
 
