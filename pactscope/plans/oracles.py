@@ -897,7 +897,11 @@ _oracle(
     stated AS (SELECT DISTINCT {_HANDLER}, tag FROM dir_tags),
     all_tags AS (SELECT {_HANDLER}, tag FROM base JOIN stated USING ({_HANDLER}) UNION SELECT {_HANDLER}, unnest({_TAGS_OF_PATH}) FROM singles ANTI JOIN stated USING ({_HANDLER})),
     single AS (SELECT *, '/paths/' || {_token("path")} || '/' || lower(verb) AS place FROM fx_endpoints QUALIFY row_number() OVER (PARTITION BY service, version, path, verb ORDER BY ord) = 1),
-    merged AS (SELECT p.service, p.version, p.fun, p.location, p.required, d.wire_name, CASE WHEN p.description = '' THEN d.description ELSE p.description END AS description
+    told_tags AS (SELECT s.*, EXISTS (SELECT 1 FROM all_tags a WHERE a.service = s.service AND a.version = s.version AND a.fun = s.fun) AS tagged FROM single s),
+    marks AS (SELECT service, version, place, unnest(list_filter([CASE WHEN NOT tagged THEN 'untagged' END, CASE WHEN path = '/accounts/all' OR path LIKE '/accounts/all/%' THEN 'unified' END, 'all'],
+      lambda x: x IS NOT NULL)) AS tag FROM told_tags),
+    merged AS (SELECT p.service, p.version, p.fun, p.location, p.required, d.wire_name, CASE WHEN p.description = '' THEN d.description ELSE p.description END AS description,
+      CASE WHEN p.default_value = '' THEN d.default_value ELSE p.default_value END AS default_value
       FROM {_last("fx_params", _HANDLER + ", location, name")} p JOIN fx_param_defs d ON p.location = d.location AND p.name = d.const_name WHERE p.location <> 'body'),
     g AS (SELECT type_key, string_agg(to_json(attr)::VARCHAR || ':' || schema, ',' ORDER BY pos) AS members, string_agg(to_json(attr)::VARCHAR, ',' ORDER BY pos) FILTER (required) AS req
       FROM properties WHERE schema IS NOT NULL GROUP BY type_key),
@@ -914,9 +918,11 @@ _oracle(
     SELECT service, version, '/info' AS pointer, '{{"title":"Contract","version":"' || version || '"}}' AS fragment FROM services
     UNION ALL SELECT service, version, place, '{{"operationId":"' || fun || '"' || {_member("summary", "e.summary")} || {_member("description", "e.description")} || '}}'
       FROM single JOIN endpoint_summaries e USING ({_HANDLER})
-    UNION ALL SELECT service, version, place || '/tags/' || {_token("tag")}, to_json(tag)::VARCHAR FROM single JOIN all_tags USING ({_HANDLER})
+    UNION ALL SELECT service, version, place || '/tags/' || {_token("tag")}, to_json(tag)::VARCHAR
+      FROM (SELECT service, version, place, tag FROM single JOIN all_tags USING ({_HANDLER}) UNION SELECT * FROM marks)
     UNION ALL SELECT service, version, place || '/parameters/' || location || '.' || wire_name,
-      '{{"name":"' || wire_name || '","in":"' || location || '","required":' || required || {_member("description", "description")} || ',"schema":{{"type":"string"}}}}' FROM single JOIN merged USING ({_HANDLER})
+      '{{"name":"' || wire_name || '","in":"' || location || '","required":' || required || {_member("description", "description")} || ',"explode":true,"schema":{{"type":"string"' || {_member("description", "description")} || {_member("default", "default_value")} || '}}}}'
+      FROM single JOIN merged USING ({_HANDLER})
     UNION ALL SELECT service, version, place || '/parameters/header.' || header, '{{"name":"' || header || '","in":"header","required":' || required || {_member("description", "description")} || ',"schema":{{"type":"string"}}}}'
       FROM single CROSS JOIN {_COMMON}
     UNION ALL SELECT service, version, place || '/responses/' || code, CASE WHEN source = 'default' THEN '{{"$ref":"#/components/responses/m.ErrorResponse.' || code || '"}}' ELSE

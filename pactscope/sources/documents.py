@@ -25,6 +25,7 @@ from pactscope.catalogue.defaults import (
 )
 from pactscope.functions.jsontext import json_string, pointer_token, with_member
 from pactscope.functions.sentences import status_text
+from pactscope.functions.tags import UNTAGGED, decorate_tags
 from pactscope.functions.text import blank_to_null
 from pactscope.functions.typekeys import leaf_key, wrappers
 from pactscope.operators.common import HANDLER, SERVICE
@@ -54,7 +55,8 @@ def _operation_steps(*more: Column) -> list[Column]:
 def operation_parts(endpoints: DataFrame, summaries: DataFrame, tags: DataFrame) -> DataFrame:
     """One part per operation, and one per tag of an operation.
 
-    ``summaries`` has ``fun, summary, description``; ``tags`` has ``fun, tag``.
+    ``summaries`` has ``fun, summary, description``; ``tags`` has ``fun, tag``. Operations are also marked as untagged,
+    as spanning accounts, and with the tag of all.
     """
     described = endpoints.join(summaries.select(*HANDLER, "summary", "description"), HANDLER, "left")
     operations = _part(
@@ -68,25 +70,35 @@ def operation_parts(endpoints: DataFrame, summaries: DataFrame, tags: DataFrame)
             )
         ),
     )
-    tagged = endpoints.join(tags.select(*HANDLER, "tag").distinct(), HANDLER)
+    stated = tags.select(*HANDLER, "tag").distinct()
+    place = [*HANDLER, "path", "verb"]
+    marks = F.explode(decorate_tags(F.array().cast("array<string>"), F.col("path"))).alias("tag")
+    silent = endpoints.join(stated.select(*HANDLER).distinct().withColumn("_stated", F.lit(True)), HANDLER, "left")
+    marked = silent.select(*place, "_stated", marks).where(F.col("_stated").isNull() | (F.col("tag") != UNTAGGED))
+    tagged = endpoints.select(*place).join(stated, HANDLER).unionByName(marked.drop("_stated")).distinct()
     return operations.unionByName(
         _part(tagged, _operation_steps(F.lit("tags"), F.col("tag")), json_string(F.col("tag")))
     )
 
 
-def type_schema(key: Column) -> Column:
+def type_schema(key: Column, description: Column | None = None, default: Column | None = None) -> Column:
     """JSON schema of a type where it is used: basic types in place, others by reference."""
     leaf, nothing = leaf_key(key), F.lit("")
+    description, default = (nothing if x is None else F.coalesce(x, nothing) for x in (description, default))
     reference = F.concat(F.lit('{"$ref":'), json_string(F.concat(F.lit(SCHEMA_REF), leaf)), F.lit("}"))
-    return wrap_schema(F.coalesce(basic_schema(leaf, nothing, nothing), reference), wrappers(key), nothing)
+    return wrap_schema(F.coalesce(basic_schema(leaf, description, default), reference), wrappers(key), description)
 
 
 def parameter_parts(
     endpoints: DataFrame, resolved: DataFrame, headers: Sequence[RequestHeader] = COMMON_REQUEST_HEADERS
 ) -> DataFrame:
-    """One part per operation and parameter; the common headers are listed once per operation."""
+    """One part per operation and parameter; the common headers are listed once per operation.
+
+    A parameter's schema carries its description and default value; parameters without a type are texts.
+    """
     joined = endpoints.select(*HANDLER, "verb", "path").join(resolved, HANDLER)
-    schema = type_schema(F.col("type_key")) if "type_key" in resolved.columns else type_schema(F.lit("string"))
+    key = F.coalesce("type_key", F.lit("string")) if "type_key" in resolved.columns else F.lit("string")
+    schema = type_schema(key, F.col("description"), F.col("default_value"))
     own = _part(
         joined,
         _operation_steps(F.lit("parameters"), F.concat_ws(".", "location", "wire_name")),
@@ -97,10 +109,11 @@ def parameter_parts(
                     F.col("location").alias("in"),
                     "required",
                     blank_to_null(F.col("description")).alias("description"),
+                    F.lit(True).alias("explode"),
                 )
             ),
             "schema",
-            F.coalesce(schema, type_schema(F.lit("string"))),
+            schema,
         ),
     )
     shared = F.explode(
