@@ -24,10 +24,12 @@ SHINGLE = 5
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
 SIMILAR = 0.8
-#: Pairs whose signatures agree in less are not verified in the second round; at 0.8 this misses about one in 10**6.
-ESTIMATE = 0.6
+#: Pairs whose signatures agree in less are not verified in the second round; of pairs at 0.8 this is one in 20,000.
+ESTIMATE = 0.66
+#: Pairs of a block in which both texts have failed so often are not verified.
+FAILURES = 8
 #: Texts of a bucket that one task compares with each other by signature.
-BLOCK = 1024
+BLOCK = 512
 _RUN_BYTES = 1 << 20
 
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -172,26 +174,49 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _across(group: pd.DataFrame) -> pd.DataFrame:
-    """For each text of a block and each other class in it, the partner whose signature agrees best, if it may be similar."""
+    """Links between texts of different classes in a block of a bucket.
+
+    Pairs come by estimate, best first, and are verified while their texts are not linked yet; a pair of two texts that
+    have failed ``FAILURES`` times each is passed over, so the work follows the number of texts.
+    """
     sign = np.stack([np.frombuffer(s, dtype="<u2") for s in group["signature"]])
     _, classes = np.unique(group["root"].to_numpy(), return_inverse=True)
-    sides, keys = group["side"].to_numpy(), group["key"].to_numpy()
+    sides, keys, texts = (group[c].to_numpy() for c in ("side", "key", "text"))
+    one = sides == group["one"].iloc[0]
+    crossed = bool((group["one"] != group["two"]).iloc[0])
+    first, second, estimate = [], [], []
+    for i in np.flatnonzero(one):
+        partners = np.flatnonzero(~one) if crossed else np.arange(i + 1, len(group))
+        agree = (sign[partners] == sign[i]).mean(axis=1)
+        near = (agree >= ESTIMATE) & (classes[partners] != classes[i])
+        first.append(np.full(int(near.sum()), i))
+        second.append(partners[near])
+        estimate.append(agree[near])
+    first, second = np.concatenate([[], *first]).astype(int), np.concatenate([[], *second]).astype(int)
+    order = np.argsort(-np.concatenate([[], *estimate]), kind="stable")
+    above, failed = list(range(int(classes.max()) + 1)), np.zeros(len(group), dtype=int)
+    weighted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def root(c: int) -> int:
+        while above[c] != c:
+            above[c] = above[above[c]]
+            c = above[c]
+        return c
+
     found_a, found_b = [], []
-    same_block = bool((group["one"] == group["two"]).all())
-    rows = np.arange(len(group)) if same_block else np.flatnonzero(sides == group["one"].iloc[0])
-    columns = rows if same_block else np.flatnonzero(sides != group["one"].iloc[0])
-    order = columns[np.argsort(classes[columns], kind="stable")]
-    if len(order):
-        edges = np.flatnonzero(np.diff(classes[order], prepend=-1))
-        for i in rows:
-            agree = (sign[order] == sign[i]).mean(axis=1)
-            agree[classes[order] == classes[i]] = -1
-            top = np.maximum.reduceat(agree, edges)
-            for c in np.flatnonzero(top >= ESTIMATE):
-                stop = edges[c + 1] if c + 1 < len(edges) else len(order)
-                j = order[edges[c] + int(agree[edges[c] : stop].argmax())]
-                found_a.append(min(keys[i], keys[j]))
-                found_b.append(max(keys[i], keys[j]))
+    for i, j in zip(first[order].tolist(), second[order].tolist(), strict=True):
+        c, d = root(int(classes[i])), root(int(classes[j]))
+        if c == d or failed[i] >= FAILURES and failed[j] >= FAILURES:
+            continue
+        for k in (i, j):
+            if k not in weighted:
+                weighted[k] = _weighted(texts[k])
+        if probability_jaccard(weighted[i], weighted[j]) >= SIMILAR:
+            above[c] = d
+            found_a.append(keys[i])
+            found_b.append(keys[j])
+        else:
+            failed[[i, j]] += 1
     return pd.DataFrame({"a": np.array(found_a, dtype=object), "b": np.array(found_b, dtype=object)})
 
 
@@ -199,8 +224,8 @@ def similar_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``key`` and ``root`` of every text that is similar to another one; the root stands for its class.
 
     First every text of a bucket is verified against the bucket's first text, so a group of copies costs one pair for
-    each member. Then texts that share a bucket but not yet a class are compared by signature in blocks, and each is
-    verified against its best partner in every other class. A bucket of any size is spread over blocks.
+    each member. Then texts that share a bucket but not yet a class are compared by signature in blocks, and verified
+    from the best estimate down. A bucket of any size is spread over blocks.
     """
     texts = docs.where(F.col(text_col).isNotNull()).select(text_key(text_col).alias("key"), F.col(text_col).alias("text"))
     signed = texts.mapInArrow(_signed, "key binary, bands array<long>, signature binary")
@@ -215,13 +240,10 @@ def similar_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     held = freeze(texts.join(wanted, "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text")), "texts")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        one = held.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-        two = held.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-        joined = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
-        return joined.mapInPandas(_verified, "a binary, b binary")
-
-    links = freeze(verified(pairs), "links")
+    one = held.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
+    two = held.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
+    joined = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
+    links = freeze(joined.mapInPandas(_verified, "a binary, b binary"), "links")
     classes = components(links).withColumnsRenamed({"node": "key"})
 
     # buckets that still hold several classes
@@ -232,14 +254,12 @@ def similar_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("side", F.pmod(F.xxhash64("key"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select(
-        "band", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side", "key", "root", "signature"
-    )
-    across = rows.groupBy("band", "one", "two").applyInPandas(_across, "a binary, b binary").distinct()
-    across = freeze(across.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    one, two = F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two")
+    rows = rows.join(held, "key").select("band", one, two, "side", "key", "root", "signature", "text")
+    across = freeze(rows.groupBy("band", "one", "two").applyInPandas(_across, "a binary, b binary"), "links")
     if across.isEmpty():
         return classes
-    return components(links.unionByName(verified(across))).withColumnsRenamed({"node": "key"})
+    return components(links.unionByName(across)).withColumnsRenamed({"node": "key"})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
