@@ -238,11 +238,12 @@ def similar_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     candidates = members.join(buckets, "band").where(F.col("key") != F.col("a"))
     pairs = freeze(candidates.select("a", F.col("key").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    held = freeze(texts.join(wanted, "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text")), "texts")
+    # texts are shuffled at every size: what they are joined with grows with the corpus, so it is never broadcast
+    held = freeze(texts.hint("merge").join(wanted, "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text")), "texts")
 
     one = held.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     two = held.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
+    joined = pairs.join(two.hint("merge"), "b").join(one.hint("merge"), "a").select("a", "b", "text_a", "text_b")
     links = freeze(joined.mapInPandas(_verified, "a binary, b binary"), "links")
     classes = components(links).withColumnsRenamed({"node": "key"})
 
@@ -255,7 +256,7 @@ def similar_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = rows.withColumn("side", F.pmod(F.xxhash64("key"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     one, two = F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two")
-    rows = rows.join(held, "key").select("band", one, two, "side", "key", "root", "signature", "text")
+    rows = rows.join(held.hint("merge"), "key").select("band", one, two, "side", "key", "root", "signature", "text")
     across = freeze(rows.groupBy("band", "one", "two").applyInPandas(_across, "a binary, b binary"), "links")
     if across.isEmpty():
         return classes
