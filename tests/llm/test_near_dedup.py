@@ -8,7 +8,7 @@ import pytest
 from brute_force import brute, classes, weighted
 
 from pactscope.llm.graph import components
-from pactscope.llm.near_dedup import drop_near_duplicates, near_duplicates, shingles, signatures, similarity
+from pactscope.llm.near_dedup import _between, drop_near_duplicates, near_duplicates, probability_jaccard, shingles, signatures, similarity
 from pactscope.llm.queries import QUERIES
 
 
@@ -52,6 +52,41 @@ def test_groups_and_common_passages(spark):
     assert found[0] == (0, 125) and all(found[i] == (i, 1) for i in range(75, 195))
 
 
+def test_pairs_hidden_in_a_crowd(spark):
+    draw = random.Random(11)
+
+    # texts of one passage that are at 0.75 to 0.79 to each other, and among them pairs at 0.80 to 0.84
+    passage = [f"{draw.randrange(10**9)}" for _ in range(400)]
+    crowd = [[*passage, *(f"{draw.randrange(10**9)}" for _ in range(57))] for _ in range(420)]
+    texts = [" ".join(w) for w in crowd] + [" ".join([*w[:400], *w[400:413], *(f"{draw.randrange(10**9)}" for _ in range(44))]) for w in crowd[:60]]
+    assert 0.75 < similarity(texts[60], texts[61]) < 0.8 and 0.75 < similarity(texts[0], texts[421]) < 0.8
+    assert all(0.8 <= similarity(texts[k], texts[420 + k]) < 0.84 for k in range(60))
+    draw.shuffle(texts)
+    rows = list(enumerate(texts))
+    sets = [set(weighted(t)) for t in texts]  # no shingle occurs twice, so shared ones are counted
+    expected = {i: i for i in range(len(texts))}
+    for i, mine in enumerate(sets):
+        for j in range(i):
+            shared = len(mine & sets[j])
+            if shared / (len(mine) + len(sets[j]) - shared) >= 0.8:
+                expected[i] = expected[j]
+    assert len(set(expected.values())) == 420
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.id: r.class_id for r in found.collect()} == expected
+
+
+def test_bounds_hold_the_similarity():
+    draw = random.Random(13)
+    for _ in range(200):
+        sets = []
+        for _ in range(5):
+            hashed = np.array(sorted(draw.sample(range(12), draw.randrange(1, 12))), dtype=np.uint64)
+            sets.append((hashed, np.array([float(draw.randrange(1, 4)) for _ in hashed])))
+        low, high = _between(sets[0], sets[1:])
+        exact = [probability_jaccard(sets[0], other) for other in sets[1:]]
+        assert all(a - 1e-9 <= x <= b + 1e-9 for a, x, b in zip(low, exact, high, strict=True))
+
+
 def test_edges(edge_docs, no_docs):
     found = near_duplicates(edge_docs).collect()
     assert len(found) == 12
