@@ -7,6 +7,7 @@ length; short and doubtful blocks stay open. In the second pass these take the l
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -164,25 +165,34 @@ def _words(text: str) -> list[str]:
 
 
 def classify(blocks: list[Block], short: int = 70, long: int = 120, dense: float = 0.3, sparse: float = 0.15) -> list[bool]:
-    """For each block, whether it is main text. Blocks inside boilerplate elements are left out of the second pass."""
-    has_content = any(b.place == GOOD for b in blocks)
-    labels, free = [], [i for i, b in enumerate(blocks) if b.place == GOOD or b.place == OPEN and not has_content]
+    """For each block, whether it is main text. Blocks inside boilerplate elements are left out of both passes.
+
+    Inside elements that are marked as main text more links and fewer stop words are allowed, and what stays open counts
+    as near.
+    """
+    labels, free = [], [i for i, b in enumerate(blocks) if b.place != BAD]
     for b in (blocks[i] for i in free):
-        density = b.linked / len(b.text)
-        if has_content:
-            labels.append(GOOD if density <= 0.5 else OPEN)
-        elif density > 0.33 or b.text.startswith("©"):
+        density, marked = b.linked / len(b.text), b.place == GOOD
+        if density > (0.5 if marked else 0.33) or b.text.startswith("©") and not marked:
             labels.append(BAD)
         elif b.heading or len(b.text) < short:
-            labels.append(OPEN)
+            labels.append(NEAR if marked else OPEN)
         else:
             words = _words(b.text)
             stops = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
-            if stops >= dense:
+            if marked:
+                labels.append(GOOD if stops >= sparse else NEAR)
+            elif stops >= dense:
                 labels.append(GOOD if len(b.text) >= long else NEAR)
             else:
                 labels.append(NEAR if stops >= sparse else BAD)
-    good = {i for i, settled in zip(free, _settle(labels), strict=True) if settled}
+    settled, start = _settle(labels), 0
+    for marked, run in itertools.groupby(free, key=lambda i: blocks[i].place == GOOD):
+        end = start + sum(1 for _ in run)
+        if marked:  # what stands around a marked element decides nothing inside it
+            settled[start:end] = _settle(labels[start:end])
+        start = end
+    good = set(itertools.compress(free, settled))
     return [i in good for i in range(len(blocks))]
 
 

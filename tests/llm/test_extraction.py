@@ -43,6 +43,19 @@ def test_short_blocks_take_the_nearest_label():
     assert main_text(f"<p>{GOOD}</p><p>near</p><p>also</p><p>far</p><p><a>{'link ' * 20}</a></p>") == f"{GOOD} near"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><p>Teaser</p></article><div><p>{GOOD}</p><p>{GOOD}</p></div>", f"Teaser {GOOD} {GOOD}"),
+        (f"<div class='story'><a href='/1'>One</a></div><div><p>{GOOD}</p></div>", GOOD),
+        (f"<article><p>{GOOD}</p></article><p>{'link ' * 9}<a>{'link ' * 20}</a></p><div><p>{GOOD}</p></div>", f"{GOOD} {GOOD}"),
+        (f"<ul><li><a href='/'>Home</a></ul><article><h1>A</h1><p>b</p><p>c</p><p>{GOOD}</p></article>", f"A b c {GOOD}"),
+    ],
+)
+def test_text_outside_the_marked_element(page, text):
+    assert main_text(page) == text
+
+
 def test_nesting_and_length():
     assert main_text("<div>" * 3_000 + f"<p>{GOOD}</p>" + "</div>" * 2_000) == GOOD
     assert len(blocks_of("<p>x" * 50_000)) == 50_000
