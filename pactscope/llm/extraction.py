@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import itertools
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,9 @@ STOP_WORDS = frozenset(
 )
 
 #: Elements whose content is never text, elements that hold boilerplate, and elements that hold the main text.
-DROPPED = "script|style|noscript|template|svg|math|iframe|object|select|textarea|button|title|canvas|audio|video"
+DROPPED = frozenset("noscript template svg math iframe object select button canvas audio video".split())
+#: Dropped elements that hold no tags: without their own end they go on to the end of the page.
+RAW = "script|style|textarea|title"
 BOILERPLATE = frozenset("nav footer aside form menu dialog header".split())
 CONTENT = frozenset("article main".split())
 BLOCKS = frozenset(
@@ -48,7 +51,7 @@ BAD_NAMES = re.compile(
 GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:articlebody|article-body|post-content|entry-content|article|story|content-body)(?=$|[\s_-])", re.I)
 
 _PIECE = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<drop>{DROPPED})(?=[\s>/])[^>]*>.*?(?:</(?P=drop)\s*>|\Z)|<!\[CDATA\[.*?\]\]>"
+    rf"<!--.*?(?:-->|\Z)|<(?P<drop>{RAW})(?=[\s>/])[^>]*(?:(?<=/)>|>.*?(?:</(?P=drop)\s*>|\Z))|<!\[CDATA\[.*?\]\]>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -78,6 +81,8 @@ def blocks_of(page: str, trust: bool = True) -> list[Block]:
     stack: list[tuple[str, int]] = []
     parts: list[tuple[str, bool]] = []
     links, heading = 0, False
+    # how many of each tag are open, and the open tags from a dropped element on
+    opened, dropped = Counter(), []
 
     def place() -> int:
         said = 0
@@ -97,15 +102,34 @@ def blocks_of(page: str, trust: bool = True) -> list[Block]:
 
     at = 0
     for piece in _PIECE.finditer(page):
-        if piece.start() > at:
+        if piece.start() > at and not dropped:
             parts.append((page[at : piece.start()], links > 0))
         at = piece.end()
         tag = piece["tag"]
         if tag is None:
-            if piece["drop"] is None and piece[0].startswith("<![CDATA["):
+            if piece["drop"] is None and piece[0].startswith("<![CDATA[") and not dropped:
                 parts.append((piece[0][9:-3], links > 0))
             continue
         tag = tag.lower()
+        alone = tag in VOID or piece["rest"].endswith("/")
+        if dropped:
+            if not piece["close"]:
+                if not alone:
+                    dropped.append(tag)
+                continue
+            if tag in dropped:
+                while dropped.pop() != tag:
+                    pass
+                continue
+            if not opened[tag]:
+                continue
+            dropped.clear()  # never closed: it ends with its parent
+        if tag in DROPPED:
+            if not piece["close"] and not alone:
+                dropped.append(tag)
+            continue
+        if not alone:
+            opened[tag] = max(0, opened[tag] + (-1 if piece["close"] else 1))
         if tag == "br":
             parts.append((" ", False))
             continue
@@ -154,7 +178,7 @@ def blocks_of(page: str, trust: bool = True) -> list[Block]:
             stack = [(t, OPEN if what == BAD else what) for t, what in stack]
         if tag != "p" or said != OPEN:
             stack.append((tag, said))
-    if at < len(page):
+    if at < len(page) and not dropped:
         parts.append((page[at:], links > 0))
     end_block()
     return found

@@ -56,6 +56,21 @@ def test_text_outside_the_marked_element(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("inside", "text"),
+    [
+        ("<p>a <svg class='i'/> b</p><p>c</p>", "a b c"),
+        ("<p>a <math x=1 /> b</p><script src='s'/><p>c</p>", "a b c"),
+        *((f"<p>a <{tag}>x</p><p>c</p>", "a c") for tag in ("button", "select", "object", "audio", "video")),
+        ("<div>a <button><p>x</p><b>y</div><p>c <button>z</button>d</p>", "a c d"),
+        ("<p>a <svg><title>t</title><g><path d=''/></g></i></svg> b</p><object>x<object>y</object>z</object><p>c</p>", "a b c"),
+        ("<p>a</p><noscript><div>x</div><br>y</noscript><style>p{}</style><p>c</p><script>x</p><p>y", "a c"),
+    ],
+)
+def test_dropped_elements_end(inside, text):
+    assert main_text(f"<article>{inside}</article>") == text
+
+
 def test_nesting_and_length():
     assert main_text("<div>" * 3_000 + f"<p>{GOOD}</p>" + "</div>" * 2_000) == GOOD
     assert len(blocks_of("<p>x" * 50_000)) == 50_000
