@@ -181,12 +181,14 @@ def expand_templates(
         used.where(written.isNotNull())
         .withColumn("_written", written)
         .withColumn("type_key", _actual_type(F.col("_written")))
+        # a step of its own: beside ``type_key AS name``, ``name`` inside a lambda would mean that alias
+        .withColumn("_text", F.coalesce(rendered("body_comment_tpl"), F.lit("")))
         .select(
             *HANDLER,
             "template",
             F.col("type_key").alias("name"),
             "type_key",
-            F.coalesce(rendered("body_comment_tpl"), F.lit("")).alias("description"),
+            F.col("_text").alias("description"),
             F.col("body_required").alias("required"),
             problem().alias("problem"),
         )
