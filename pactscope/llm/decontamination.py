@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactscope.llm.common import freeze, packed, text_key
-from pactscope.llm.native import NON_WORDS, lower_ascii, with_window_hashes, words
+from pactscope.llm.native import NON_WORDS, lower_ascii, words
 
 #: So many benchmark windows are broadcast (about 50 MB); with more, the join shuffles both sides.
 BROADCAST_WINDOWS = 500_000
@@ -21,9 +21,12 @@ def _window_text(words_col: str, start: Column, n: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct windows: ``length``, ``window`` (words joined by a space) and ``items``, the ids that hold it."""
+    """Distinct windows: ``length``, ``window`` (words joined by a space) and ``items``, the ids that hold it.
+
+    Items without an id have windows like others; only the list of ids leaves them out.
+    """
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), words(text_col, NON_WORDS).alias("words"))
-    items = items.where(F.col("item").isNotNull() & (F.size("words") > 0))
+    items = items.where(F.size("words") > 0)
     items = items.withColumn("length", F.least(F.size("words"), F.lit(n)))
     starts = F.explode(F.sequence(F.lit(0), F.size("words") - F.col("length"))).alias("start")
     found = items.select("item", "length", "words", starts)
@@ -36,31 +39,45 @@ def benchmark_hits(
 ) -> DataFrame:
     """``key`` (of the text), ``start``, ``length``, ``items``: verified windows, once for each text and place.
 
-    Screening hashes words in full lower case, which can only add candidates; the join on the window itself decides.
-    The outer form of explode keeps Spark from adding a filter that would work out all hashes a second time.
+    One scan serves all lengths of windows: every text is split once, and at each word the windows of all lengths that
+    start there are hashed. Screening hashes words in full lower case, which can only add candidates; the join on the
+    window itself decides. The outer form of explode keeps Spark from adding a filter that splits the text again.
     """
-    windows = benchmark_windows(benchmark, n, item_col)
-    lengths = [(r["length"], r["count"]) for r in windows.groupBy("length").count().collect()]  # n rows at most
+    windows = freeze(benchmark_windows(benchmark, n, item_col), "windows")
+    lengths = {r["length"]: r["count"] for r in windows.groupBy("length").count().collect()}  # n rows at most
+    if not lengths:
+        return docs.sparkSession.createDataFrame([], "key binary, start int, length int, items array<string>")
+    wanted = windows.select(
+        F.xxhash64(F.transform(F.split("window", " "), F.lower)).alias("hash"), F.col("length").alias("_n"), "window", "items"
+    )
     texts = docs.where(F.col(text_col).isNotNull()).select(
         text_key(text_col).alias("key"), words(text_col, NON_WORDS).alias("words")
     )
-    parts = []
-    for length, count in sorted(lengths):
-        wanted = windows.where(F.col("length") == length)
-        wanted = wanted.withColumn("hash_words", F.split("window", " "))
-        wanted = with_window_hashes(wanted, "hash_words", "hash", length, F.lower)
-        wanted = wanted.select(F.col("hash")[0].alias("hash"), "window", "items")
-        hashed = with_window_hashes(texts, "words", "hashes", length, F.lower)
-        hashed = hashed.select("key", "words", F.posexplode_outer("hashes").alias("start", "hash"))
-        found = hashed.join(F.broadcast(wanted) if count <= BROADCAST_WINDOWS else wanted, "hash")
-        found = found.where(_window_text("words", F.col("start"), F.lit(length)) == F.col("window"))
-        parts.append(found.select("key", "start", F.lit(length).alias("length"), "items"))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], "key binary, start int, length int, items array<string>")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found.dropDuplicates(["key", "start", "length"])
+    # in a step before explode, which would work it out for each row
+    texts = texts.withColumn("folded", F.transform("words", F.lower))
+    at = texts.select("key", "words", "folded", F.posexplode_outer("words").alias("start", "_w"))
+    starting = F.array(
+        *[
+            F.struct(F.lit(length).alias("length"), F.xxhash64(F.slice("folded", F.col("start") + 1, F.lit(length))).alias("hash"))
+            for length in sorted(lengths)
+        ]
+    )
+    if len(lengths) == 1:
+        hashed = at.select("key", "words", "start", starting[0]["length"].alias("length"), starting[0]["hash"].alias("hash"))
+    else:
+        hashed = at.select("key", "words", "start", F.inline_outer(starting))
+    hashed = hashed.where(F.col("start") + F.col("length") <= F.size("words"))
+    found = hashed.join(F.broadcast(wanted) if sum(lengths.values()) <= BROADCAST_WINDOWS else wanted, "hash")
+    found = found.where(
+        (F.col("length") == F.col("_n")) & (_window_text("words", F.col("start"), F.col("length")) == F.col("window"))
+    )
+    return found.select("key", "start", "length", "items").dropDuplicates(["key", "start", "length"])
+
+
+def _hit_words() -> Column:
+    """All words that the windows of a group cover, sorted."""
+    covered = F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(covered))))
 
 
 def contamination(
@@ -69,23 +86,13 @@ def contamination(
     """``id``, ``n_words``, ``hit`` (places of hit words, sorted) and ``items`` (sorted as strings) of every row.
 
     Null and empty texts have no words and no hits. Equal texts share one set of hits, so copies cost nothing more;
-    rows without an id and repeated rows come back like others. Items without an id are left out. Very long texts are
-    scanned whole. An empty benchmark hits nothing; an empty table gives an empty result. Other columns are ignored.
+    rows without an id and repeated rows come back like others. Items without an id hit like others but cannot be listed.
+    Very long texts are scanned whole. An empty benchmark hits nothing; an empty table gives an empty result. Other columns are ignored.
     """
     by_text = (
         benchmark_hits(docs, benchmark, n, text_col)
         .groupBy("key")
-        .agg(
-            F.flatten(
-                F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1))
-            ).alias("hit"),
-            F.flatten(F.collect_set("items")).alias("items"),
-        )
-        .select(
-            "key",
-            F.array_sort(F.array_distinct("hit")).alias("hit"),
-            F.array_sort(F.array_distinct("items")).alias("items"),
-        )
+        .agg(_hit_words().alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     )
     by_text = freeze(by_text, "hits")  # so that the join, which copies of a text may skew, can be split
     rows = docs.select(
@@ -111,36 +118,38 @@ def remove_contamination(
     """The documents without hit words, or (``drop_documents``) only the documents without hits.
 
     Of a run of hit words, what lies between them goes too. A text that has no other word is dropped. ``length_col``,
-    where there is one, is set anew for changed texts. All columns of the documents come back as they were.
+    where there is one, is set anew for changed texts. All columns of the documents come back as they were; null and
+    empty texts, rows without an id and repeated rows stay. An empty benchmark changes nothing; an empty table gives an
+    empty result. The work on a text grows in proportion to its length: what is kept are the stretches between runs.
     """
-    hits = benchmark_hits(docs, benchmark, n, text_col).groupBy("key").agg(
-        F.array_distinct(
-            F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)))
-        ).alias("hit")
-    )
+    hits = benchmark_hits(docs, benchmark, n, text_col).groupBy("key").agg(_hit_words().alias("hit"))
+    hits = freeze(hits, "hits")
     rows = packed(docs, id_col, text_col).withColumn("key", text_key())
     if drop_documents:
         return rows.join(hits, "key", "left_anti").select("row.*")
-    rows = rows.join(hits, "key", "left")
     word = NON_WORDS.replace("[", "[^", 1)
     # every second piece is a word; words are counted from 0
     pieces = F.regexp_extract_all("text", F.lit(f"({word}|{NON_WORDS})"), F.lit(1))
-    rows = rows.withColumn("pieces", F.when(F.col("hit").isNotNull(), pieces))
-    rows = rows.withColumn("lead", F.when(F.col("pieces")[0].rlike(word), 0).otherwise(1))
-    hit = F.col("hit")
-
-    def stays(piece: Column, at: Column) -> Column:
-        before = F.floor((at - F.col("lead")) / 2).cast("int")  # this word, or the word before this gap
-        is_word = F.pmod(at - F.col("lead"), F.lit(2)) == 0
-        gone = F.array_contains(hit, before) & (is_word | F.array_contains(hit, before + 1))
-        return ~gone
-
-    left = F.array_join(F.filter("pieces", stays), "")
-    rows = rows.withColumn("left", F.when(hit.isNotNull(), left).otherwise(F.col("text")))
-    rows = rows.where(hit.isNull() | (F.size(words("left", NON_WORDS)) > 0))
+    rows = rows.join(hits, "key", "left").select("row", "hit", F.when(F.col("hit").isNotNull(), pieces).alias("pieces"))
+    # written, so that no later step can put the pattern into a place where it runs once for each piece
+    rows = freeze(rows, "pieces")
+    lead = F.when(F.col("pieces")[0].rlike(word), 0).otherwise(1)
+    n_words = F.floor((F.size("pieces") - lead + 1) / 2)
+    rows = rows.where(F.col("hit").isNull() | (n_words > F.size("hit")))
+    first = F.filter("hit", lambda x, i: (i == 0) | (F.get("hit", i - 1) != x - 1))
+    last = F.filter("hit", lambda x, i: (i == F.size("hit") - 1) | (F.get("hit", i + 1) != x + 1))
+    # a kept stretch goes from behind the last word of a run (or the beginning) to the first word of the next (or the end)
+    behind = F.concat(F.array(F.lit(0)), F.transform(last, lambda x: lead + 2 * x + 1))
+    until = F.concat(F.transform(first, lambda x: lead + 2 * x), F.array(F.size("pieces")))
+    rows = rows.withColumn("stretches", F.arrays_zip(behind.alias("a"), until.alias("b")))
+    left = F.array_join(
+        F.flatten(F.transform("stretches", lambda s: F.slice("pieces", s["a"] + 1, s["b"] - s["a"]))), ""
+    )
+    text = F.col("row")[text_col]
+    rows = rows.withColumn("left", F.when(F.col("hit").isNotNull(), left).otherwise(text))
     named = {text_col: F.col("left")}
     if length_col and length_col in docs.columns:
-        named[length_col] = F.when(hit.isNull(), F.col("row")[length_col]).otherwise(
+        named[length_col] = F.when(F.col("hit").isNull(), F.col("row")[length_col]).otherwise(
             F.length("left").cast(docs.schema[length_col].dataType)
         )
     return rows.select(*[named.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -50,7 +50,7 @@ WITH doc AS (
   SELECT CAST(item_id AS VARCHAR) AS item,
     list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
-  FROM benchmark WHERE item_id IS NOT NULL
+  FROM benchmark
 ), need AS (
   SELECT DISTINCT item, n, list_aggregate(w[p:p + n - 1], 'string_agg', ' ') AS win
   FROM (SELECT item, w, least(len(w), 10) AS n, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS p
@@ -64,7 +64,7 @@ WITH doc AS (
 ), hit AS (
   SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(generate_series(p, p + n - 1)) AS q FROM found) GROUP BY r
 ), items AS (
-  SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS listed FROM found GROUP BY r
+  SELECT r, count(DISTINCT item) AS n_items, coalesce(string_agg(DISTINCT item, ',' ORDER BY item), '') AS listed FROM found GROUP BY r
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,

@@ -1,9 +1,11 @@
 """The operators made of built-in functions, against reference SQL and on edge cases."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from pactscope.llm.decontamination import contamination, remove_contamination
+from pactscope.llm.decontamination import benchmark_hits, contamination, remove_contamination
 from pactscope.llm.line_quality import clean_documents, line_verdicts
 from pactscope.llm.queries import ORACLES, QUERIES
 
@@ -47,7 +49,8 @@ def test_contamination(edge_docs, items):
     assert len(prose) == 3
     for row in prose:
         # "the lazy dog" 6-8, "seven ... village" 10-23, "owls never ... plans" at the end
-        assert row.hit == [6, 7, 8, *range(10, 24), *range(row.n_words - 7, row.n_words)]
+        # and the item without an id: "quick ... wise" 1-11
+        assert row.hit == [*range(1, 24), *range(row.n_words - 7, row.n_words)]
         assert row["items"] == ["1", "2", "5", "6"]
     assert all(r.hit == [] and r["items"] == [] for r in found if r.id not in (1, 2))
     assert {r.id: r.n_words for r in found if r.id in (3, 4, 5, 6, 9)} == {3: 0, 4: 0, 5: 0, 6: 1, 9: 0}
@@ -67,7 +70,7 @@ def test_remove_contamination(edge_docs, items):
     assert len(rows) == 12
     prose = next(r for r in rows if r.doc_id == 2)
     assert prose.text == (
-        "the quick brown fox jumps over  while  knows why they came or when they will leave again because "
+        "the  knows why they came or when they will leave again because "
     )
     assert prose.n_chars == len(prose.text) and prose.key == "key"
     dropped = remove_contamination(edge_docs, items, drop_documents=True)
@@ -76,6 +79,33 @@ def test_remove_contamination(edge_docs, items):
     assert remove_contamination(only, items).count() == 0
 
 
+def test_one_scan_for_all_lengths(spark, edge_docs):
+    rows = [(i, " ".join(f"w{j}" for j in range(i))) for i in range(1, 13)]
+    plan = contamination(edge_docs.limit(5), spark.createDataFrame(rows, "item_id long, text string"))
+    assert plan.count() == 5
+    docs = spark.createDataFrame([(1, "x w0 w1 w2 y w0"), (2, " ".join(f"w{j}" for j in range(12)))], "doc_id long, text string")
+    hits = benchmark_hits(docs, spark.createDataFrame(rows, "item_id long, text string"))
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
+    found = {r.id: r for r in contamination(docs, spark.createDataFrame(rows, "item_id long, text string")).collect()}
+    assert found[1].hit == [1, 2, 3, 5] and found[1]["items"] == ["1", "2", "3"]
+    assert found[2].hit == list(range(12)) and len(found[2]["items"]) == 12
+
+
+def test_removal_is_linear(spark):
+    def seconds(n):
+        words = [f"a{i}" if i % 50 else "bad phrase here" for i in range(n)]
+        docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+        items = spark.createDataFrame([(1, "bad phrase here")], "item_id long, text string")
+        start = time.perf_counter()
+        left = remove_contamination(docs, items).first().text
+        assert left.count("a") == n - n // 50 and "bad" not in left
+        return time.perf_counter() - start
+
+    seconds(100)
+    small = seconds(20_000)
+    assert small < 10 and seconds(80_000) < 5 * max(small, 2)
+
+
 def test_line_verdicts(spark, edge_docs, no_docs):
     found = {(r.id, r.host): r for r in line_verdicts(edge_docs).collect()}
     assert found[1, "a"].kept and found[7, "b"].kept
