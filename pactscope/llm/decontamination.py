@@ -20,6 +20,22 @@ def _window_text(words_col: str, start: Column, n: Column) -> Column:
     return lower_ascii(F.array_join(F.slice(words_col, start + 1, n), " "))
 
 
+def _pieces(text: str) -> Column:
+    """A text cut at its separators; the first and the last piece may be empty, which spares a pass over all of them."""
+    return F.split(F.coalesce(text, F.lit("")), NON_WORDS)
+
+
+def _before(pieces: str) -> Column:
+    """1 if the first piece is empty, else 0."""
+    return (F.get(pieces, F.lit(0)) == "").cast("int")
+
+
+def _count(pieces: str) -> Column:
+    """The number of words."""
+    behind = ((F.size(pieces) > 1) & (F.get(pieces, F.size(pieces) - 1) == "")).cast("int")
+    return F.size(pieces) - _before(pieces) - behind
+
+
 def benchmark_windows(benchmark: DataFrame, n: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Distinct windows: ``length``, ``window`` (words joined by a space) and ``items``, the ids that hold it.
 
@@ -51,7 +67,7 @@ def benchmark_hits(
         F.xxhash64(F.transform(F.split("window", " "), F.lower)).alias("hash"), F.col("length").alias("_n"), "window", "items"
     )
     texts = docs.where(F.col(text_col).isNotNull()).select(
-        text_key(text_col).alias("key"), words(text_col, NON_WORDS).alias("words")
+        text_key(text_col).alias("key"), _pieces(text_col).alias("words")
     )
     # in a step before explode, which would work it out for each row
     texts = texts.withColumn("folded", F.transform("words", F.lower))
@@ -71,7 +87,9 @@ def benchmark_hits(
     found = found.where(
         (F.col("length") == F.col("_n")) & (_window_text("words", F.col("start"), F.col("length")) == F.col("window"))
     )
-    return found.select("key", "start", "length", "items").dropDuplicates(["key", "start", "length"])
+    # windows of words only: an empty piece equals no word
+    found = found.select("key", (F.col("start") - _before("words")).alias("start"), "length", "items")
+    return found.dropDuplicates(["key", "start", "length"])
 
 
 def _hit_words() -> Column:
@@ -96,8 +114,9 @@ def contamination(
     )
     by_text = freeze(by_text, "hits")  # so that the join, which copies of a text may skew, can be split
     rows = docs.select(
-        F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.size(words(text_col, NON_WORDS)).alias("n_words")
+        F.col(id_col).alias("id"), text_key(text_col).alias("key"), _pieces(text_col).alias("words")
     )
+    rows = rows.select("id", "key", _count("words").alias("n_words"))
     return rows.join(by_text, "key", "left").select(
         "id",
         F.col("n_words").cast("long").alias("n_words"),

@@ -72,4 +72,76 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLES = {"op4_line_frequency": LINE_FREQUENCY, "op9_decontamination": DECONTAMINATION}
+MERKLE = r"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, n_chars,
+    CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END ||
+    CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END ||
+    CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS front,
+    CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS back
+  FROM documents
+), bits AS (
+  -- CRC-32 of the decimal id, a byte at a time: eight shifts for each
+  SELECT r, CAST(doc_id AS VARCHAR) AS s, 0 AS i, CAST(4294967295 AS BIGINT) AS c FROM doc WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT r, s, i + 1,
+    list_reduce([xor(c, CAST(ascii(s[i + 1]) AS BIGINT)), 1, 2, 3, 4, 5, 6, 7, 8],
+      lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)
+  FROM bits WHERE i < length(s)
+), crc AS (
+  SELECT r, xor(c, 4294967295) AS crc FROM bits WHERE i = length(s)
+), leaf AS (
+  SELECT doc.r, doc_id, lang,
+    sha256(front || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END || back) AS leaf,
+    CASE WHEN coalesce(crc % 7 = 0, false)
+      THEN sha256(front || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) END || back)
+    END AS changed
+  FROM doc LEFT JOIN crc USING (r)
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY CAST(lang AS BLOB) NULLS FIRST) - 1 AS g,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos,
+    count(*) OVER (PARTITION BY lang) AS n
+  FROM leaf
+), lower_node AS (
+  SELECT g, 0 AS level, pos, leaf AS digest, n FROM placed
+  UNION ALL
+  SELECT g, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2
+  FROM lower_node WHERE n > 1 GROUP BY g, level, pos // 2, n
+), subroot AS (
+  SELECT g, max(level) AS height, max_by(digest, level) AS digest FROM lower_node WHERE n = 1 GROUP BY g
+), upper_node AS (
+  SELECT 0 AS level, g AS pos, digest, (SELECT count(*) FROM subroot) AS n FROM subroot
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2
+  FROM upper_node WHERE n > 1 GROUP BY level, pos // 2, n
+), step AS (
+  SELECT p.r, k AS level, p.pos >> k AS idx, s.digest AS sibling
+  FROM (SELECT placed.*, unnest(generate_series(0, height - 1)) AS k FROM placed JOIN subroot USING (g) WHERE height > 0) p
+  LEFT JOIN lower_node s ON s.g = p.g AND s.level = k AND s.pos = xor(p.pos >> k, 1)
+  UNION ALL
+  SELECT p.r, height + k, p.g >> k, s.digest
+  FROM (SELECT placed.*, height, unnest(generate_series(0, (SELECT max(level) FROM upper_node) - 1)) AS k
+        FROM placed JOIN subroot USING (g) WHERE (SELECT max(level) FROM upper_node) > 0) p
+  LEFT JOIN upper_node s ON s.level = k AND s.pos = xor(p.g >> k, 1)
+), proof AS (
+  SELECT r, sha256(coalesce(string_agg(sibling, '' ORDER BY level), '')) AS proof_sha256, count(*) AS steps FROM step GROUP BY r
+), fold AS (
+  SELECT r, 0 AS level, coalesce(changed, leaf) AS digest FROM placed
+  UNION ALL
+  SELECT r, fold.level + 1,
+    sha256(CASE WHEN sibling IS NULL THEN digest WHEN idx % 2 = 1 THEN sibling || digest ELSE digest || sibling END)
+  FROM fold JOIN step USING (r) WHERE step.level = fold.level
+), top AS (
+  SELECT r, max_by(digest, level) AS folded_root FROM fold GROUP BY r
+)
+SELECT doc_id, leaf, subroot.digest AS subroot, (SELECT digest FROM upper_node WHERE n = 1) AS root,
+  coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root,
+  folded_root = (SELECT digest FROM upper_node WHERE n = 1) AS verified
+FROM placed JOIN subroot USING (g) LEFT JOIN proof USING (r) JOIN top USING (r)
+"""
+
+ORACLES = {
+    "op4_line_frequency": LINE_FREQUENCY,
+    "op9_decontamination": DECONTAMINATION,
+    "op12_time_forward_merkle": MERKLE,
+}

@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, with reference SQL where SQL can express them."""
+"""The operators as queries over whole tables, with reference SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pactscope.llm.decontamination import contamination
 from pactscope.llm.extraction import extract_text
 from pactscope.llm.language_id import identify_language, learn_languages
 from pactscope.llm.line_quality import line_verdicts
+from pactscope.llm.merkle import folded, merkle_manifest, row_digest
 from pactscope.llm.near_dedup import near_duplicates
 from pactscope.llm.oracles import ORACLES
 from pactscope.llm.packing import pack_documents
@@ -149,3 +150,29 @@ def op5_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "evidence",
         "site_rate",
     )
+
+
+@query
+def op12_time_forward_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in a Merkle tree of the dataset, its proof, and whether a changed row is found out."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    changed = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    more = F.when(changed, F.col("n_chars").cast("long") + 1)
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id",
+        "lang",
+        row_digest(*fields).alias("leaf"),
+        F.when(changed, row_digest(*[more if c == "n_chars" else c for c in fields])).alias("changed"),
+    )
+    found = merkle_manifest(docs, "lang", ["doc_id"])
+    siblings = F.transform("proof", lambda step: F.substring(step, 2, 64))
+    found = found.withColumn("folded_root", folded(F.coalesce("changed", "leaf"), F.col("proof")))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.array_join(siblings, "").cast("binary"), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
