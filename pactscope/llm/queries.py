@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactscope.llm.common import held_out, read
+from pactscope.llm.common import freeze, held_out, read
 from pactscope.llm.decontamination import contamination
 from pactscope.llm.extraction import extract_text
+from pactscope.llm.fingerprints import edited_fingerprints, likeness, within_radius
 from pactscope.llm.language_id import identify_language, learn_languages
 from pactscope.llm.line_quality import line_verdicts
 from pactscope.llm.merkle import folded, merkle_manifest, row_digest
@@ -176,3 +177,31 @@ def op12_time_forward_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+@query
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints of every document and of its edited text, and how like they are.
+
+    Documents whose id is divisible by 20 are searched for among all: ``n_near`` counts the others within the radius.
+    """
+    found = edited_fingerprints(read(spark, sf_dir, "documents"))
+    found = found.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        F.lower(F.hex("fingerprint")).alias("fingerprint"),
+        F.lower(F.hex("edited")).alias("edited_fingerprint"),
+        likeness("fingerprint", "edited").alias("near_edited"),
+        likeness("fingerprint", "following").alias("near_next"),
+    )
+    found = freeze(found, "fingerprints")
+    asked = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
+    members = found.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.bool_or(asked).alias("asked"))
+    members = freeze(members.withColumn("fingerprint", F.unhex("fingerprint")), "members")
+    pairs = within_radius(members, members.where("asked"))
+    sizes = members.select(F.col("fingerprint").alias("member"), "n")
+    near = pairs.join(sizes, "member").groupBy("query").agg(F.sum("n").alias("n"))
+    near = freeze(near.select(F.lower(F.hex("query")).alias("fingerprint"), (F.col("n") - 1).alias("n_near")), "near")
+    rest = found.where(~asked).withColumn("n_near", F.lit(None).cast("long"))
+    return found.where(asked).join(near, "fingerprint").select(*rest.columns).unionByName(rest)
