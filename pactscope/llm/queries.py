@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pactscope.llm.merkle import folded, merkle_manifest, row_digest
 from pactscope.llm.near_dedup import near_duplicates
 from pactscope.llm.oracles import ORACLES
 from pactscope.llm.packing import pack_documents
+from pactscope.llm.periods import plain_words, summarised
 from pactscope.llm.quality_bayes import score_quality
 from pactscope.llm.sharding import shard_documents
 from pactscope.llm.suffix_dedup import repeated_bytes
@@ -205,3 +207,33 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = freeze(near.select(F.lower(F.hex("query")).alias("fingerprint"), (F.col("n") - 1).alias("n_near")), "near")
     rest = found.where(~asked).withColumn("n_near", F.lit(None).cast("long"))
     return found.where(asked).join(near, "fingerprint").select(*rest.columns).unionByName(rest)
+
+
+def with_planted_run(doc_id: int | None, text: str | None) -> list[bytes]:
+    """The words of a text; in every tenth document, by the checksum of its id, the last words repeat a period."""
+    words = plain_words(doc_id, text)
+    h = crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document's words, and the text without repeated periods."""
+    found = summarised(read(spark, sf_dir, "documents"), with_planted_run)
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
