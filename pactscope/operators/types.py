@@ -91,11 +91,50 @@ def scope_variants(fields: DataFrame) -> DataFrame:
     )
 
 
+def documented_types(types: DataFrame) -> DataFrame:
+    """The types that documents have a schema of: structs that are not hidden by their name."""
+    return types.where((F.col("kind") == "struct") & ~F.col("name").startswith(HIDDEN_TYPE_PREFIX))
+
+
+def shown_types(rows: DataFrame, column: str, types: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``rows`` with the types of ``column`` as documents write them, and ``unknown``, the type that they cannot show.
+
+    Aliases stand for their targets. A type that the row's service doesn't have is shown as anything (``any``), below its
+    arrays and maps, so that nothing refers to a schema that isn't there.
+    """
+    keys = present(SERVICE, rows, types)
+    given = F.col(column)
+    leaf = leaf_key(given)
+    targets = aliases.where("resolved").select(*keys, F.col("type_key").alias("_leaf"), F.col("target_key").alias("_target"))
+    known = documented_types(types).select(*keys, F.col("type_key").alias("_final"), F.lit(True).alias("_known")).distinct()
+    spread = [c for c in ("fun", column) if c in rows.columns]
+    written = (
+        rows.withColumn("_leaf", scattered(F.when(~leaf.isin(*JSON_TYPES), leaf), *spread))
+        .join(targets, [*keys, "_leaf"], "left")
+        .withColumn("_key", F.when(F.col("_target").isNotNull(), F.concat(wrappers(given), "_target")).otherwise(given))
+        .withColumn("_own", leaf_key(F.col("_key")))
+        .withColumn("_final", scattered(F.when(~F.col("_own").isin(*JSON_TYPES), F.col("_own")), *spread))
+        .join(known, [*keys, "_final"], "left")
+    )
+    plain = F.col("_own").isin(*JSON_TYPES) | F.col("_known").isNotNull()
+    others = [F.col(c) for c in rows.columns if c != column]
+    return written.select(
+        *others,
+        F.when(given.isNull() | plain, F.col("_key")).otherwise(F.concat(wrappers(F.col("_key")), F.lit("any"))).alias(column),
+        F.when(given.isNotNull() & ~plain, leaf).alias("unknown"),
+    )
+
+
+def visible_anywhere(fields: DataFrame) -> DataFrame:
+    """The fields that requests or responses, or both, show."""
+    return fields.where(F.col("in_request") | F.col("in_response"))
+
+
 def type_edges(types: DataFrame, fields: DataFrame) -> DataFrame:
     """References between types: of fields, elements and aliases, below arrays and maps."""
     keys = present(SERVICE, types)
     pairs = fields.select(*keys, F.col("type_key").alias("from_key"), F.col("field_type_key").alias("to_key"))
-    for target in ("element_key", "target_key"):
+    for target in [c for c in ("element_key", "target_key") if c in types.columns]:
         pairs = pairs.unionByName(
             types.where(F.col(target).isNotNull()).select(
                 *keys, F.col("type_key").alias("from_key"), F.col(target).alias("to_key")
@@ -153,12 +192,14 @@ def schema_properties(
     enums: DataFrame,
     aliases: DataFrame,
     scope: str = "response",
+    known_fields: DataFrame | None = None,
 ) -> DataFrame:
     """One row per visible field with its JSON schema, or the problem that it has none.
 
     ``aliases`` is the result of :func:`~pactscope.operators.graph.resolve_aliases`. Basic types, by
     far the most common, are rendered in place: their join keys are made to match nothing and are
-    spread, so they do not meet in one task.
+    spread, so they do not meet in one task. ``known_fields`` are those of all types, where ``fields`` are only some: they
+    tell which types have a schema of their own in requests.
     """
     keys = present(SERVICE, fields, types)
     shown = visible_fields(fields, scope)
@@ -170,10 +211,11 @@ def schema_properties(
     )
     enum_keys = present(SERVICE, enums)
     enum_side = enum_values(enums).select(*enum_keys, F.col("type_key").alias("_leaf"), enum_text.alias("_enum"))
-    hidden = scope_variants(fields).where(F.col("scope") == "request").select(
+    all_fields = fields if known_fields is None else known_fields
+    hidden = scope_variants(all_fields).where(F.col("scope") == "request").select(
         *keys, F.col("type_key").alias("_final"), F.lit(True).alias("_variant")
     )
-    known = types.where(F.col("kind") != "alias").select(
+    known = types.where((F.col("kind") != "alias") & ~F.col("name").startswith(HIDDEN_TYPE_PREFIX)).select(
         *keys, F.col("type_key").alias("_final"), F.lit(True).alias("_known")
     ).distinct()
     targets = aliases.select(*keys, F.col("type_key").alias("_leaf"), F.col("target_key").alias("_target"))

@@ -132,6 +132,29 @@ SELECT type_key, pkg, name, kind, target_key, summary, description FROM (
       ELSE CASE WHEN n_nationkey < 10 THEN 'm.Nowhere' ELSE concat('m.A', n_nationkey - 1) END END, '', '' FROM nation) AS t""",
     "fx_enums": """
 SELECT concat('m.', r_name) AS type_key, n_name AS name, lower(n_name) AS value FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    # types, enumerations, examples and tags that belong to services
+    "fx_service_parts": """
+SELECT DISTINCT concat('svc', l_suppkey % 40) AS service, 'v1' AS version, l_partkey AS part FROM lineitem""",
+    "fx_service_fields": """
+SELECT service, version, f.* FROM fx_fields AS f JOIN fx_service_parts ON part = pos""",
+    "fx_service_nations": """
+SELECT DISTINCT concat('svc', c_custkey % 40) AS service, 'v1' AS version, n_name, r_name, n_nationkey
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    "fx_service_types": """
+SELECT service, version, t.* FROM fx_types AS t JOIN (SELECT DISTINCT service, version, concat('m.T', part % 97) AS k FROM fx_service_parts
+  UNION ALL SELECT service, version, concat('m.A', n_nationkey) FROM fx_service_nations) AS owned ON k = type_key
+UNION ALL SELECT DISTINCT service, version, 'm.ErrorResponse', 'm', 'ErrorResponse', 'struct', CAST(NULL AS VARCHAR(99)), 'what went wrong', '' FROM fx_service_parts
+UNION ALL SELECT DISTINCT service, version, 'm.SwaggerThing', 'm', 'SwaggerThing', 'struct', CAST(NULL AS VARCHAR(99)), '', '' FROM fx_service_parts""",
+    "fx_service_enums": """
+SELECT service, version, concat('m.', r_name) AS type_key, n_name AS name, lower(n_name) AS value FROM fx_service_nations""",
+    "fx_service_examples": f"""
+SELECT e.*, {_EVENT_KEY} FROM fx_examples AS e JOIN events ON event_id = ord""",
+    "fx_service_tag_defs": f"""
+SELECT DISTINCT {_EVENT_KEY}, CASE event_type WHEN 'view' THEN 'email' WHEN 'click' THEN 'mailbox' WHEN 'signup' THEN 'role' WHEN 'purchase' THEN 'changes'
+  ELSE 'views' END AS name, CASE WHEN event_type = 'view' THEN '' ELSE concat('about ', event_type) END AS summary, '' AS description FROM events""",
+    "fx_service_tag_template": """
+SELECT DISTINCT service, version, CASE WHEN r_name = 'ASIA' THEN 'email' WHEN r_name = 'EUROPE' THEN 'mailbox' ELSE lower(r_name) END AS name,
+  concat('summary of ', r_name) AS summary, concat('text on ', r_name) AS description FROM fx_service_nations""",
     "fx_route_nodes": """
 SELECT conv_id * 1000 + turn AS node, CASE WHEN turn = 0 THEN NULL ELSE conv_id * 1000 + turn - 1 END AS parent,
   concat(CASE WHEN turn % 3 = 0 THEN '' ELSE '/' END, role, turn, CASE WHEN turn % 2 = 0 THEN '/' ELSE '' END) AS prefix FROM conversations""",

@@ -886,17 +886,86 @@ def _header_condition(h) -> str:
 _HEADER_JSON = f"'{{' || array_to_string(list_filter({_names(DEFAULT_HEADERS, _header_condition)}, lambda x: x IS NOT NULL), ',') || '}}'"
 _COMMON = _values([(h.name, h.required, h.description) for h in COMMON_REQUEST_HEADERS], "h(header, required, description)")
 _HEADERS = _values([(h.name, h.summary, h.required, h.explode) for h in DEFAULT_HEADERS], "h(header, description, required, explode)")
+_WRAPS = r"^((?:\[\]|map\[[^\]]*\])*)"
+_PLAIN = "('string', 'int', 'uint', 'bool', 'any', 'time.Time')"
+
+
+def _leaf(key: str) -> str:
+    return f"regexp_replace({key}, '{_WRAPS}', '')"
+
+
+def _known(key: str, rows: str) -> str:
+    return f"""EXISTS (SELECT 1 FROM known WHERE known.service = {rows}.service AND known.version = {rows}.version AND known.type_key = {_leaf(key)})"""
+
+
+def _as_shown(key: str, rows: str) -> str:
+    """A type as documents show it: unknown ones as anything."""
+    return f"""CASE WHEN {key} IS NULL OR {_leaf(key)} IN {_PLAIN} OR {_known(key, rows)} THEN {key} ELSE regexp_extract({key}, '{_WRAPS}', 1) || 'any' END"""
+
+
+def _of_service(key: str) -> str:
+    """A type key that is unique over all services."""
+    basic = f"{_PLAIN[:-1]}, 'error', 'io.Closer', 'm.PatchObject')"
+    return f"""regexp_extract({key}, '{_WRAPS}', 1) || CASE WHEN {_leaf(key)} IN {basic} THEN '' ELSE service || '|' END || {_leaf(key)}"""
+
+
+def _keyed(sql: str) -> str:
+    """The same steps over types whose keys are unique over all services."""
+    for table in ("types", "fields", "enums"):
+        sql = sql.replace(f"fx_{table}", f"ck_{table}")
+    return sql
+
+
+def _without_service(text: str) -> str:
+    return rf"regexp_replace({text}, 'svc\d+\|', '', 'g')"
+
+
+_KNOWN_TYPES = "known AS (SELECT DISTINCT service, version, type_key FROM fx_service_types WHERE kind = 'struct' AND name NOT LIKE 'Swagger%')"
+_MATCHED_HERE = (
+    _matched("effective", "*")
+    .replace("SELECT DISTINCT type_key AS k FROM fx_examples", "SELECT DISTINCT service, version, type_key AS k FROM fx_service_examples")
+    .replace("ON d.k = w.w", "ON d.k = w.w AND d.service = w.service AND d.version = w.version")
+    .replace("ON i.k = w.e", "ON i.k = w.e AND i.service = w.service AND i.version = w.version")
+)
+_REACHED = f"""{_KNOWN_TYPES},
+    {_MATCHED_HERE},
+    answers AS (SELECT * REPLACE ({_as_shown("m.type_key", "m")} AS type_key) FROM matched m),
+    body_rows AS (SELECT * REPLACE ({_as_shown("p.name", "p")} AS name) FROM fx_params p WHERE location = 'body'),
+    services AS (SELECT *, {_as_shown("'m.ErrorResponse'", "s")} AS error_key FROM (SELECT DISTINCT service, version FROM fx_endpoints) s),
+    single AS (SELECT *, '/paths/' || {_token("path")} || '/' || lower(verb) AS place FROM fx_endpoints QUALIFY row_number() OVER (PARTITION BY service, version, path, verb ORDER BY ord) = 1),
+    seeds AS (SELECT service, version, {_leaf("type_key")} AS type_key FROM answers SEMI JOIN single USING ({_HANDLER}) WHERE source <> 'default' AND type_key IS NOT NULL
+      UNION SELECT service, version, {_leaf("name")} FROM body_rows SEMI JOIN single USING ({_HANDLER}) UNION SELECT service, version, error_key FROM services),
+    links AS (SELECT service, version, type_key AS a, {_leaf("field_type_key")} AS b FROM fx_service_fields WHERE in_request OR in_response
+      UNION SELECT service, version, type_key, {_leaf("target_key")} FROM fx_service_types WHERE target_key IS NOT NULL),
+    reach(service, version, type_key, round) AS (SELECT service, version, type_key, 0 FROM seeds
+      UNION SELECT l.service, l.version, l.b, r.round + 1 FROM reach r JOIN links l ON l.service = r.service AND l.version = r.version AND l.a = r.type_key
+        WHERE r.round < 19 AND l.b NOT IN {_PLAIN[:-1]}, 'error', 'io.Closer')),
+    reached AS (SELECT service, version, type_key, min(round) AS round FROM reach GROUP BY ALL)"""
+_oracle(
+    "service_types_reached", "fx_endpoints fx_params fx_responses fx_handler_errors fx_errors fx_service_examples fx_service_fields fx_service_types",
+    f""", {_EFFECTIVE}, {_REACHED} SELECT * FROM reached""",
+)
+_oracle(
+    "service_types_unknown", "fx_params fx_responses fx_service_types",
+    f""", {_KNOWN_TYPES}, used AS (SELECT service, version, 'response' AS place, type_key FROM fx_responses WHERE type_key IS NOT NULL
+      UNION ALL SELECT service, version, 'body', name FROM fx_params WHERE location = 'body')
+    SELECT service, version, place, {_leaf("type_key")} AS unknown, count(*) AS n FROM used
+    WHERE {_leaf("type_key")} NOT IN {_PLAIN} AND NOT {_known("used.type_key", "used")} GROUP BY ALL""",
+)
 _oracle(
     "document_parts",
-    "fx_endpoints fx_params fx_param_defs fx_responses fx_handler_errors fx_errors fx_examples fx_handler_lines fx_fields fx_types fx_enums fx_tag_defs fx_tag_template",
-    f""", {_EFFECTIVE}, {_matched("effective", "*")}, {_directives("fx_handler_lines", _HANDLER)}, {_UNDOCUMENTED}, {_SUMMARY_STEPS},
-    {_property_rows("response")}, {_request_rows()},
-    variants AS (SELECT DISTINCT type_key FROM fx_fields WHERE NOT (in_request AND in_response)),
+    "fx_endpoints fx_params fx_param_defs fx_responses fx_handler_errors fx_errors fx_service_examples fx_handler_lines fx_service_fields fx_service_types fx_service_enums fx_service_tag_defs fx_service_tag_template",
+    f""", {_EFFECTIVE}, {_REACHED}, {_directives("fx_handler_lines", _HANDLER)},
+    {_UNDOCUMENTED.replace("(SELECT * FROM fx_types WHERE trim(summary) = '') USING (type_key)", "(SELECT * FROM fx_service_types WHERE trim(summary) = '') USING (service, version, type_key)")}, {_SUMMARY_STEPS},
+    ck_fields AS (SELECT * REPLACE (service || '|' || type_key AS type_key, {_of_service("field_type_key")} AS field_type_key) FROM fx_service_fields),
+    ck_types AS (SELECT * REPLACE (service || '|' || type_key AS type_key, {_of_service("target_key")} AS target_key), type_key AS plain_key FROM fx_service_types),
+    ck_enums AS (SELECT * REPLACE (service || '|' || type_key AS type_key) FROM fx_service_enums),
+    {_keyed(_property_rows("response"))}, {_keyed(_request_rows())},
+    variants AS (SELECT DISTINCT type_key FROM ck_fields WHERE NOT (in_request AND in_response)),
     g_q AS (SELECT type_key, string_agg(to_json(attr)::VARCHAR || ':' || schema, ',' ORDER BY pos) AS members, string_agg(to_json(attr)::VARCHAR, ',' ORDER BY pos) FILTER (required) AS req
       FROM properties_q WHERE schema IS NOT NULL GROUP BY type_key),
     stated AS (SELECT DISTINCT {_HANDLER}, tag FROM dir_tags),
     all_tags AS (SELECT {_HANDLER}, tag FROM base JOIN stated USING ({_HANDLER}) UNION SELECT {_HANDLER}, unnest({_TAGS_OF_PATH}) FROM singles ANTI JOIN stated USING ({_HANDLER})),
-    single AS (SELECT *, '/paths/' || {_token("path")} || '/' || lower(verb) AS place FROM fx_endpoints QUALIFY row_number() OVER (PARTITION BY service, version, path, verb ORDER BY ord) = 1),
     told_tags AS (SELECT s.*, EXISTS (SELECT 1 FROM all_tags a WHERE a.service = s.service AND a.version = s.version AND a.fun = s.fun) AS tagged FROM single s),
     marks AS (SELECT service, version, place, unnest(list_filter([CASE WHEN NOT tagged THEN 'untagged' END, CASE WHEN path = '/accounts/all' OR path LIKE '/accounts/all/%' THEN 'unified' END, 'all'],
       lambda x: x IS NOT NULL)) AS tag FROM told_tags),
@@ -905,16 +974,17 @@ _oracle(
       FROM {_last("fx_params", _HANDLER + ", location, name")} p JOIN fx_param_defs d ON p.location = d.location AND p.name = d.const_name WHERE p.location <> 'body'),
     g AS (SELECT type_key, string_agg(to_json(attr)::VARCHAR || ':' || schema, ',' ORDER BY pos) AS members, string_agg(to_json(attr)::VARCHAR, ',' ORDER BY pos) FILTER (required) AS req
       FROM properties WHERE schema IS NOT NULL GROUP BY type_key),
-    t AS (SELECT *, concat_ws(chr(10), nullif(summary, ''), nullif(description, '')) AS about FROM fx_types WHERE kind = 'struct'),
-    services AS (SELECT DISTINCT service, version FROM fx_endpoints),
-    last_bodies AS (SELECT * REPLACE (name || CASE WHEN name IN (SELECT type_key FROM variants) THEN '.forRequests' ELSE '' END AS name)
-      FROM {_last("(SELECT * FROM fx_params WHERE location = 'body')", _HANDLER + ", name")}),
+    t AS (SELECT *, concat_ws(chr(10), nullif(summary, ''), nullif(description, '')) AS about FROM ck_types WHERE kind = 'struct' AND name NOT LIKE 'Swagger%'
+      AND EXISTS (SELECT 1 FROM reached r WHERE r.service = ck_types.service AND r.version = ck_types.version AND r.type_key = ck_types.plain_key)),
+    last_bodies AS (SELECT * REPLACE (name || CASE WHEN service || '|' || name IN (SELECT type_key FROM variants) THEN '.forRequests' ELSE '' END AS name)
+      FROM {_last("body_rows", _HANDLER + ", name")}),
     collapsed AS (SELECT {_HANDLER}, CASE WHEN count(*) = 1 THEN bool_and(required) ELSE TRUE END AS required, CASE WHEN count(*) = 1 THEN {_title("max(description)")} ELSE '' END AS description,
       CASE WHEN count(*) = 1 THEN max({_used_schema("name")}) ELSE '{{"oneOf":[' || string_agg({_used_schema("name")}, ',' ORDER BY name) || ']}}' END AS schema FROM last_bodies GROUP BY {_HANDLER}),
-    last_examples AS (SELECT * FROM {_last("(SELECT * FROM fx_examples WHERE scope = 'any')", "key")}),
-    shown AS (SELECT key, title, type_key AS example_set, payload FROM last_examples
-      UNION ALL SELECT '[]' || key, title, '[]' || type_key, '[' || payload || ']' FROM last_examples WHERE type_key IN (SELECT example_set FROM matched WHERE ref_prefix = '[]')
-      UNION ALL SELECT 'map[string]' || key, title, 'map[string]' || type_key, '{{"key":' || payload || '}}' FROM last_examples WHERE type_key IN (SELECT example_set FROM matched WHERE ref_prefix = 'map[string]'))
+    last_examples AS (SELECT * FROM {_last("(SELECT * FROM fx_service_examples WHERE scope = 'any')", "service, version, key")}),
+    wrapped AS (SELECT DISTINCT service, version, example_set AS type_key, ref_prefix FROM matched WHERE ref_prefix <> ''),
+    shown AS (SELECT service, version, key, title, type_key AS example_set, payload FROM last_examples SEMI JOIN services USING (service, version)
+      UNION ALL SELECT service, version, '[]' || key, title, '[]' || type_key, '[' || payload || ']' FROM last_examples SEMI JOIN (SELECT * FROM wrapped WHERE ref_prefix = '[]') USING (service, version, type_key)
+      UNION ALL SELECT service, version, 'map[string]' || key, title, 'map[string]' || type_key, '{{"key":' || payload || '}}' FROM last_examples SEMI JOIN (SELECT * FROM wrapped WHERE ref_prefix = 'map[string]') USING (service, version, type_key))
     SELECT service, version, '/info' AS pointer, '{{"title":"Contract","version":"' || version || '"}}' AS fragment FROM services
     UNION ALL SELECT service, version, place, '{{"operationId":"' || fun || '"' || {_member("summary", "e.summary")} || {_member("description", "e.description")} || '}}'
       FROM single JOIN endpoint_summaries e USING ({_HANDLER})
@@ -928,22 +998,22 @@ _oracle(
     UNION ALL SELECT service, version, place || '/responses/' || code, CASE WHEN source = 'default' THEN '{{"$ref":"#/components/responses/m.ErrorResponse.' || code || '"}}' ELSE
         '{{"description":' || to_json(summary)::VARCHAR || ',"headers":' || {_HEADER_JSON} || CASE WHEN type_key IS NULL THEN '' ELSE ',"content":{{"application/json":{{"schema":' || {_used_schema("type_key")}
         || CASE WHEN example_set IS NULL THEN '' ELSE ',"x-example-set":"' || ref_prefix || example_set || '"' END || '}}}}' END || '}}' END
-      FROM single JOIN matched USING ({_HANDLER})
+      FROM single JOIN answers USING ({_HANDLER})
     UNION ALL SELECT service, version, place || '/requestBody', '{{"required":' || required || {_member("description", "description")} || ',"content":{{"application/json":{{"schema":' || schema || '}}}}}}'
       FROM single JOIN collapsed USING ({_HANDLER})
-    UNION ALL SELECT 'svc0', 'v1', '/components/schemas/' || {_token("type_key")}, '{{"type":"object"' || {_member("description", "about")} || ',"properties":{{' || coalesce(members, '') || '}}'
+    UNION ALL SELECT service, version, '/components/schemas/' || {_token("plain_key")}, '{{"type":"object"' || {_member("description", "about")} || ',"properties":{{' || coalesce({_without_service("members")}, '') || '}}'
       || CASE WHEN req IS NOT NULL THEN ',"required":[' || req || ']' ELSE '' END || '}}' FROM t LEFT JOIN g USING (type_key)
-    UNION ALL SELECT 'svc0', 'v1', '/components/schemas/' || {_token("type_key")} || '.forRequests', '{{"type":"object"' || {_member("description", "about")} || ',"properties":{{' || coalesce(members, '') || '}}'
+    UNION ALL SELECT service, version, '/components/schemas/' || {_token("plain_key")} || '.forRequests', '{{"type":"object"' || {_member("description", "about")} || ',"properties":{{' || coalesce({_without_service("members")}, '') || '}}'
       || CASE WHEN req IS NOT NULL THEN ',"required":[' || req || ']' ELSE '' END || '}}' FROM t SEMI JOIN variants USING (type_key) LEFT JOIN g_q USING (type_key)
     UNION ALL SELECT service, version, '/openapi', '"3.0.4"' FROM services
     UNION ALL SELECT service, version, '/components/securitySchemes/oidc', '{{"type":"openIdConnect"}}' FROM services
     UNION ALL SELECT service, version, '/components/securitySchemes/basic', '{{"type":"http","scheme":"basic"}}' FROM services
     UNION ALL SELECT service, version, '/security/oidc', '{{"oidc":[]}}' FROM services UNION ALL SELECT service, version, '/security/basic', '{{"basic":[]}}' FROM services
-    UNION ALL SELECT 'svc0', 'v1', '/tags/' || {_token("name")}, '{{"name":' || to_json(name)::VARCHAR || {_member("summary", "summary")} || {_member("description", "description")} || '}}'
-      FROM (SELECT coalesce(a.name, b.name) AS name, coalesce(nullif(a.summary, ''), b.summary, '') AS summary, coalesce(nullif(a.description, ''), b.description, '') AS description
-        FROM fx_tag_defs a FULL JOIN fx_tag_template b ON a.name = b.name)
-    UNION ALL SELECT 'svc0', 'v1', '/components/examples/' || {_token("key")}, '{{"description":' || to_json(title)::VARCHAR || ',"x-example-set":"' || example_set || '","value":' || payload || '}}' FROM shown
-    UNION ALL SELECT service, version, '/components/responses/m.ErrorResponse.' || code, '{{"description":' || to_json({_reason("code")})::VARCHAR || ',"headers":' || {_HEADER_JSON} || ',"content":{{"application/json":{{"schema":{{"$ref":"#/components/schemas/m.ErrorResponse"}}}}}}}}'
+    UNION ALL SELECT service, version, '/tags/' || {_token("name")}, '{{"name":' || to_json(name)::VARCHAR || {_member("summary", "summary")} || {_member("description", "description")} || '}}'
+      FROM (SELECT service, version, name, coalesce(nullif(a.summary, ''), b.summary, '') AS summary, coalesce(nullif(a.description, ''), b.description, '') AS description
+        FROM fx_service_tag_defs a FULL JOIN fx_service_tag_template b USING (service, version, name)) SEMI JOIN services USING (service, version)
+    UNION ALL SELECT service, version, '/components/examples/' || {_token("key")}, '{{"description":' || to_json(title)::VARCHAR || ',"x-example-set":"' || example_set || '","value":' || payload || '}}' FROM shown
+    UNION ALL SELECT service, version, '/components/responses/m.ErrorResponse.' || code, '{{"description":' || to_json({_reason("code")})::VARCHAR || ',"headers":' || {_HEADER_JSON} || ',"content":{{"application/json":{{"schema":' || {_used_schema("error_key")} || '}}}}}}'
       FROM services CROSS JOIN (VALUES (400), (404), (500)) AS d(code)
     UNION ALL SELECT service, version, '/components/headers/' || header, '{{"description":' || to_json(description)::VARCHAR || ',"required":' || required || ',"explode":' || explode || '}}' FROM services CROSS JOIN {_HEADERS}
     UNION ALL SELECT service, version, '/x-undocumented/' || CASE kind WHEN 'body' THEN 'bodies' ELSE 'results' END || '/' || {_token("type_key")}, '{{"verb":"' || verb || '","path":"' || path || '"}}' FROM undocumented""",
@@ -982,3 +1052,9 @@ def _with_parts() -> str:
 
 ORACLES["contract_documents"] = f"""{_with_parts()}, {_assembled()}
   SELECT service, version, s1 AS section, s2 AS item, json AS document FROM level2"""
+
+ORACLES["document_references"] = f"""{_with_parts()},
+  refs AS (SELECT service, version, unnest(regexp_extract_all(fragment, '"\\$ref":"#([^"]*)"', 1)) AS target FROM parts)
+  SELECT service, version, any_value(n_parts) AS n_parts, count(target) AS n_references, count(*) FILTER (target IS NOT NULL AND NOT EXISTS
+    (SELECT 1 FROM parts p WHERE p.service = n.service AND p.version = n.version AND p.pointer = refs.target)) AS n_dangling
+  FROM (SELECT service, version, count(*) AS n_parts FROM parts GROUP BY ALL) n LEFT JOIN refs USING (service, version) GROUP BY ALL"""

@@ -948,85 +948,153 @@ def describe_endpoints(fx_endpoints, fx_handler_lines):
     ).join(counted, HANDLER, "left")
 
 
+def _shown(spark, fx_endpoints, fx_params, fx_responses, fx_handler_errors, fx_errors, fx_service_examples, fx_service_fields, fx_service_types):
+    """What operations refer to, as their service shows it: first and single routes, responses, and bodies."""
+    # read by several sections, and small: one row per handler, per operation, per status
+    first = materialise(routes.describe_endpoints(fx_endpoints))
+    # one operation per path and verb; further registrations are conflicts
+    single = materialise(
+        common.pick_first(fx_endpoints, [*SERVICE, "path", "verb"], F.col("ord"), ["fun", "ord"])
+    )
+    aliases = materialise(graph.resolve_aliases(fx_service_types, SERVICE))
+    effective = responses.effective_responses(
+        first, fx_params, fx_responses, fx_handler_errors, fx_errors, defaults.error_rules(spark), ERROR_TYPE
+    )
+    matched = examples.match_examples(effective, fx_service_examples)
+    answers = materialise(types.shown_types(matched, "type_key", fx_service_types, aliases))
+    # several unknown types of a handler are one body of any kind
+    named = types.shown_types(fx_params.where(F.col("location") == "body"), "name", fx_service_types, aliases)
+    given = materialise(named)
+    services = first.select(*SERVICE).distinct().withColumn("error_key", F.lit(ERROR_TYPE))
+    services = types.shown_types(services, "error_key", fx_service_types, aliases).select(*SERVICE, "error_key")
+    return first, single, aliases, answers, given, materialise(services)
+
+
+def _reached(single, answers, given, services, fx_service_fields, fx_service_types):
+    """The types that operations refer to, directly or over others."""
+    mounted = single.select(*HANDLER).distinct()
+    used = answers.where((F.col("source") != "default") & F.col("type_key").isNotNull()).join(mounted, HANDLER, "left_semi")
+    seeds = (
+        used.select(*SERVICE, typekeys.leaf_key(F.col("type_key")).alias("type_key"))
+        .unionByName(given.join(mounted, HANDLER, "left_semi").select(*SERVICE, typekeys.leaf_key(F.col("name")).alias("type_key")))
+        .unionByName(services.select(*SERVICE, F.col("error_key").alias("type_key")))
+    )
+    links = types.type_edges(fx_service_types, types.visible_anywhere(fx_service_fields))
+    return graph.reachable_types(seeds, links, SERVICE)
+
+
 def _parts(
-    spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors,
-    fx_examples, fx_handler_lines, fx_fields, fx_types, fx_enums, fx_tag_defs, fx_tag_template,
+    spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors, fx_service_examples,
+    fx_handler_lines, fx_service_fields, fx_service_types, fx_service_enums, fx_service_tag_defs, fx_service_tag_template,
 ):
-    # read by several sections, and small: one row per handler and one per operation
-    first = materialise(routes.describe_endpoints(fx_endpoints))
-    services = first.select(*SERVICE).distinct()
+    first, single, aliases, answers, given, services = _shown(
+        spark, fx_endpoints, fx_params, fx_responses, fx_handler_errors, fx_errors, fx_service_examples, fx_service_fields,
+        fx_service_types,
+    )
     told = materialise(comments.summarize_endpoints(fx_handler_lines, first))
     summaries = comments.summary_of(told, HANDLER).join(comments.description_of(told, HANDLER), HANDLER, "left")
     summaries = summaries.withColumn("description", F.coalesce("description", F.lit("")))
     found = comments.endpoint_tags(first, comments.mine_directives(fx_handler_lines, HANDLER))
     merged = params.merge_params(fx_params.where(F.col("location") != "body"))
-    effective = responses.effective_responses(
-        first, fx_params, fx_responses, fx_handler_errors, fx_errors, defaults.error_rules(spark), ERROR_TYPE
-    )
-    # one operation per path and verb; further registrations are conflicts
-    single = materialise(
-        common.pick_first(fx_endpoints, [*SERVICE, "path", "verb"], F.col("ord"), ["fun", "ord"])
-    )
-    shared = F.lit("svc0"), F.lit("v1")
-    aliases = graph.resolve_aliases(fx_types)
-    own = types.type_schemas(fx_types, _properties(fx_fields, fx_types, fx_enums, "response", aliases))
-    special = types.request_schemas(
-        fx_types, fx_fields, _properties(fx_fields, fx_types, fx_enums, "request", aliases)
-    )
-    schemas = (
-        own.withColumn("schema_key", F.col("type_key"))
-        .unionByName(special)
-        .select(*[c.alias(n) for c, n in zip(shared, SERVICE)], "schema_key", "schema")
+    reached = materialise(
+        _reached(single, answers, given, services, fx_service_fields, fx_service_types).select(*SERVICE, "type_key").distinct()
     )
-    dictionary = audits.merge_tag_metadata(fx_tag_defs, fx_tag_template).select(
-        *[c.alias(n) for c, n in zip(shared, SERVICE)], "name", "summary", "description"
+    # fields and types are read no further than they are reached
+    kinds = types.documented_types(fx_service_types).join(reached, [*SERVICE, "type_key"], "left_semi")
+    parts_of = fx_service_fields.join(reached, [*SERVICE, "type_key"], "left_semi")
+    own_rows, special_rows = (
+        types.schema_properties(parts_of, fx_service_types, fx_service_enums, aliases, scope, known_fields=fx_service_fields)
+        for scope in ("response", "request")
     )
-    matched = materialise(examples.match_examples(effective, fx_examples))
-    last = common.index_last(examples.examples_for(fx_examples, "any"), ["key"], "ord")
+    own = types.type_schemas(kinds, own_rows)
+    special = types.request_schemas(kinds, parts_of, special_rows)
+    schemas = own.withColumn("schema_key", F.col("type_key")).unionByName(special)
+    held = services.select(*SERVICE)
+    dictionary = audits.merge_tag_metadata(fx_service_tag_defs, fx_service_tag_template).join(held, SERVICE, "left_semi")
+    last = common.index_last(examples.examples_for(fx_service_examples, "any"), [*SERVICE, "key"], "ord")
     shown = last.withColumn("example_set", F.col("type_key"))
     for prefix in ("[]", "map[string]"):
-        wrapped = examples.wrap_examples(last, matched, prefix)
+        wrapped = examples.wrap_examples(last, answers, prefix)
         shown = shown.unionByName(wrapped.withColumn("example_set", F.concat(F.lit(prefix), "type_key")))
-    shown = shown.select(*[c.alias(n) for c, n in zip(shared, SERVICE)], "key", "title", "example_set", "payload")
-    bodies = params.collapse_bodies(fx_params, types.scope_variants(fx_fields))
+    shown = shown.join(held, SERVICE, "left_semi").select(*SERVICE, "key", "title", "example_set", "payload")
+    bodies = params.collapse_bodies(given.drop("unknown"), types.scope_variants(fx_service_fields))
     return (
-        documents.info_parts(services, "Contract")
+        documents.info_parts(services.select(*SERVICE), "Contract")
         .unionByName(documents.operation_parts(single, summaries, found))
         .unionByName(documents.parameter_parts(single, params.resolve_params(merged, fx_param_defs)))
         .unionByName(documents.body_parts(single, bodies))
-        .unionByName(documents.response_parts(single, matched, ERROR_TYPE))
+        .unionByName(documents.response_parts(single, answers, ERROR_TYPE))
         .unionByName(documents.component_parts(services, schemas, shown, ERROR_TYPE))
-        .unionByName(documents.security_parts(services, SECURITY))
+        .unionByName(documents.security_parts(services.select(*SERVICE), SECURITY))
         .unionByName(documents.tag_parts(dictionary))
         .unionByName(
             documents.undocumented_parts(
-                params.undocumented_results(fx_responses, fx_types, first), params.undocumented_bodies(fx_params, first)
+                params.undocumented_results(fx_responses, fx_service_types, first), params.undocumented_bodies(fx_params, first)
             )
         )
     )
 
 
+@query
+def service_types_reached(
+    spark, fx_endpoints, fx_params, fx_responses, fx_handler_errors, fx_errors, fx_service_examples, fx_service_fields,
+    fx_service_types,
+):
+    """Types that each service's operations refer to, with the round that found them."""
+    _, single, _, answers, given, services = _shown(
+        spark, fx_endpoints, fx_params, fx_responses, fx_handler_errors, fx_errors, fx_service_examples, fx_service_fields,
+        fx_service_types,
+    )
+    return _reached(single, answers, given, services, fx_service_fields, fx_service_types)
+
+
+@query
+def service_types_unknown(fx_params, fx_responses, fx_service_types):
+    """Types of bodies and responses that their service does not have."""
+    aliases = graph.resolve_aliases(fx_service_types, SERVICE)
+    answers = types.shown_types(fx_responses.select(*HANDLER, "type_key"), "type_key", fx_service_types, aliases)
+    bodies = types.shown_types(
+        fx_params.where(F.col("location") == "body").select(*HANDLER, F.col("name").alias("type_key")),
+        "type_key", fx_service_types, aliases,
+    )
+    found = answers.withColumn("place", F.lit("response")).unionByName(bodies.withColumn("place", F.lit("body")))
+    return found.where(F.col("unknown").isNotNull()).groupBy(*SERVICE, "place", "unknown").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def document_parts(
-    spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors,
-    fx_examples, fx_handler_lines, fx_fields, fx_types, fx_enums, fx_tag_defs, fx_tag_template,
+    spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors, fx_service_examples,
+    fx_handler_lines, fx_service_fields, fx_service_types, fx_service_enums, fx_service_tag_defs, fx_service_tag_template,
 ):
     """The parts of all contract documents."""
     parts = _parts(
-        spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors,
-        fx_examples, fx_handler_lines, fx_fields, fx_types, fx_enums, fx_tag_defs, fx_tag_template,
+        spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors, fx_service_examples,
+        fx_handler_lines, fx_service_fields, fx_service_types, fx_service_enums, fx_service_tag_defs, fx_service_tag_template,
     )
     return parts.select(*SERVICE, documents.json_pointer(F.col("steps")).alias("pointer"), "fragment")
 
 
 @query
 def contract_documents(
-    spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors,
-    fx_examples, fx_handler_lines, fx_fields, fx_types, fx_enums, fx_tag_defs, fx_tag_template,
+    spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors, fx_service_examples,
+    fx_handler_lines, fx_service_fields, fx_service_types, fx_service_enums, fx_service_tag_defs, fx_service_tag_template,
 ):
     """Contract documents, one row for each path and each component."""
     parts = _parts(
-        spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors,
-        fx_examples, fx_handler_lines, fx_fields, fx_types, fx_enums, fx_tag_defs, fx_tag_template,
+        spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors, fx_service_examples,
+        fx_handler_lines, fx_service_fields, fx_service_types, fx_service_enums, fx_service_tag_defs, fx_service_tag_template,
     )
     return documents.assemble_documents(materialise(parts))
+
+
+@query
+def document_references(
+    spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors, fx_service_examples,
+    fx_handler_lines, fx_service_fields, fx_service_types, fx_service_enums, fx_service_tag_defs, fx_service_tag_template,
+):
+    """Parts and references of each service's document, and the references that point at nothing."""
+    parts = _parts(
+        spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors, fx_service_examples,
+        fx_handler_lines, fx_service_fields, fx_service_types, fx_service_enums, fx_service_tag_defs, fx_service_tag_template,
+    )
+    return documents.reference_report(materialise(parts))

@@ -203,8 +203,10 @@ def component_parts(
     """Schemas, examples, shared responses and headers.
 
     ``schemas`` has ``schema_key, schema``; ``examples`` has ``key, title, payload`` and the set
-    (``example_set``) that responses name.
+    (``example_set``) that responses name. ``services`` may state an ``error_key``, the type of errors as shown there.
     """
+    shown_error = F.col("error_key") if "error_key" in services.columns else F.lit(error_type)
+    services = services.withColumn("_error", shown_error)
     schema_parts = _part(schemas, [F.lit("components"), F.lit("schemas"), F.col("schema_key")], F.col("schema"))
     example_parts = _part(
         examples,
@@ -215,11 +217,11 @@ def component_parts(
             F.lit(',"value":'), F.col("payload"), F.lit("}"),
         ),
     )
-    shared = services.select(*SERVICE, F.explode(F.array(*map(F.lit, DEFAULT_RESPONSE_CODES))).alias("code"))
+    shared = services.select(*SERVICE, "_error", F.explode(F.array(*map(F.lit, DEFAULT_RESPONSE_CODES))).alias("code"))
     described = with_member(
         F.to_json(F.struct(status_text(F.col("code")).alias("description"))), "headers", header_references(headers, F.col("code"))
     )
-    response = with_member(described, "content", _content(type_schema(F.lit(error_type))))
+    response = with_member(described, "content", _content(type_schema(F.col("_error"))))
     shared_parts = _part(
         shared,
         [F.lit("components"), F.lit("responses"), F.concat(F.lit(error_type + "."), F.col("code").cast("string"))],
@@ -283,6 +285,28 @@ def undocumented_parts(results: DataFrame, bodies: DataFrame) -> DataFrame:
     return rows(results, "results").unionByName(rows(bodies, "bodies"))
 
 
+def reference_targets(parts: DataFrame) -> DataFrame:
+    """All references inside the parts: ``service, version, pointer`` (of the part) and ``target``."""
+    found = F.regexp_extract_all("fragment", F.lit(r'"\$ref":"#((?:[^"\\]|\\.)*)"'), F.lit(1))
+    return parts.select(*SERVICE, json_pointer(F.col("steps")).alias("pointer"), F.explode(found).alias("target"))
+
+
+def reference_report(parts: DataFrame) -> DataFrame:
+    """Per service: its parts, their references, and how many of these point at no part of the service."""
+    places = parts.select(*SERVICE, json_pointer(F.col("steps")).alias("target"), F.lit(True).alias("_found")).distinct()
+    wanted = reference_targets(parts).groupBy(*SERVICE, "target").agg(F.count(F.lit(1)).alias("_n"))
+    counted = (
+        wanted.join(places, [*SERVICE, "target"], "left")
+        .groupBy(*SERVICE)
+        .agg(F.sum("_n").alias("n_references"), F.coalesce(F.sum(F.when(F.col("_found").isNull(), F.col("_n"))), F.lit(0)).alias("n_dangling"))
+    )
+    totals = parts.groupBy(*SERVICE).agg(F.count(F.lit(1)).alias("n_parts"))
+    zero = F.lit(0).cast("long")
+    return totals.join(counted, SERVICE, "left").select(
+        *SERVICE, "n_parts", F.coalesce("n_references", zero).alias("n_references"), F.coalesce("n_dangling", zero).alias("n_dangling")
+    )
+
+
 def json_pointer(steps: Column) -> Column:
     """The JSON pointer of a part."""
     return F.concat(F.lit("/"), F.array_join(F.transform(steps, pointer_token), "/"))
