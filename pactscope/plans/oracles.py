@@ -1058,3 +1058,34 @@ ORACLES["document_references"] = f"""{_with_parts()},
   SELECT service, version, any_value(n_parts) AS n_parts, count(target) AS n_references, count(*) FILTER (target IS NOT NULL AND NOT EXISTS
     (SELECT 1 FROM parts p WHERE p.service = n.service AND p.version = n.version AND p.pointer = refs.target)) AS n_dangling
   FROM (SELECT service, version, count(*) AS n_parts FROM parts GROUP BY ALL) n LEFT JOIN refs USING (service, version) GROUP BY ALL"""
+
+
+def _written() -> str:
+    """Lines of whole documents: what leads from each part to the next."""
+    verbs = "['GET', 'QUERY', 'HEAD', 'POST', 'PUT', 'DELETE', 'PATCH', 'OPTIONS', 'TRACE']"
+    sections = "['openapi', 'info', 'security', 'tags', 'paths', 'components']"
+
+    def listed(s: str, k: str) -> str:
+        return f"({s}[{k}] IN ('parameters', 'tags', 'security') AND ({k} = 1 OR ({k} = 4 AND {s}[1] = 'paths')))"
+
+    def closed(s: str, deepest: str, above: str) -> str:
+        return f"array_to_string(list_transform(range({deepest}, {above}, -1), lambda k: CASE WHEN {listed(s, 'k')} THEN ']' ELSE '}}' END), '')"
+
+    def named(k: str) -> str:
+        return f"CASE WHEN {listed('s', f'({k} - 1)')} THEN '' ELSE to_json(s[{k}])::VARCHAR || ':' END"
+
+    return f"""steps AS (SELECT service, version, fragment, list_transform(string_split(substr(pointer, 2), '/'), lambda x: replace(replace(x, '~1', '/'), '~0', '~')) AS s FROM parts),
+    placed AS (SELECT *, list_transform(range(1, len(s) + 1), lambda i: lpad(CAST(CASE WHEN i = 1 THEN coalesce(nullif(list_position({sections}, s[1]), 0), 99)
+      WHEN i = 3 AND s[1] = 'paths' THEN coalesce(nullif(list_position({verbs}, upper(s[3])), 0), 99) ELSE 0 END AS VARCHAR), 2, '0') || s[i]) AS place FROM steps),
+    turn AS (SELECT *, lag(s) OVER w AS p, lag(fragment) OVER w AS pf, lead(s) OVER w AS nx, row_number() OVER w - 1 AS line_no
+      FROM placed WINDOW w AS (PARTITION BY service, version ORDER BY place)),
+    common AS (SELECT *, len(list_filter(range(1, least(len(coalesce(p, [])), len(s)) + 1), lambda i: p[1:i] = s[1:i])) AS c FROM turn)
+    SELECT service, version, line_no,
+      CASE WHEN p IS NULL THEN '{{' ELSE {closed("p", "len(p) - 1", "c")} || CASE WHEN c = len(p) AND pf = '{{}}' THEN '' ELSE ',' END END
+      || array_to_string(list_transform(range(c + 1, len(s)), lambda k: {named("k")} || CASE WHEN {listed("s", "k")} THEN '[' ELSE '{{' END), '')
+      || {named("len(s)")} || CASE WHEN nx[1:len(s)] = s THEN fragment[1:length(fragment) - 1] ELSE fragment END
+      || CASE WHEN nx IS NULL THEN {closed("s", "len(s) - 1", "0")} || '}}' ELSE '' END AS text
+    FROM common"""
+
+
+ORACLES["written_documents"] = f"{_with_parts()}, {_written()}"

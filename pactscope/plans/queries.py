@@ -1098,3 +1098,18 @@ def document_references(
         fx_handler_lines, fx_service_fields, fx_service_types, fx_service_enums, fx_service_tag_defs, fx_service_tag_template,
     )
     return documents.reference_report(materialise(parts))
+
+
+@query
+def written_documents(
+    spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors, fx_service_examples,
+    fx_handler_lines, fx_service_fields, fx_service_types, fx_service_enums, fx_service_tag_defs, fx_service_tag_template,
+):
+    """Whole documents, written in order and read again."""
+    parts = _parts(
+        spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors, fx_service_examples,
+        fx_handler_lines, fx_service_fields, fx_service_types, fx_service_enums, fx_service_tag_defs, fx_service_tag_template,
+    )
+    folder = scratch_path(spark, "documents")
+    documents.write_documents(parts, folder)
+    return documents.read_document_lines(spark, folder)

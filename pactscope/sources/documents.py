@@ -1,16 +1,16 @@
 """Contract documents as JSON.
 
 A document is a table of parts: a path of steps into the document and the JSON object found there.
-Parts stay small however large a service is. :func:`assemble_documents` puts those of a service
-together where the whole is of a size that fits in a row.
+Parts stay small however large a service is. :func:`assemble_documents` puts those of a path or component
+together; :func:`write_documents` writes whole documents, part after part.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactscope.catalogue.defaults import (
@@ -33,10 +33,15 @@ from pactscope.operators.errors import header_names
 from pactscope.operators.params import body_schema
 from pactscope.operators.routes import verb_rank
 from pactscope.operators.types import basic_schema, wrap_schema
+from pactscope.session import materialise
+from pactscope.sources.corpus import read_lines
 
 # The number of steps to the innermost parts.
 DEPTH = 5
 
+# The order of sections in a document; others follow by name.
+SECTIONS = ("openapi", "info", "security", "tags", "paths", "components")
+
 # Sections whose items stand two steps below them.
 NESTED = ("components", "x-undocumented")
 
@@ -316,7 +321,7 @@ def assemble_documents(parts: DataFrame) -> DataFrame:
     """The items of each document, put together: ``service, version, section, item, document``.
 
     An item is what stands below one step of a section: a path with its operations, one component, one tag. Sections
-    that are a single value have no item. A whole service is never brought together; ``write_documents``
+    that are a single value have no item. A whole service is never brought together; :func:`write_documents`
     writes it in order.
     """
     levels = [f"_s{i}" for i in range(1, DEPTH + 1)]
@@ -358,14 +363,124 @@ def _node_text(own: Column, children: Column, name: Column) -> Column:
     )
 
 
+def _is_list(depth: Column, steps: Column) -> Column:
+    """Whether the node of ``steps`` at a depth (from 1) holds a list."""
+    name = F.get(steps, depth - 1)
+    return F.coalesce(name.isin(*LISTS), F.lit(False)) & ((depth == 1) | ((depth == 4) & (F.get(steps, F.lit(0)) == "paths")))
+
+
+def _key(depth: Column, steps: Column) -> Column:
+    """The name of the node at a depth, where its parent has named members."""
+    return F.when(_is_list(depth - 1, steps), F.lit("")).otherwise(
+        F.concat(json_string(F.get(steps, depth - 1)), F.lit(":"))
+    )
+
+
+def _levels(first: Column, last: Column, of: Callable[[Column], Column]) -> Column:
+    """The texts of depths from ``first`` to ``last``, upwards or downwards; nothing where there are none."""
+    none = F.array().cast("array<int>")
+    depths = F.when(first <= last, F.sequence(first, last)).otherwise(none)
+    return F.array_join(F.transform(depths, of), "")
+
+
+def _closing(steps: Column, deepest: Column, above: Column) -> Column:
+    """The brackets that close the nodes of ``steps`` from a depth up to below another."""
+    # depths are counted backwards, so that the sequence grows
+    return _levels(-deepest, -above - 1, lambda k: F.when(_is_list(-k, steps), F.lit("]")).otherwise(F.lit("}")))
+
+
+def place_of(steps: Column) -> Column:
+    """What a part is sorted by: sections in the order of the format, verbs in theirs, the rest by name."""
+    section = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SECTIONS)), F.get(steps, F.lit(0))), F.lit(0)), F.lit(99))
+
+    def ranked(step: Column, i: Column) -> Column:
+        verb = F.when((i == 2) & (F.get(steps, F.lit(0)) == "paths"), verb_rank(F.upper(step)))
+        rank = F.when(i == 0, section).otherwise(F.coalesce(verb, F.lit(0)))
+        return F.struct(rank.cast("int").alias("rank"), step.alias("name"))
+
+    return F.transform(steps, ranked)
+
+
+def document_lines(parts: DataFrame) -> DataFrame:
+    """The text of every document as lines: ``service, version, cell, place, text``.
+
+    Parts are dealt by range in the order of the documents. The text of a part is what leads from the part before it to
+    itself: brackets that close what the pointers no longer share, brackets and names that open what is new, and the
+    fragment, left open if the next part stands inside it. A cell of parts needs but the last part before it and the first
+    one behind it, so a document of any size is spread over as many tasks as it has cells. Pointers must be distinct
+    within a service. Lines of a service, by cell and place, are one JSON text.
+    """
+    spread = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = parts.select(*SERVICE, "steps", "fragment", place_of(F.col("steps")).alias("place"))
+    rows = rows.repartitionByRange(spread, *SERVICE, "place").withColumn("cell", F.spark_partition_id())
+    here = F.struct(*SERVICE, "place", "steps", (F.col("fragment") == "{}").alias("bare"))
+    rows = materialise(rows.withColumn("here", here))
+    # one row for each cell
+    cells = rows.groupBy("cell").agg(F.min("here").alias("first"), F.max("here").alias("last"))
+    in_turn = Window.orderBy("cell")
+    borders = cells.select(
+        "cell", F.lag("last").over(in_turn).alias("before"), F.lead("first").over(in_turn).alias("behind")
+    )
+    inside = Window.partitionBy("cell").orderBy(*SERVICE, "place")
+    rows = rows.withColumn("lag", F.lag("here").over(inside)).withColumn("lead", F.lead("here").over(inside))
+    rows = rows.join(borders, "cell")
+
+    def neighbour(inner: str, outer: str) -> Column:
+        found = F.coalesce(F.col(inner), F.col(outer))
+        return F.when((found["service"] == F.col("service")) & (found["version"] == F.col("version")), found)
+
+    rows = rows.withColumn("previous", neighbour("lag", "before")).withColumn("next", neighbour("lead", "behind"))
+    rows = rows.withColumn("known", F.coalesce(F.col("previous.steps"), F.array().cast("array<string>")))
+    same = F.zip_with("known", "steps", lambda x, y: x.eqNullSafe(y))
+    rows = rows.withColumn("shared", (F.array_position(same, False) - 1).cast("int"))
+    rows = rows.withColumn("open", F.coalesce(F.slice("next.steps", F.lit(1), F.size("steps")) == F.col("steps"), F.lit(False)))
+    steps, known, shared, opened = F.col("steps"), F.col("known"), F.col("shared"), F.col("open")
+    begins, depth = F.col("previous").isNull(), F.size("steps")
+    inside_previous = shared == F.size("known")
+    comma = F.when(begins | (inside_previous & F.col("previous.bare")), F.lit("")).otherwise(F.lit(","))
+    opening = _levels(
+        shared + 1, depth - 1, lambda k: F.concat(_key(k, steps), F.when(_is_list(k, steps), F.lit("[")).otherwise(F.lit("{")))
+    )
+    fragment = F.when(opened, F.substr("fragment", F.lit(1), F.length("fragment") - 1)).otherwise(F.col("fragment"))
+    ending = F.when(F.col("next").isNull(), F.concat(_closing(steps, depth - 1, F.lit(0)), F.lit("}"))).otherwise(F.lit(""))
+    text = F.concat(
+        F.when(begins, F.lit("{")).otherwise(_closing(known, F.size("known") - 1, shared)),
+        comma, opening, _key(depth, steps), fragment, ending,
+    )
+    # a line break can only stand between the tokens of a fragment
+    return rows.select(*SERVICE, "cell", "place", F.regexp_replace(text, r"[\r\n]+", " ").alias("text"))
+
+
 def write_documents(parts: DataFrame, folder: str) -> None:
-    """Write the parts as JSON lines, one folder per service, in the order of the document."""
-    (
-        parts.withColumn("pointer", json_pointer(F.col("steps")))
-        .select(*SERVICE, "pointer", "fragment")
-        .repartitionByRange("service", "version", "pointer")
-        .sortWithinPartitions("service", "version", "pointer")
-        .write.mode("overwrite")
-        .partitionBy("service")
-        .json(folder)
+    """Write the documents as JSON texts, one folder per service and version.
+
+    The files of a folder, in the order of their names, are one document; a large one has several files. No document, nor
+    a section of it, is ever brought together.
+    """
+    lines = document_lines(parts)
+    spread = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = lines.repartitionByRange(spread, "cell").sortWithinPartitions(*SERVICE, "cell", "place")
+    ordered.select(*SERVICE, "text").write.mode("overwrite").partitionBy(*SERVICE).text(folder)
+
+
+def read_document_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of written documents in order: ``service, version, line_no`` (from 0) and ``text``."""
+    lines = read_lines(spark, folder, "part-*")
+
+    def decoded(name: str) -> Column:
+        # escaped once as a folder and once as an address; neither turns a space into a plus sign
+        found = F.regexp_extract("file", f"/{name}=([^/]*)/", 1)
+        for _ in range(2):
+            found = F.url_decode(F.replace(found, F.lit("+"), F.lit("%2B")))
+        return found.alias(name)
+
+    key = [decoded(name) for name in SERVICE]
+    number = F.regexp_extract("file", r"/part-(\d+)", 1).cast("long").alias("_part")
+    lines = materialise(lines.select(*key, number, "line_no", "text"))
+    earlier = Window.partitionBy(*SERVICE).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each file
+    offsets = lines.groupBy(*SERVICE, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = offsets.select(*SERVICE, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    return lines.join(offsets, [*SERVICE, "_part"]).select(
+        *SERVICE, (F.col("_offset") + F.col("line_no")).alias("line_no"), "text"
     )

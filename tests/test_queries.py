@@ -64,6 +64,11 @@ def test_documents_are_json(spark):
             assert own.items() <= place.items()
 
 
+def test_all_references_resolve(spark):
+    found = queries()["document_references"](spark, SF_DIR).collect()
+    assert found and all(r.n_dangling == 0 < r.n_references for r in found)
+
+
 def test_entry(spark):
     df = entry(spark)
     assert "summary" in df.columns and df.count() > 0

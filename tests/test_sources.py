@@ -94,10 +94,51 @@ def test_documents(spark, tmp_path):
     item = found["s", "paths", "/a~b"]
     assert item.index('"get"') < item.index('"put"')
     assert len(found["big", "info", None]) > 300
-    documents.write_documents(parts, str(tmp_path / "out"))
-    written = spark.read.json(str(tmp_path / "out"))
-    assert written.count() == 9
-    assert "/paths/~1a~0b/get/tags/x" in {r.pointer for r in written.collect()}
+
+
+def test_written_documents(spark, tmp_path):
+    rows = []
+    for service, paths in (("s/1+ %2B", 3), ("big", 400), ("one", 0)):
+        rows += [(service, ["info"], '{"title":"T"}'), (service, ["openapi"], '"3.0.4"')]
+        for i in range(paths):
+            path = ["paths", f"/a~{i}"]
+            for verb in ("put", "get")[: 1 + i % 2]:
+                rows.append((service, [*path, verb], "{}" if i % 3 else '{"operationId":"f",\n "deep":{"x":[1]}}'))
+                rows.append((service, [*path, verb, "responses", "200"], '{"description":"d \\"q\\""}'))
+                rows += [(service, [*path, verb, "tags", t], f'"{t}"') for t in ("x", "y")[: i % 3]]
+                rows += [(service, [*path, verb, "parameters", "p"], '{"name":"tags","in":"query"}')]
+            rows.append((service, ["components", "schemas", f"tags{i}"], '{"type":"object"}'))
+            rows.append((service, ["components", "examples", f"tags{i}"], '[1]'))
+        rows.append((service, ["tags", "all"], '{"name":"all"}'))
+    parts = spark.createDataFrame([(s, "1", p, f) for s, p, f in rows], "service string, version string, steps array<string>, fragment string")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        documents.write_documents(parts.repartition(5), str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    lines = documents.read_document_lines(spark, str(tmp_path / "out")).orderBy("service", "line_no").collect()
+    assert len(lines) == len(rows)
+    texts = {}
+    for r in lines:
+        texts[r.service] = texts.get(r.service, "") + r.text
+    expected = {}
+    for service, steps, fragment in sorted(rows, key=lambda r: (r[0], r[1])):
+        at = expected.setdefault(service, {})
+        for i, step in enumerate(steps[:-1]):
+            if isinstance(at, list):
+                break
+            lists = step in ("tags", "parameters") and (i == 0 or i == 3)
+            at = at.setdefault(step, [] if lists else {})
+        if isinstance(at, list):
+            at.append(json.loads(fragment))
+        else:
+            at[steps[-1]] = json.loads(fragment)
+    assert {s: json.loads(t) for s, t in texts.items()} == expected
+    found = json.loads(texts["big"])
+    assert list(found) == ["openapi", "info", "tags", "paths", "components"]
+    assert list(found["paths"]["/a~1"]) == ["get", "put"] and list(found["paths"]) == sorted(found["paths"])
+    # the large one is spread over several files
+    assert len(list((tmp_path / "out").glob("service=big/version=1/part-*"))) > 3
 
 
 def test_schemas(spark):
