@@ -12,8 +12,18 @@ from pactscope.session import scratch_path
 CELL_ROWS = 100_000
 
 
+#: Rows that a Python worker is handed at a time; whole texts may be long, and workers keep the memory they once took.
+BATCH_ROWS = 1_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hand Python workers no more than ``BATCH_ROWS`` rows at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the given tables."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -23,6 +33,7 @@ def freeze(df: DataFrame, name: str) -> DataFrame:
     Cuts lineage, so that a lost executor repeats one step, and fixes what was random in it.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
