@@ -93,7 +93,12 @@ def scope_variants(fields: DataFrame) -> DataFrame:
 
 def documented_types(types: DataFrame) -> DataFrame:
     """The types that documents have a schema of: structs that are not hidden by their name."""
-    return types.where((F.col("kind") == "struct") & ~F.col("name").startswith(HIDDEN_TYPE_PREFIX))
+    return types.where((F.col("kind") == "struct") & ~_hidden())
+
+
+def _hidden() -> Column:
+    """Whether the name of a type keeps it out of documents."""
+    return F.regexp_extract("type_key", r"([^.]*)$", 1).startswith(HIDDEN_TYPE_PREFIX)
 
 
 def shown_types(rows: DataFrame, column: str, types: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -215,7 +220,7 @@ def schema_properties(
     hidden = scope_variants(all_fields).where(F.col("scope") == "request").select(
         *keys, F.col("type_key").alias("_final"), F.lit(True).alias("_variant")
     )
-    known = types.where((F.col("kind") != "alias") & ~F.col("name").startswith(HIDDEN_TYPE_PREFIX)).select(
+    known = types.where((F.col("kind") != "alias") & ~_hidden()).select(
         *keys, F.col("type_key").alias("_final"), F.lit(True).alias("_known")
     ).distinct()
     targets = aliases.select(*keys, F.col("type_key").alias("_leaf"), F.col("target_key").alias("_target"))
