@@ -48,16 +48,19 @@ def too_deep(reached: DataFrame, rounds: int = REFERENCE_ROUNDS) -> DataFrame:
     return reached.where(F.col("round") > rounds - 2)
 
 
-def _greatest_around(links: DataFrame, keys: list[str]) -> DataFrame:
-    """For each node, the greatest one that reaches it (``above``) and that it reaches (``below``)."""
+def _greatest_around(links: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """For each node, the greatest one that reaches it (``above``) and that it reaches (``below``).
+
+    Nodes are compared by a hash that is another one for each ``seed``, so that no order of names makes every search
+    settle one cycle only.
+    """
     down = links.select(*keys, "a", "b", F.lit(True).alias("_down"))
     both = materialise(
         down.unionByName(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), F.lit(False).alias("_down")))
     )
-    state = links.select(*keys, F.col("a").alias("node")).distinct()
-    state = materialise(
-        state.select(*keys, "node", F.col("node").alias("above"), F.col("node").alias("below"), F.lit(True).alias("_moved"))
-    )
+    state = both.select(*keys, F.col("a").alias("node")).distinct()
+    pivot = F.struct(F.xxhash64(F.lit(seed), "node").alias("drawn"), "node")
+    state = materialise(state.select(*keys, "node", pivot.alias("above"), pivot.alias("below"), F.lit(True).alias("_moved")))
     while not state.where("_moved").isEmpty():
         offered = (
             state.where("_moved")
@@ -84,13 +87,67 @@ def _greatest_around(links: DataFrame, keys: list[str]) -> DataFrame:
     return state.drop("_moved")
 
 
-def recursive_types(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Types that refer to themselves, directly or over others: ``keys, type_key``.
+def _split_by_labels(links: DataFrame, keys: list[str], seed: int) -> tuple[DataFrame, DataFrame]:
+    """The links that are inside a settled cycle, and those that may be inside another one."""
+    labels = _greatest_around(links, keys, seed)
+    start = labels.select(*keys, F.col("node").alias("a"), "above", "below")
+    end = labels.select(*keys, F.col("node").alias("b"), "above", "below")
+    alike = materialise(links.join(start, [*keys, "a"]).join(end, [*keys, "b", "above", "below"]))
+    settled = F.col("above") == F.col("below")
+    return alike.where(settled).select(*keys, "a", "b"), alike.where(~settled).select(*keys, "a", "b")
+
+
+def _raked(links: DataFrame, keys: list[str]) -> DataFrame:
+    """The links without nodes that no link leads to, or that none leaves."""
+    start = links.select(*keys, F.col("a").alias("node"), F.lit(1).alias("_out"), F.lit(0).alias("_in"))
+    end = links.select(*keys, F.col("b").alias("node"), F.lit(0).alias("_out"), F.lit(1).alias("_in"))
+    inner = start.unionByName(end).groupBy(*keys, "node").agg(F.max("_out").alias("_out"), F.max("_in").alias("_in"))
+    inner = inner.where("_out = 1 AND _in = 1").select(*keys, "node")
+    for side in ("a", "b"):
+        links = links.join(inner.withColumnRenamed("node", side), [*keys, side], "left_semi")
+    return materialise(links.select(*keys, "a", "b"))
+
+
+def _jumps(single: DataFrame, keys: list[str]) -> list[DataFrame]:
+    """Where each node with a single way out gets by 1, 2, 4, ... steps: ``node, next, open``.
+
+    A jump ends at the first node with more ways out (``open`` is false there). Those still open after as many steps as
+    there are nodes never meet one.
+    """
+    known = single.select(*keys, F.col("node").alias("next"), F.lit(True).alias("_known"))
+    state = materialise(
+        single.join(known, [*keys, "next"], "left").select(*keys, "node", "next", F.col("_known").isNotNull().alias("open"))
+    )
+    tables, steps, most = [state], 1, state.count()
+    while steps <= most and not state.where("open").isEmpty():
+        beyond = state.select(*keys, F.col("node").alias("next"), F.col("next").alias("_next"), F.col("open").alias("_open"))
+        moved = state.where("open").join(beyond, [*keys, "next"]).select(
+            *keys, "node", F.col("_next").alias("next"), F.col("_open").alias("open")
+        )
+        state = materialise(state.where("NOT open").unionByName(moved))
+        tables.append(state)
+        steps *= 2
+    return tables
+
+
+def _along(start: DataFrame, tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The nodes of ``start`` and all that their single ways lead over."""
+    for table in reversed(tables):
+        ahead = table.where("open").join(start, [*keys, "node"], "left_semi").select(*keys, F.col("next").alias("node"))
+        start = materialise(start.unionByName(ahead).distinct())
+    return start
+
 
-    These are the members of reference cycles. Instead of all pairs of types, each round keeps two
-    labels per type: the greatest type that reaches it and the greatest one it reaches. Where both
-    are equal the type is on a cycle with its label; references between types with other labels
-    cannot be part of a cycle, and the rest is searched again.
+def cyclic_edges(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The references ``a, b`` that are part of a reference cycle, of ``from_key, to_key``.
+
+    The graph is made smaller until nothing is left, in a number of rounds that grows with the logarithm of its chains:
+    nodes without a way in or out go; nodes with a single way out are jumped over, by doubled steps, so that a link leads
+    to the next node with a choice. Those that never meet one lead into a cycle of such nodes, whose members are where
+    they get by more steps than there are nodes. What cannot be made smaller is divided by labels: the node of the
+    greatest hash that reaches a node, and that it reaches; where both are one, the node is on a cycle with it, and links
+    between nodes of other labels are on none. Then the rounds are undone: a link over single ways is on a cycle if the
+    link that it stood for is.
     """
     keys = list(keys)
     links = materialise(
@@ -98,51 +155,51 @@ def recursive_types(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         .where(F.col("from_key").isNotNull() & F.col("to_key").isNotNull())
         .distinct()
     )
-    loops = links.where(F.col("a") == F.col("b")).select(*keys, F.col("a").alias("type_key"))
-    found = [loops]
-    links = links.where(F.col("a") != F.col("b"))
+    loops = F.col("a") == F.col("b")
+    found = links.where(loops)
+    links = links.where(~loops)
+    rounds: list[tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]] = []
+    size, seed = None, 0
     while True:
-        links = _trim(links, keys)
-        if links.isEmpty():
+        links = _raked(links, keys)
+        before, size = size, links.count()
+        if not size:
             break
-        labels = _greatest_around(links, keys)
-        settled = F.col("above") == F.col("below")
-        found.append(
-            labels.where(settled)
-            .groupBy(*keys, "above")
-            .agg(F.count(F.lit(1)).alias("_size"))
-            .where(F.col("_size") > 1)
-            .join(labels.where(settled), [*keys, "above"])
-            .select(*keys, F.col("node").alias("type_key"))
-        )
-        rest = labels.where(~settled)
-        start = rest.select(*keys, F.col("node").alias("a"), "above", "below")
-        end = rest.select(*keys, F.col("node").alias("b"), "above", "below")
-        links = (
-            links.join(start, [*keys, "a"]).join(end, [*keys, "b", "above", "below"]).select(*keys, "a", "b")
-        )
-    result = found[0]
-    for part in found[1:]:
-        result = result.unionByName(part)
-    return result.distinct()
-
-
-def _trim(links: DataFrame, keys: list[str]) -> DataFrame:
-    """Drop references from types without an incoming one and to types without an outgoing one."""
-    links = materialise(links)
-    size = links.count()
-    while size:
-        kept = materialise(
-            links.join(links.select(*keys, F.col("b").alias("a")).distinct(), [*keys, "a"], "left_semi").join(
-                links.select(*keys, F.col("a").alias("b")).distinct(), [*keys, "b"], "left_semi"
-            )
-        )
-        remaining = kept.count()
-        # a long chain would lose one type per round; the labels settle what is left as well
-        if remaining > 0.9 * size:
-            return kept
-        links, size = kept, remaining
-    return links
+        ways = materialise(links.groupBy(*keys, F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("_n"), F.max("b").alias("next")))
+        single = ways.where("_n = 1").drop("_n")
+        stuck = before is not None and size > 0.7 * before
+        if stuck or single.isEmpty():
+            settled, links = _split_by_labels(links, keys, seed)
+            found, seed, size = found.unionByName(settled), seed + 1, None
+            continue
+        tables = _jumps(single, keys)
+        ends = tables[-1]
+        circle = ends.where("open").select(*keys, F.col("next").alias("node")).distinct()
+        ring = single.join(circle, [*keys, "node"], "left_semi").select(*keys, F.col("node").alias("a"), F.col("next").alias("b"))
+        found = found.unionByName(ring)
+        # links of nodes with a choice, and where they lead
+        choices = links.join(single.select(*keys, F.col("node").alias("a")), [*keys, "a"], "left_anti")
+        over = ends.select(*keys, F.col("node").alias("b"), "next", "open")
+        longer = choices.join(over, [*keys, "b"], "left").where("open IS NULL OR NOT open")
+        longer = materialise(longer.select(*keys, "a", "b", F.coalesce("next", "b").alias("end")))
+        rounds.append((found, longer, single, tables))
+        short = materialise(longer.select(*keys, "a", F.col("end").alias("b")).distinct())
+        found, links = short.where(loops), short.where(~loops)
+    while rounds:
+        outer, longer, single, tables = rounds.pop()
+        hot = longer.join(found.withColumnRenamed("b", "end"), [*keys, "a", "end"], "left_semi")
+        passed = _along(materialise(hot.select(*keys, F.col("b").alias("node")).distinct()), tables, keys)
+        ways = single.join(passed, [*keys, "node"], "left_semi").select(*keys, F.col("node").alias("a"), F.col("next").alias("b"))
+        found = outer.unionByName(hot.select(*keys, "a", "b")).unionByName(ways)
+    return found
+
+
+def recursive_types(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Types that refer to themselves, directly or over others: ``keys, type_key``; see :func:`cyclic_edges`."""
+    keys = list(keys)
+    found = cyclic_edges(edges, keys)
+    ends = found.select(*keys, F.col("a").alias("type_key")).unionByName(found.select(*keys, F.col("b").alias("type_key")))
+    return ends.distinct()
 
 
 def flatten_embedded(

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +58,50 @@ def test_recursive_types(spark, seed, n, m):
     assert {(r.service, r.type_key) for r in found.collect()} == expected
 
 
+def test_recursive_types_over_long_ways(spark):
+    n = 100_000
+    chain = [("x", i, i + 1) for i in range(n)] + [("x", n, n - 3)]
+    ring = [("y", i, (i + 1) % 5000) for i in range(5000)]
+    # a ladder whose rungs lead back every thousand nodes, with chains between and tails that lead nowhere
+    back = [("z", i, i + 1) for i in range(9_000)] + [("z", 3000, 1000), ("z", 8000, 5500), ("z", 2000, 20_000), ("z", 20_000, 2_500)]
+    edges = spark.createDataFrame(chain + ring + back, "service string, from_key long, to_key long").repartition(8)
+    start = time.perf_counter()
+    found = {(r.service, r.type_key) for r in graph.recursive_types(edges, ["service"]).collect()}
+    expected = {("x", i) for i in range(n - 3, n + 1)} | {("y", i) for i in range(5000)}
+    expected |= {("z", i) for i in (*range(1000, 3001), *range(5500, 8001), 20_000)}
+    assert found == expected
+    assert time.perf_counter() - start < 120
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_recursive_types_of_mixed_shapes(spark, seed):
+    rng = random.Random(seed)
+    pairs = []
+    for service in "xy":
+        for _ in range(rng.randrange(3, 9)):  # chains
+            at = rng.randrange(60)
+            for _ in range(rng.randrange(1, 12)):
+                to = rng.randrange(60) if rng.random() < 0.3 else at + 100
+                pairs.append((service, f"t{at}", f"t{to}"))
+                at = to
+        pairs += [(service, f"t{rng.randrange(60)}", f"t{rng.randrange(60)}") for _ in range(seed * 8)]
+    ahead = {}
+    for s, a, b in pairs:
+        ahead.setdefault((s, a), set()).add((s, b))
+
+    def reached(node):
+        seen, todo = set(), [node]
+        while todo:
+            for other in ahead.get(todo.pop(), ()):
+                if other not in seen:
+                    seen.add(other)
+                    todo.append(other)
+        return seen
+
+    found = graph.recursive_types(edges_of(spark, pairs), ["service"])
+    assert {(r.service, r.type_key) for r in found.collect()} == {n for n in ahead if n in reached(n)}
+
+
 def test_flatten_embedded(spark):
     embeds = spark.createDataFrame([("A", 1, "B"), ("B", 0, "C"), ("A", 2, "C")], "type_key string, pos int, embedded_key string")
     fields = spark.createDataFrame(
