@@ -15,6 +15,7 @@ bundles of long documents are spread over all tasks.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ _LOOK = 32
 #: Pairs of a boundary and a shift that are tried at a time.
 _PAIRS = 1 << 19
 
-_BUNDLES = "id long, text_key binary, low int, high int, place long, first long, stop long, words binary"
+_BUNDLES = "id long, text_key binary, low int, high int, place long, first long, stop long, n long, words binary"
 _STRETCHES = "id long, text_key binary, period long, start long, stop long"
 
 
@@ -75,61 +76,95 @@ def _equal(words: np.ndarray, a: np.ndarray, b: np.ndarray, room: np.ndarray, wa
 
 
 def _merge(found: np.ndarray) -> np.ndarray:
-    """Stretches (period, start, stop) of one period that overlap by a period are one."""
+    """Stretches (owner, period, start, stop) of one owner and period that overlap by a period are one."""
     if not len(found):
         return found
-    found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
-    out = [found[0].copy()]
-    for period, start, stop in found[1:]:
-        last = out[-1]
-        if last[0] == period and start <= last[2] - period:
-            last[2] = max(last[2], stop)
-        else:
-            out.append(np.array([period, start, stop]))
-    return np.array(out)
-
-
-def stretches(words: np.ndarray, low: int, high: int, first: int, stop: int) -> np.ndarray:
-    """Period, start and stop of the stretches of two periods and more around the boundaries in ``first`` to ``stop``.
-
-    ``words`` are numbers, equal for equal words. Only smallest periods count. Where a shift turns out to be a multiple of
-    one that the words from the boundary on have, all its multiples there are passed over, so that a long stretch of a
-    short period costs one comparison for each boundary and octave.
+    owner, period, start, stop = found[np.lexsort((found[:, 3], found[:, 2], found[:, 1], found[:, 0]))].T
+    group = np.concatenate([[True], (owner[1:] != owner[:-1]) | (period[1:] != period[:-1])])
+    # the furthest stop so far of the same owner and period
+    lift = np.cumsum(group) * (int(stop.max()) + 1)
+    far = np.maximum.accumulate(stop + lift) - lift
+    fresh = group.copy()
+    fresh[1:] |= start[1:] > far[:-1] - period[1:]
+    at = np.flatnonzero(fresh)
+    return np.stack([owner[at], period[at], start[at], np.maximum.reduceat(stop, at)], axis=1)
+
+
+class Tiles(NamedTuple):
+    """Bundles side by side: their words, and for each where it begins, what of it is tiled, and what lies around it."""
+
+    words: np.ndarray
+    begin: np.ndarray  # of the bundle in ``words``; one more for the end
+    low: np.ndarray
+    high: np.ndarray
+    first: np.ndarray  # boundaries of the bundle, counted from its begin
+    stop: np.ndarray
+    before: np.ndarray  # whether the document goes on before and behind the bundle
+    behind: np.ndarray
+
+
+def _boundaries(tiles: Tiles, octave: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bundles that have boundaries of an octave, once for each, and the boundaries as places in the words."""
+    stride = 2 << octave
+    size = np.diff(tiles.begin)
+    tiled = (tiles.low <= octave) & (octave < tiles.high)
+    start = -(-tiles.first // stride)
+    count = np.where(tiled, np.maximum(0, -(-np.minimum(tiles.stop, size) // stride) - start), 0)
+    owner = np.repeat(np.arange(len(size)), count)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    return owner, tiles.begin[owner] + (start[owner] + number) * stride
+
+
+def stretches(tiles: Tiles) -> np.ndarray:
+    """Bundle, period, start and stop of the stretches around all boundaries, at two periods and more.
+
+    Words are numbers, equal for equal words of a bundle. Only smallest periods count. Where a shift turns out to be a
+    multiple of one that the words from the boundary on have, all its multiples there are passed over, so that a long
+    stretch of a short period costs one comparison for each boundary and octave. What is too short for a run and ends
+    inside its tile is left out. All bundles are worked on side by side.
     """
-    n = len(words)
-    found = [np.zeros((0, 3), dtype=np.int64)]
-    for octave in range(low, high):
+    words = tiles.words
+    found = [np.zeros((0, 4), dtype=np.int64)]
+    for octave in range(int(tiles.high.max(initial=0))):
         stride, least = 2 << octave, 1 << octave
         shifts = np.arange(least, 2 * least)
-        every = np.arange(-(-first // stride) * stride, min(stop, n), stride)
-        for here in np.array_split(every, max(1, len(every) * least // _PAIRS)):
-            b, d = np.repeat(here, least), np.tile(shifts, len(here))
-            keep = b + d < n
-            b, d = b[keep], d[keep]
-            near = words[b] == words[b + d]
-            inner = b > 0
-            near[inner] |= words[b[inner] - 1] == words[b[inner] + d[inner] - 1]
-            b, d = b[near], d[near]
-            ahead, behind = np.minimum(n, b + 2 * stride) - b - d, b - np.maximum(0, b - stride)
+        owners, places = _boundaries(tiles, octave)
+        for part in np.array_split(np.arange(len(places)), max(1, len(places) * least // _PAIRS)):
+            low, end = tiles.begin[owners[part]], tiles.begin[owners[part] + 1]
+            b = np.repeat(places[part], least)
+            o = np.repeat(np.arange(len(part)), least)
+            d = np.tile(shifts, len(part))
+            keep = np.flatnonzero(b + d < end[o])
+            b, d, o = b[keep], d[keep], o[keep]
+            near = (words[b] == words[b + d]) | ((words[b - 1] == words[b + d - 1]) & (b > low[o]))
+            keep = np.flatnonzero(near)
+            b, d, o = b[keep], d[keep], o[keep]
+            ahead, back = np.minimum(end[o], b + 2 * stride) - b - d, b - np.maximum(low[o], b - stride)
             # a first look at a few words
-            few = _equal(words, b, b + d, np.minimum(ahead, _LOOK), 1) + _equal(words, b, b + d, np.minimum(behind, _LOOK), -1)
-            near = few >= np.minimum(d, _LOOK)
-            b, d, ahead, behind = b[near], d[near], ahead[near], behind[near]
+            few = _equal(words, b, b + d, np.minimum(ahead, _LOOK), 1) + _equal(words, b, b + d, np.minimum(back, _LOOK), -1)
+            keep = np.flatnonzero(few >= np.minimum(d, _LOOK))
+            b, d, o, ahead, back = b[keep], d[keep], o[keep], ahead[keep], back[keep]
             while len(b):
                 # the smallest shift of each boundary; boundaries and shifts stand in order
                 lead = np.concatenate([[True], b[1:] != b[:-1]])
-                at, shift = b[lead], d[lead]
-                right = _equal(words, at, at + shift, ahead[lead], 1)
-                left = _equal(words, at, at + shift, behind[lead], -1)
+                at, shift, bundle = b[lead], d[lead], owners[part][o[lead]]
+                right = _equal(words, at, at + shift, ahead[lead].copy(), 1)
+                left = _equal(words, at, at + shift, back[lead].copy(), -1)
                 root, reach = np.zeros(len(at), dtype=np.int64), at + shift + right
                 for i in np.flatnonzero(right + left >= shift):
                     root[i] = _root(words[at[i] : at[i] + shift[i]])
-                    if root[i] == shift[i]:
-                        found.append(np.array([[shift[i], at[i] - left[i], reach[i]]]))
-                owner = np.cumsum(lead) - 1
-                part = (root[owner] > 0) & (d % np.maximum(root[owner], 1) == 0) & (b + d <= reach[owner])
-                rest = ~(lead | part)
-                b, d, ahead, behind = b[rest], d[rest], ahead[rest], behind[rest]
+                begun, ended = at - left - tiles.begin[bundle], reach - tiles.begin[bundle]
+                # a stretch that a tile cuts off goes on in another one
+                cut = (left == back[lead]) & ((begun > 0) | tiles.before[bundle])
+                cut |= (right == ahead[lead]) & ((ended < np.diff(tiles.begin)[bundle]) | tiles.behind[bundle])
+                length = ended - begun
+                run = (length >= LEAST_WORDS) & (length >= LEAST_PERIODS * shift)
+                kept = (root == shift) & (cut | run)
+                found.append(np.stack([bundle, shift, begun, ended], axis=1)[kept])
+                mark = np.cumsum(lead) - 1
+                multiple = (root[mark] > 0) & (d % np.maximum(root[mark], 1) == 0) & (b + d <= reach[mark])
+                keep = np.flatnonzero(~(lead | multiple))
+                b, d, o, ahead, back = b[keep], d[keep], o[keep], ahead[keep], back[keep]
     return _merge(np.concatenate(found))
 
 
@@ -169,7 +204,7 @@ def _explode(words_of: WordsOf, size: int) -> Callable[[Iterable[pa.RecordBatch]
                 key, text = batch["id"][row].as_py(), batch["text"][row].as_py()
                 numbers = _numbers(words_of(key, text))
                 for low, high, first, stop, begin, end in bundles(len(numbers), size):
-                    rows.append((key, batch["text_key"][row].as_py(), low, high, begin, first, stop, numbers[begin:end].tobytes()))
+                    rows.append((key, batch["text_key"][row].as_py(), low, high, begin, first, stop, len(numbers), numbers[begin:end].tobytes()))
                     held += end - begin
                     if held > 4 * BUNDLE * 16:
                         yield _as_batch(rows)
@@ -180,30 +215,34 @@ def _explode(words_of: WordsOf, size: int) -> Callable[[Iterable[pa.RecordBatch]
 
 
 def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
     names = [f.split()[0] for f in _BUNDLES.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
+def side_by_side(rows: list[tuple[int, int, int, int, int, int, np.ndarray]]) -> Tiles:
+    """Bundles ``low, high, place, first, stop, n, words`` as tiles; boundaries are multiples of the stride from the place on."""
+    low, high, place, first, stop, n = np.array([r[:6] for r in rows], dtype=np.int64).reshape(-1, 6).T
+    sizes = np.array([len(r[6]) for r in rows], dtype=np.int64)
+    words = np.concatenate([r[6] for r in rows]) if rows else np.zeros(0, dtype=np.uint32)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    return Tiles(words, begin, low, high, first - place, stop - place, place > 0, place + sizes < n)
+
+
 def _solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in _STRETCHES.split(", ")]
     kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     for batch in batches:
-        ids, keys, found = [], [], [np.zeros((0, 3), dtype=np.int64)]
-        for row in range(batch.num_rows):
-            words = np.frombuffer(batch["words"][row].as_py(), dtype=np.uint32)
-            place, low, high = (batch[c][row].as_py() for c in ("place", "low", "high"))
-            first, stop = (batch[c][row].as_py() - place for c in ("first", "stop"))
-            # boundaries stand at multiples of the stride in the document, so the bundle begins at one
-            part = stretches(words, low, high, first, stop)
-            if len(part):
-                found.append(part + np.array([0, place, place]))
-                ids += [batch["id"][row].as_py()] * len(part)
-                keys += [batch["text_key"][row].as_py()] * len(part)
-        table = np.concatenate(found)
-        columns = [ids, keys, table[:, 0], table[:, 1], table[:, 2]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        columns = [batch[c].to_pylist() for c in ("low", "high", "place", "first", "stop", "n")]
+        words = [np.frombuffer(w.as_py(), dtype=np.uint32) for w in batch["words"]]
+        found = stretches(side_by_side(list(zip(*columns, words, strict=True))))
+        place = np.array(columns[2], dtype=np.int64)[found[:, 0]]
+        owner = pa.array(found[:, 0])
+        table = [batch["id"].take(owner), batch["text_key"].take(owner), found[:, 1], found[:, 2] + place, found[:, 3] + place]
+        yield pa.RecordBatch.from_arrays(
+            [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(table, kinds, strict=True)], names
+        )
 
 
 def periodic_runs(rows: DataFrame, words_of: WordsOf = plain_words, size: int = BUNDLE) -> DataFrame:

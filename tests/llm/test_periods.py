@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pactscope.llm.common import read
-from pactscope.llm.periods import bundles, periodic_runs, stretches, summarised
+from pactscope.llm.periods import bundles, periodic_runs, side_by_side, stretches, summarised
 from pactscope.llm.queries import QUERIES, with_planted_run
 
 
@@ -101,8 +101,8 @@ def test_time_grows_with_length():
     def seconds(n, period):
         words = np.tile(np.arange(period), n // period + 1)[:n].astype(np.uint32)
         start = time.perf_counter()
-        found = stretches(words, 0, (n // 4).bit_length(), 0, n)
-        assert found.tolist() == [[period, 0, n]]
+        found = stretches(side_by_side([(0, (n // 4).bit_length(), 0, 0, n, n, words)]))
+        assert found.tolist() == [[0, period, 0, n]]
         return time.perf_counter() - start
 
     for period in (1, 7, 1000):
