@@ -15,6 +15,7 @@ from pactscope.functions.text import (
     strip_comment_marker,
     title_first,
 )
+from pactscope.sources.corpus import FUNCTION, carry_forward, comment_lines
 from pactscope.operators.common import HANDLER, index_last
 
 # The forms of directives in comments.
@@ -238,6 +239,50 @@ def endpoint_tags(routes: DataFrame, directives: DataFrame) -> DataFrame:
     return explicit.unionByName(inferred)
 
 
+def comment_groups(comments: DataFrame) -> DataFrame:
+    """Comment lines on consecutive lines, as groups: ``file, group_id, start_line, end_line``.
+
+    ``comments`` has one row per comment line (``file, line_no``). A line begins a group if the one before is none; that
+    is an equality join, and the beginnings are carried over stretches of lines, so that a file of any length is spread.
+    Groups are numbered by their first lines.
+    """
+    lines = comments.select("file", "line_no").distinct()
+    before = lines.select("file", (F.col("line_no") + 1).alias("line_no"), F.lit(True).alias("_goes_on"))
+    marked = lines.join(before, ["file", "line_no"], "left")
+    start = F.when(F.col("_goes_on").isNull(), F.col("line_no"))
+    placed = carry_forward(marked, "file", "line_no", start, "start_line")
+    grouped = placed.groupBy("file", "start_line").agg(F.max("line_no").alias("end_line"))
+    return grouped.select("file", F.col("start_line").alias("group_id"), "start_line", "end_line")
+
+
+def annotate_declarations(lines: DataFrame) -> DataFrame:
+    """Functions of a corpus with what their comments say: ``file, line, fun``, ``kind, line_no, text``.
+
+    ``lines`` are all lines of the files. There is a row for the summary of each documented function, one for each line of
+    its description and one for each directive, whose kind begins with ``@``.
+    """
+    is_header = F.col("text").rlike(FUNCTION)
+    comments = comment_lines(lines)
+    declared = lines.where(is_header).select(
+        "file", F.col("line_no").alias("line"), F.regexp_extract("text", FUNCTION, 1).alias("fun"),
+        F.lit("func").alias("kind"), F.lit("none").alias("wanted_kind"), F.lit(None).cast("bigint").alias("doc_group"),
+    ).withColumn("decl_id", F.col("line"))
+    groups = comment_groups(comments)
+    attached = attach_comments(declared, groups).where(F.col("group_id").isNotNull())
+    # the lines of a group are those whose beginning is carried to them
+    spans = attached.join(groups, ["file", "group_id"]).select("file", "line", "start_line", "end_line")
+    numbers = spans.select("file", "line", F.explode(F.sequence("start_line", "end_line")).alias("line_no"))
+    documented = numbers.join(comments, ["file", "line_no"]).select("file", "line", "line_no", "text")
+    keys = ["file", "line"]
+    told = summarize_blocks(documented, keys)
+    stated = mine_directives(documented, keys)
+    stated = stated.select(
+        *keys, F.concat(F.lit("@"), "kind").alias("kind"), F.col("line_no").cast("bigint").alias("line_no"),
+        F.concat_ws(" ", F.col("code").cast("string"), "type_key", "text").alias("text"),
+    )
+    return told.unionByName(stated).join(declared.select("file", "line", "fun"), keys)
+
+
 def attach_comments(declarations: DataFrame, groups: DataFrame) -> DataFrame:
     """The comment group of each declaration: ``file, decl_id, line, group_id``.
 

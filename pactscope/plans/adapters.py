@@ -175,6 +175,20 @@ SELECT concat('f', decl_id) AS file, line_no, CASE (decl_id + line_no) % 8
   WHEN 3 THEN concat('  x := req.PathParamDoc(UriParamEmailId, "the id // of ', decl_id, '")')
   WHEN 4 THEN concat('  if err := req.optBody(&body', line_no, '); err != nil { return noContentResponse(a, b) }')
   WHEN 5 THEN concat('  // ', raw) ELSE raw END AS text FROM fx_lines""",
+    "fx_annotated_lines": """
+SELECT concat('f', decl_id) AS file, line_no, CASE (decl_id + line_no) % 7
+  WHEN 0 THEN concat('func (g *Api) F', line_no, '(w http.ResponseWriter, r *http.Request) {')
+  WHEN 1 THEN concat('  return g.x // ', raw) WHEN 2 THEN CASE WHEN decl_id % 3 = 0 THEN '  // far' ELSE '' END
+  WHEN 3 THEN concat('// ', raw) WHEN 4 THEN concat('  // @api:response ', 200 + line_no % 5, ':[]T ', raw)
+  WHEN 5 THEN CASE WHEN decl_id % 5 = 0 THEN '}' ELSE concat('//@api:tag email, t', line_no) END
+  ELSE CASE WHEN decl_id % 4 = 0 THEN '// see [RFC7000]' ELSE '//' END END AS text FROM fx_lines""",
+    "fx_spanning_lines": """
+SELECT concat('f', decl_id) AS file, line_no, CASE (decl_id + line_no) % 7
+  WHEN 0 THEN concat('func (g *Api) F', line_no, '(w http.ResponseWriter, r *http.Request) {')
+  WHEN 1 THEN '  x := req.parseIntParam('
+  WHEN 2 THEN concat('    QueryParamLimit, inner(a, "b) (", other(c)), "text ', decl_id, '", // (', raw)
+  WHEN 3 THEN '    wrap(deep(&body, if (x), ' WHEN 4 THEN CASE WHEN decl_id % 3 = 0 THEN '    "t"), (1 + 2)' ELSE '    "t")), (1 + 2)' END
+  WHEN 5 THEN '  ) // done' ELSE raw END AS text FROM fx_lines""",
     "fx_calls": f"""
 SELECT {_EVENT_KEY}, concat('api.F', event_id % 50) AS fun, event_id AS line_no, 0 AS ord,
   CASE event_id % 23 WHEN 0 THEN 'parseIntParam' WHEN 1 THEN 'getMandatoryStringParam' WHEN 2 THEN 'parseOptBoolParam'

@@ -13,6 +13,7 @@ from pactscope.catalogue.defaults import (
     HTTP_STATUS,
     RESPONSE_HELPERS,
 )
+from pactscope.catalogue.schemas import COLUMNS
 from pactscope.plans.adapters import with_clause
 
 ORACLES: dict[str, str] = {}
@@ -153,15 +154,6 @@ _oracle(
       CASE WHEN scope = '' THEN 'any' ELSE scope END AS scope, file || CASE WHEN origin = '' THEN '' ELSE ':' || origin END AS origin, payload FROM r""",
 )
 _oracle("catalogue_round_trip", "fx_endpoints", "SELECT service, version, verb, path, fun, ord FROM fx_endpoints")
-_KEYED = "endpoints handlers params responses errors handler_errors".split()
-_SHARED = "comment_lines param_defs types fields enums examples tag_defs".split()
-_oracle(
-    "catalogue_tables", " ".join(f"fx_{t}" for t in (*_KEYED, *_SHARED, "release_tags")),
-    " UNION ALL ".join(
-        [f"SELECT '{t}' AS name, service, count(*) AS n FROM fx_{t} GROUP BY service" for t in (*_KEYED, "release_tags")]
-        + [f"SELECT '{t}', 'shared', count(*) FROM fx_{t}" for t in _SHARED]
-    ),
-)
 _CODE = r"""^((?:[^"/]|"(?:[^"\\]|\\.)*"|/[^"/])*)"""
 _CALL = r"\b((?:[A-Za-z_]\w*\.)?[A-Za-z_]\w*\([^()]*\))"
 _FUNC = r"^func\s+(?:\(\w+\s+\*?\w+\)\s+)?(\w+)\("
@@ -176,6 +168,29 @@ _CALL_SITES = f"""placed AS (SELECT file, line_no, text, last_value(CASE WHEN re
     FROM call_args WHERE method NOT IN ('if', 'for', 'switch', 'func', 'return', 'select', 'case'))"""
 _oracle("mine_call_sites", "fx_source_lines", f", {_CALL_SITES} SELECT * FROM call_sites")
 
+_STRING = r'"((?:[^"\\]|\\.)*)"'
+_BRACKET = r"((?:(?:[A-Za-z_]\w*\.)?[A-Za-z_]\w*)?\(|\))"
+_NAME = r"^(?:([A-Za-z_]\w*)\.)?([A-Za-z_]\w*)\($"
+_oracle(
+    "mine_spanning_calls", "fx_spanning_lines",
+    rf""", coded AS (SELECT *, regexp_matches(text, '{_FUNC}') AS head, regexp_extract(text, '{_CODE}', 1) AS code FROM fx_spanning_lines),
+    lined AS (SELECT *, lead(code) OVER (PARTITION BY file ORDER BY line_no) AS below,
+      max(CASE WHEN head THEN line_no END) OVER (PARTITION BY file ORDER BY line_no) AS seg FROM coded),
+    toks AS (SELECT file, line_no, seg, text, code, below, unnest(range(1, len(t) + 1)) AS tok, t FROM (
+      SELECT *, regexp_extract_all(regexp_replace(code, '{_STRING}', '""', 'g'), '{_BRACKET}', 1) AS t FROM lined WHERE NOT head)),
+    deep AS (SELECT *, t[tok] AS token, sum(CASE WHEN t[tok] LIKE '%(' THEN 1 ELSE -1 END) OVER (PARTITION BY file, seg ORDER BY line_no, tok) AS depth FROM toks),
+    leveled AS (SELECT *, depth + CASE WHEN token LIKE '%(' THEN 0 ELSE 1 END AS level FROM deep),
+    paired AS (SELECT *, lead(line_no) OVER (PARTITION BY file, seg, level ORDER BY line_no, tok) AS end_line FROM leveled),
+    calls AS (SELECT *, regexp_extract(token, '{_NAME}', 2) AS method, list_filter(list_transform(string_split(regexp_replace(code, '{_STRING}|{_BRACKET}', '\0' || chr(1), 'g'), chr(1)),
+      lambda x, i: {{'x': x, 'i': i}}), lambda e: regexp_matches(e.x, '[()]$')) AS marks, string_split(regexp_replace(code, '{_STRING}|{_BRACKET}', '\0' || chr(1), 'g'), chr(1)) AS pieces
+      FROM paired WHERE token LIKE '%(' AND end_line IS NOT NULL),
+    args AS (SELECT *, array_to_string(pieces[marks[tok].i + 1:], '') AS behind FROM calls WHERE method <> '' AND method NOT IN ('if', 'for', 'switch', 'func', 'return', 'select', 'case')),
+    arg AS (SELECT *, CASE WHEN trim(behind) = '' THEN coalesce(below, '') ELSE behind END AS a FROM args)
+    SELECT file, line_no, CAST(tok - 1 AS INT) AS ord, end_line, CAST(level AS INT) AS level,
+      (SELECT regexp_extract(h.text, '{_FUNC}', 1) FROM fx_spanning_lines h WHERE h.file = arg.file AND h.line_no = arg.seg) AS fun,
+      regexp_extract(token, '{_NAME}', 1) AS receiver, method, regexp_extract(a, '^\s*&?([A-Za-z_]\w*)', 1) AS arg_name,
+      regexp_extract(a, '{_STRING}', 1) AS arg_text, regexp_extract(text, '{_CODE}//\s?(.*)$', 2) AS comment FROM arg""",
+)
 # --- text steps --------------------------------------------------------------------------------
 
 _oracle(
@@ -479,6 +494,31 @@ attrs AS (SELECT var, arg_max(value, ord) FILTER (attr = 'name') AS name, arg_ma
   arg_max(value, ord) FILTER (attr = 'uriParamName') AS uri_param_name,
   regexp_extract(arg_max(value, ord) FILTER (attr = 'accountFunc'), '^need([A-Z][a-z]+)WithAccount$', 1) AS account_type FROM fx_object_attributes GROUP BY var),
 objects AS (SELECT * FROM args JOIN attrs USING (var) WHERE foo IS NOT NULL AND change IS NOT NULL AND changes IS NOT NULL)"""
+# columns that the tables of a catalogue have and the adapters lack
+_LACKING = {
+    "handlers": "source line col example_key", "comment_lines": "service version", "params": "type_key exploded",
+    "param_defs": "service version", "responses": "default_value", "types": "service version element_key key_key file line col",
+    "fields": "service version tag", "enums": "service version", "examples": "service version origin",
+    "object_types": "service version response_type container_uri_param_name failed_to_delete_error",
+    "templates": "service version", "template_responses": "service version", "tag_defs": "service version", "release_tags": "version",
+}
+
+
+def _digest_of(table: str) -> str:
+    lacking = _LACKING.get(table, "").split()
+    names = ["service", "version", *[c.split()[0] for c in COLUMNS[table].split(", ")]]
+    given = {"service": "'shared'", "version": "'v1'", "account_type": "nullif(account_type, '')"}
+    values = {n: given.get(n, "NULL") if n in lacking else given[n] if n == "account_type" else n for n in names}
+    text = ", ".join(f"coalesce(CAST({values[n]} AS VARCHAR), '~')" for n in names)
+    rows = "objects" if table == "object_types" else f"fx_{table}"
+    return f"""SELECT '{table}' AS name, {values["service"]} AS service, {values["version"]} AS version, count(*) AS n,
+      CAST(sum(CAST('0x' || substr(md5(concat_ws(chr(31), {text})), 1, 15) AS BIGINT)) AS VARCHAR) AS digest FROM {rows} GROUP BY ALL"""
+
+
+_oracle(
+    "catalogue_tables", " ".join(f"fx_{t}" for t in COLUMNS if t != "object_types") + " fx_object_type_args fx_object_attributes",
+    f", {_OBJECTS} " + " UNION ALL ".join(map(_digest_of, COLUMNS)),
+)
 _oracle(
     "assemble_object_types", "fx_object_type_args fx_object_attributes",
     f", {_OBJECTS} SELECT var, foo, change, changes, name, plural, uri_param_name, account_type FROM objects",
@@ -670,6 +710,22 @@ summaries AS (SELECT decl_id, 'summary' AS kind, CAST(NULL AS BIGINT) AS line_no
   UNION ALL SELECT decl_id, 'description', CAST(line_no AS BIGINT), CASE WHEN q AND seen = 2 THEN {_title("text")} ELSE text END FROM sn WHERE seen >= 2)"""
 
 
+_ANNOTATED = f"""notes AS (SELECT file, line_no, {_strip("ltrim(text)")} AS text FROM fx_annotated_lines WHERE ltrim(text) LIKE '//%'),
+    islands AS (SELECT *, line_no - row_number() OVER (PARTITION BY file ORDER BY line_no) AS island FROM notes),
+    groups AS (SELECT file, min(line_no) AS group_id, min(line_no) AS start_line, max(line_no) AS end_line FROM islands GROUP BY file, island)"""
+_oracle("comment_groups", "fx_annotated_lines", f", {_ANNOTATED} SELECT * FROM groups")
+_oracle(
+    "annotate_functions", "fx_annotated_lines",
+    f""", {_ANNOTATED}, decls AS (SELECT file, line_no AS line, regexp_extract(text, '{_FUNC}', 1) AS fun FROM fx_annotated_lines WHERE regexp_matches(text, '{_FUNC}')),
+    owned AS (SELECT d.file, d.line, d.fun, n.line_no, n.text, d.file || ':' || d.line AS decl_id FROM decls d JOIN groups g ON g.file = d.file AND g.end_line = d.line - 1
+      JOIN notes n ON n.file = d.file AND n.line_no BETWEEN g.start_line AND g.end_line),
+    @SUMMARIES@, {_directives("owned", "decl_id")},
+    rows AS (SELECT decl_id, kind, line_no, text FROM summaries UNION ALL SELECT decl_id, '@tag', line_no, tag FROM dir_tags
+      UNION ALL SELECT decl_id, '@' || kind, line_no, concat_ws(' ', CAST(code AS VARCHAR), type_key, text) FROM dir_last)
+    SELECT split_part(decl_id, ':', 1) AS file, CAST(split_part(decl_id, ':', 2) AS BIGINT) AS line, (SELECT any_value(fun) FROM owned o WHERE o.decl_id = rows.decl_id) AS fun,
+      kind, line_no, text FROM rows""",
+)
+ORACLES["annotate_functions"] = ORACLES["annotate_functions"].replace("@SUMMARIES@", _summaries("owned"))
 _oracle("summarize_blocks", "fx_comment_lines", f", {_summaries('fx_comment_lines')} SELECT * FROM summaries")
 _SUMMARY_STEPS = f"""hl AS (SELECT {_HANDLER}, line_no, {_strip(_link("text"))} AS text FROM fx_handler_lines),
 h0 AS (SELECT *, min(CASE WHEN NOT regexp_matches(text, '^\\s*$') THEN line_no END) OVER (PARTITION BY {_HANDLER}) AS n0 FROM hl),

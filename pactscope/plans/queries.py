@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -133,19 +132,17 @@ def catalogue_round_trip(spark, fx_endpoints):
 @query
 def catalogue_tables(
     spark, fx_endpoints, fx_handlers, fx_comment_lines, fx_params, fx_param_defs, fx_responses, fx_errors, fx_handler_errors,
-    fx_types, fx_fields, fx_enums, fx_examples, fx_tag_defs, fx_release_tags,
+    fx_types, fx_fields, fx_enums, fx_examples, fx_tag_defs, fx_release_tags, fx_templates, fx_template_responses,
+    fx_object_type_args, fx_object_attributes,
 ):
-    """All tables of a catalogue written and read again, with the rows of each service."""
+    """All tables of a catalogue written and read again, with a digest of the rows of each service."""
     given = dict(locals())
     tables = {n.removeprefix("fx_"): df for n, df in given.items() if n.startswith("fx_")}
+    tables["object_types"] = templates.assemble_object_types(tables.pop("object_type_args"), tables.pop("object_attributes"))
     folder = scratch_path(spark, "catalogue")
     shared = {"service": "shared", "version": "v1"}
     catalogue.write_catalogue({n: catalogue.conform(n, df, **shared) for n, df in tables.items()}, folder)
-    counted = [
-        df.groupBy("service").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "service", "n")
-        for name, df in catalogue.read_catalogue(spark, folder).items()
-    ]
-    return functools.reduce(DataFrame.unionByName, counted)
+    return catalogue.table_digests(catalogue.read_catalogue(spark, folder))
 
 
 @query
@@ -154,6 +151,24 @@ def mine_call_sites(fx_source_lines):
     return corpus.mine_call_sites(fx_source_lines)
 
 
+@query
+def mine_spanning_calls(fx_spanning_lines):
+    """Calls over several lines and nested calls, with their function."""
+    return corpus.mine_spanning_calls(fx_spanning_lines)
+
+
+@query
+def comment_groups(fx_annotated_lines):
+    """Groups of comment lines."""
+    return comments.comment_groups(corpus.comment_lines(fx_annotated_lines))
+
+
+@query
+def annotate_functions(fx_annotated_lines):
+    """Functions of a corpus with summary, description and directives."""
+    return comments.annotate_declarations(fx_annotated_lines)
+
+
 # --- text steps --------------------------------------------------------------------------------
 
 

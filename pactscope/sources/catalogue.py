@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 
 from pyspark.errors import AnalysisException
@@ -34,11 +35,48 @@ def conform(table: str, df: DataFrame, **fixed: str) -> DataFrame:
     return df.select(*columns)
 
 
+#: The table of digests beside the tables.
+MANIFEST = "_digests"
+
+
+def table_digests(catalogue: dict[str, DataFrame]) -> DataFrame:
+    """What tells the rows of each table and service: ``name, service, version, n, digest``.
+
+    A row's number is made of the first 15 digits of the MD5 of its columns, in the order of the schema, nulls apart from
+    empty texts. The digest is the sum of these numbers, so it needs no order and is added up in parts; together with the
+    count of rows it shows a changed value, a lost column, and a row that is missing or there twice.
+    """
+    found = None
+    for table, df in catalogue.items():
+        text = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in schema_of(table).fieldNames()])
+        number = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+        rows = df.groupBy("service", "version").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(number).cast("string").alias("digest")
+        )
+        rows = rows.select(F.lit(table).alias("name"), "service", "version", "n", "digest")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def changed_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables and services whose rows are not those that were written: ``name, service, version`` and both counts."""
+    written = spark.read.parquet(os.path.join(folder, MANIFEST))
+    held = {n: df for n, df in read_catalogue(spark, folder).items()}
+    keys = ["name", "service", "version"]
+    now = table_digests(held).withColumnsRenamed({"n": "n_now", "digest": "_now"})
+    same = [F.col(f"w.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    both = written.alias("w").join(now.alias("r"), functools.reduce(lambda a, b: a & b, same), "full")
+    differ = ~(F.col("w.n").eqNullSafe(F.col("n_now")) & F.col("w.digest").eqNullSafe(F.col("_now")))
+    return both.where(differ).select(*[F.coalesce(f"w.{k}", f"r.{k}").alias(k) for k in keys], F.col("w.n").alias("n_written"), "n_now")
+
+
 def write_catalogue(catalogue: dict[str, DataFrame], folder: str) -> None:
     """Write the tables, one folder per service, so that a reader of one service skips the others.
 
-    Rebalancing gathers the rows of small services in one file and divides those of large ones.
+    Rebalancing gathers the rows of small services in one file and divides those of large ones. The digests of what was to
+    be written stand beside the tables; see :func:`changed_tables`.
     """
     for table, df in catalogue.items():
         rows = df.select(*schema_of(table).fieldNames()).hint("rebalance", "service")
         rows.write.mode("overwrite").partitionBy("service").parquet(os.path.join(folder, table))
+    table_digests(catalogue).coalesce(1).write.mode("overwrite").parquet(os.path.join(folder, MANIFEST))

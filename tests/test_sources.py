@@ -141,6 +141,44 @@ def test_written_documents(spark, tmp_path):
     assert len(list((tmp_path / "out").glob("service=big/version=1/part-*"))) > 3
 
 
+def test_digests_show_changes(spark, tmp_path):
+    schema = catalogue.schema_of("tag_defs")
+    rows = [("s1", "1", "a", "text", None), ("s1", "1", "b", "", ""), ("s2", "1", "a", None, "x"), ("s2", "1", "a", None, "x")]
+    given = {"tag_defs": spark.createDataFrame(rows, schema)}
+    catalogue.write_catalogue(given, str(tmp_path / "a"))
+    assert catalogue.changed_tables(spark, str(tmp_path / "a")).count() == 0
+
+    def changed(other):
+        folder = str(tmp_path / f"b{len(list(tmp_path.iterdir()))}")
+        catalogue.write_catalogue(given, folder)
+        df = spark.createDataFrame(other, schema)
+        df.write.mode("overwrite").partitionBy("service").parquet(f"{folder}/tag_defs")
+        return {(r.service, r.n_written, r.n_now) for r in catalogue.changed_tables(spark, folder).collect()}
+
+    assert changed(rows[::-1]) == set()
+    assert changed(rows[:3]) == {("s2", 2, 1)}
+    assert changed([*rows[:1], ("s1", "1", "b", "", None), *rows[2:]]) == {("s1", 2, 2)}
+    assert changed([(s, v, n, None, d) for s, v, n, _, d in rows]) == {("s1", 2, 2)}
+    assert changed(rows[:2]) == {("s2", 2, None)}
+
+
+def test_spanning_calls_over_stretches(spark):
+    lines = [
+        "req.open(", "func (g *Api) First(w int) {", '  a := req.parse(  // note', '    Name, inner("x) (", deep(',
+        "", "    1)), (2)", "  )", "} )", "func (g *Api) Second(w int) {", "  if (x) { lost( one(A), two(B)", "func (g *Api) Third() {", "  done(C)",
+    ]
+    df = spark.createDataFrame([(f, i, t) for f in ("f", "g") for i, t in enumerate(lines)], "file string, line_no long, text string")
+    expected = {
+        ("First", 2, 6, 1, "req", "parse", "Name", "x) ("), ("First", 3, 5, 2, "", "inner", "", "x) ("),
+        ("First", 3, 5, 3, "", "deep", "", ""), ("Second", 9, 9, 2, "", "one", "A", ""), ("Second", 9, 9, 2, "", "two", "B", ""),
+        ("Third", 11, 11, 1, "", "done", "C", ""),
+    }
+    for size in (1, 2, 3, 1 << 17):
+        found = corpus.mine_spanning_calls(df, size).where("file = 'f'").collect()
+        assert {(r.fun, r.line_no, r.end_line, r.level, r.receiver, r.method, r.arg_name, r.arg_text) for r in found} == expected
+        assert len(found) == len(expected) and next(r.comment for r in found if r.method == "parse") == "note"
+
+
 def test_schemas(spark):
     struct = "type_key string, kind string, target_key string, summary string, description string"
     all_types = spark.createDataFrame(
