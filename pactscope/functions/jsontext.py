@@ -21,3 +21,14 @@ def with_member(json: Column, name: str, value: Column) -> Column:
 def pointer_token(text: Column) -> Column:
     """One step of a JSON pointer."""
     return F.replace(F.replace(text, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else.
+
+    Parsing stops behind the first value, so the text is read as the element of an array and as a member of an object: what
+    would close one of them early breaks the other.
+    """
+    element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return element.isNotNull() & member.isNotNull()

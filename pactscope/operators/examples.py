@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pactscope.functions.jsontext import is_json
 from pactscope.functions.text import blank_to_null
 from pactscope.functions.typekeys import split_type_key
 from pactscope.operators.common import SERVICE, present, scattered
@@ -145,9 +146,14 @@ def request_example_overrides(examples: DataFrame) -> DataFrame:
     )
 
 
+def valid_examples(examples: DataFrame) -> DataFrame:
+    """Examples whose payload is JSON, so that what is put together of them is JSON as well."""
+    return examples.where(is_json(F.col("payload")))
+
+
 def invalid_examples(examples: DataFrame) -> DataFrame:
     """Examples whose payload is not JSON."""
-    return examples.where(F.try_parse_json("payload").isNull())
+    return examples.where(~is_json(F.col("payload")))
 
 
 def property_examples(examples: DataFrame, fields: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pactscope.functions.jsontext import json_string
 from pactscope.functions.text import blank_to_null, is_blank, title_first
 from pactscope.functions.typekeys import leaf_key
 from pactscope.operators.common import HANDLER, SERVICE, collect_ordered, index_last, pick_first, present
+from pactscope.session import materialise
 
 
 def resolve_params(params: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -51,6 +52,29 @@ def merge_params(*sources: DataFrame) -> DataFrame:
     return index_last(merged, [*HANDLER, "location", "name"], F.struct("_source", "ord")).drop("_source")
 
 
+def inherited_params(params: DataFrame, calls: DataFrame) -> DataFrame:
+    """The parameters of each function and of the functions it calls, directly or over others.
+
+    ``calls`` has ``fun, callee``. A parameter of one location and name comes from the nearest function that reads it, of
+    several from the first by name: ``declared_in``, ``distance``. Each round hands what was newly found to the callers,
+    so functions that call each other end the search.
+    """
+    keys = [*HANDLER, "location", "name"]
+    own = index_last(params, keys, "ord")
+    known = materialise(own.withColumn("declared_in", F.col("fun")).withColumn("distance", F.lit(0)))
+    callers = materialise(calls.select(*SERVICE, F.col("fun").alias("_caller"), F.col("callee").alias("fun")).distinct())
+    frontier, columns, distance = known, known.columns, 0
+    while not frontier.isEmpty():
+        distance += 1
+        offered = frontier.join(callers, [*SERVICE, "fun"]).withColumn("fun", F.col("_caller")).drop("_caller", "distance")
+        rest = [c for c in columns if c not in (*keys, "distance")]
+        nearest = pick_first(offered, keys, F.col("declared_in"), rest)
+        fresh = nearest.join(known.select(*keys), keys, "left_anti").withColumn("distance", F.lit(distance))
+        frontier = materialise(fresh.select(*columns))
+        known = known.unionByName(frontier)
+    return known
+
+
 def endpoint_flags(params: DataFrame) -> DataFrame:
     """Per handler: which conditions of the error rules hold, and the number of parameters."""
     location, required = F.col("location"), F.col("required")

@@ -148,7 +148,14 @@ UNION ALL SELECT DISTINCT service, version, 'm.SwaggerThing', 'm', 'SwaggerThing
     "fx_service_enums": """
 SELECT service, version, concat('m.', r_name) AS type_key, n_name AS name, lower(n_name) AS value FROM fx_service_nations""",
     "fx_service_examples": f"""
-SELECT e.*, {_EVENT_KEY} FROM fx_examples AS e JOIN events ON event_id = ord""",
+SELECT ord, type_key, key, scope, title, CASE WHEN ord % 29 = 7 THEN concat(payload, '}}') WHEN ord % 31 = 5 THEN '' ELSE payload END AS payload,
+  {_EVENT_KEY} FROM fx_examples AS e JOIN events ON event_id = ord""",
+    "fx_helper_calls": f"""
+SELECT DISTINCT {_EVENT_KEY}, CASE WHEN event_id % 3 = 0 THEN concat('api.H', event_id % 11) ELSE concat('api.F', event_id % 50) END AS fun,
+  CASE WHEN event_id % 3 = 0 THEN concat('api.H', (event_id % 11 + 1) % 11) ELSE concat('api.H', event_id % 4) END AS callee FROM events""",
+    "fx_helper_params": """
+SELECT ord, service, version, CASE WHEN ord % 4 = 1 THEN concat('api.H', ord % 11) ELSE fun END AS fun, location, name, required, description, default_value
+FROM fx_params""",
     "fx_service_tag_defs": f"""
 SELECT DISTINCT {_EVENT_KEY}, CASE event_type WHEN 'view' THEN 'email' WHEN 'click' THEN 'mailbox' WHEN 'signup' THEN 'role' WHEN 'purchase' THEN 'changes'
   ELSE 'views' END AS name, CASE WHEN event_type = 'view' THEN '' ELSE concat('about ', event_type) END AS summary, '' AS description FROM events""",

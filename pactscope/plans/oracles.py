@@ -643,6 +643,15 @@ _oracle(
     "distinct_keys", "fx_endpoints fx_params fx_responses",
     f"SELECT {_HANDLER} FROM fx_endpoints UNION SELECT {_HANDLER} FROM fx_params UNION SELECT {_HANDLER} FROM fx_responses",
 )
+_oracle(
+    "inherited_params", "fx_helper_params fx_helper_calls",
+    f""", own AS (SELECT * FROM {_last("fx_helper_params", _HANDLER + ", location, name")}),
+    walk(service, version, fun, helper, distance) AS (SELECT DISTINCT service, version, fun, fun, 0 FROM (SELECT service, version, fun FROM own UNION SELECT service, version, fun FROM fx_helper_calls)
+      UNION SELECT w.service, w.version, w.fun, c.callee, w.distance + 1 FROM walk w JOIN fx_helper_calls c ON c.service = w.service AND c.version = w.version AND c.fun = w.helper WHERE w.distance < 15),
+    near AS (SELECT service, version, fun, helper, min(distance) AS distance FROM walk GROUP BY ALL)
+    SELECT n.fun AS fun, o.* EXCLUDE (fun), o.fun AS declared_in, CAST(distance AS INT) AS distance FROM near n JOIN own o ON o.service = n.service AND o.version = n.version AND o.fun = n.helper
+    QUALIFY row_number() OVER (PARTITION BY n.service, n.version, n.fun, location, name ORDER BY distance, o.fun) = 1""",
+)
 _oracle("endpoint_flags", "fx_params", f", {_FLAGS} SELECT * FROM flags")
 _oracle(
     "collapse_bodies", "fx_params",
@@ -808,6 +817,8 @@ _oracle(
     SELECT ord, type_key, key, attr, payload ->> attr AS value FROM v SEMI JOIN f USING (type_key, attr)""",
 )
 
+_oracle("invalid_examples", "fx_service_examples", "SELECT service, version, type_key, key, ord FROM fx_service_examples WHERE NOT json_valid(payload)")
+
 # --- types -------------------------------------------------------------------------------------
 
 
@@ -979,7 +990,7 @@ def _without_service(text: str) -> str:
 _KNOWN_TYPES = "known AS (SELECT DISTINCT service, version, type_key FROM fx_service_types WHERE kind = 'struct' AND name NOT LIKE 'Swagger%')"
 _MATCHED_HERE = (
     _matched("effective", "*")
-    .replace("SELECT DISTINCT type_key AS k FROM fx_examples", "SELECT DISTINCT service, version, type_key AS k FROM fx_service_examples")
+    .replace("SELECT DISTINCT type_key AS k FROM fx_examples", "SELECT DISTINCT service, version, type_key AS k FROM fx_service_examples").replace("WHERE scope = 'any')", "WHERE scope = 'any' AND json_valid(payload))")
     .replace("ON d.k = w.w", "ON d.k = w.w AND d.service = w.service AND d.version = w.version")
     .replace("ON i.k = w.e", "ON i.k = w.e AND i.service = w.service AND i.version = w.version")
 )
@@ -1036,7 +1047,7 @@ _oracle(
       FROM {_last("body_rows", _HANDLER + ", name")}),
     collapsed AS (SELECT {_HANDLER}, CASE WHEN count(*) = 1 THEN bool_and(required) ELSE TRUE END AS required, CASE WHEN count(*) = 1 THEN {_title("max(description)")} ELSE '' END AS description,
       CASE WHEN count(*) = 1 THEN max({_used_schema("name")}) ELSE '{{"oneOf":[' || string_agg({_used_schema("name")}, ',' ORDER BY name) || ']}}' END AS schema FROM last_bodies GROUP BY {_HANDLER}),
-    last_examples AS (SELECT * FROM {_last("(SELECT * FROM fx_service_examples WHERE scope = 'any')", "service, version, key")}),
+    last_examples AS (SELECT * FROM {_last("(SELECT * FROM fx_service_examples WHERE scope = 'any' AND json_valid(payload))", "service, version, key")}),
     wrapped AS (SELECT DISTINCT service, version, example_set AS type_key, ref_prefix FROM matched WHERE ref_prefix <> ''),
     shown AS (SELECT service, version, key, title, type_key AS example_set, payload FROM last_examples SEMI JOIN services USING (service, version)
       UNION ALL SELECT service, version, '[]' || key, title, '[]' || type_key, '[' || payload || ']' FROM last_examples SEMI JOIN (SELECT * FROM wrapped WHERE ref_prefix = '[]') USING (service, version, type_key)

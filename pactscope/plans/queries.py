@@ -697,6 +697,12 @@ def distinct_keys(fx_endpoints, fx_params, fx_responses):
     return common.distinct_keys(fx_endpoints, fx_params, fx_responses, keys=HANDLER)
 
 
+@query
+def inherited_params(fx_helper_params, fx_helper_calls):
+    """A10: parameters of functions and of the helpers they call."""
+    return params.inherited_params(fx_helper_params, fx_helper_calls)
+
+
 @query
 def endpoint_flags(fx_params):
     """Conditions that the parameters of handlers meet."""
@@ -877,6 +883,12 @@ def property_examples(fx_examples, fx_fields):
     return examples.property_examples(fx_examples, named).select("ord", "type_key", "key", "attr", "value")
 
 
+@query
+def invalid_examples(fx_service_examples):
+    """Examples whose payload is not JSON."""
+    return examples.invalid_examples(fx_service_examples).select(*SERVICE, "type_key", "key", "ord")
+
+
 # --- types -------------------------------------------------------------------------------------
 
 
@@ -975,7 +987,7 @@ def _shown(spark, fx_endpoints, fx_params, fx_responses, fx_handler_errors, fx_e
     effective = responses.effective_responses(
         first, fx_params, fx_responses, fx_handler_errors, fx_errors, defaults.error_rules(spark), ERROR_TYPE
     )
-    matched = examples.match_examples(effective, fx_service_examples)
+    matched = examples.match_examples(effective, examples.valid_examples(fx_service_examples))
     answers = materialise(types.shown_types(matched, "type_key", fx_service_types, aliases))
     # several unknown types of a handler are one body of any kind
     named = types.shown_types(fx_params.where(F.col("location") == "body"), "name", fx_service_types, aliases)
@@ -1026,7 +1038,8 @@ def _parts(
     schemas = own.withColumn("schema_key", F.col("type_key")).unionByName(special)
     held = services.select(*SERVICE)
     dictionary = audits.merge_tag_metadata(fx_service_tag_defs, fx_service_tag_template).join(held, SERVICE, "left_semi")
-    last = common.index_last(examples.examples_for(fx_service_examples, "any"), [*SERVICE, "key"], "ord")
+    valid = examples.valid_examples(fx_service_examples)
+    last = common.index_last(examples.examples_for(valid, "any"), [*SERVICE, "key"], "ord")
     shown = last.withColumn("example_set", F.col("type_key"))
     for prefix in ("[]", "map[string]"):
         wrapped = examples.wrap_examples(last, answers, prefix)

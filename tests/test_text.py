@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pactscope.functions.jsontext import is_json
 from pactscope.functions import paths, releases, sentences, tags, text, typekeys
 
 
@@ -140,3 +141,13 @@ def test_release_order(spark):
     df = spark.createDataFrame([(g,) for g in given], ["tag"]).withColumn("r", releases.parse_release(F.col("tag")))
     ordered = df.where("r is not null").orderBy(releases.release_order(F.col("r"))).collect()
     assert [r.tag for r in ordered] == ["v4.1.0-rc.1", "v4.1.0", "v4.10.0"]
+
+
+def test_is_json(spark):
+    cases = {
+        '{"a":1}': True, "[1, 2]": True, '"x"': True, "1": True, " null ": True, "": False, " ": False, '{"a":1}}': False, "1, 2": False,
+        "1],[2": False, '1},{"x":2': False, "{": False, "x": False, '{"a":1} {"a":2}': False, None: False,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "text string")
+    found = {r.text: r.ok for r in rows.select("text", is_json(F.col("text")).alias("ok")).collect()}
+    assert found == cases
