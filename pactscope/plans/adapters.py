@@ -100,6 +100,16 @@ JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumb
     "fx_sparse_edges": """
 SELECT p_partkey AS from_key,
   CASE WHEN p_size < 20 THEN CAST(floor(p_partkey / 3) AS BIGINT) ELSE p_partkey + p_size - 20 END AS to_key FROM part""",
+    # types in rows of 25, of which the last refers back; embedded types in rows of 14
+    "fx_chain_edges": """
+SELECT concat('svc', CAST(floor(p_partkey / 25) AS BIGINT) % 40) AS service, 'v1' AS version, p_partkey AS from_key,
+  CASE WHEN p_partkey % 25 = 24 THEN p_partkey - p_size % 25 ELSE p_partkey + 1 END AS to_key FROM part""",
+    "fx_chain_seeds": """
+SELECT DISTINCT concat('svc', CAST(floor(p_partkey / 25) AS BIGINT) % 40) AS service, 'v1' AS version,
+  p_partkey - p_partkey % 25 AS type_key FROM part""",
+    "fx_chain_embeds": """
+SELECT concat('svc', CAST(floor(p_partkey / 14) AS BIGINT) % 40) AS service, 'v1' AS version, p_partkey AS type_key, 0 AS pos,
+  CASE WHEN p_partkey % 14 = 13 THEN -p_partkey ELSE p_partkey + 1 END AS embedded_key FROM part""",
     "fx_embeds": """
 SELECT CAST(floor(p_partkey / 6) AS BIGINT) AS type_key, p_partkey % 6 AS pos, p_partkey AS embedded_key FROM part
 WHERE p_partkey > 0""",

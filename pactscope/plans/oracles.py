@@ -905,6 +905,24 @@ _oracle(
       UNION SELECT e.to_key, r.round + 1 FROM reach r JOIN fx_type_edges e ON e.from_key = r.type_key WHERE r.round < 19)
     SELECT type_key, min(round) AS round FROM reach GROUP BY type_key""",
 )
+_oracle(
+    "too_deep_types", "fx_chain_seeds fx_chain_edges",
+    """, reach(service, version, type_key, round) AS (SELECT DISTINCT service, version, type_key, 0 FROM fx_chain_seeds
+      UNION SELECT r.service, r.version, e.to_key, r.round + 1 FROM reach r JOIN fx_chain_edges e ON e.service = r.service AND e.version = r.version AND e.from_key = r.type_key WHERE r.round < 60)
+    SELECT service, version, type_key, min(round) AS round FROM reach GROUP BY ALL HAVING min(round) > 18""",
+)
+_oracle(
+    "service_recursive_types", "fx_chain_edges",
+    """, walk(service, version, root, node) AS (SELECT service, version, from_key, to_key FROM fx_chain_edges
+      UNION SELECT w.service, w.version, w.root, e.to_key FROM walk w JOIN fx_chain_edges e ON e.service = w.service AND e.version = w.version AND e.from_key = w.node)
+    SELECT DISTINCT service, version, root AS type_key FROM walk WHERE root = node""",
+)
+_oracle(
+    "deep_embeds", "fx_chain_embeds",
+    """, walk(service, version, type_key, owner, depth) AS (SELECT service, version, type_key, type_key, 0 FROM fx_chain_embeds
+      UNION ALL SELECT w.service, w.version, w.type_key, e.embedded_key, w.depth + 1 FROM walk w JOIN fx_chain_embeds e ON e.service = w.service AND e.type_key = w.owner WHERE w.depth < 11)
+    SELECT DISTINCT service, version, type_key FROM walk WHERE depth = 11""",
+)
 _oracle(
     "flatten_embedded", "fx_embeds fx_embed_fields",
     """, hosts AS (SELECT type_key FROM fx_embeds UNION SELECT type_key FROM fx_embed_fields),

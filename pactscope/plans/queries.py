@@ -960,6 +960,24 @@ def recursive_types(fx_sparse_edges):
     return graph.recursive_types(fx_sparse_edges)
 
 
+@query
+def too_deep_types(fx_chain_seeds, fx_chain_edges):
+    """R2: types of each service that more rounds of references lead to than allowed."""
+    return graph.too_deep(graph.reachable_types(fx_chain_seeds, fx_chain_edges, SERVICE))
+
+
+@query
+def service_recursive_types(fx_chain_edges):
+    """Types of each service that refer to themselves."""
+    return graph.recursive_types(fx_chain_edges, SERVICE)
+
+
+@query
+def deep_embeds(fx_chain_embeds):
+    """Types of each service that embed others too deeply."""
+    return graph.deep_embeds(fx_chain_embeds, SERVICE)
+
+
 # --- documents ---------------------------------------------------------------------------------
 
 
