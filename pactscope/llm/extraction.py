@@ -10,6 +10,7 @@ import html
 import itertools
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,11 @@ STOP_WORDS = frozenset(
     """.split()
 )
 
+#: What ends a sentence or a part of it in scripts that may lack spaces.
+SENTENCE_ENDS = frozenset("。！？、，；：．।॥။។")
+#: Characters for each word from which on a text counts as unspaced, and characters of a sentence part at most.
+UNSPACED, SENTENCE = 15, 60
+
 #: Elements whose content is never text, elements that hold boilerplate, and elements that hold the main text.
 DROPPED = frozenset("noscript template svg math iframe object select button canvas audio video".split())
 #: Dropped elements that hold no tags: without their own end they go on to the end of the page.
@@ -188,12 +194,41 @@ def _words(text: str) -> list[str]:
     return text.lower().split()
 
 
+def _known_stops(text: str) -> float:
+    words = _words(text)
+    return sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
+
+
+def _any_stops(text: str) -> float:
+    """What stands for the share of function words where they aren't known.
+
+    Function words are short, so words of up to three letters count twice (they are about half as frequent as needed). In
+    scripts without spaces there are no words to count; there it is the sentences that tell prose from lists.
+    """
+    words = _words(text)
+    if len(text) > UNSPACED * len(words):
+        ends = sum(c in SENTENCE_ENDS for c in text)
+        return 1.0 if ends * SENTENCE >= len(text) else 0.2 if ends else 0.0
+    stripped = (w.strip(".,;:!?\u060c\u061b\u061f") for w in words)
+    return 2 * sum(len(w) <= 3 and w.isalpha() for w in stripped) / len(words)
+
+
+def _measure_of(blocks: list[Block], short: int, sparse: float) -> Callable[[str], float]:
+    """The measure of function words that fits the page: the known ones, unless its prose has next to none of them."""
+    prose = [b.text for b in blocks if b.place != BAD and not b.heading and len(b.text) >= short and 3 * b.linked < len(b.text)]
+    words = sum(len(_words(t)) for t in prose)
+    known = sum(_known_stops(t) * len(_words(t)) for t in prose)
+    return _any_stops if words and known < sparse / 2 * words else _known_stops
+
+
 def classify(blocks: list[Block], short: int = 70, long: int = 120, dense: float = 0.3, sparse: float = 0.15) -> list[bool]:
     """For each block, whether it is main text. Blocks inside boilerplate elements are left out of both passes.
 
     Inside elements that are marked as main text more links and fewer stop words are allowed, and what stays open counts
-    as near.
+    as near. Where the page's language is not one of those with known function words, short words stand for them, and
+    sentences where words are not set apart.
     """
+    stop_share = _measure_of(blocks, short, sparse)
     labels, free = [], [i for i, b in enumerate(blocks) if b.place != BAD]
     for b in (blocks[i] for i in free):
         density, marked = b.linked / len(b.text), b.place == GOOD
@@ -202,8 +237,7 @@ def classify(blocks: list[Block], short: int = 70, long: int = 120, dense: float
         elif b.heading or len(b.text) < short:
             labels.append(NEAR if marked else OPEN)
         else:
-            words = _words(b.text)
-            stops = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
+            stops = stop_share(b.text)
             if marked:
                 labels.append(GOOD if stops >= sparse else NEAR)
             elif stops >= dense:

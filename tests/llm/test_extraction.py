@@ -93,3 +93,16 @@ def test_edges(spark):
     assert found.columns == ["page_id", "url", "html", "blocks", "text"]
     assert sorted((r.text, r.blocks) for r in found.collect()) == sorted([("", "kept")] * 3 + [(GOOD, "kept")])
     assert extract_text(spark.createDataFrame([], "html string")).count() == 0
+
+
+POLISH = "Wieczorem poszliśmy nad rzekę, bo było ciepło i nikt nie chciał jeszcze wracać do domu. Na moście stał stary rybak, który od lat łowi tu ryby i zna każdy kamień."
+RUSSIAN = "Вечером мы пошли к реке, потому что было тепло и никто не хотел идти домой. На мосту стоял старый рыбак, он давно ловит тут рыбу и знает каждый камень у воды."
+CHINESE = "傍晚我们去了河边，因为天气很暖和，谁也不想回家。桥上站着一位老渔夫，他在这里钓鱼很多年了，认识每一块石头。他告诉我们，春天的时候，水会涨到桥边的树下，孩子们都喜欢在那里玩耍，一直玩到天黑才回家吃饭，从来没有人抱怨过什么。老人说完以后，又慢慢地把鱼线抛进水里，看着远处的山。"
+ARABIC = "في المساء ذهبنا إلى النهر لأن الجو كان دافئا ولم يرد أحد أن يعود إلى البيت. على الجسر كان يقف صياد كبير في السن، وهو يصطاد هنا من زمن ويعرف كل حجر في الماء. قال لنا إن الماء يصل في كل عام إلى هذه الشجرة."
+
+
+@pytest.mark.parametrize("text", [POLISH, RUSSIAN, CHINESE, ARABIC])
+def test_text_of_any_language_without_marks(text):
+    items = "".join(f"<li><a href='/{i}'>{text[i * 5 : i * 5 + 12]}</a></li>" for i in range(6))
+    page = f"<html><body><ul>{items}</ul><div>" + f"<p>{text}</p>" * 3 + f"</div><ul>{items}</ul></body></html>"
+    assert main_text(page) == " ".join([text] * 3)
