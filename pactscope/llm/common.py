@@ -13,7 +13,7 @@ CELL_ROWS = 100_000
 
 
 #: Rows that a Python worker is handed at a time; whole texts may be long, and workers keep the memory they once took.
-BATCH_ROWS = 1_000
+BATCH_ROWS = 256
 
 
 def bound_batches(spark: SparkSession) -> None:
