@@ -1,7 +1,7 @@
 """Token ids of whole texts by a public word-level BPE, with the ids of words kept for reuse.
 
 The texts are cut into words with array operations by the tokenizer's own rule; each distinct word goes to the
-tokenizer once. Texts that hold a special token's string go to the tokenizer whole.
+tokenizer once. Texts that hold a special token's string, or code points that are not assigned, go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ RUN_CHARS = 1_000_000
 #: Fixed values of the word rule: endings after an apostrophe that are words of their own.
 ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
-SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
+SPACE, LETTER, NUMBER, OTHER, UNASSIGNED = 0, 1, 2, 3, 4
 
 
 @lru_cache(1)
@@ -36,9 +36,19 @@ def character_kinds() -> np.ndarray:
             kinds[code] = NUMBER
         elif char.isspace() and not 0x1C <= code <= 0x1F:
             kinds[code] = SPACE
+        elif unicodedata.category(char) == "Cn":
+            kinds[code] = UNASSIGNED
     return kinds
 
 
+def has_unassigned(text: str) -> bool:
+    """Whether a text has code points without a kind here, which the tokenizer's tables may know."""
+    if text.isascii():
+        return False
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return bool((character_kinds()[codes] == UNASSIGNED).any())
+
+
 @lru_cache(1)
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
@@ -157,7 +167,7 @@ class WordTokenizer:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if self.special and self.special.search(text):
+            if self.special and self.special.search(text) or has_unassigned(text):
                 found[i] = np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
                 continue
             folded = self._folded(text)

@@ -31,6 +31,12 @@ def test_tricky_texts(tokenizer):
         assert ids.tolist() == expected(tokenizer, text), text
 
 
+def test_code_points_that_are_not_assigned_here(tokenizer):
+    texts = [":\U00013460", "a\U00013460b \U000323B0", "\u0378x"]
+    for text, ids in zip(texts, tokenizer.encode(texts), strict=True):
+        assert ids.tolist() == expected(tokenizer, text), text
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(max_size=60), max_size=5))
 def test_any_text(tokenizer, texts):
