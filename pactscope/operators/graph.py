@@ -22,11 +22,12 @@ def reachable_types(seeds: DataFrame, edges: DataFrame, keys: Sequence[str] = ()
     """Types that the seeds refer to, directly or not: ``keys, type_key, round`` of first discovery.
 
     Only newly found types are followed, so types that refer to each other end the search instead of
-    prolonging it. :func:`too_deep` lists what is found after more rounds than allowed.
+    prolonging it. :func:`too_deep` lists what is found after more rounds than allowed. Rounds are joined by
+    merging: each would send a table over the driver otherwise.
     """
     keys = list(keys)
     node = [*keys, "type_key"]
-    links = materialise(edges.select(*keys, "from_key", "to_key").distinct())
+    links = materialise(edges.select(*keys, "from_key", "to_key").distinct()).hint("merge")
     frontier = materialise(seeds.select(*node).distinct().withColumn("round", F.lit(0)))
     visited = frontier
     number = 0
@@ -37,7 +38,7 @@ def reachable_types(seeds: DataFrame, edges: DataFrame, keys: Sequence[str] = ()
             .join(links, [*keys, "from_key"])
             .select(*keys, F.col("to_key").alias("type_key"))
         )
-        frontier = materialise(except_seen(step, visited, node).withColumn("round", F.lit(number)))
+        frontier = materialise(except_seen(step, visited.hint("merge"), node).withColumn("round", F.lit(number)))
         if frontier.isEmpty():
             return visited
         visited = visited.unionByName(frontier)

@@ -58,6 +58,27 @@ def test_recursive_types(spark, seed, n, m):
     assert {(r.service, r.type_key) for r in found.collect()} == expected
 
 
+def plans_of(monkeypatch):
+    """The plans of all rounds, as they ran."""
+    plans, write = [], graph.materialise
+
+    def recorded(df):
+        written = write(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written
+
+    monkeypatch.setattr(graph, "materialise", recorded)
+    return plans
+
+
+def test_rounds_of_reachable_types_send_nothing_to_the_driver(spark, monkeypatch):
+    plans = plans_of(monkeypatch)
+    chain = edges_of(spark, [("x", f"t{i}", f"t{i + 1}") for i in range(4)])
+    seeds = spark.createDataFrame([("x", "t0")], ["service", "type_key"])
+    assert graph.reachable_types(seeds, chain, ["service"]).count() == 5
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_recursive_types_over_long_ways(spark):
     n = 100_000
     chain = [("x", i, i + 1) for i in range(n)] + [("x", n, n - 3)]
