@@ -248,15 +248,18 @@ def flatten_embedded(
 
 
 def deep_embeds(embeds: DataFrame, keys: Sequence[str] = (), max_depth: int = EMBEDDING_DEPTH) -> DataFrame:
-    """Types that embed others deeper than ``max_depth``, or in a circle: ``keys, type_key``."""
+    """Types that embed others deeper than ``max_depth``, or in a circle: ``keys, type_key``.
+
+    Each round keeps the links to types that have links left, which are one step longer ways. Rounds are joined by merging;
+    see :func:`reachable_types`.
+    """
     keys = list(keys)
-    links = materialise(embeds.select(*keys, F.col("type_key").alias("_owner"), F.col("embedded_key").alias("_next")).distinct())
-    level = links.select(*keys, F.col("_owner").alias("type_key"), "_owner").distinct()
-    for _ in range(max_depth + 1):
-        level = materialise(
-            level.join(links, [*keys, "_owner"]).select(*keys, "type_key", F.col("_next").alias("_owner")).distinct()
-        )
-    return level.select(*keys, "type_key").distinct()
+    links = embeds.select(*keys, F.col("type_key").alias("_owner"), F.col("embedded_key").alias("_next"))
+    links = materialise(links.dropna(subset=[*keys, "_owner"]).distinct())
+    for _ in range(max_depth):
+        owners = links.select(*keys, F.col("_owner").alias("_next")).distinct()
+        links = materialise(links.join(owners.hint("merge"), [*keys, "_next"], "left_semi"))
+    return links.select(*keys, F.col("_owner").alias("type_key")).distinct()
 
 
 def distinct_hosts(embeds: DataFrame, fields: DataFrame, keys: Sequence[str]) -> DataFrame:

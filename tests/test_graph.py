@@ -150,6 +150,18 @@ def test_flatten_embedded_limit(spark):
     assert found == {("T11", "y"), ("C", "y"), *((f"T{i}", "y") for i in range(1, 11))}
 
 
+def test_rounds_of_deep_embeds_send_nothing_to_the_driver(spark, monkeypatch):
+    plans = plans_of(monkeypatch)
+    pairs = [("x", f"T{i}", f"T{i + 1}") for i in range(11)] + [("x", "A", "T0"), ("x", "A", "T1"), ("y", "B", "T0"), (None, "T11", "T0")]
+    embeds = spark.createDataFrame([*pairs, ("x", "C", None), ("x", None, "T0")], "service string, type_key string, embedded_key string")
+    found = graph.deep_embeds(embeds, ["service"]).collect()
+    assert {tuple(r) for r in found} == {("x", "A"), ("x", "T0")}
+    assert {tuple(r) for r in graph.deep_embeds(embeds, ["service"], 0).collect()} == {
+        *(("x", a) for _, a, _ in pairs[:12]), ("x", "C"), ("y", "B")
+    }
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_resolve_aliases(spark):
     types = spark.createDataFrame(
         [("A", "alias", "[]B"), ("B", "alias", "map[string]C"), ("C", "alias", "D"), ("D", "struct", None), ("E", "alias", "string"), ("F", "alias", "Z")],
