@@ -417,7 +417,9 @@ def remove_repeats(
     rows = rows.select("row", "text", _key_part(1).alias("k1"), _key_part(17).alias("k2"))
     rows = rows.join(freeze(repeated_stretches(docs, text_col), "stretches"), ["k1", "k2"], "left")
     changed = F.col("stretches").isNotNull()
-    rows = rows.withColumn("left", F.when(changed, cut("text", "stretches")).otherwise(F.col("text")))
+    # called once: as a deterministic function it would be called by the filter too, by another Python worker of the task
+    once = cut.asNondeterministic()
+    rows = rows.withColumn("left", F.when(changed, once("text", "stretches")).otherwise(F.col("text")))
     rows = rows.where(~changed | (F.length(F.regexp_replace("left", r"\s", "")) >= min_left))
     named = {text_col: F.col("left")}
     if length_col and length_col in docs.columns:

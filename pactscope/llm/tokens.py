@@ -14,10 +14,10 @@ import numpy as np
 
 from pactscope.llm.common import mix
 
-#: So many distinct words are kept in each worker (about 100 bytes each), then forgotten and begun anew.
+#: So many distinct words are kept in each worker (about 40 bytes each), then forgotten and begun anew.
 KEPT_WORDS = 1_000_000
 #: Texts are handled in runs of about so many characters.
-RUN_CHARS = 1_000_000
+RUN_CHARS = 250_000
 #: Fixed values of the word rule: endings after an apostrophe that are words of their own.
 ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
@@ -93,25 +93,21 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.starts = np.zeros(1 << 12, dtype=np.int64)
-        self.lengths = np.zeros(1 << 12, dtype=np.int64)
-        self.flat = np.zeros(1 << 14, dtype=np.uint32)
-        self.used = 0
-
-    def _learn(self, key: int, word: str) -> int:
-        slot = len(self.slots)
-        if slot == len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        self.keys = np.zeros(0, dtype=np.uint64)  # in order; a table of numbers takes a quarter of a dict's memory
+        self.starts = np.zeros(0, dtype=np.int64)
+        self.lengths = np.zeros(0, dtype=np.int32)
+        self.flat = np.zeros(0, dtype=np.uint32)
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Keep the ids of new words; their keys come in order."""
         letters = byte_letters()
-        ids = [t.id for t in self.model.tokenize("".join([letters[b] for b in word.encode()]))]
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[slot], self.lengths[slot] = self.used, len(ids)
-        self.used += len(ids)
-        self.slots[key] = slot
-        return slot
+        found = [[t.id for t in self.model.tokenize("".join([letters[b] for b in word.encode()]))] for word in words]
+        lengths = np.array([len(ids) for ids in found], dtype=np.int64)
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.starts = np.insert(self.starts, at, len(self.flat) + np.cumsum(lengths) - lengths)
+        self.lengths = np.insert(self.lengths, at, lengths)
+        self.flat = np.concatenate([self.flat, np.array([i for ids in found for i in ids], dtype=np.uint32)])
 
     def _run(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts that are folded already and hold no special token."""
@@ -125,18 +121,16 @@ class WordTokenizer:
         each = mix((place.astype(np.uint64) << np.uint64(21)) + taken + np.uint64(0x9E3779B97F4A7C15))
         hashed = np.add.reduceat(each, owner_first) if len(starts) else np.zeros(0, dtype=np.uint64)
         distinct, sample, inverse = np.unique(mix(hashed), return_index=True, return_inverse=True)
-        if len(self.slots) + len(distinct) > KEPT_WORDS:
+        at = np.searchsorted(self.keys, distinct)
+        new = np.append(self.keys, ~distinct[-1:])[at] != distinct
+        if len(self.keys) + int(new.sum()) > KEPT_WORDS:
             self._forget()
-        known = self.slots
-        slots = np.array(
-            [
-                s if (s := known.get(k)) is not None else self._learn(k, joined[starts[i] : ends[i]])
-                for k, i in zip(distinct.tolist(), sample.tolist(), strict=True)
-            ],
-            dtype=np.int64,
-        )[inverse.ravel()]
+            new[:] = True
+        if new.any():
+            self._learn(distinct[new], [joined[starts[i] : ends[i]] for i in sample[new].tolist()])
+        slots = np.searchsorted(self.keys, distinct)[inverse.ravel()]
         counts = self.lengths[slots]
-        total = np.concatenate([[0], np.cumsum(counts)])
+        total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
         at = np.repeat(self.starts[slots] - total[:-1], counts) + np.arange(total[-1])
         ids = self.flat[at]
         edges = np.cumsum([0] + [len(t) + 1 for t in texts])

@@ -1,5 +1,6 @@
 """Token ids as the tokenizer gives them, and best-fit packing over counts."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -31,6 +32,19 @@ def test_tricky_texts(tokenizer):
         assert ids.tolist() == expected(tokenizer, text), text
 
 
+def test_kept_words_take_little_memory():
+    tokenizer, n = WordTokenizer(tokenizer_path()), 60_000
+    texts = [" ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(a, a + 1_000)) for a in range(0, n, 1_000)]
+    tokenizer.encode(["a"])
+    tracemalloc.start()
+    try:
+        for text in texts:
+            tokenizer.encode([text])
+        assert tracemalloc.get_traced_memory()[0] < 64 * n
+    finally:
+        tracemalloc.stop()
+
+
 def test_code_points_that_are_not_assigned_here(tokenizer):
     texts = [":\U00013460", "a\U00013460b \U000323B0", "\u0378x"]
     for text, ids in zip(texts, tokenizer.encode(texts), strict=True):

@@ -94,6 +94,11 @@ def test_edges(edge_docs, no_docs):
     assert repeated_bytes(no_docs).count() == 0 and remove_repeats(no_docs).count() == 0
 
 
+def test_cut_is_called_once(spark):
+    docs = spark.createDataFrame([(1, "a" * 500), (2, "b")], "doc_id long, text string")
+    assert remove_repeats(docs)._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_cut_characters(spark):
     repeated = "é" * 120
     docs = spark.createDataFrame([(1, "a" + repeated + "ö", 0), (2, "b" + repeated + "z", 0), (3, "fine", 4)], "doc_id long, text string, n_chars int")
