@@ -64,4 +64,4 @@ def distinct_keys(*frames: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def collect_ordered(df: DataFrame, keys: Sequence[str], element: Column, *aggregates: Column) -> DataFrame:
     """Sorted arrays of ``element`` per key, for outputs that hold a group as one value: ``keys, items``."""
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(element)).alias("items"), *aggregates)
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(element)).alias("items"), *aggregates)

@@ -277,9 +277,9 @@ def type_schemas(types: DataFrame, properties: DataFrame) -> DataFrame:
     ``properties`` is the result of :func:`schema_properties`.
     """
     keys = [*present(SERVICE, types, properties), "type_key"]
-    grouped = collect_ordered(
-        properties.where(F.col("schema").isNotNull()), keys, F.struct("pos", "attr", "schema", "required")
-    )
+    # lists drop nulls; a filter would have every schema made twice
+    member = F.when(F.col("schema").isNotNull(), F.struct("pos", "attr", "schema", "required"))
+    grouped = collect_ordered(properties, keys, member)
     described = types.where(F.col("kind") == "struct").join(grouped, keys, "left")
     items = F.coalesce("items", F.array().cast("array<struct<pos:int,attr:string,schema:string,required:boolean>>"))
     members = F.array_join(

@@ -1028,10 +1028,20 @@ def _reached(single, answers, given, services, fx_service_fields, fx_service_typ
     return graph.reachable_types(seeds, links, SERVICE)
 
 
+def _kept(spark, rows, name):
+    """``rows``, written as Parquet and read back."""
+    folder = scratch_path(spark, name)
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 def _parts(
     spark, fx_endpoints, fx_params, fx_param_defs, fx_responses, fx_handler_errors, fx_errors, fx_service_examples,
     fx_handler_lines, fx_service_fields, fx_service_types, fx_service_enums, fx_service_tag_defs, fx_service_tag_template,
 ):
+    # read by many sections; types and enumerations are small, fields are kept in columns
+    fx_service_types, fx_service_enums = materialise(fx_service_types), materialise(fx_service_enums)
+    fx_service_fields = _kept(spark, fx_service_fields, "fields")
     first, single, aliases, answers, given, services = _shown(
         spark, fx_endpoints, fx_params, fx_responses, fx_handler_errors, fx_errors, fx_service_examples, fx_service_fields,
         fx_service_types,

@@ -69,6 +69,12 @@ def test_all_references_resolve(spark):
     assert found and all(r.n_dangling == 0 < r.n_references for r in found)
 
 
+def test_parts_read_lineitem_no_more(spark):
+    """Fields and types of services, which are made of lineitem, are kept; sections read what is kept."""
+    plan = queries()["document_parts"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan
+
+
 def test_entry(spark):
     df = entry(spark)
     assert "summary" in df.columns and df.count() > 0

@@ -141,6 +141,15 @@ def test_written_documents(spark, tmp_path):
     assert len(list((tmp_path / "out").glob("service=big/version=1/part-*"))) > 3
 
 
+def test_schemas_are_made_once(spark):
+    known = spark.createDataFrame([("A", "struct", "", ""), ("B", "struct", "", "")], "type_key string, kind string, summary string, description string")
+    fields = spark.createDataFrame([("A", 1, "b", True, "{}"), ("A", 0, "a", None, "x"), ("A", 2, "c", True, None), ("B", 0, "d", True, None)], "type_key string, pos int, attr string, required boolean, s string")
+    found = types.type_schemas(known, fields.withColumn("schema", F.from_json("s", "map<string,string>").cast("string")))
+    assert not [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x and "from_json" in x]
+    made = {r.type_key: r.schema for r in types.type_schemas(known, fields.withColumnRenamed("s", "schema")).collect()}
+    assert made == {"A": '{"type":"object","properties":{"a":x,"b":{}},"required":["b"]}', "B": '{"type":"object","properties":{}}'}
+
+
 def test_digests_show_changes(spark, tmp_path):
     schema = catalogue.schema_of("tag_defs")
     rows = [("s1", "1", "a", "text", None), ("s1", "1", "b", "", ""), ("s2", "1", "a", None, "x"), ("s2", "1", "a", None, "x")]
