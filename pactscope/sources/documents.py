@@ -341,7 +341,7 @@ def assemble_documents(parts: DataFrame) -> DataFrame:
             nodes.groupBy(*SERVICE, *levels[:depth])
             .agg(
                 F.max(F.when(step.isNull(), F.col("json"))).alias("_own"),
-                F.array_sort(F.collect_list(child)).alias("_children"),
+                F.sort_array(F.collect_list(child)).alias("_children"),
             )
             .withColumn("json", _node_text(F.col("_own"), F.col("_children"), name))
             .drop("_own", "_children")
@@ -411,7 +411,8 @@ def document_lines(parts: DataFrame) -> DataFrame:
     within a service. Lines of a service, by cell and place, are one JSON text.
     """
     spread = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = parts.select(*SERVICE, "steps", "fragment", place_of(F.col("steps")).alias("place"))
+    # dealing by range reads its input twice
+    rows = materialise(parts.select(*SERVICE, "steps", "fragment", place_of(F.col("steps")).alias("place")))
     rows = rows.repartitionByRange(spread, *SERVICE, "place").withColumn("cell", F.spark_partition_id())
     here = F.struct(*SERVICE, "place", "steps", (F.col("fragment") == "{}").alias("bare"))
     rows = materialise(rows.withColumn("here", here))

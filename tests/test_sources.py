@@ -141,6 +141,19 @@ def test_written_documents(spark, tmp_path):
     assert len(list((tmp_path / "out").glob("service=big/version=1/part-*"))) > 3
 
 
+def test_parts_are_made_once_before_they_are_dealt(spark, monkeypatch):
+    plans, write = [], documents.materialise
+
+    def recorded(df):
+        plans.append(df._jdf.queryExecution().analyzed().toString())
+        return write(df)
+
+    monkeypatch.setattr(documents, "materialise", recorded)
+    parts = spark.createDataFrame([("s", "v1", ["info"], "{}")], "service string, version string, steps array<string>, fragment string")
+    assert [r.text for r in documents.document_lines(parts).collect()] == ['{"info":{}}']
+    assert "RepartitionByExpression" not in plans[0] and "RepartitionByExpression" in plans[1]
+
+
 def test_schemas_are_made_once(spark):
     known = spark.createDataFrame([("A", "struct", "", ""), ("B", "struct", "", "")], "type_key string, kind string, summary string, description string")
     fields = spark.createDataFrame([("A", 1, "b", True, "{}"), ("A", 0, "a", None, "x"), ("A", 2, "c", True, None), ("B", 0, "d", True, None)], "type_key string, pos int, attr string, required boolean, s string")
