@@ -138,7 +138,8 @@ def catalogue_tables(
     """All tables of a catalogue written and read again, with a digest of the rows of each service."""
     given = dict(locals())
     tables = {n.removeprefix("fx_"): df for n, df in given.items() if n.startswith("fx_")}
-    tables["object_types"] = templates.assemble_object_types(tables.pop("object_type_args"), tables.pop("object_attributes"))
+    # written and digested, but joined only once
+    tables["object_types"] = materialise(templates.assemble_object_types(tables.pop("object_type_args"), tables.pop("object_attributes")))
     folder = scratch_path(spark, "catalogue")
     shared = {"service": "shared", "version": "v1"}
     catalogue.write_catalogue({n: catalogue.conform(n, df, **shared) for n, df in tables.items()}, folder)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import functools
 import os
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactscope.catalogue.schemas import COLUMNS, schema_of
@@ -49,15 +51,24 @@ def table_digests(catalogue: dict[str, DataFrame]) -> DataFrame:
     found = None
     for table, df in catalogue.items():
         text = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in schema_of(table).fieldNames()])
-        number = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
-        rows = df.groupBy("service", "version").agg(
-            F.count(F.lit(1)).alias("n"), F.sum(number).cast("string").alias("digest")
+        number = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
+        rows = df.select("service", "version", number.alias("number")).groupBy("service", "version").agg(
+            F.count(F.lit(1)).alias("n"), _exact_sum(F.col("number")).cast("string").alias("digest")
         )
         rows = rows.select(F.lit(table).alias("name"), "service", "version", "n", "digest")
         found = rows if found is None else found.unionByName(rows)
     return found
 
 
+def _exact_sum(number: Column) -> Column:
+    """The sum of numbers from 0 to 2**60 - 1, for up to 2**43 rows: three sums of 20 bits each, which are added up as decimals.
+
+    A sum of decimals would cost more than all else that is done for a row.
+    """
+    parts = [F.sum(F.shiftright(number, shift).bitwiseAND(F.lit((1 << 20) - 1))).cast("decimal(19,0)") * F.lit(1 << shift) for shift in (0, 20, 40)]
+    return functools.reduce(lambda a, b: a + b, parts)
+
+
 def changed_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Tables and services whose rows are not those that were written: ``name, service, version`` and both counts."""
     written = spark.read.parquet(os.path.join(folder, MANIFEST))
@@ -70,13 +81,20 @@ def changed_tables(spark: SparkSession, folder: str) -> DataFrame:
     return both.where(differ).select(*[F.coalesce(f"w.{k}", f"r.{k}").alias(k) for k in keys], F.col("w.n").alias("n_written"), "n_now")
 
 
-def write_catalogue(catalogue: dict[str, DataFrame], folder: str) -> None:
+def write_catalogue(catalogue: dict[str, DataFrame], folder: str, at_once: int = 4) -> None:
     """Write the tables, one folder per service, so that a reader of one service skips the others.
 
-    Rebalancing gathers the rows of small services in one file and divides those of large ones. The digests of what was to
-    be written stand beside the tables; see :func:`changed_tables`.
+    Rebalancing gathers the rows of small services in one file and divides those of large ones. A table is written by few
+    tasks for its size, so ``at_once`` tables are written side by side. The digests of what was to be written stand beside
+    the tables, if all were written; see :func:`changed_tables`.
     """
-    for table, df in catalogue.items():
+
+    def write(table: str, df: DataFrame) -> None:
         rows = df.select(*schema_of(table).fieldNames()).hint("rebalance", "service")
         rows.write.mode("overwrite").partitionBy("service").parquet(os.path.join(folder, table))
+
+    with ThreadPoolExecutor(at_once) as pool:
+        written = [pool.submit(inheritable_thread_target(df.sparkSession)(write), table, df) for table, df in catalogue.items()]
+        for one in written:
+            one.result()
     table_digests(catalogue).coalesce(1).write.mode("overwrite").parquet(os.path.join(folder, MANIFEST))

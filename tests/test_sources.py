@@ -1,9 +1,14 @@
+import hashlib
 import json
+import threading
 
 import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from pactscope.operators import examples, graph, types
+from pactscope.plans.queries import QUERIES
 from pactscope.sources import catalogue, corpus, documents
 from pactscope.sources import examples as example_files
 
@@ -270,3 +275,67 @@ def test_examples(spark):
     }
     assert {(r.key, r.payload) for r in examples.wrap_examples_as_array(given, matched).collect()} == {("[]a", "[{}]"), ("[]d", "[2]")}
     assert {(r.key, r.payload) for r in examples.wrap_examples_as_map(given, matched).collect()} == {("map[string]b", '{"key":{}')}
+
+
+def _number_of(row):
+    text = "\u001f".join("~" if v is None else str(v) for v in row)
+    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+
+
+def test_digests_are_sums_of_integers(spark):
+    """No decimal is added per row, and sums beyond a bigint are exact."""
+    rows = [(("s1", None)[i % 3 == 0], "1", f"t{i}", "a" if i % 2 else None, "") for i in range(300)] * 2
+    found = catalogue.table_digests({"tag_defs": spark.createDataFrame(rows, catalogue.schema_of("tag_defs"))})
+    expected = {s: str(sum(_number_of(r) for r in rows if r[0] == s)) for s in ("s1", None)}
+    assert int(expected["s1"]) > 1 << 63
+    assert {r.service: r.digest for r in found.collect()} == expected
+    partial = [x for x in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "partial_sum" in x]
+    assert partial and not any("decimal" in x.split("functions=")[1] for x in partial)
+
+
+def test_tables_are_written_side_by_side(spark, tmp_path, monkeypatch, rows_of):
+    given = {
+        "tag_defs": spark.createDataFrame([("s1", "1", "a", "text", None), (None, "1", "b", "", "")], catalogue.schema_of("tag_defs")),
+        "enums": spark.createDataFrame([("s1", "1", "A", "b", "c")], catalogue.schema_of("enums")),
+    }
+    both, parquet = threading.Barrier(2, timeout=60), DataFrameWriter.parquet
+
+    def together(self, path, *args, **kwargs):
+        if not path.endswith(catalogue.MANIFEST):
+            both.wait()
+        return parquet(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", together)
+    catalogue.write_catalogue(given, str(tmp_path))
+    read = catalogue.read_catalogue(spark, str(tmp_path))
+    for table, df in given.items():
+        assert {*map(tuple, read[table].collect())} == {*map(tuple, df.collect())}
+    assert catalogue.changed_tables(spark, str(tmp_path)).count() == 0
+
+
+def test_failed_table_leaves_no_digests(spark, tmp_path):
+    given = {
+        "tag_defs": spark.createDataFrame([("s1", "1", "a", "text", None)], catalogue.schema_of("tag_defs")),
+        "enums": spark.range(1).select(*[F.raise_error(F.lit("no rows")).cast("string").alias(c) for c in catalogue.schema_of("enums").fieldNames()]),
+    }
+    with pytest.raises(PySparkException, match="no rows"):
+        catalogue.write_catalogue(given, str(tmp_path))
+    assert not (tmp_path / catalogue.MANIFEST).exists()
+
+
+def test_object_types_are_joined_once(spark, tmp_path, monkeypatch):
+    given = {}
+    monkeypatch.setattr(catalogue, "write_catalogue", lambda tables, folder: given.update(tables))
+    for name, row in {
+        "events": "1L event_id, 2L user_id, 'view' event_type, '{}' props",
+        "part": "1L p_partkey, 'n' p_name, 'B#1' p_brand, 'STEEL' p_type, 20 p_size",
+        "orders": "1L o_orderkey, 2L o_custkey",
+        "documents": "1L doc_id, 'a' text",
+        "nation": "1L n_nationkey, 'N' n_name, 0L n_regionkey",
+        "region": "0L r_regionkey, 'ASIA' r_name",
+    }.items():
+        spark.sql(f"SELECT {row}").write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert QUERIES["catalogue_tables"](spark, str(tmp_path)).count() == 0
+    plan = given["object_types"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert [(r["var"], r["foo"]) for r in given["object_types"].collect()] == [("V1", "m.T1")]
